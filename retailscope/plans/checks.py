@@ -9,16 +9,9 @@ def _cols(columns: dict[str, str]) -> str:
     return ", ".join(f"{sql} AS {name}" for name, sql in columns.items())
 
 
-def _sql_types(text: str) -> str:
-    return text
-
-
 _ITEMS = f"""
-s_items0 AS (SELECT {_cols(s.ITEM_COLUMNS)}, l_returnflag, {', '.join(s.ITEM_ORDER)} FROM lineitem),
-s_items AS (SELECT *, {_cols(s.ITEM_DERIVED)},
-  cast((gross_sales - discount_amount) * 100 as bigint) AS net_c,
-  cast((gross_sales - discount_amount - product_cost) * 100 as bigint) AS profit_c,
-  cast(gross_sales * 100 as bigint) AS gross_c FROM s_items0)"""
+s_cents AS (SELECT {_cols(s.ITEM_CENTS)}, l_returnflag, {', '.join(s.ITEM_ORDER)} FROM lineitem),
+s_items AS (SELECT *, {_cols(s.ITEM_MONEY)} FROM s_cents)"""
 
 _CUSTOMERS = f"""
 s_customers AS (SELECT {_cols(s.CUSTOMER_COLUMNS)},
@@ -30,14 +23,12 @@ s_products AS (SELECT {_cols(s.PRODUCT_COLUMNS)}, cast(cast(p_retailprice as dec
 
 
 def _orders() -> str:
-    sums = ", ".join(f"sum({c}) AS {c}" for c in s.ORDER_SUMS)
-    zero = ", ".join(
-        f"cast(coalesce(i.{c}, 0) as {'bigint' if c == 'quantity' else 'decimal(12,2)'}) AS {c}" for c in s.ORDER_SUMS
-    )
+    sums = ", ".join(f"cast(sum({c}) as bigint) AS {c}" for c in s.MONEY_FROM_CENTS.values())
     text = f"""
-s_sums AS (SELECT order_id, {sums}, bool_and(l_returnflag = 'R') AS all_returned FROM s_items GROUP BY order_id),
+s_sums AS (SELECT order_id, sum(quantity) AS items, {sums}, bool_and(l_returnflag = 'R') AS all_returned
+  FROM s_cents GROUP BY order_id),
 s_orders0 AS (SELECT {_cols(s.ORDER_COLUMNS)}, o_orderstatus FROM orders),
-s_orders1 AS (SELECT o.*, {zero}, coalesce(i.all_returned, false) AS all_returned
+s_orders1 AS (SELECT o.*, {_cols(s.ORDER_MONEY)}, coalesce(i.all_returned, false) AS all_returned
   FROM s_orders0 o LEFT JOIN s_sums i ON i.order_id = o.order_id)"""
     level = 1
     for name, sql in s.ORDER_DERIVED.items():

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retailscope.schemas import RETURN_REASONS, VOCABULARIES
@@ -22,6 +22,23 @@ def pick(key: str, values: Sequence[str]) -> str:
 
 _MONEY = "decimal(12,2)"
 
+# given on read, so that no job runs to infer them
+RAW = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,"
+    " o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double,"
+    " l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string,"
+    " l_shipdate timestamp_ntz",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
 CUSTOMER_COLUMNS = {
     "customer_id": "c_custkey",
     "customer_name": "c_name",
@@ -45,18 +62,30 @@ PRODUCT_COLUMNS = {
     "product_rating": "cast((25 + p_partkey % 25) * 0.1 as decimal(3,2))",
 }
 
-ITEM_COLUMNS = {
+# whole cents: integer arithmetic is exact and much cheaper than double -> decimal casts per row
+ITEM_CENTS = {
     "order_id": "l_orderkey",
     "product_id": "l_partkey",
     "quantity": "cast(l_quantity as int)",
-    "gross_sales": f"cast(l_extendedprice as {_MONEY})",
-    "discount_amount": f"cast(round(cast(l_extendedprice as {_MONEY}) * cast(l_discount as decimal(4,2)), 2) as {_MONEY})",
-    "product_cost": f"cast(round(cast(l_extendedprice as {_MONEY}) * cast(0.55 as decimal(4,2)), 2) as {_MONEY})",
+    "gross_c": "cast(floor(l_extendedprice * 100 + 0.5) as bigint)",
+    "discount_c": "cast(floor((gross_c * cast(floor(l_discount * 100 + 0.5) as bigint) + 50) / 100) as bigint)",
+    "cost_c": "cast(floor((gross_c * 55 + 50) / 100) as bigint)",
+    "net_c": "gross_c - discount_c",
+    "profit_c": "gross_c - discount_c - cost_c",
 }
-ITEM_DERIVED = {
-    "net_sales": f"cast(gross_sales - discount_amount as {_MONEY})",
-    "profit": f"cast(gross_sales - discount_amount - product_cost as {_MONEY})",
+MONEY_FROM_CENTS = {
+    "gross_sales": "gross_c",
+    "discount_amount": "discount_c",
+    "net_sales": "net_c",
+    "product_cost": "cost_c",
+    "profit": "profit_c",
 }
+
+
+def from_cents(cents: str) -> str:
+    return f"cast(cast({cents} as decimal(12,0)) * cast(0.01 as decimal(2,2)) as {_MONEY})"
+
+
 # order of the items of one order; with order_id it is unique
 ITEM_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
 
@@ -79,7 +108,7 @@ ORDER_COLUMNS = {
     "customer_order_count": "cast(1 + o_custkey % 19 as int)",
     "is_repeat_customer": "o_custkey % 19 > 0",
 }
-ORDER_SUMS = ("quantity", "gross_sales", "discount_amount", "net_sales", "product_cost", "profit")
+ORDER_SUMS = ("quantity", *MONEY_FROM_CENTS.values())
 # in dependency order; `all_returned` says that every item of the order came back
 ORDER_DERIVED = {
     "return_status": "CASE WHEN all_returned THEN 'Returned' END",
@@ -101,8 +130,13 @@ RATING_COLUMNS = {
 }
 
 
-def _exprs(columns: dict[str, str]) -> list[Column]:
-    return [F.expr(sql).alias(name) for name, sql in columns.items()]
+def columns(spec: dict[str, str]) -> list[str]:
+    return [f"{sql} AS {name}" for name, sql in spec.items()]
+
+
+ITEM_MONEY = {name: from_cents(cents) for name, cents in MONEY_FROM_CENTS.items()}
+ORDER_MONEY = {name: from_cents(f"coalesce({cents}, 0)") for name, cents in MONEY_FROM_CENTS.items()}
+ORDER_MONEY = {"quantity": "cast(coalesce(items, 0) as bigint)", **ORDER_MONEY}
 
 
 class Star:
@@ -113,42 +147,40 @@ class Star:
         self.folder = folder.rstrip("/")
 
     def raw(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{table}.parquet")
+        return self.spark.read.schema(RAW[table]).parquet(f"{self.folder}/{table}.parquet")
 
     def customers(self) -> DataFrame:
         nations = self.raw("nation").join(self.raw("region"), F.col("n_regionkey") == F.col("r_regionkey"))
         joined = self.raw("customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
-        return joined.select(*_exprs(CUSTOMER_COLUMNS))
+        return joined.selectExpr(*columns(CUSTOMER_COLUMNS))
 
     def products(self) -> DataFrame:
-        return self.raw("part").select(*_exprs(PRODUCT_COLUMNS))
+        return self.raw("part").selectExpr(*columns(PRODUCT_COLUMNS))
 
     def items(self, *extra: str) -> DataFrame:
         """Order items; `extra` names source columns to keep, such as those of ITEM_ORDER."""
-        base = self.raw("lineitem").select(*_exprs(ITEM_COLUMNS), *extra)
-        return base.withColumns({name: F.expr(sql) for name, sql in ITEM_DERIVED.items()})
+        cents = self.raw("lineitem").selectExpr(*columns(ITEM_CENTS), *extra)
+        return cents.selectExpr("order_id", "product_id", "quantity", *columns(ITEM_MONEY), *extra)
 
     def orders(self, with_region: bool = False) -> DataFrame:
         """Orders with their item sums (0 without items). The region comes from a join, so it is optional."""
-        per_order = (
-            self.items("l_returnflag")
-            .groupBy("order_id")
-            .agg(
-                *[F.sum(c).alias(c) for c in ORDER_SUMS],
-                F.bool_and(F.col("l_returnflag") == "R").alias("all_returned"),
-            )
+        cents = self.raw("lineitem").selectExpr(*columns(ITEM_CENTS), "l_returnflag = 'R' AS returned")
+        per_order = cents.groupBy("order_id").agg(
+            F.expr("sum(quantity) AS items"),
+            *[F.expr(f"sum({c}) AS {c}") for c in MONEY_FROM_CENTS.values()],
+            F.expr("bool_and(returned) AS returned"),
+        )
+        base = self.raw("orders").selectExpr(*columns(ORDER_COLUMNS), "o_orderstatus")
+        orders = base.join(per_order, "order_id", "left").selectExpr(
+            *ORDER_COLUMNS,
+            *columns(ORDER_MONEY),
+            "o_orderstatus",
+            "coalesce(returned, false) AS all_returned",
         )
-        base = self.raw("orders").select(*_exprs(ORDER_COLUMNS), "o_orderstatus")
-        orders = base.join(per_order, "order_id", "left")
-        zero = {c: F.coalesce(F.col(c), F.lit(0)).cast("bigint" if c == "quantity" else _MONEY) for c in ORDER_SUMS}
-        orders = orders.withColumns({**zero, "all_returned": F.coalesce("all_returned", F.lit(False))})
-        for name, sql in ORDER_DERIVED.items():
-            orders = orders.withColumn(name, F.expr(sql))
-        orders = orders.drop("all_returned", "o_orderstatus")
+        orders = orders.selectExpr(*ORDER_COLUMNS, *ORDER_MONEY, *columns(ORDER_DERIVED))
         if with_region:
             orders = orders.join(self.customers().select("customer_id", "region"), "customer_id")
         return orders
 
     def ratings(self) -> DataFrame:
-        completed = self.orders().where("order_status = 'Completed'")
-        return completed.select(*_exprs(RATING_COLUMNS))
+        return self.orders().where("order_status = 'Completed'").selectExpr(*columns(RATING_COLUMNS))
