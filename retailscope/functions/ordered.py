@@ -20,7 +20,9 @@ SLICE = "_slice"
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the largest group. Counts combine map-side, so a hot key costs one row per task."""
+    """Rows of the largest group (of the whole table without keys). Counts combine map-side."""
+    if not keys:
+        return df.count()
     counts = df.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     return counts.agg(F.max("n").alias("n")).first()["n"] or 0
 
@@ -35,13 +37,14 @@ def running_totals(
 ) -> DataFrame:
     """`df` plus one running sum per entry of `totals`, in the order of `order_by` within `group_by`.
 
-    `order_by` must be unique within a group. With `include_current=False` a row's own value is
+    `order_by` must be unique within a group. Sizes are checked first, so pass a staged `df` when it
+    is costly to compute. With `include_current=False` a row's own value is
     left out (0 for the first row). Groups whose size is checked to fit a task use a plain window.
     """
     addends = {name: f"_add_{i}" for i, name in enumerate(totals)}
     base = df.select("*", *[expr.alias(addends[name]) for name, expr in totals.items()])
     kept = df.columns
-    if group_by and largest_group(df, group_by) <= group_rows_limit:
+    if largest_group(df, group_by) <= group_rows_limit:
         frame = _frame(Window.partitionBy(*group_by).orderBy(*order_by), include_current)
         sums = [_zero(F.sum(a).over(frame), base, a).alias(name) for name, a in addends.items()]
         return base.select(*kept, *sums)
@@ -97,9 +100,11 @@ def _carries(sliced: DataFrame, addends: list[str], group_by: list[str]) -> Data
     return summed
 
 
-def positions(df: DataFrame, order_by: Sequence[str], name: str = "position") -> DataFrame:
+def positions(
+    df: DataFrame, order_by: Sequence[str], name: str = "position", rows_limit: int = GROUP_ROWS_LIMIT
+) -> DataFrame:
     """`df` plus the 1-based global position in the order of `order_by` (which must be unique)."""
-    return running_totals(df, {name: F.lit(1).cast("bigint")}, order_by)
+    return running_totals(df, {name: F.lit(1).cast("bigint")}, order_by, group_rows_limit=rows_limit)
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
