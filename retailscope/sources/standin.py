@@ -33,6 +33,7 @@ RAW = {
     "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double,"
     " l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string,"
     " l_shipdate timestamp_ntz",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
     "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
     "embeddings": "vec_id bigint, embedding array<float>, label int",
     "labels": "doc_id bigint, quality int, toxic int",
