@@ -49,3 +49,126 @@ def days_between_orders(orders: DataFrame, **options) -> DataFrame:
         F.min("gap").alias("min_days"),
         F.max("gap").alias("max_days"),
     )
+
+
+def returned_flag() -> Column:
+    return (F.col("order_status") == "Returned").cast("int")
+
+
+def target_summary(orders: DataFrame) -> DataFrame:
+    """Orders, returns and the return rate."""
+    counts = orders.agg(rows().alias("orders"), F.coalesce(F.sum(returned_flag()), F.lit(0)).alias("returned"))
+    return counts.withColumn("return_rate", rounded_ratio(F.col("returned"), F.col("orders"), 6))
+
+
+def split_name(last_train_year: int) -> Column:
+    """Split by time: training up to and including the year, testing after it."""
+    return F.when(F.year("order_date") <= last_train_year, "train").otherwise("test")
+
+
+def split_summary(orders: DataFrame, last_train_year: int) -> DataFrame:
+    counts = orders.groupBy(split_name(last_train_year).alias("split")).agg(
+        rows().alias("orders"),
+        F.sum(returned_flag()).alias("returned"),
+        F.min("order_date").alias("first_date"),
+        F.max("order_date").alias("last_date"),
+    )
+    return counts.withColumn("return_rate", rounded_ratio(F.col("returned"), F.col("orders"), 6))
+
+
+def discount_exclusion(orders: DataFrame) -> DataFrame:
+    """Why no discount feature is built: how discounts and returns co-occur."""
+    off, back = F.col("discount_amount") > 0, F.col("order_status") == "Returned"
+    return orders.agg(
+        count_where(off).alias("discounted_orders"),
+        count_where(off & back).alias("discounted_returns"),
+        count_where(back).alias("returns"),
+        count_where(back & ~off).alias("returns_without_discount"),
+        count_where(F.col("gross_sales") <= 0).alias("orders_without_gross"),
+    )
+
+
+def shipping_ratio() -> Column:
+    """Shipping cost per gross dollar; NULL without gross sales."""
+    return F.col("shipping_cost").cast("double") / F.nullif(F.col("gross_sales").cast("double"), F.lit(0.0))
+
+
+def primary_category(items: DataFrame, products: DataFrame, item_order: list[str] | tuple[str, ...]) -> DataFrame:
+    """Category of the order's item with most revenue, the earlier item on ties.
+
+    One candidate per order survives each partial aggregation; only the winners meet the products.
+    """
+    best = items.groupBy("order_id").agg(
+        F.min_by("product_id", F.struct((-F.col("net_sales")).alias("less"), *item_order)).alias("product_id")
+    )
+    named = products.select("product_id", F.col("product_category").alias("primary_category"))
+    return best.join(named, "product_id").select("order_id", "primary_category")
+
+
+def stored_history_check(orders: DataFrame) -> DataFrame:
+    """Stored per-customer aggregates against the order rows: are they constant, and do they agree?"""
+    per_customer = orders.groupBy("customer_id").agg(
+        rows().alias("actual"),
+        F.min("customer_order_count").alias("low"),
+        F.max("customer_order_count").alias("high"),
+        F.max(F.col("is_repeat_customer").cast("int")).alias("flag"),
+    )
+    return per_customer.agg(
+        rows().alias("customers"),
+        count_where(F.col("low") == F.col("high")).alias("constant_counts"),
+        count_where(F.col("high") != F.col("actual")).alias("disagreeing_counts"),
+        count_where((F.col("flag") == 1) != (F.col("actual") > 1)).alias("disagreeing_flags"),
+    )
+
+
+def feature_table(
+    orders: DataFrame,
+    items: DataFrame,
+    products: DataFrame,
+    customers: DataFrame,
+    item_order: list[str] | tuple[str, ...],
+    last_train_year: int,
+    **options,
+) -> DataFrame:
+    """order_id, the model features, target and split. History covers every order; rows without
+    gross sales or items have no ratio or category and are left out (see `feature_rejects`)."""
+    raw = _feature_rows(orders, items, products, customers, item_order, last_train_year, options)
+    return raw.where("shipping_ratio is not null and primary_category is not null")
+
+
+def feature_rejects(orders: DataFrame, items: DataFrame) -> DataFrame:
+    """Orders that cannot be a training row, with the reason."""
+    has_items = items.select("order_id").distinct().withColumn("found", F.lit(True))
+    reason = F.when(F.col("found").isNull(), "no items").when(F.col("gross_sales") <= 0, "no gross sales")
+    joined = orders.select("order_id", "gross_sales").join(has_items, "order_id", "left")
+    return joined.select("order_id", reason.alias("reason")).where("reason is not null")
+
+
+def _feature_rows(orders, items, products, customers, item_order, last_train_year, options) -> DataFrame:
+    narrow = orders.select(
+        "order_id",
+        "customer_id",
+        "order_date",
+        "net_sales",
+        shipping_ratio().alias("shipping_ratio"),
+        "sales_channel",
+        "payment_method",
+        "shipping_method",
+        "region",
+        returned_flag().alias("target"),
+        split_name(last_train_year).alias("split"),
+    )
+    history = order_history(narrow, **options)
+    joined = history.join(customers.select("customer_id", "customer_segment"), "customer_id").join(
+        primary_category(items, products, item_order), "order_id", "left"
+    )
+    return joined.select(
+        "order_id",
+        "shipping_ratio",
+        *CATEGORICAL,
+        F.col("prior_orders").alias("customer_prior_order_count"),
+        F.col("prior_revenue").cast("double").alias("customer_prior_revenue"),
+        (F.col("prior_orders") > 0).cast("int").alias("is_repeat_customer_asof"),
+        "target",
+        "split",
+    )

@@ -36,7 +36,6 @@ add(
         " WHEN 'order_items' THEN 8 ELSE 4 END as int) AS columns FROM n"
     ),
 )
-add("e1_column_types", lambda s: profile.column_types(tables(s)))
 
 
 def describe_sql(columns, source="s_orders") -> str:
