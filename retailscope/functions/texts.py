@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # What counts as white space around a text, and what ends a line besides \n.
-SPACE = r"\s\u001c-\u001f\u0085   -     　"
-LINE_ENDS = r"\r\n|[\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
+SPACE = r"\s\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LINE_ENDS = r"\r\n|[\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029]"
 EXCERPT = 200
 INSUFFICIENT = "INSUFFICIENT DATA"
 
@@ -39,12 +39,3 @@ def excerpt(text: Column, length: int = EXCERPT) -> Column:
 def says_insufficient(reply: Column) -> Column:
     return F.upper(stripped(reply)).startswith(INSUFFICIENT)
 
-
-def parsed_money(text: Column) -> Column:
-    """`$1,234.56` as a decimal."""
-    return F.regexp_replace(text, "[$,]", "").cast("decimal(20,2)")
-
-
-def parsed_percent(text: Column) -> Column:
-    """`6.85%` as a decimal."""
-    return F.regexp_replace(text, "%", "").cast("decimal(10,4)")
