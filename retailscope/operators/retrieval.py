@@ -196,17 +196,20 @@ PROMPT = (
 )
 
 
-def prompts(queries: DataFrame, hits: DataFrame, chunks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The grounded prompt of every question that passes the guard (query_id, question needed)."""
+def contexts(hits: DataFrame, chunks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The kept sections of a question as one numbered text, best first; at most k sections each."""
     shown = chunks.select("chunk_id", "doc_title", "section_title", "chunk_text")
     kept = kept_hits(hits, threshold).join(shown, "chunk_id")
-    # at most k sections per question
     cells = F.array_sort(F.collect_list(F.struct("rank", "doc_title", "section_title", "chunk_text")))
     block = F.transform(
         cells, lambda c: F.format_string("[%d] %s > %s\n%s", c["rank"], c["doc_title"], c["section_title"], c["chunk_text"])
     )
-    context = kept.groupBy("query_id").agg(F.array_join(block, "\n\n").alias("context"))
-    joined = queries.select("query_id", "question").join(context, "query_id")
+    return kept.groupBy("query_id").agg(F.array_join(block, "\n\n").alias("context"))
+
+
+def prompts(queries: DataFrame, hits: DataFrame, chunks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The grounded prompt of every question that passes the guard (query_id, question needed)."""
+    joined = queries.select("query_id", "question").join(contexts(hits, chunks, threshold), "query_id")
     return joined.select("query_id", F.format_string(PROMPT, F.col("context"), F.col("question")).alias("prompt"))
 
 

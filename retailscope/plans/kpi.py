@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from retailscope.functions import bands
-from retailscope.operators import features, kpi, sales
+from retailscope.operators import baskets, features, kpi, sales
 from retailscope.plans.checks import dollars, mean, pct, ratio, star
 from retailscope.plans.registry import add
 from retailscope.schemas import PAID_CHANNELS, RETURN_REASONS, SOCIAL_CHANNELS
@@ -434,6 +434,17 @@ add(
 )
 add("k44_rating_by_channel", lambda s: kpi.rating_by(sales.rated_orders(s.ratings(), s.orders()), "sales_channel"), rating_sql("sales_channel", "sales_channel", JOINED))
 add("k44_rating_by_region", lambda s: kpi.rating_by(sales.rated_orders(s.ratings(), s.orders(True)), "region"), rating_sql("region", "region", JOINED))
+add(
+    "z1_cross_sell_pairs",
+    lambda s: baskets.cross_sell_pairs(s.items(), s.orders()),
+    star(
+        f"""
+, l AS (SELECT DISTINCT order_id, product_id FROM s_items), o AS (SELECT count(*) AS n FROM s_orders),
+p AS (SELECT a.product_id AS product_a, b.product_id AS product_b, count(*) AS orders_together FROM l a JOIN l b ON a.order_id = b.order_id
+  AND a.product_id < b.product_id GROUP BY 1, 2 HAVING count(*) >= 2)
+SELECT p.*, {pct('orders_together', 'n', 4)} AS support_pct FROM p, o ORDER BY orders_together DESC, product_a, product_b LIMIT 20"""
+    ),
+)
 add(
     "z2_first_and_repeat_orders",
     lambda s: kpi.first_and_repeat_orders(features.order_history(s.orders())),

@@ -505,15 +505,6 @@ add(
     lambda s: s.orders().select("order_id", F.col("warehouse").rlike(r"^WH-\d{3}$").alias("valid"), F.col("warehouse").rlike(r"^WH-00\d$").alias("single")),
     star(r"SELECT order_id, regexp_matches(warehouse, '^WH-\d{3}$') AS valid, regexp_matches(warehouse, '^WH-00\d$') AS single FROM s_orders"),
 )
-add(
-    "x16_numbered_context",
-    lambda s: s.raw("conversations")
-    .groupBy("conv_id")
-    .agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("cells"))
-    .select("conv_id", F.array_join(F.transform("cells", lambda c: F.concat(F.lit("["), (c["turn"] + 1).cast("string"), F.lit("] "), c["role"])), "\n").alias("context")),
-    "SELECT conv_id, string_agg('[' || (turn + 1) || '] ' || role, chr(10) ORDER BY turn, role) AS context FROM conversations GROUP BY 1",
-)
-
 # --- sources and sinks ----------------------------------------------------------------------------
 
 

@@ -126,6 +126,13 @@ add(
     + r""" SELECT query_id, rank AS n, chunk_id, source AS doc_title, lang AS section_title, 'doc-' || doc_id || '.md' AS source_file, similarity,
   regexp_replace(text[1:200], '\s+$', '') || CASE WHEN length(text) > 200 THEN '…' ELSE '' END AS excerpt FROM h JOIN documents ON doc_id = chunk_id WHERE similarity >= 0""",
 )
+add(
+    "x16_numbered_context",
+    lambda s: retrieval.contexts(hits(s), stored_chunks(s), 0.0).select("query_id", F.md5("context").alias("context_md5")),
+    HITS
+    + """ SELECT query_id, md5(string_agg('[' || rank || '] ' || source || ' > ' || lang || chr(10) || text, chr(10) || chr(10) ORDER BY rank)) AS context_md5
+FROM h JOIN documents ON doc_id = chunk_id GROUP BY 1""",
+)
 add("r9_prompts", lambda s: retrieval.prompts(label_queries(s), hits(s), stored_chunks(s), 0.0))
 
 
