@@ -157,9 +157,13 @@ NO_FACTORS = (
 
 def four_digits(value: Column) -> Column:
     """Four significant digits without trailing zeros; exponent form outside 1e-4 .. 1e4."""
-    scientific = F.format_string("%.3e", value)
+    size = F.split(F.format_string("%.12e", value), "e")[1].cast("int")
+    ten = F.lit(10.0)
+    digits = F.rint(F.when(size > 3, value / F.pow(ten, size - 3)).otherwise(value * F.pow(ten, 3 - size)))  # half-even
+    rounded = F.when(size > 3, digits * F.pow(ten, size - 3)).otherwise(digits / F.pow(ten, 3 - size))
+    scientific = F.format_string("%.3e", rounded)
     power = F.split(scientific, "e")[1].cast("int")
-    fixed = F.regexp_replace(scientific.cast("decimal(20,8)").cast("string"), r"\.?0+$", "")
+    fixed = F.regexp_replace(rounded.cast("decimal(20,8)").cast("string"), r"\.?0+$", "")
     return F.when((power < -4) | (power >= 4), F.regexp_replace(scientific, r"\.?0+e", "e")).otherwise(fixed)
 
 
