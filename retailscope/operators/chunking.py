@@ -19,23 +19,22 @@ def chunk_documents(documents: DataFrame) -> DataFrame:
     sections are dropped but still count in the index. A narrow transformation: no shuffle, and a
     document is never taken apart into line rows.
     """
-    lines = normal_lines(F.col("text"))
-    titled = lines.startswith("# ")
-    heading = F.regexp_extract(lines, r"^# ([^\n]*)", 1)
+    kept = [c for c in documents.columns if c != "text"]
+    # one step per projection, so that no text is normalised or cut twice
+    normal = documents.select(*kept, normal_lines(F.col("text")).alias("lines"))
+    titled = F.col("lines").startswith("# ")
+    heading = F.regexp_extract("lines", r"^# ([^\n]*)", 1)
     stem = F.regexp_replace("source_file", r"\.[^.]*$", "")
-    body = F.when(titled, F.regexp_replace(lines, r"^# [^\n]*\n?", "")).otherwise(lines)
-    base = documents.select(
-        *[c for c in documents.columns if c != "text"],
+    base = normal.select(
+        *kept,
         F.when(titled, stripped(heading)).otherwise(stem).alias("doc_title"),
-        F.split(body, r"(?<![^\n])## ").alias("parts"),
-    )
-    sections = base.select(
-        *[c for c in documents.columns if c != "text"], "doc_title", F.posexplode("parts").alias("section_index", "part")
+        F.when(titled, F.regexp_replace("lines", r"^# [^\n]*\n?", "")).otherwise(F.col("lines")).alias("body"),
     )
+    parts = F.posexplode(F.split("body", r"(?<![^\n])## ")).alias("section_index", "part")
+    sections = base.select(*kept, "doc_title", parts)
     first = F.col("section_index") == 0
     title = F.when(first, PREAMBLE).otherwise(stripped(F.regexp_extract("part", r"^[^\n]*", 0)))
     text = F.when(first, F.col("part")).otherwise(F.regexp_replace("part", r"^[^\n]*\n?", ""))
-    kept = [c for c in documents.columns if c != "text"]
     chunks = sections.select(*kept, "doc_title", title.alias("section_title"), "section_index", stripped(text).alias("chunk_text"))
     return chunks.where(F.length("chunk_text") > 0)
 
