@@ -34,17 +34,18 @@ def running_totals(
     group_by: Sequence[str] = (),
     include_current: bool = True,
     group_rows_limit: int = GROUP_ROWS_LIMIT,
+    largest: int | None = None,
 ) -> DataFrame:
     """`df` plus one running sum per entry of `totals`, in the order of `order_by` within `group_by`.
 
     `order_by` must be unique within a group. Sizes are checked first, so pass a staged `df` when it
-    is costly to compute. With `include_current=False` a row's own value is
+    is costly to compute, or the size of the `largest` group when that is known. With `include_current=False` a row's own value is
     left out (0 for the first row). Groups whose size is checked to fit a task use a plain window.
     """
     addends = {name: f"_add_{i}" for i, name in enumerate(totals)}
     base = df.select("*", *[expr.alias(addends[name]) for name, expr in totals.items()])
     kept = df.columns
-    if largest_group(df, group_by) <= group_rows_limit:
+    if (largest_group(df, group_by) if largest is None else largest) <= group_rows_limit:
         frame = _frame(Window.partitionBy(*group_by).orderBy(*order_by), include_current)
         sums = [_zero(F.sum(a).over(frame), base, a).alias(name) for name, a in addends.items()]
         return base.select(*kept, *sums)

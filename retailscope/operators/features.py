@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retailscope.functions.numeric import count_where, rounded_ratio, rows
-from retailscope.functions.ordered import running_totals
+from retailscope.functions.ordered import largest_group, running_totals
 
 # The model features in their order.
 NUMERIC = ["shipping_ratio", "customer_prior_order_count", "customer_prior_revenue"]
@@ -158,10 +158,11 @@ def _feature_rows(orders, items, products, customers, item_order, last_train_yea
         returned_flag().alias("target"),
         split_name(last_train_year).alias("split"),
     )
-    history = order_history(narrow, **options)
-    joined = history.join(customers.select("customer_id", "customer_segment"), "customer_id").join(
-        primary_category(items, products, item_order), "order_id", "left"
-    )
+    # everything keyed by order first, then everything keyed by customer: the wide rows move once
+    by_order = narrow.join(primary_category(items, products, item_order), "order_id", "left")
+    largest = largest_group(orders, ["customer_id"])
+    history = order_history(by_order, largest=largest, **options)
+    joined = history.join(customers.select("customer_id", "customer_segment"), "customer_id")
     return joined.select(
         "order_id",
         "shipping_ratio",

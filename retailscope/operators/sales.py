@@ -176,11 +176,13 @@ def return_rate(orders: DataFrame, date_from: Date = None, date_to: Date = None)
 def order_categories(items: DataFrame, products: DataFrame, orders: DataFrame) -> DataFrame:
     """One row per (order, category) with the order's columns.
 
-    The order join is last, so the rows are already hashed by order and the distinct needs no shuffle.
+    The categories of an order are a set, bounded by the catalog's categories and combined map-side:
+    an order with very many items shuffles as one short row. The set is hashed by order like the
+    orders are, so the join needs no further shuffle of items.
     """
-    categories = items.select("order_id", "product_id").join(products.select("product_id", "product_category"), "product_id")
-    pairs = categories.select("order_id", "product_category").join(orders, "order_id")
-    return pairs.dropDuplicates(["order_id", "product_category"])
+    named = items.select("order_id", "product_id").join(products.select("product_id", "product_category"), "product_id")
+    sets = named.groupBy("order_id").agg(F.collect_set("product_category").alias("categories"))
+    return sets.join(orders, "order_id").select(*orders.columns, F.explode("categories").alias("product_category"))
 
 
 def return_rate_by_category(

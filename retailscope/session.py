@@ -43,14 +43,29 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_STAGED: list[str] = []
+
+
 def staged(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write `df` to the shared folder and read it back: cuts lineage and survives executor loss."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(spark: SparkSession) -> int:
+    """Delete what `staged` wrote in this process, once no result that reads it is needed any more."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    configuration = spark.sparkContext._jsc.hadoopConfiguration()
+    dropped = 0
+    while _STAGED:
+        path = hadoop.Path(_STAGED.pop())
+        dropped += bool(path.getFileSystem(configuration).delete(path, True))
+    return dropped
+
+
 def slice_count(spark: SparkSession) -> int:
     """Range slices for the ordered operators: the session's shuffle width."""
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
