@@ -44,7 +44,11 @@ def checked(**values: str | None) -> dict[str, str | None]:
 
 
 def top(df: DataFrame, by: str, key: str | Sequence[str], n: int) -> DataFrame:
-    """First `n` rows by `by` descending; equal values are ordered by the key, so the cut is stable."""
+    """First `n` rows by `by` descending; equal values are ordered by the key, so the cut is stable.
+
+    Compute columns before this and at most drop some after it: a computing projection on top of a
+    limit moves below it, and the bounded top-n then becomes a sort of everything.
+    """
     keys = [key] if isinstance(key, str) else list(key)
     return df.orderBy(F.desc_nulls_last(by), *keys).limit(n)
 

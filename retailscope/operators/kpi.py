@@ -1,14 +1,14 @@
-"""KPI breakdowns by report dimension.
+"""KPI breakdowns by report dimension: partial aggregation over the facts, then shares of the total.
 
-A report dimension has few values; totals over the finished report rows use a window. Everything
-before that is a partial aggregation over the facts.
+Totals are scalar subqueries over the same grouped table. Spark runs its shuffle once and reuses it,
+and no window has to bring every group into one task, however many values a dimension has.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retailscope.functions.bands import AGE_BANDS, DELAY_BANDS, DELIVERY_DAY_BANDS, RATING_BANDS, band
@@ -29,17 +29,19 @@ from retailscope.operators.sales import RETURNED, mean_rating
 from retailscope.schemas import PAID_CHANNELS, RETURN_REASONS, SOCIAL_CHANNELS
 from retailscope.session import staged
 
-def report() -> WindowSpec:
-    """All rows of a finished report."""
-    return Window.partitionBy()
+def with_totals(grouped: DataFrame, *columns: str) -> DataFrame:
+    """`grouped` plus `_total`, the sums of the columns over all its rows."""
+    total = grouped.agg(F.struct(*[F.sum(c).alias(c) for c in columns])).scalar()
+    return grouped.withColumn("_total", total)
 
 
 def share(part: str, name: str) -> Column:
-    return percent(F.col(part), F.sum(part).over(report())).alias(name)
+    """Percentage of the `with_totals` sum."""
+    return percent(F.col(part), F.col(f"_total.{part}")).alias(name)
 
 
 def money_share(part: str, name: str) -> Column:
-    return money_percent(F.col(part), F.sum(part).over(report())).alias(name)
+    return money_percent(F.col(part), F.col(f"_total.{part}")).alias(name)
 
 
 def order_sums() -> list[Column]:
@@ -74,7 +76,7 @@ def kpi_by(orders: DataFrame, *dims: str | Column, extra: Mapping[str, tuple[Seq
     sums = order_sums() + [a for aggregates, _ in measures.values() for a in aggregates]
     grouped = orders.groupBy(*dims).agg(*sums)
     names = grouped.columns[: len(dims)]
-    return grouped.select(*names, *kpi_columns(), *[value.alias(name) for name, (_, value) in measures.items()])
+    return with_totals(grouped, "orders", "net").select(*names, *kpi_columns(), *[value.alias(name) for name, (_, value) in measures.items()])
 
 
 def decimal_mean(column: str, name: str) -> tuple[list[Column], Column]:
@@ -173,8 +175,8 @@ def best_and_worst_month(orders: DataFrame) -> DataFrame:
 def delivery_table(orders: DataFrame) -> DataFrame:
     """Delivery outcomes with mean days, and shares among the delivered orders."""
     table = kpi_by(orders, "delivery_status", extra={"avg_delivery_days": decimal_mean("delivery_days", "days")})
-    delivered = F.when(F.col("delivery_status") != "Cancelled", F.col("orders"))
-    return table.withColumn("delivered_share_pct", percent(delivered, F.sum(delivered).over(report())))
+    delivered = table.withColumn("delivered", F.when(F.col("delivery_status") != "Cancelled", F.col("orders")))
+    return with_totals(delivered, "delivered").select(*table.columns, share("delivered", "delivered_share_pct"))
 
 
 def shipping_table(orders: DataFrame) -> DataFrame:
@@ -214,7 +216,7 @@ def customer_base(customers: DataFrame) -> DataFrame:
 
 def customers_by(customers: DataFrame, dim: str) -> DataFrame:
     counts = customers.groupBy(dim).agg(rows().alias("customers"))
-    return counts.select(dim, "customers", share("customers", "share_pct"))
+    return with_totals(counts, "customers").select(dim, "customers", share("customers", "share_pct"))
 
 
 def customer_totals(orders: DataFrame) -> DataFrame:
@@ -271,7 +273,9 @@ def customer_kpi(orders: DataFrame, customers: DataFrame, dim: str | Column) ->
         F.count("orders").alias("active_customers"),
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("orders", "net", "gain", "returned_orders")],
     )
-    return sums.select(name, "customers", "active_customers", share("customers", "customer_share_pct"), *kpi_columns())
+    return with_totals(sums, "customers", "orders", "net").select(
+        name, "customers", "active_customers", share("customers", "customer_share_pct"), *kpi_columns()
+    )
 
 
 def age_band() -> Column:
@@ -338,12 +342,12 @@ def category_rank(products: DataFrame, items: DataFrame) -> DataFrame:
     )
     ranked = Window.orderBy(F.desc("net"), "product_category")  # one row per category
     upto = F.sum("net").over(ranked.rowsBetween(Window.unboundedPreceding, 0))
-    return sums.select(
+    return with_totals(sums, "net").select(
         F.row_number().over(ranked).alias("rank"),
         "product_category",
         money(F.col("net")).alias("revenue"),
         money_share("net", "share_pct"),
-        money_percent(upto, F.sum("net").over(report())).alias("cumulative_share_pct"),
+        money_percent(upto, F.col("_total.net")).alias("cumulative_share_pct"),
         money(F.col("gain")).alias("profit"),
         money_percent(F.col("gain"), F.col("net")).alias("margin_pct"),
     )
@@ -366,21 +370,18 @@ def top_product_shares(products: DataFrame, items: DataFrame, limit: int = 10, b
     totals = sales.product_totals(items)
     company = items.agg(F.sum("net_sales")).scalar()
     named = products.select("product_id", "product_name", "product_category", "brand").join(totals, "product_id")
-    order = Window.orderBy(F.desc(by), "product_id")  # over `limit` rows
-    return (
-        sales.top(named, by, "product_id", limit)
-        .withColumn("company", company)
-        .select(
-            F.row_number().over(order).alias("rank"),
-            "product_id",
-            "product_name",
-            "product_category",
-            "brand",
-            F.col("units").alias("units_sold"),
-            money(F.col("revenue")).alias("revenue"),
-            money_percent(F.col("revenue"), F.col("company"), 4).alias("share_pct"),
-        )
+    shown = named.withColumn("company", company).select(
+        "product_id",
+        "product_name",
+        "product_category",
+        "brand",
+        F.col("units").alias("units_sold"),
+        money(F.col("revenue")).alias("revenue"),
+        money_percent(F.col("revenue"), F.col("company"), 4).alias("share_pct"),
+        F.col(by).alias("_by"),
     )
+    place = F.row_number().over(Window.orderBy(F.desc("_by"), "product_id"))  # over `limit` rows
+    return sales.top(shown, "_by", "product_id", limit).withColumn("rank", place).drop("_by")
 
 
 def top_brands(products: DataFrame, items: DataFrame, limit: int = 5) -> DataFrame:
@@ -390,7 +391,7 @@ def top_brands(products: DataFrame, items: DataFrame, limit: int = 5) -> DataFra
         .groupBy("brand")
         .agg(F.sum("revenue").alias("net"), F.sum("units").alias("units_sold"))
     )
-    shared = sums.select("brand", money(F.col("net")).alias("revenue"), "units_sold", money_share("net", "share_pct"))
+    shared = with_totals(sums, "net").select("brand", money(F.col("net")).alias("revenue"), "units_sold", money_share("net", "share_pct"))
     return sales.top(shared, "revenue", "brand", limit)
 
 
@@ -399,13 +400,13 @@ def return_reasons(orders: DataFrame) -> DataFrame:
     group = F.create_map(*[F.lit(v) for pair in RETURN_REASONS.items() for v in pair])
     counts = orders.where(F.expr(RETURNED)).groupBy("return_reason").agg(rows().alias("orders"))
     grouped = counts.withColumn("reason_group", group[F.col("return_reason")])
-    of_group = F.sum("orders").over(Window.partitionBy("reason_group"))
-    return grouped.select(
+    of_group = F.sum("orders").over(Window.partitionBy("reason_group"))  # one row per reason
+    return with_totals(grouped, "orders").select(
         "return_reason",
         "orders",
         share("orders", "share_pct"),
         "reason_group",
-        percent(of_group, F.sum("orders").over(report())).alias("group_share_pct"),
+        percent(of_group, F.col("_total.orders")).alias("group_share_pct"),
     )
 
 
@@ -522,10 +523,10 @@ def fulfilment(orders: DataFrame, dim: str) -> DataFrame:
 
 def return_rate_vs_company(orders: DataFrame, dim: str) -> DataFrame:
     counts = orders.groupBy(dim).agg(rows().alias("orders"), count_where(F.expr(RETURNED)).alias("returned_orders"))
-    return counts.select(
+    return with_totals(counts, "returned_orders", "orders").select(
         dim,
         percent(F.col("returned_orders"), F.col("orders")).alias("return_rate_pct"),
-        percent(F.sum("returned_orders").over(report()), F.sum("orders").over(report())).alias("company_rate_pct"),
+        percent(F.col("_total.returned_orders"), F.col("_total.orders")).alias("company_rate_pct"),
     )
 
 
@@ -591,7 +592,7 @@ def rating_by(rated: DataFrame, dim: str | Column, extra: Mapping[str, tuple] |
         F.sum("rating").alias("total"),
         *[a for aggregates, _ in measures.values() for a in aggregates],
     )
-    return grouped.select(
+    return with_totals(grouped, "rated_orders").select(
         grouped.columns[0],
         "rated_orders",
         share("rated_orders", "share_pct"),

@@ -39,7 +39,7 @@ def top_customers(
         F.count("order_id").alias("order_count"), F.sum("net_sales").alias("revenue")
     )
     named = kept.select("customer_id", "customer_name", "customer_segment", "region").join(per_customer, "customer_id")
-    return top(named, "revenue", "customer_id", limit).select(
+    shown = named.select(
         "customer_id",
         "customer_name",
         "customer_segment",
@@ -47,7 +47,9 @@ def top_customers(
         "order_count",
         money(F.col("revenue")).alias("total_revenue"),
         money_mean(F.col("revenue"), F.col("order_count")).alias("avg_order_value"),
+        "revenue",
     )
+    return top(shown, "revenue", "customer_id", limit).drop("revenue")
 
 
 def items_in_range(items: DataFrame, orders: DataFrame | None, date_from: Date, date_to: Date) -> DataFrame:
@@ -78,13 +80,15 @@ def top_products(
     totals = product_totals(items_in_range(items, orders, date_from, date_to))
     kept = apply_filters(products, product_category=product_category)
     named = kept.join(totals, "product_id")
-    return top(named, by, "product_id", limit).select(
+    shown = named.select(
         "product_id",
         "product_name",
         "product_category",
         F.col("units").alias("units_sold"),
         money(F.col("revenue")).alias("total_revenue"),
+        F.col(by).alias("_by"),
     )
+    return top(shown, "_by", "product_id", limit).drop("_by")
 
 
 def category_margin(

@@ -241,7 +241,9 @@ add(
 )
 add(
     "g16_share_of_total",
-    lambda s: s.orders().groupBy("payment_method").agg(rows().alias("orders")).select("payment_method", kpi.share("orders", "share_pct")),
+    lambda s: kpi.with_totals(s.orders().groupBy("payment_method").agg(rows().alias("orders")), "orders").select(
+        "payment_method", kpi.share("orders", "share_pct")
+    ),
     star(f", g AS (SELECT payment_method, count(*) AS n FROM s_orders GROUP BY 1) SELECT payment_method, {pct('n', 'sum(n) OVER ()')} AS share_pct FROM g"),
 )
 

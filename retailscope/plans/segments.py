@@ -52,7 +52,7 @@ add(
 def rfm_table(s):
     summary = segments.segment_summary(segments.rfm_segments(segments.rfm_scores(s.orders())))
     revenue = F.col("total_monetary").cast("decimal(20,2)")
-    return summary.withColumn("_r", revenue).select(
+    return kpi.with_totals(summary.withColumn("_r", revenue), "customer_count", "_r").select(
         "segment",
         "customer_count",
         kpi.share("customer_count", "customer_share_pct"),
