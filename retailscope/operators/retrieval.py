@@ -22,6 +22,7 @@ QUESTION_LENGTH = (3, 500)
 # both sides are cut into blocks that meet through a shuffle.
 SHIPPED_QUESTIONS = 2_000
 BLOCK_ROWS = 4_096
+PRODUCT_CELLS = 4_000_000  # of one matrix product in a task
 
 # Instruction in front of an embedded question, the guard's answer, and the fallback.
 QUERY_INSTRUCTION = "Instruct: Given a web search query, retrieve relevant passages that answer the query\nQuery: "
@@ -59,16 +60,16 @@ def _matrix(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
 def _best(query_ids: np.ndarray, queries: np.ndarray, chunk_ids: np.ndarray, chunks: np.ndarray, k: int) -> pd.DataFrame:
     """The k most similar chunks of one block for each question; equal similarity goes by chunk id."""
     similarity = np.round(queries @ chunks.T, 12)
-    out = []
-    for row, query_id in zip(similarity, query_ids, strict=True):
-        if len(row) > k:
-            cut = np.partition(row, len(row) - k)[len(row) - k]
-            candidates = np.flatnonzero(row >= cut)
-        else:
-            candidates = np.arange(len(row))
-        order = candidates[np.lexsort((chunk_ids[candidates], -row[candidates]))][:k]
-        out.append(pd.DataFrame({"query_id": query_id, "chunk_id": chunk_ids[order], "similarity": row[order]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "chunk_id": [], "similarity": []})
+    if similarity.shape[1] > k:
+        cut = np.partition(similarity, -k, axis=1)[:, -k]
+        q, c = np.nonzero(similarity >= cut[:, None])  # ties with the k-th included
+    else:
+        q, c = np.indices(similarity.shape).reshape(2, -1)
+    order = np.lexsort((chunk_ids[c], -similarity[q, c], q))
+    q, c = q[order], c[order]
+    place = np.arange(len(q)) - np.searchsorted(q, q)
+    q, c = q[place < k], c[place < k]
+    return pd.DataFrame({"query_id": query_ids[q], "chunk_id": chunk_ids[c], "similarity": similarity[q, c]})
 
 
 def top_k_similar(
@@ -106,15 +107,16 @@ def _shipped(questions: pd.DataFrame, passages: DataFrame, k: int) -> DataFrame:
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         query_ids, vectors = held.value
+        step = max(1, PRODUCT_CELLS // max(1, len(query_ids)))
         kept: pd.DataFrame | None = None
         for batch in batches:
-            if batch.empty:
-                continue
-            matrix, good = _matrix(batch["embedding"])
-            found = _best(query_ids, vectors, batch["chunk_id"].to_numpy()[good], matrix, k)
-            together = found if kept is None else pd.concat([kept, found])
-            together = together.sort_values(["query_id", "similarity", "chunk_id"], ascending=[True, False, True])
-            kept = together.groupby("query_id", sort=False).head(k)
+            for start in range(0, len(batch), step):
+                part = batch.iloc[start : start + step]
+                matrix, good = _matrix(part["embedding"])
+                found = _best(query_ids, vectors, part["chunk_id"].to_numpy()[good], matrix, k)
+                together = found if kept is None else pd.concat([kept, found])
+                together = together.sort_values(["query_id", "similarity", "chunk_id"], ascending=[True, False, True])
+                kept = together.groupby("query_id", sort=False).head(k)
         if kept is not None:
             yield kept
 
@@ -276,8 +278,8 @@ def approximate_top_k(
     queries: DataFrame,
     chunks: DataFrame,
     k: int = TOP_K,
-    bucket_length: float = 1.0,
-    hash_tables: int = 4,
+    bucket_length: float = 0.5,
+    hash_tables: int = 8,
     max_distance: float = 1.5,
     seed: int = 42,
 ) -> DataFrame:

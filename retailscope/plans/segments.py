@@ -203,3 +203,26 @@ def segment_stats(s):
 
 add("p7_segments_narrative", lambda s: reports.segments_narrative(segment_stats(s)).select("summary", F.explode("key_insights").alias("insight")))
 add("p8_segments_prompt", lambda s: reports.segments_prompt(segment_stats(s)))
+
+
+def replies(s):
+    """One reply per conversation turn: assistants answer in JSON, users in plain text."""
+    turns = s.raw("conversations").withColumn("report", F.concat_ws("-", "conv_id", "turn", "role"))
+    told = F.to_json(F.struct(F.col("text").alias("summary"), F.array("role").alias("key_insights"), F.array(F.lit("act")).alias("recommendations")))
+    return turns.select("report", F.when(F.col("role") == "assistant", F.concat(F.lit("Here you are:\n"), told, F.lit("\nDone."))).otherwise(F.col("text")).alias("reply"))
+
+
+def fallbacks(s):
+    insight, advice = F.array(F.lit("none")).alias("key_insights"), F.array(F.lit("wait")).alias("recommendations")
+    return replies(s).select("report", F.lit("deterministic").alias("summary"), insight, advice).distinct()
+
+
+add(
+    "p9_parsed_replies",
+    lambda s: reports.parsed_replies(replies(s).distinct(), fallbacks(s)).select(
+        "report", F.md5("summary").alias("summary_md5"), F.col("key_insights")[0].alias("insight"), "generated_by"
+    ),
+    """SELECT DISTINCT concat_ws('-', conv_id, turn, role) AS report, md5(CASE WHEN role = 'assistant' THEN text ELSE 'deterministic' END) AS summary_md5,
+  CASE WHEN role = 'assistant' THEN role ELSE 'none' END AS insight, CASE WHEN role = 'assistant' THEN 'model' ELSE 'deterministic_fallback' END AS generated_by
+FROM conversations""",
+)

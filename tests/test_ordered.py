@@ -78,3 +78,14 @@ def test_quantiles_skip_missing_values_and_split_by_key(spark):
     df = spark.sql("SELECT * FROM VALUES ('a', 1.0D), ('a', cast('NaN' as double)), ('a', NULL), ('a', 3.0D), ('b', 7.0D), ('c', NULL) AS t(k, x)")
     got = {r["k"]: r["quantile"] for r in quantiles(df, ["x"], [0.5], by=["k"]).collect()}
     assert got == {"a": 2.0, "b": 7.0}
+
+
+def test_staged_tables_can_be_dropped(spark):
+    from retailscope import session
+
+    kept = list(session._STAGED)
+    session._STAGED.clear()
+    table = session.staged(spark.range(5).toDF("k"), "drop-test")
+    assert table.count() == 5
+    assert session.drop_staged(spark) == 1 and session._STAGED == []
+    session._STAGED.extend(kept)
