@@ -133,7 +133,15 @@ add(
     + """ SELECT query_id, md5(string_agg('[' || rank || '] ' || source || ' > ' || lang || chr(10) || text, chr(10) || chr(10) ORDER BY rank)) AS context_md5
 FROM h JOIN documents ON doc_id = chunk_id GROUP BY 1""",
 )
-add("r9_prompts", lambda s: retrieval.prompts(label_queries(s), hits(s), stored_chunks(s), 0.0))
+BEFORE, BETWEEN, _ = (part.replace("'", "''") for part in retrieval.PROMPT.split("%s"))
+add(
+    "r9_prompts",
+    lambda s: retrieval.prompts(label_queries(s), hits(s), stored_chunks(s), 0.0).select("query_id", F.md5("prompt").alias("prompt_md5")),
+    HITS
+    + f""", c AS (SELECT query_id, string_agg('[' || rank || '] ' || source || ' > ' || lang || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context
+  FROM h JOIN documents ON doc_id = chunk_id GROUP BY 1)
+SELECT query_id, md5('{BEFORE}' || context || '{BETWEEN}' || 'Which passages are like label ' || query_id || '?') AS prompt_md5 FROM c""",
+)
 
 
 def replies(s):

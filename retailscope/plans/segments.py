@@ -192,8 +192,90 @@ UNION ALL SELECT summary, '''' || r.k || ''' is the top-revenue region at ' || c
 UNION ALL SELECT summary, '''' || h.k || ''' is the leading sales channel by revenue.' FROM w, h"""
     ),
 )
-add("p8_orders_prompt", lambda s: reports.orders_prompt(reports.orders_stats(s.orders(True), s.items(), s.products())))
-add("p8_ratings_prompt", lambda s: reports.ratings_prompt(reports.ratings_stats(s.orders(), s.items(), s.products(), s.ratings())))
+def filled(template: str, **parts: str) -> str:
+    """A text template as a SQL concatenation."""
+    sql, rest = [], template
+    while rest:
+        head, found, tail = rest.partition("{")
+        sql.append("'" + head.replace("'", "''") + "'")
+        if not found:
+            break
+        name, _, rest = tail.partition("}")
+        sql.append(parts[name])
+    return " || ".join(sql)
+
+
+def money_text(cents: str) -> str:
+    return f"'$' || format('{{:,.2f}}', {dollars(cents)})"
+
+
+def two(number: str) -> str:
+    return "format('{:.2f}', " + number + ")"
+
+
+def cells(table: str, order: str, *texts: str) -> str:
+    """Rows as `[('a', 'b'), …]`."""
+    inner = " || ''', ''' || ".join(texts)
+    return f"(SELECT '[' || string_agg('(''' || {inner} || ''')', ', ' ORDER BY {order}) || ']' FROM {table})"
+
+
+def share_cells(table: str) -> str:
+    share = f"cast(round_even(100 * {dollars('v')} / {dollars('t.net')}, 2) as varchar)"
+    return cells(table, "v DESC, k", "k", f"{money_text('v')} || ' (' || {share} || '%)'")
+
+
+PERIOD = {"since": "'all time'", "until": "'all time'"}
+ORDER_NUMBERS = {
+    **PERIOD,
+    "orders": "format('{:,}', n)",
+    "revenue": money_text("t.net"),
+    "aov": "'$' || format('{:,.2f}', " + mean("t.net", "n") + ")",
+    "rate": two(pct("b", "n")),
+    "categories": share_cells("c"),
+    "regions": share_cells("r"),
+    "channel": "h.k",
+    "channel_revenue": money_text("h.v"),
+}
+add(
+    "p8_orders_prompt",
+    lambda s: reports.orders_prompt(reports.orders_stats(s.orders(True), s.items(), s.products())),
+    star(
+        f"""
+, t AS (SELECT count(*) AS n, sum(net_c) AS net, count(return_status) AS b FROM s_orders),
+c AS (SELECT product_category AS k, sum(net_c) AS v FROM s_items JOIN s_products USING (product_id) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3),
+r AS (SELECT region AS k, sum(net_c) AS v FROM s_orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3),
+h AS (SELECT sales_channel AS k, sum(net_c) AS v FROM s_orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1)
+SELECT {filled(reports.ORDERS_PROMPT, **ORDER_NUMBERS)} AS prompt FROM t, h"""
+    ),
+)
+
+
+def rate_cells(order: str) -> str:
+    ranked = f"(SELECT *, row_number() OVER (ORDER BY {order}) AS k FROM d) WHERE k <= 3"
+    return cells(ranked, "k", "product_category", two("p") + " || '%'")
+
+
+RATING_NUMBERS = {
+    **PERIOD,
+    "ratings": "format('{:,}', r.n)",
+    "mean": two(ratio("r.tenths", "10 * r.n")),
+    "histogram": "(SELECT '{' || string_agg('''' || rating || ''': ' || n, ', ' ORDER BY rating) || '}' FROM v)",
+    "rate": two(pct("o.b", "o.n")),
+    "highest": rate_cells("p DESC, product_category"),
+    "lowest": rate_cells("p, product_category DESC"),
+}
+add(
+    "p8_ratings_prompt",
+    lambda s: reports.ratings_prompt(reports.ratings_stats(s.orders(), s.items(), s.products(), s.ratings())),
+    star(
+        f"""
+, g AS (SELECT product_category, count(*) AS n, count(return_status) AS b FROM (SELECT DISTINCT order_id, product_category FROM s_items
+  JOIN s_products USING (product_id)) JOIN s_orders USING (order_id) GROUP BY 1),
+d AS (SELECT product_category, {pct('b', 'n')} AS p FROM g), r AS (SELECT count(*) AS n, sum(tenths) AS tenths FROM s_ratings),
+v AS (SELECT rating, count(*) AS n FROM s_ratings GROUP BY 1), o AS (SELECT count(*) AS n, count(return_status) AS b FROM s_orders)
+SELECT {filled(reports.RATINGS_PROMPT, **RATING_NUMBERS)} AS prompt FROM r, o"""
+    ),
+)
 
 
 def segment_stats(s):
@@ -201,8 +283,37 @@ def segment_stats(s):
     return reports.segments_stats(scored, segments.segment_summary(scored))
 
 
-add("p7_segments_narrative", lambda s: reports.segments_narrative(segment_stats(s)).select("summary", F.explode("key_insights").alias("insight")))
-add("p8_segments_prompt", lambda s: reports.segments_prompt(segment_stats(s)))
+SEGMENTS = (
+    RFM
+    + f""", g AS (SELECT segment, {SUMMARY}, row_number() OVER (ORDER BY sum(net) DESC, segment) AS k FROM x GROUP BY 1),
+t AS (SELECT count(*) AS n, max(last_order_date) AS as_of, count(DISTINCT segment) AS parts FROM x)"""
+)
+SPEND = "'$' || format('{:,.2f}', total_monetary)"
+ABOUT = {"name": "segment", "count": "customer_count", "spend": SPEND, "recency": "avg_recency_days", "frequency": "avg_frequency"}
+SCORED = {"customers": "format('{:,}', n)", "as_of": "as_of", "count": "parts"}
+add(
+    "p7_segments_narrative",
+    lambda s: reports.segments_narrative(segment_stats(s)).select("summary", F.explode("key_insights").alias("insight")),
+    star(
+        SEGMENTS
+        + f""" SELECT {filled(reports.SEGMENTS_SUMMARY, **SCORED)} AS summary, CASE WHEN k = 1 THEN {filled(reports.TOP_SEGMENT, **ABOUT)}
+  ELSE {filled(reports.OTHER_SEGMENTS, **ABOUT)} END AS insight FROM g, t WHERE k <= 4"""
+    ),
+)
+SEGMENT_CELLS = cells(
+    "g",
+    "k",
+    "segment",
+    "customer_count || ' customers'",
+    SPEND + " || ' total spend'",
+    "'avg recency ' || avg_recency_days || 'd'",
+    "'avg frequency ' || avg_frequency",
+)
+add(
+    "p8_segments_prompt",
+    lambda s: reports.segments_prompt(segment_stats(s)),
+    star(SEGMENTS + f" SELECT {filled(reports.SEGMENTS_PROMPT, segments=SEGMENT_CELLS, **SCORED)} AS prompt FROM t"),
+)
 
 
 def replies(s):
