@@ -129,20 +129,24 @@ def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[flo
     group = [*by, "feature"]
     placed = running_totals(counted, {"upto": F.col("n")}, ["value"], group)
     sizes = counted.groupBy(*group).agg(F.sum("n").alias("rows"))
-    targets = sizes.select(*group, "rows", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("probability"))
-    targets = targets.withColumn("place", F.col("probability") * (F.col("rows") - 1)).withColumn(
-        "low", F.floor("place")
-    )
-    if not by:  # features x probabilities, both listed by the caller
+    listed = F.array(*[F.lit(float(p)) for p in probabilities])
+
+    def target(p: Column) -> Column:
+        place = p * (F.col("rows") - 1)
+        return F.struct(p.alias("probability"), place.alias("place"), F.floor(place).alias("low"))
+
+    targets = sizes.select(*group, F.transform(listed, target).alias("targets"))
+    if not by:  # one row per feature listed by the caller
         targets = F.broadcast(targets)
-    hits = (
-        placed.join(targets, group)
-        .where((F.col("upto") > F.col("low")) & (F.col("upto") - F.col("n") <= F.col("low") + 1))
-        .groupBy(*group, "probability", "place", "low")
-        .agg(
-            F.min("value").alias("lower"),
-            F.min(F.when(F.col("upto") > F.col("low") + 1, F.col("value"))).alias("upper"),
-        )
+
+    def touches(t: Column) -> Column:
+        return (F.col("upto") > t["low"]) & (F.col("upto") - F.col("n") <= t["low"] + 1)
+
+    # a value row only multiplies by the targets it answers
+    touched = placed.join(targets, group).select(*group, "value", "upto", F.explode(F.filter("targets", touches)).alias("t"))
+    hits = touched.groupBy(*group, "t.probability", "t.place", "t.low").agg(
+        F.min("value").alias("lower"),
+        F.min(F.when(F.col("upto") > F.col("t.low") + 1, F.col("value"))).alias("upper"),
     )
     upper = F.coalesce("upper", "lower")
     value = F.col("lower") + (upper - F.col("lower")) * (F.col("place") - F.col("low"))

@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from retailscope.functions.numeric import count_where, money, money_mean, money_percent, percent, rows
+from retailscope.functions.numeric import count_where, money, money_mean, percent, rows
 from retailscope.operators import sales
 from retailscope.operators.filters import Date, apply_filters
 from retailscope.operators.sales import RETURNED, mean_rating
+from retailscope.operators.segments import SEGMENT_RULES
 from retailscope.session import staged
 
 
@@ -119,19 +120,13 @@ def ratings_stats(
 def segments_stats(segments: DataFrame, summary: DataFrame) -> DataFrame:
     """As-of date, scored customers and the segment rows, most valuable first."""
     fields = ["segment", "customer_count", "total_monetary", "avg_recency_days", "avg_frequency"]
-    packed = _ranked(summary, "total_monetary", "segment", len(_segment_names()), fields)
+    packed = _ranked(summary, "total_monetary", "segment", len(SEGMENT_RULES) + 1, fields)
     newest = segments.agg(
         F.max("last_order_date").alias("as_of_date"), rows().alias("total_customers_scored")
     )
     return newest.withColumn("segments", packed)
 
 
-def _segment_names() -> list[str]:
-    from retailscope.operators.segments import OTHER_SEGMENT, SEGMENT_RULES
-
-    return [name for name, _ in SEGMENT_RULES] + [OTHER_SEGMENT]
-
-
 # --- text ---------------------------------------------------------------------------------------
 
 

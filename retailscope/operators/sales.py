@@ -19,7 +19,7 @@ from retailscope.functions.numeric import (
     rounded_ratio,
     rows,
 )
-from retailscope.operators.filters import Date, apply_filters, checked, in_range, top
+from retailscope.operators.filters import Date, apply_filters, in_range, top
 
 RETURNED = "return_status is not null"
 

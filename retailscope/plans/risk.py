@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from retailscope.operators import features, metrics, models, quality, risk
 from retailscope.operators.features import BINARY, CATEGORICAL, FEATURES, NUMERIC
-from retailscope.plans.checks import pct, ratio, star
+from retailscope.plans.checks import ratio, star
 from retailscope.plans.registry import add
 from retailscope.session import shared_folder, staged
 from retailscope.sources.standin import ITEM_ORDER

@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from retailscope.operators import maintenance, profile, quality
 from retailscope.sources import csv, documents, publish, sample
