@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from retailscope.llm import huffman, packing
-from retailscope.llm.common import table
+from retailscope.llm import huffman, neardup, packing, pii, quality, topk
+from retailscope.llm.common import kept, table
 from retailscope.llm.registry import CHECKS, QUERIES
 
 
@@ -19,6 +20,35 @@ def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
-QUERIES |= {f.__name__: f for f in (op2_huffman_ids, op3_best_fit_packing)}
+def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    statistics = kept(quality.text_statistics(table(spark, folder, "documents")), "text-statistics")
+    rules = quality.learn(statistics, table(spark, folder, "labels"))
+    return quality.verdicts(statistics, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule", "rule_text")
+
+
+def op6_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.report(pii.find(table(spark, folder, "documents")))
+
+
+def op9_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, folder, "documents"))
+
+
+def op10_block_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(table(spark, folder, "embeddings"), F.col("id") % 50 == 0, k=5, scale=256.0)
+
+
+CHECKS["op10_block_top_k"] = """
+WITH v AS (
+  SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+QUERIES |= {f.__name__: f for f in (op2_huffman_ids, op3_best_fit_packing, op5_quality_rules, op6_personal_data, op9_simhash_groups, op10_block_top_k)}
 
 __all__ = ["CHECKS", "QUERIES"]
