@@ -6,11 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retailscope.llm import huffman, neardup, packing, pii, quality, topk
-from retailscope.llm.common import kept, table
+from retailscope.llm import backoff, huffman, language, neardup, packing, pii, quality, topk
+from retailscope.llm.common import fold, kept, table
 from retailscope.llm.registry import CHECKS, QUERIES
 
 
+def op1_language_field(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", (fold(F.col("doc_id"), 5) == 0).alias("held_out"))
+    field = language.fit(language.passages_of(docs.filter(~F.col("held_out")), F.col("lang"), F.col("doc_id"), F.col("text")))
+    found = language.identify(docs.select("doc_id", "held_out", "text"), field)
+    return found.select("doc_id", "held_out", F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
+
+
 def op2_huffman_ids(spark: SparkSession, folder: str) -> DataFrame:
     path = huffman.encode_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
     return huffman.read(spark, path)
@@ -30,6 +37,10 @@ def op6_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return pii.report(pii.find(table(spark, folder, "documents")))
 
 
+def op7_backoff_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return backoff.score_texts(table(spark, folder, "documents"), fold(F.col("doc_id"), 7) == 2)
+
+
 def op9_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "documents"))
 
@@ -49,6 +60,6 @@ s AS (
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 
-QUERIES |= {f.__name__: f for f in (op2_huffman_ids, op3_best_fit_packing, op5_quality_rules, op6_personal_data, op9_simhash_groups, op10_block_top_k)}
+QUERIES |= {f.__name__: f for f in (op1_language_field, op2_huffman_ids, op3_best_fit_packing, op5_quality_rules, op6_personal_data, op7_backoff_scores, op9_simhash_groups, op10_block_top_k)}
 
 __all__ = ["CHECKS", "QUERIES"]
