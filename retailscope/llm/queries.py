@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retailscope.llm import backoff, huffman, language, neardup, packing, pii, quality, topk
+from retailscope.llm import backoff, huffman, language, neardup, packing, pages, pii, quality, sampling, topk
 from retailscope.llm.common import fold, kept, table
 from retailscope.llm.registry import CHECKS, QUERIES
 
@@ -27,6 +27,10 @@ def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
+def op4_page_text(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.extract(table(spark, folder, "pages"))
+
+
 def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     statistics = kept(quality.text_statistics(table(spark, folder, "documents")), "text-statistics")
     rules = quality.learn(statistics, table(spark, folder, "labels"))
@@ -41,6 +45,10 @@ def op7_backoff_scores(spark: SparkSession, folder: str) -> DataFrame:
     return backoff.score_texts(table(spark, folder, "documents"), fold(F.col("doc_id"), 7) == 2)
 
 
+def op8_sampled_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return sampling.sample(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"), k=2, seed=8)
+
+
 def op9_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "documents"))
 
@@ -60,6 +68,6 @@ s AS (
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 
-QUERIES |= {f.__name__: f for f in (op1_language_field, op2_huffman_ids, op3_best_fit_packing, op5_quality_rules, op6_personal_data, op7_backoff_scores, op9_simhash_groups, op10_block_top_k)}
+QUERIES |= {f.__name__: f for f in (op1_language_field, op2_huffman_ids, op3_best_fit_packing, op4_page_text, op5_quality_rules, op6_personal_data, op7_backoff_scores, op8_sampled_pieces, op9_simhash_groups, op10_block_top_k)}
 
 __all__ = ["CHECKS", "QUERIES"]
