@@ -20,7 +20,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retailscope.llm.common import kept, parts_of, texts_of
@@ -65,38 +65,34 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return plain.mapInArrow(job, "doc_id long, fp long")
 
 
-def byte(fp: Column, place: int) -> Column:
-    return F.shiftrightunsigned(fp, 8 * place).bitwiseAND(F.lit(255))
+def mask(places: tuple[int, ...]) -> int:
+    """The bytes at these places, as a signed long."""
+    return int(np.uint64(sum(255 << 8 * p for p in places)).view(np.int64))
 
 
-def posting_key(fp: Column, places: tuple[int, ...], number: int) -> Column:
-    """The list's number above the bytes at its places."""
-    key = F.lit(number).cast("long")
-    for place in places:
-        key = key * 256 + byte(fp, place)
-    return key
+#: For every triple the numbers of the fives that contain it.
+WITHIN = [[n for n, five in enumerate(FIVES) if set(t) <= set(five)] for t in TRIPLES]
 
 
 def links(nodes: DataFrame) -> DataFrame:
     """(a, b), a > b: enough links between different fingerprints to connect all that lie within `BITS` bits."""
     fp = F.col("fp")
-    postings = nodes.select("fp", F.explode(F.array(*(posting_key(fp, t, n) for n, t in enumerate(TRIPLES)))).alias("key"))
-    sizes = postings.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    met = kept(postings.join(sizes, "key"), "postings")
+    postings = nodes.select("fp", F.posexplode(F.array(*(fp.bitwiseAND(F.lit(mask(t))) for t in TRIPLES))).alias("list", "bytes"))
+    sizes = postings.groupBy("list", "bytes").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    met = kept(postings.join(sizes, ["list", "bytes"]), "postings")
     short = met.filter(F.col("size") <= LIST)
     differing = F.col("a").bitwiseXOR(F.col("b"))
-    tally = sum(((byte(differing, p) == 0).cast("int") for p in range(8)), F.lit(0))
+    tally = sum(((differing.bitwiseAND(F.lit(mask((p,)))) == 0).cast("int") for p in range(8)), F.lit(0))
     pairs = (
-        short.select("key", F.col("fp").alias("a"))
-        .join(short.select("key", F.col("fp").alias("b")), "key")
+        short.select("list", "bytes", F.col("fp").alias("a"))
+        .join(short.select("list", "bytes", F.col("fp").alias("b")), ["list", "bytes"])
         .filter((F.col("a") > F.col("b")) & (tally >= 8 - BITS) & (F.bit_count(differing) <= BITS))
         .select("a", "b")
     )
-    long_ = met.filter(F.col("size") > LIST)
-    number = F.shiftright(F.col("key"), 24)
-    finer = F.array(*(F.when(F.array_contains(F.array(*(F.lit(n) for n, t in enumerate(TRIPLES) if set(t) <= set(five))), number.cast("int")), F.struct(F.lit(n).alias("five"), posting_key(fp, five, 0).alias("bytes"))) for n, five in enumerate(FIVES)))
-    cells = long_.select("fp", F.explode(F.filter(finer, lambda x: x.isNotNull())).alias("cell")).select("fp", "cell.five", "cell.bytes").distinct()
-    lists = cells.groupBy("five", "bytes").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
+    fives = F.get(F.array(*(F.array(*map(F.lit, w)) for w in WITHIN)), F.col("list"))
+    masks = F.array(*(F.lit(mask(five)) for five in FIVES))
+    cells = met.filter(F.col("size") > LIST).select("fp", F.explode(fives).alias("five")).distinct()
+    lists = cells.groupBy("five", fp.bitwiseAND(F.get(masks, F.col("five"))).alias("bytes")).agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,12 +177,34 @@ def stars(edges: DataFrame) -> DataFrame:
     return now
 
 
+def rooted(nodes: DataFrame) -> DataFrame:
+    """The nodes (fp, first) with the root of their component."""
+    roots = stars(links(nodes.select("fp"))).select(F.col("a").alias("fp"), F.col("b").alias("root"))
+    return nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id, the smallest id reachable over links."""
     prints = kept(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = kept(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    roots = stars(links(nodes.select("fp"))).select(F.col("a").alias("fp"), F.col("b").alias("root"))
-    rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
+    nodes = rooted(kept(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes"))
+    least = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = nodes.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, with all its columns: that with the smallest id (rows without one come last).
+
+    Copies are combined before anything is shuffled, so a large group costs each task one row.
+    """
+    nodes = rooted(kept(kept(fingerprints(docs, id_col, text_col), "fingerprints").groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes"))
+    chosen = nodes.groupBy("root").agg(F.min(F.struct(F.col("first").isNull(), "first", "fp")).alias("best")).select(F.col("best.fp").alias("fp"))
+
+    @F.arrow_udf("long")
+    def print_of(texts: pa.Array) -> pa.Array:
+        return pa.array(np.array([fingerprint(t or "") for t in texts.to_pylist()], np.uint64).view(np.int64))
+
+    # the row travels as one column, whatever its columns are called
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), print_of(F.col(text_col).cast("string")).alias("fp"))
+    order = F.struct(F.col("row")[id_col].isNull(), F.col("row")[id_col], F.col("row")[text_col], F.xxhash64("row"))
+    return rows.groupBy("fp").agg(F.min_by("row", order).alias("row")).join(chosen, "fp", "left_semi").select("row.*")
