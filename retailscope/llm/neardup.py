@@ -28,7 +28,7 @@ from retailscope.llm.common import kept, parts_of, texts_of
 BITS = 3
 WORDS = 3
 SEED = 42
-#: Posting lists up to this length are paired up, longer ones are cut finer.
+#: Posting lists up to this length are paired up in the plan, longer ones are cut finer and linked in the tasks.
 LIST = 64
 HALVES = ((0, 1, 2, 3), (4, 5, 6, 7))
 TRIPLES = [t for half in HALVES for t in combinations(half, 3)]
