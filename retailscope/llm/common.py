@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import array
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,9 +29,9 @@ def fold(key: Column, parts: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % F.lit(parts), F.lit(0))
 
 
-def kept(df: DataFrame, label: str) -> DataFrame:
+def kept(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """`df` written to the shared folder and read again, so that lost executors cost no recomputation."""
-    return staged(df, label)
+    return staged(df, label, compression)
 
 
 def task() -> int:
@@ -51,55 +55,99 @@ def parts_of(batch: pa.RecordBatch, size: int = 1000) -> Iterator[pa.RecordBatch
 
 
 class TokenCache:
-    """Token ids of texts by the tokenizers library, remembered by word.
+    """Token ids of texts by the tokenizers library, remembered by word; for byte-level BPE vocabularies.
 
-    A space between two characters that are not white space always opens a token of a byte-level BPE, so the ids of
-    a text are those of its words, each with its leading space, one after another. Words are looked up in a bounded
-    cache and only unseen ones are encoded; a text with other runs of white space is encoded whole.
+    Their texts are first cut where letters, digits, marks and white space meet, and no token crosses a cut. So the
+    ids of a text are those of its words, each with its leading space, as long as no other white space is next to a
+    space; and the ids of a word are those of its runs of letters and of other characters. Words and runs are looked
+    up in bounded caches and only unseen ones are encoded. Where a cut isn't certain (other white space, apostrophes,
+    rare characters), the word or the text is encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+    OTHERS = "!-&(-/0-9:-@\\\\[-`{-~"
+    RUNS = re.compile(f"[{LETTERS}]+|[^{LETTERS}]+")
+    SURE = re.compile(f"[{LETTERS}]+|[{OTHERS}]*\\n?")
+    ENDED = re.compile(f"([{LETTERS}]+)([{OTHERS}]+)")
+
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.most = most
-        self.known: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        #: Ids by word with its leading space, by run without one, and how many characters all of them have.
+        self.words: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
         self.held = 0
 
     def raw(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian unsigned 32-bit integers, one string of bytes for each text."""
-        if len(self.known) > self.most or self.held > 16 * self.most:
-            self.known, self.held = {}, 0
-        known, out = self.known, []
-        split = [t.split(" ") for t in texts]
-        new = {w for words in split for w in words[1:] if w not in known}
-        clean = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
-        self.held += sum(map(len, clean))
-        known.update(zip(clean, self.raw([" " + w for w in clean]), strict=True))
-        whole = []
-        for at, (text, words) in enumerate(zip(texts, split, strict=True)):
-            first = words[0]
-            if len(words) == 1 or not first or first[-1].isspace():
-                out.append(None)
-                whole.append(at)
-                continue
-            try:
-                out.append(b"".join(map(known.__getitem__, words[1:])))
-            except KeyError:
-                out.append(None)
-                whole.append(at)
-        firsts = [at for at, ids in enumerate(out) if ids is not None]
-        for at, ids in zip(firsts, self.raw([split[at][0] for at in firsts]), strict=True):
-            out[at] = ids + out[at]
-        for at, ids in zip(whole, self.raw([texts[at] for at in whole]), strict=True):
-            out[at] = ids
+        return [array.array("I", e.ids).tobytes() for e in found]
+
+    def learn(self, new: list[str]) -> None:
+        """Ids of unseen words, from their runs where the cuts between them are sure."""
+        cut, heads, inner = [], set(), set()
+        for word in new:
+            if word.isalpha():
+                heads.add(word)
+            elif ended := self.ENDED.fullmatch(word):
+                cut.append((word, ended[1], (ended[2],)))
+            else:
+                head, *rest = self.RUNS.findall(word)
+                if rest and self.SURE.fullmatch(head) and all(map(self.SURE.fullmatch, rest)):
+                    cut.append((word, head, rest))
+                else:
+                    heads.add(word)
+        for _, head, rest in cut:
+            heads.add(head)
+            inner.update(rest)
+        heads = [w for w in heads if w not in self.words]
+        inner = [w for w in inner if w not in self.runs]
+        self.held += sum(map(len, new)) + sum(map(len, heads)) + sum(map(len, inner))
+        self.words.update(zip(heads, self.raw([" " + w for w in heads]), strict=True))
+        self.runs.update(zip(inner, self.raw(inner), strict=True))
+        for word, head, rest in cut:
+            self.words[word] = b"".join([self.words[head], *map(self.runs.__getitem__, rest)])
+
+    def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
+        """Ids of each text (unsigned 32-bit) with `end_id` after them."""
+        if len(self.words) + len(self.runs) > self.most or self.held > 20 * self.most:
+            self.forget()
+        if not texts:
+            return []
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        ends = split.offsets.to_numpy().astype(np.int64)[1:]
+        coded = split.flatten().dictionary_encode()
+        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        self.learn([w for w in words if w not in self.words and w and not w[0].isspace() and not w[-1].isspace()])
+        ids = [self.words.get(w) for w in words]
+        unsure = np.array([x is None for x in ids])
+        # a text's first word has no space before it; it is looked up on its own, after the words
+        starts = np.concatenate([[0], ends[:-1]])
+        firsts = [words[k] for k in at[starts]]
+        later = unsure[at]
+        later[starts] = [bool(w) and w[-1].isspace() and n > 1 for w, n in zip(firsts, ends - starts, strict=True)]
+        whole = np.logical_or.reduceat(later, starts)
+        units = [x or b"" for x in ids] + self.raw(firsts) + [np.uint32(end_id).tobytes()]
+        at = at.astype(np.int64)
+        at[starts] = len(words) + np.arange(len(texts))
+        at = np.insert(at, ends, len(units) - 1)
+        ends = ends + np.arange(1, len(texts) + 1)
+        size = np.fromiter(map(len, units), np.int64, len(units)) // 4
+        place = np.cumsum(size) - size
+        blob = np.frombuffer(b"".join(units), np.uint32)
+        taken = size[at]
+        upto = np.cumsum(taken)
+        flat = blob[np.repeat(place[at] - (upto - taken), taken) + np.arange(upto[-1])]
+        bounds = np.concatenate([[0], upto[ends - 1]])
+        out = [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        again = np.flatnonzero(whole)
+        for k, found in zip(again, self.raw([texts[k] for k in again]), strict=True):
+            out[k] = np.frombuffer(found + np.uint32(end_id).tobytes(), np.uint32)
         return out
 
 
@@ -116,5 +164,5 @@ def token_cache(path: str) -> TokenCache:
     return _CACHES[path]
 
 
-def crc32(data: bytes) -> int:
+def crc32(data: bytes | np.ndarray) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF

@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 from retailscope.llm.common import crc32, kept, parts_of, task, texts_of, token_cache
 from retailscope.session import shared_folder
 
-LONGEST = 20
+LONGEST = 16
 STEP = 256
 BLOCK_IDS = 65_536
-BLOCKS = "shard int, block int, doc_ids array<long>, lengths array<long>, ids binary"
+BLOCKS = "shard int, block int, before long, doc_ids array<long>, lengths array<long>, ids binary"
 FILE = "shard int, block int, start long, doc_ids array<long>, lengths array<long>, marks binary, payload binary"
 
 
@@ -107,7 +107,8 @@ class Decoder:
         assert not len(order) or codes[order[0]] == 0
 
     def blocks(self, payloads: list[bytes], marks: list[bytes], totals: list[int]) -> list[np.ndarray]:
-        data = np.frombuffer(b"".join(payloads) + bytes(8), np.uint8)
+        data = np.frombuffer(b"".join(payloads) + bytes(8), np.uint8).astype(np.uint32)
+        windows = data[:-3] << 24 | data[1:-2] << 16 | data[2:-1] << 8 | data[3:]  # the 32 bits from each byte on
         base = np.cumsum([0, *map(len, payloads)]) * 8
         lanes = [np.frombuffer(m, "<u4" if len(m) == 4 * -(-n // self.step) else "<u8").astype(np.int64) + base[i] for i, (m, n) in enumerate(zip(marks, totals, strict=True))]
         held = [len(x) for x in lanes]
@@ -119,9 +120,7 @@ class Decoder:
         for k in range(int(left[0]) if len(left) else 0):
             live = int(np.searchsorted(-left, -k, "left"))
             spot = at[:live]
-            byte = spot >> 3
-            window = data[byte].astype(np.uint32) << 24 | data[byte + 1].astype(np.uint32) << 16 | data[byte + 2].astype(np.uint32) << 8 | data[byte + 3]
-            look = (window << (spot & 7).astype(np.uint32)) >> np.uint32(32 - self.width)
+            look = (windows[spot >> 3] << (spot & 7).astype(np.uint32)) >> np.uint32(32 - self.width)
             out[order[:live], k] = self.symbol[look]
             at[:live] += self.bits[look]
         found, row = [], 0
@@ -134,44 +133,40 @@ class Decoder:
 def token_blocks(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Ids of all documents in ascending order of id, in blocks of whole documents; shards and blocks number the order."""
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ordered = ordered.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
-    end = np.array([end_id], "<u4").tobytes()
-
+    # bounds are drawn from the keys alone, so no text is in them
+    ordered = ordered.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, shard, block = token_cache(vocabulary), task(), 0
-        docs_, ids, held = [], [], 0
+        docs_, ids, held, before = [], [], 0, 0
 
         def full():
-            lengths = [len(x) // 4 for x in ids]
-            return pa.RecordBatch.from_pydict({"shard": [shard], "block": [block], "doc_ids": [docs_], "lengths": [lengths], "ids": [narrow(b"".join(ids))]}, pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("ids", pa.binary())]))
+            lengths = [len(x) for x in ids]
+            return pa.RecordBatch.from_pydict({"shard": [shard], "block": [block], "before": [before], "doc_ids": [docs_], "lengths": [lengths], "ids": [narrow(np.concatenate(ids))]}, pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("ids", pa.binary())]))
 
         for batch in batches:
-            for part in parts_of(batch, 500):
-                for doc, raw in zip(part.column("doc_id").to_pylist(), cache.encode(texts_of(part)), strict=True):
+            for part in parts_of(batch, 1_000):
+                for doc, raw in zip(part.column("doc_id").to_pylist(), cache.encode(texts_of(part), end_id), strict=True):
                     docs_.append(doc)
-                    ids.append(raw + end)
-                    held += len(ids[-1]) // 4
+                    ids.append(raw)
+                    held += len(raw)
                     if held >= BLOCK_IDS:
                         yield full()
-                        docs_, ids, held, block = [], [], 0, block + 1
+                        docs_, ids, held, before, block = [], [], 0, before + held, block + 1
         if docs_:
             yield full()
 
     return ordered.mapInArrow(job, BLOCKS)
 
 
-def narrow(raw: bytes) -> bytes:
-    """Two planes of bytes, low and high, of ids below 65,536 (marked 2), else the ids as they are (marked 4)."""
-    ids = np.frombuffer(raw, "<u4")
+def narrow(ids: np.ndarray) -> bytes:
+    """Ids in two bytes each if all are below 65,536 (marked 2), else in four (marked 4)."""
     if len(ids) and ids.max() >= 65_536:
-        return b"4" + raw
-    return b"2" + np.ascontiguousarray(ids.astype("<u2").view(np.uint8).reshape(-1, 2).T).tobytes()
+        return b"4" + ids.astype("<u4").tobytes()
+    return b"2" + ids.astype("<u2").tobytes()
 
 
 def widen(held: bytes) -> np.ndarray:
-    if held[:1] == b"4":
-        return np.frombuffer(held, "<u4", offset=1)
-    return np.ascontiguousarray(np.frombuffer(held, np.uint8, offset=1).reshape(2, -1).T).view("<u2").ravel().astype(np.uint32)
+    return np.frombuffer(held, "<u4" if held[:1] == b"4" else "<u2", offset=1).astype(np.uint32)
 
 
 def id_counts(blocks: DataFrame) -> DataFrame:
@@ -202,29 +197,24 @@ def write(blocks: DataFrame, path: str) -> None:
     lengths = code_lengths(counts)
     used = np.flatnonzero(lengths)
     spark.createDataFrame([(int(i), int(lengths[i])) for i in used], "id long, bits int").coalesce(1).write.parquet(f"{path}/codebook")
-    totals = blocks.groupBy("shard", "block").agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
-    by_shard = {r.shard: r.n for r in totals.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
-    before, starts = 0, {}
-    for shard in sorted(by_shard):
-        starts[shard] = before
-        before += by_shard[shard]
-    shards = spark.createDataFrame(sorted(starts.items()), "shard int, first long")
-    # within a shard: what the earlier blocks hold, one short row for each block
-    from pyspark.sql import Window
-
-    placed = totals.withColumn("before", F.sum("n").over(Window.partitionBy("shard").orderBy("block")) - F.col("n")).join(shards, "shard").select("shard", "block", (F.col("first") + F.col("before")).alias("start"))
+    own = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)
+    starts, first = {}, 0
+    for row in sorted(blocks.groupBy("shard").agg(F.max(F.col("before") + own).alias("n")).collect()):  # one row for each shard
+        starts[row.shard] = first
+        first += row.n
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = codes_of(lengths)
         for batch in batches:
             for row in parts_of(batch, 16):
                 packed = [pack(widen(x), lengths, codes) for x in row.column("ids").to_pylist()]
+                start = [starts[s] + b for s, b in zip(row.column("shard").to_pylist(), row.column("before").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [row.column("shard"), row.column("block"), row.column("start"), row.column("doc_ids"), row.column("lengths"), pa.array([m for _, m in packed], pa.binary()), pa.array([p for p, _ in packed], pa.binary())],
+                    [row.column("shard"), row.column("block"), pa.array(start, pa.int64()), row.column("doc_ids"), row.column("lengths"), pa.array([m for _, m in packed], pa.binary()), pa.array([p for p, _ in packed], pa.binary())],
                     ["shard", "block", "start", "doc_ids", "lengths", "marks", "payload"],
                 )
 
-    blocks.join(placed, ["shard", "block"]).mapInArrow(job, FILE).write.option("compression", "none").parquet(f"{path}/blocks")
+    blocks.mapInArrow(job, FILE).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -236,7 +226,7 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(lengths)
         for batch in batches:
-            for part in parts_of(batch, 32):
+            for part in parts_of(batch, 96):
                 sizes = part.column("lengths").to_pylist()
                 found = decoder.blocks(part.column("payload").to_pylist(), part.column("marks").to_pylist(), [sum(x) for x in sizes])
                 out = {"doc_id": [], "start": [], "n_tokens": [], "ids_crc32": []} | ({"ids": []} if with_ids else {})
@@ -259,5 +249,5 @@ def encode_documents(docs: DataFrame, vocabulary: str, end_id: int = 0, path: st
     """Tokenise, count, code and write all documents; returns the folder of the files."""
     spark = docs.sparkSession
     path = path or f"{shared_folder(spark).rstrip('/')}/huffman-{uuid.uuid4().hex}"
-    write(kept(token_blocks(docs, vocabulary, end_id, id_col, text_col), "token-blocks"), path)
+    write(kept(token_blocks(docs, vocabulary, end_id, id_col, text_col), "token-blocks", "zstd"), path)
     return path

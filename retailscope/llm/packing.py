@@ -92,17 +92,14 @@ def places(plan: list[tuple[int, list[int]]], capacity: int) -> dict[str, np.nda
 
 def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of all documents, each with its rank among the task's pieces of its length."""
-    end = np.array([end_id], "<u4").tobytes()
-
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, part, seen = token_cache(vocabulary), task(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for some in parts_of(batch, 500):
+            for some in parts_of(batch, 1_000):
                 rows = []
-                for doc, raw in zip(some.column("doc_id").to_pylist(), cache.encode(texts_of(some)), strict=True):
-                    raw += end
-                    for n, (start, length) in enumerate(cut(len(raw) // 4, capacity)):
-                        rows.append((doc, n, start, length, crc32(raw[4 * start : 4 * (start + length)]), part, int(seen[length])))
+                for doc, raw in zip(some.column("doc_id").to_pylist(), cache.encode(texts_of(some), end_id), strict=True):
+                    for n, (start, length) in enumerate(cut(len(raw), capacity)):
+                        rows.append((doc, n, start, length, crc32(raw[start : start + length]), part, int(seen[length])))
                         seen[length] += 1
                 kinds = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("nth", pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), kind) for x, (_, kind) in zip(zip(*rows, strict=True), kinds, strict=True)], schema=pa.schema(kinds))
