@@ -3,7 +3,8 @@
 `Window.orderBy` without (or with a hot) partition key sorts everything in one task. Here rows are
 range-partitioned on (group, order) so that even one group spreads over many slices; each slice adds
 up its own rows, and what earlier slices hold of the same group is carried in. A slice can only
-continue the group of the slice before it, so the carries are at most one row per slice.
+continue the group of the slice before it, so the carries are at most one row per slice. There is no
+other way for small tables: what is tested is what runs.
 """
 
 from __future__ import annotations
@@ -15,41 +16,24 @@ from pyspark.sql import functions as F
 
 from retailscope.session import slice_count, staged
 
-GROUP_ROWS_LIMIT = 1_000_000
 SLICE = "_slice"
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the largest group (of the whole table without keys). Counts combine map-side."""
-    if not keys:
-        return df.count()
-    counts = df.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(F.max("n").alias("n")).first()["n"] or 0
-
-
 def running_totals(
     df: DataFrame,
     totals: Mapping[str, Column],
     order_by: Sequence[str],
     group_by: Sequence[str] = (),
     include_current: bool = True,
-    group_rows_limit: int = GROUP_ROWS_LIMIT,
-    largest: int | None = None,
 ) -> DataFrame:
     """`df` plus one running sum per entry of `totals`, in the order of `order_by` within `group_by`.
 
-    `order_by` must be unique within a group. Sizes are checked first, so pass a staged `df` when it
-    is costly to compute, or the size of the `largest` group when that is known. With `include_current=False` a row's own value is
-    left out (0 for the first row). Groups whose size is checked to fit a task use a plain window.
+    `order_by` must be unique within a group. With `include_current=False` a row's own value is left out
+    (0 for the first row).
     """
     addends = {name: f"_add_{i}" for i, name in enumerate(totals)}
     base = df.select("*", *[expr.alias(addends[name]) for name, expr in totals.items()])
     kept = df.columns
-    if (largest_group(df, group_by) if largest is None else largest) <= group_rows_limit:
-        frame = _frame(Window.partitionBy(*group_by).orderBy(*order_by), include_current)
-        sums = [_zero(F.sum(a).over(frame), base, a).alias(name) for name, a in addends.items()]
-        return base.select(*kept, *sums)
-
     spark = df.sparkSession
     sliced = staged(
         base.repartitionByRange(slice_count(spark), *group_by, *order_by).withColumn(SLICE, F.spark_partition_id()),
@@ -94,60 +78,83 @@ def _carries(sliced: DataFrame, addends: list[str], group_by: list[str]) -> Data
         F.max(key).alias("tail"),
         *[F.max_by(a, key).alias(a) for a in addends],
     )
-    tails = edges.select(F.col(SLICE).alias("_before"), F.col("tail").alias("head"), *addends)
-    heads = edges.select(SLICE, "head")
-    earlier = heads.join(F.broadcast(tails), "head").where(F.col("_before") < F.col(SLICE))
-    summed = earlier.groupBy(SLICE, "head").agg(*[F.sum(a).alias(f"carry{a}") for a in addends])
-    return summed
+    # windows over one row per slice: what the slices up to here hold of the group that each ends in
+    so_far = Window.partitionBy("tail").orderBy(SLICE).rowsBetween(Window.unboundedPreceding, 0)
+    upto = edges.select(SLICE, "head", "tail", *[F.sum(a).over(so_far).alias(a) for a in addends])
+    before = Window.orderBy(SLICE)
+    continues = F.lag("tail").over(before) == F.col("head")
+    carried = upto.select(SLICE, "head", continues.alias("_on"), *[F.lag(a).over(before).alias(f"carry{a}") for a in addends])
+    return carried.where("_on").drop("_on")
 
 
-def positions(
-    df: DataFrame, order_by: Sequence[str], name: str = "position", rows_limit: int = GROUP_ROWS_LIMIT
-) -> DataFrame:
+def positions(df: DataFrame, order_by: Sequence[str], name: str = "position") -> DataFrame:
     """`df` plus the 1-based global position in the order of `order_by` (which must be unique)."""
-    return running_totals(df, {name: F.lit(1).cast("bigint")}, order_by, group_rows_limit=rows_limit)
+    return running_totals(df, {name: F.lit(1).cast("bigint")}, order_by)
+
+
+#: Values per column that the sketch behind the brackets tells apart.
+ACCURACY = 10_000
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Exact quantiles with linear interpolation: rows (by…, feature, probability, quantile).
 
-    Values are counted first, so ties cost one row, then positioned with `running_totals`; no
-    aggregation buffer ever holds a whole column. NULL and NaN are skipped.
+    One pass sketches all columns and so brackets each quantile; the sketch's error bound proves that
+    the bracket holds both neighbouring values. A second pass counts what lies below each bracket and
+    the different values inside, a few in ten thousand of all, which are then positioned exactly.
+    NULL and NaN are skipped.
     """
-    long = df.select(
-        *by,
-        F.explode(
-            F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])
-        ).alias("cell"),
-    ).select(*by, "cell.feature", "cell.value")
-    counted = staged(
-        long.where(F.col("value").isNotNull() & ~F.isnan("value"))
-        .groupBy(*by, "feature", "value")
-        .agg(F.count(F.lit(1)).alias("n")),
-        "values",
+    wanted = [float(p) for p in probabilities]
+    slack = 4 / ACCURACY
+    value = {c: f"_v{i}" for i, c in enumerate(columns)}
+    numbers = df.select(*by, *[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(v) for c, v in value.items()])
+    ends = F.array(*[F.lit(min(1.0, max(0.0, p + d))) for p in wanted for d in (-slack, slack)])
+
+    def bracket(v: str) -> Column:
+        """Rows, and per quantile its bracket; up to `ACCURACY` rows that is the whole range."""
+        sketch = F.percentile_approx(v, ends, ACCURACY)
+        few = F.count(v) <= ACCURACY
+        edge = lambda k: F.struct(
+            F.when(few, F.min(v)).otherwise(F.get(sketch, F.lit(2 * k))).alias("low"),
+            F.when(few, F.max(v)).otherwise(F.get(sketch, F.lit(2 * k + 1))).alias("high"),
+        )
+        return F.struct(F.count(v).alias("rows"), F.array(*[edge(k) for k in range(len(wanted))]).alias("edges"))
+
+    edges = staged(numbers.groupBy(*by).agg(*[bracket(v).alias(f"_b{v}") for v in value.values()]), "brackets")
+    if by:
+        met = numbers.join(edges, list(by))
+    else:  # a single row
+        row = edges.select(F.struct(*[f"_b{v}" for v in value.values()]).alias("b"))
+        met = numbers.withColumn("_b", row.scalar()).select("*", "_b.*")
+    below = met.groupBy(*by).agg(
+        *[
+            F.array(*[F.count_if(F.col(v) < F.get(F.col(f"_b{v}.edges"), F.lit(k))["low"]) for k in range(len(wanted))]).alias(f"_n{v}")
+            for v in value.values()
+        ]
     )
-    group = [*by, "feature"]
-    placed = running_totals(counted, {"upto": F.col("n")}, ["value"], group)
-    sizes = counted.groupBy(*group).agg(F.sum("n").alias("rows"))
-    listed = F.array(*[F.lit(float(p)) for p in probabilities])
-
-    def target(p: Column) -> Column:
-        place = p * (F.col("rows") - 1)
-        return F.struct(p.alias("probability"), place.alias("place"), F.floor(place).alias("low"))
-
-    targets = sizes.select(*group, F.transform(listed, target).alias("targets"))
-    if not by:  # one row per feature listed by the caller
-        targets = F.broadcast(targets)
-
-    def touches(t: Column) -> Column:
-        return (F.col("upto") > t["low"]) & (F.col("upto") - F.col("n") <= t["low"] + 1)
-
-    # a value row only multiplies by the targets it answers
-    touched = placed.join(targets, group).select(*group, "value", "upto", F.explode(F.filter("targets", touches)).alias("t"))
-    hits = touched.groupBy(*group, "t.probability", "t.place", "t.low").agg(
+    cell = lambda c, v, k: F.when(
+        F.col(v).between(F.get(F.col(f"_b{v}.edges"), F.lit(k))["low"], F.get(F.col(f"_b{v}.edges"), F.lit(k))["high"]),
+        F.struct(F.lit(c).alias("feature"), F.lit(k).alias("_q"), F.col(v).alias("value")),
+    )
+    cells = F.filter(F.array(*[cell(c, v, k) for c, v in value.items() for k in range(len(wanted))]), lambda x: x.isNotNull())
+    inside = met.select(*by, F.explode(cells).alias("_x")).groupBy(*by, "_x.feature", "_x._q", "_x.value").agg(F.count(F.lit(1)).alias("n"))
+    placed = running_totals(inside, {"upto": F.col("n")}, ["value"], [*by, "feature", "_q"])
+    # one row per group, column and probability
+    listed = F.array(
+        *[
+            F.struct(F.lit(c).alias("feature"), F.lit(k).alias("_q"), F.lit(p).alias("probability"), (F.lit(p) * (F.col(f"_b{v}.rows") - 1)).alias("place"), F.get(f"_n{v}", F.lit(k)).alias("below"))
+            for c, v in value.items()
+            for k, p in enumerate(wanted)
+        ]
+    )
+    sizes = below.join(edges, list(by)) if by else below.withColumn("_b", row.scalar()).select("*", "_b.*")
+    targets = sizes.select(*by, F.explode(listed).alias("_t")).select(*by, "_t.*").withColumn("low", F.floor("place"))
+    upto = F.col("below") + F.col("upto")
+    touched = placed.join(targets, [*by, "feature", "_q"]).where((upto > F.col("low")) & (upto - F.col("n") <= F.col("low") + 1))
+    hits = touched.groupBy(*by, "feature", "probability", "place", "low").agg(
         F.min("value").alias("lower"),
-        F.min(F.when(F.col("upto") > F.col("t.low") + 1, F.col("value"))).alias("upper"),
+        F.min(F.when(upto > F.col("low") + 1, F.col("value"))).alias("upper"),
     )
     upper = F.coalesce("upper", "lower")
-    value = F.col("lower") + (upper - F.col("lower")) * (F.col("place") - F.col("low"))
-    return hits.select(*group, "probability", value.alias("quantile"))
+    found = F.col("lower") + (upper - F.col("lower")) * (F.col("place") - F.col("low"))
+    return hits.select(*by, "feature", "probability", found.alias("quantile"))

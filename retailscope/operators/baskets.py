@@ -9,42 +9,23 @@ from retailscope.functions.numeric import percent, rows
 from retailscope.operators.filters import top
 from retailscope.session import staged
 
-LARGE_BASKET = 200
+#: Products of a basket that meet in one group.
+BLOCK = 200
 
 
-def cross_sell_pairs(
-    items: DataFrame,
-    orders: DataFrame,
-    min_support: int = 2,
-    limit: int = 20,
-    large_basket: int = LARGE_BASKET,
-    block: int = LARGE_BASKET,
-) -> DataFrame:
+def cross_sell_pairs(items: DataFrame, orders: DataFrame, min_support: int = 2, limit: int = 20, block: int = BLOCK) -> DataFrame:
     """The product pairs found together in most orders, with at least `min_support` orders.
 
     Exact. A pair cannot be in more orders than its rarer product, so products below the support go
-    first. Pairs are spelled out only for baskets of bounded size. Large baskets (few, since each
-    takes many rows) then only answer how often a known pair is in them. A pair that lives in large
-    baskets alone has at most as many orders as there are large baskets; only when that could reach
-    the result are the large baskets spelled out as well, in blocks spread over many tasks.
+    first. Baskets are cut into blocks and every two blocks of a basket meet in their own group, so that
+    a large basket is spread over many tasks; pairs are counted where they are made before they are
+    shuffled.
     """
     lines = staged(items.select("order_id", "product_id").distinct(), "basket-lines")
     frequent = lines.groupBy("product_id").agg(rows().alias("n")).where(F.col("n") >= min_support).select("product_id")
     kept = lines.join(frequent, "product_id", "left_semi")
     sizes = kept.groupBy("order_id").agg(rows().alias("size")).where("size > 1")
-    baskets = staged(kept.join(sizes, "order_id"), "baskets")
-    small = baskets.where(F.col("size") <= large_basket)
-    large = baskets.where(F.col("size") > large_basket)
-    counted = _pair_counts(small, "order_id")
-    large_orders = large.select("order_id").distinct().count()
-    if large_orders:
-        counted = _with_large(staged(counted, "pairs"), large)
-        best = top(counted, "orders_together", ["product_a", "product_b"], limit)
-        floor = best.agg(F.min("orders_together").alias("least"), rows().alias("n")).first()
-        reach = floor["least"] if floor["n"] == limit else min_support
-        if large_orders >= max(reach, min_support):
-            counted = _pair_counts(small, "order_id").unionByName(_blocked_pair_counts(large, block))
-            counted = counted.groupBy("product_a", "product_b").agg(F.sum("orders_together").alias("orders_together"))
+    counted = _pair_counts(staged(kept.join(sizes, "order_id"), "baskets"), block)
     total = orders.agg(rows()).scalar()
     enough = counted.where(F.col("orders_together") >= min_support).withColumn("_total", total)
     shown = enough.select(
@@ -56,29 +37,10 @@ def cross_sell_pairs(
     return top(shown, "orders_together", ["product_a", "product_b"], limit)
 
 
-def _pair_counts(lines: DataFrame, *keys: str) -> DataFrame:
-    """Pairs of products that share the keys; the count combines in the join's own tasks first."""
-    left = lines.select(*keys, F.col("product_id").alias("product_a"))
-    right = lines.select(*keys, F.col("product_id").alias("product_b"))
-    pairs = left.join(right, list(keys)).where(F.col("product_a") < F.col("product_b"))
-    return pairs.groupBy("product_a", "product_b").agg(rows().alias("orders_together"))
-
-
-def _with_large(pairs: DataFrame, large: DataFrame) -> DataFrame:
-    """Adds to known pairs the large baskets that hold both products."""
-    has_a = large.select("order_id", F.col("product_id").alias("product_a"))
-    has_b = large.select("order_id", F.col("product_id").alias("product_b"))
-    both = pairs.select("product_a", "product_b").join(has_a, "product_a").join(has_b, ["order_id", "product_b"], "left_semi")
-    more = both.groupBy("product_a", "product_b").agg(rows().alias("more"))
-    return pairs.join(more, ["product_a", "product_b"], "left").select(
-        "product_a", "product_b", (F.col("orders_together") + F.coalesce("more", F.lit(0))).alias("orders_together")
-    )
-
-
-def _blocked_pair_counts(large: DataFrame, block: int) -> DataFrame:
-    """Pairs of large baskets: each basket is cut into blocks and every two blocks meet in their own group."""
+def _pair_counts(baskets: DataFrame, block: int) -> DataFrame:
+    """Orders of every pair; `size` tells into how many blocks a basket is cut."""
     blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
-    own = large.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("product_id"), F.col("blocks")).cast("int"))
+    own = baskets.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("product_id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     left = own.select("order_id", F.col("product_id").alias("product_a"), F.col("own").alias("ba"), other.alias("bb"))
     right = own.select("order_id", F.col("product_id").alias("product_b"), F.col("own").alias("bb"), other.alias("ba"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retailscope.functions.numeric import count_where, rounded_ratio, rows
-from retailscope.functions.ordered import largest_group, running_totals
+from retailscope.functions.ordered import running_totals
 
 # The model features in their order.
 NUMERIC = ["shipping_ratio", "customer_prior_order_count", "customer_prior_revenue"]
@@ -15,7 +15,7 @@ BINARY = ["is_repeat_customer_asof"]
 FEATURES = ["shipping_ratio", *CATEGORICAL, "customer_prior_order_count", "customer_prior_revenue", "is_repeat_customer_asof"]
 
 
-def order_history(orders: DataFrame, **options) -> DataFrame:
+def order_history(orders: DataFrame) -> DataFrame:
     """Orders plus what the customer had before each: `prior_orders` and `prior_revenue`, by date and id."""
     return running_totals(
         orders,
@@ -23,11 +23,10 @@ def order_history(orders: DataFrame, **options) -> DataFrame:
         ["order_date", "order_id"],
         ["customer_id"],
         include_current=False,
-        **options,
     )
 
 
-def days_between_orders(orders: DataFrame, **options) -> DataFrame:
+def days_between_orders(orders: DataFrame) -> DataFrame:
     """Days from each order to the customer's previous one.
 
     The sum of the gaps of a customer is the day count from first to last order, and the smallest
@@ -38,7 +37,6 @@ def days_between_orders(orders: DataFrame, **options) -> DataFrame:
         {"seq": F.lit(1).cast("bigint")},
         ["order_date", "order_id"],
         ["customer_id"],
-        **options,
     )
     later = numbered.select("customer_id", (F.col("seq") - 1).alias("seq"), F.col("order_date").alias("next_date"))
     gap = F.date_diff(F.col("next_date"), F.col("order_date"))
@@ -128,11 +126,10 @@ def feature_table(
     customers: DataFrame,
     item_order: list[str] | tuple[str, ...],
     last_train_year: int,
-    **options,
 ) -> DataFrame:
     """order_id, the model features, target and split. History covers every order; rows without
     gross sales or items have no ratio or category and are left out (see `feature_rejects`)."""
-    raw = _feature_rows(orders, items, products, customers, item_order, last_train_year, options)
+    raw = _feature_rows(orders, items, products, customers, item_order, last_train_year)
     return raw.where("shipping_ratio is not null and primary_category is not null")
 
 
@@ -144,7 +141,7 @@ def feature_rejects(orders: DataFrame, items: DataFrame) -> DataFrame:
     return joined.select("order_id", reason.alias("reason")).where("reason is not null")
 
 
-def _feature_rows(orders, items, products, customers, item_order, last_train_year, options) -> DataFrame:
+def _feature_rows(orders, items, products, customers, item_order, last_train_year) -> DataFrame:
     narrow = orders.select(
         "order_id",
         "customer_id",
@@ -160,9 +157,7 @@ def _feature_rows(orders, items, products, customers, item_order, last_train_yea
     )
     # everything keyed by order first, then everything keyed by customer: the wide rows move once
     by_order = narrow.join(primary_category(items, products, item_order), "order_id", "left")
-    largest = largest_group(orders, ["customer_id"])
-    history = order_history(by_order, largest=largest, **options)
-    joined = history.join(customers.select("customer_id", "customer_segment"), "customer_id")
+    joined = order_history(by_order).join(customers.select("customer_id", "customer_segment"), "customer_id")
     return joined.select(
         "order_id",
         "shipping_ratio",

@@ -10,13 +10,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retailscope.functions.ordered import positions
 from retailscope.schemas import check_vocabulary
 
 Date = dt.date | str | None
 
 MAX_PAGE_SIZE = 100
-TOP_ROWS_LIMIT = 100_000
 
 
 def in_range(date_from: Date = None, date_to: Date = None, column: str = "order_date") -> Column | None:
@@ -69,7 +67,11 @@ def page(
     sortable: Sequence[str] | None = None,
     **filters,
 ) -> DataFrame:
-    """One page of the filtered rows, each with the `total` rows and `pages` of the filtered set."""
+    """One page of the filtered rows, each with the `total` rows and `pages` of the filtered set.
+
+    Spark keeps the first rows up to the page's end per task, and sorts in slices instead where they are more
+    than `spark.sql.execution.topKSortFallbackThreshold`.
+    """
     if page_number < 1 or not 1 <= page_size <= MAX_PAGE_SIZE:
         raise ValueError(f"page must be >= 1 and page_size within 1..{MAX_PAGE_SIZE}")
     if sort_dir not in ("asc", "desc"):
@@ -79,29 +81,8 @@ def page(
     matching = apply_filters(df, **filters)
     total = matching.agg(F.count(F.lit(1))).scalar()
     skip = (page_number - 1) * page_size
-    if skip + page_size <= TOP_ROWS_LIMIT:
-        rows = matching.orderBy(*sort_order(sort_by, sort_dir, key)).offset(skip).limit(page_size)
-    else:
-        rows = _deep_page(matching, key, sort_by, sort_dir, skip, page_size)
+    rows = matching.orderBy(*sort_order(sort_by, sort_dir, key)).offset(skip).limit(page_size)
     return rows.withColumn("total", total).withColumn(
         "pages", F.expr("total div {0} + if(total % {0} > 0, 1, 0)".format(page_size))
     )
 
-
-def _deep_page(df: DataFrame, key: str, sort_by: str, sort_dir: str, skip: int, size: int) -> DataFrame:
-    """A page far into the order: positions are counted over slices instead of in one top-n heap.
-
-    Slices ascend, so a descending page takes the last rows by value; inside a tie the key still ascends.
-    """
-    keys = df.select(key, F.col(sort_by).alias("_sort")).withColumn("_missing", F.col("_sort").isNull())
-    tie = ["_missing", "_sort"]
-    placed = positions(keys, [*tie, key])
-    place = F.col("position")
-    if sort_dir == "desc":
-        ties = placed.groupBy(*tie).agg(F.min("position").alias("first"), F.max("position").alias("last"))
-        same = placed["_sort"].eqNullSafe(ties["_sort"])
-        placed = placed.join(ties.drop("_missing"), same).withColumn("rows", df.agg(F.count(F.lit(1))).scalar())
-        place = F.col("rows") - F.col("last") + F.col("position") - F.col("first") + 1
-    wanted = placed.where(place.between(skip + 1, skip + size)).select(key)
-    # at most one page of keys
-    return df.join(F.broadcast(wanted), key).orderBy(*sort_order(sort_by, sort_dir, key))

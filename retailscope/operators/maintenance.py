@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retailscope.functions.numeric import rows
+from retailscope.operators.quality import Rules
 
 
 class Change(NamedTuple):
@@ -45,35 +46,47 @@ def insert_batch(
     key: str,
     parents: Mapping[str, DataFrame] | None = None,
     defaults: Mapping[str, object] | None = None,
+    rules: Rules | None = None,
 ) -> Change:
-    """Append new rows. A key that exists, or repeats in the batch, is refused; so is a missing parent."""
+    """Append new rows. A key that is missing, exists, or repeats in the batch is refused; so is a missing
+    parent, and a row (with its defaults) that breaks one of `rules`."""
     parents = parents or {}
-    repeats = batch.groupBy(key).agg(rows().alias("_times"))
-    marked = batch.join(repeats, key).join(table.select(key, F.lit(True).alias("_exists")), key, "left")
-    reason = F.when(F.col("_exists") | (F.col("_times") > 1), "duplicate key")
+    repeats = batch.where(F.col(key).isNotNull()).groupBy(key).agg(rows().alias("_times"))
+    marked = with_defaults(batch, defaults or {}).join(repeats, key, "left").join(table.select(key, F.lit(True).alias("_exists")), key, "left")
+    reason = F.when(F.col(key).isNull(), "key is missing").when(F.col("_exists") | (F.col("_times") > 1), "duplicate key")
     for column, parent in parents.items():
         flag = f"_has_{column}"
         known = parent.select(column).distinct().withColumn(flag, F.lit(True))
         marked = marked.join(known, column, "left")
         reason = reason.when(F.col(flag).isNull(), f"no such {column}")
+    for name, rule in (rules or {}).items():
+        reason = reason.when(~F.coalesce(rule, F.lit(True)), name)
     marked = marked.withColumn("reason", reason)
-    good = with_defaults(marked.where("reason is null").select(*batch.columns), defaults or {})
+    good = marked.where("reason is null").select(*batch.columns)
     bad = marked.where("reason is not null").select(*batch.columns, "reason")
     return Change(table.unionByName(good, allowMissingColumns=True), bad)
 
 
-def patch_batch(table: DataFrame, patches: DataFrame, key: str, fields: Sequence[str]) -> Change:
+def patch_batch(table: DataFrame, patches: DataFrame, key: str, fields: Sequence[str], rules: Rules | None = None) -> Change:
     """Partial updates. `patches` has the key, new values, and `set_fields`, the names that were supplied:
-    a supplied NULL overwrites, an unsupplied field stays. The key itself cannot change."""
+    a supplied NULL overwrites, an unsupplied field stays. The key itself cannot change.
+
+    Refused are patches whose key is missing, unknown or repeated in the batch, and those whose supplied
+    values break one of `rules` (conditions on the fields)."""
     if key in fields:
         raise ValueError(f"{key} is immutable")
-    renamed = patches.select(key, "set_fields", *[F.col(f).alias(f"_new_{f}") for f in fields])
+    repeats = patches.where(F.col(key).isNotNull()).groupBy(key).agg(rows().alias("_times"))
+    marked = patches.join(repeats, key, "left").join(table.select(key, F.lit(True).alias("_exists")), key, "left")
+    reason = F.when(F.col(key).isNull(), "key is missing").when(F.col("_exists").isNull(), "not found").when(F.col("_times") > 1, "key repeats")
+    for name, rule in (rules or {}).items():
+        reason = reason.when(F.array_contains("set_fields", name.split()[0]) & ~F.coalesce(rule, F.lit(True)), name)
+    marked = marked.withColumn("reason", reason)
+    renamed = marked.where("reason is null").select(key, "set_fields", *[F.col(f).alias(f"_new_{f}") for f in fields])
     joined = table.join(renamed, key, "left")
     given = F.coalesce(F.col("set_fields"), F.array().cast("array<string>"))
     values = {f: F.when(F.array_contains(given, f), F.col(f"_new_{f}")).otherwise(F.col(f)) for f in fields}
     updated = joined.select(*[values[c].alias(c) if c in values else F.col(c) for c in table.columns])
-    unknown = patches.join(table.select(key), key, "left_anti").withColumn("reason", F.lit("not found"))
-    return Change(updated, unknown)
+    return Change(updated, marked.where("reason is not null").select(*patches.columns, "reason"))
 
 
 def delete_restrict(table: DataFrame, requests: DataFrame, key: str, children: Mapping[str, DataFrame]) -> Change:

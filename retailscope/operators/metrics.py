@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retailscope.functions.numeric import count_where, rows
-from retailscope.functions.ordered import GROUP_ROWS_LIMIT, running_totals
+from retailscope.functions.ordered import running_totals
 from retailscope.session import staged
 
 
@@ -36,9 +36,7 @@ def threshold_metrics(scored: DataFrame, label: str, score: str, by: Sequence[st
     )
 
 
-def curve(
-    scored: DataFrame, label: str, score: str, by: Sequence[str] = (), rows_limit: int = GROUP_ROWS_LIMIT
-) -> DataFrame:
+def curve(scored: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """Per distinct score, highest first: positives and negatives at it and down to it.
 
     Rows collapse to distinct scores before anything is ordered, and the order is summed in slices.
@@ -49,9 +47,7 @@ def curve(
         ),
         "curve",
     )
-    summed = running_totals(
-        counted, {"tp": F.col("pos"), "fp": F.col("neg")}, ["order_score"], by, group_rows_limit=rows_limit
-    )
+    summed = running_totals(counted, {"tp": F.col("pos"), "fp": F.col("neg")}, ["order_score"], by)
     totals = counted.groupBy(*by).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
     score_column = (-F.col("order_score")).alias("score")
     if not by:

@@ -16,6 +16,7 @@ from retailscope.operators.metrics import class_weights, classification_metrics
 from retailscope.session import shared_folder
 
 SEED = 42
+MAX_ITERATIONS = 1000
 FAMILIES = ("logistic_regression", "hist_gradient_boosting", "random_forest", "regularized_boosting")
 CODES = [f"{c}_code" for c in CATEGORICAL]
 
@@ -46,7 +47,7 @@ def estimator(family: str, total_weight: float, checkpoint_every: int = 10) -> P
     common = {"labelCol": "target", "weightCol": "weight", "featuresCol": "features"}
     if family == "logistic_regression":
         # the penalty of an inverse strength of 1, expressed for a mean loss
-        model = LogisticRegression(maxIter=1000, regParam=1.0 / total_weight, elasticNetParam=0.0, standardization=False, **common)
+        model = LogisticRegression(maxIter=MAX_ITERATIONS, regParam=1.0 / total_weight, elasticNetParam=0.0, standardization=False, **common)
         return Pipeline(stages=[*linear_input(), model])
     if family == "random_forest":
         model = RandomForestClassifier(numTrees=300, maxDepth=8, seed=SEED, checkpointInterval=checkpoint_every, **common)
@@ -69,10 +70,16 @@ def weighted(train: DataFrame) -> tuple[DataFrame, float]:
 
 
 def fit(train: DataFrame, family: str) -> PipelineModel:
-    """Fit one family. Boosting cuts its lineage in the session's checkpoint folder."""
+    """Fit one family. Boosting cuts its lineage in the session's checkpoint folder.
+
+    A logistic regression that has not converged is an error, not a model.
+    """
     shared_folder(train.sparkSession)
     rows, total = weighted(train)
-    return estimator(family, total).fit(rows)
+    fitted = estimator(family, total).fit(rows)
+    if family == "logistic_regression" and fitted.stages[-1].summary.totalIterations >= MAX_ITERATIONS:
+        raise RuntimeError(f"no convergence within {MAX_ITERATIONS} iterations")
+    return fitted
 
 
 def scored(model: PipelineModel, features: DataFrame) -> DataFrame:

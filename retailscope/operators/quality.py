@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-import operator
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -235,6 +233,3 @@ def conform(df: DataFrame, table: str) -> DataFrame:
         *[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema(table).fields]
     )
 
-
-def all_of(conditions: Sequence[Column]) -> Column:
-    return functools.reduce(operator.and_, conditions)

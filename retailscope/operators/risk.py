@@ -113,17 +113,14 @@ def validated_requests(requests: DataFrame, categories: DataFrame | None = None)
     checked = quality.violations(requests, rules)
     if categories is None:
         return checked
-    known = categories.agg(F.collect_set(F.concat_ws("=", "feature", "value"))).scalar()
-    asked = [c for c in CATEGORICAL if c in requests.columns]
-    unseen = [
-        F.when(~F.array_contains("_known", F.concat_ws("=", F.lit(c), F.col(c))), F.lit(f"{c} was never seen in training"))
-        for c in asked
-    ]
-    return (
-        checked.withColumn("_known", known)
-        .withColumn("violations", F.concat("violations", F.array_compact(F.array(*unseen))))
-        .drop("_known")
-    )
+    unseen = []
+    for c in CATEGORICAL:
+        if c in requests.columns:  # joined by value; Spark sends the vocabulary along where it is small
+            values = categories.where(F.col("feature") == c).select(F.col("value").alias(c)).distinct().withColumn(f"_known_{c}", F.lit(True))
+            checked = checked.join(values, c, "left")
+            unseen.append(F.when(F.col(c).isNotNull() & F.col(f"_known_{c}").isNull(), F.lit(f"{c} was never seen in training")))
+    told = checked.withColumn("violations", F.concat("violations", F.array_compact(F.array(*unseen))))
+    return told.select(*requests.columns, "violations")
 
 
 def request_features(requests: DataFrame, orders: DataFrame, customers: DataFrame) -> DataFrame:
@@ -131,7 +128,8 @@ def request_features(requests: DataFrame, orders: DataFrame, customers: DataFram
 
     Unknown customers count as first-time buyers of the default segment.
     """
-    history = orders.groupBy("customer_id").agg(rows().alias("n"), F.sum("net_sales").alias("net"))
+    asked = requests.select("customer_id").distinct()
+    history = orders.join(asked, "customer_id", "left_semi").groupBy("customer_id").agg(rows().alias("n"), F.sum("net_sales").alias("net"))
     joined = requests.join(history, "customer_id", "left").join(
         customers.select("customer_id", "customer_segment"), "customer_id", "left"
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retailscope.functions.numeric import money, rows
-from retailscope.functions.ordered import GROUP_ROWS_LIMIT, positions
+from retailscope.functions.ordered import running_totals
 from retailscope.session import staged
 
 QUANTILES = 5
@@ -43,15 +43,20 @@ def quantile_score(position: Column, size: Column, parts: int = QUANTILES) -> Co
     return F.greatest(F.lit(1), ceiling).cast("int")
 
 
-def rfm_scores(orders: DataFrame, rows_limit: int = GROUP_ROWS_LIMIT) -> DataFrame:
-    """Quintile scores: recent, frequent and high-spending customers score 5. Ties go by customer id."""
-    base = staged(rfm_base(orders).withColumn("freshness", -F.col("recency_days")), "rfm")
+def rfm_scores(orders: DataFrame) -> DataFrame:
+    """Quintile scores: recent, frequent and high-spending customers score 5. Ties go by customer id.
+
+    The three measures are ranked together, as three groups of one narrow table.
+    """
+    base = staged(rfm_base(orders), "rfm")
     size = base.agg(rows()).scalar()
-    scored = base
-    for score, measure in (("r_score", "freshness"), ("f_score", "frequency"), ("m_score", "monetary")):
-        placed = positions(scored, [measure, "customer_id"], rows_limit=rows_limit)
-        scored = placed.withColumn(score, quantile_score(F.col("position"), size)).drop("position")
-    return scored.drop("freshness")
+    measures = {"r_score": -F.col("recency_days"), "f_score": F.col("frequency"), "m_score": F.col("monetary")}
+    cells = [F.struct(F.lit(score).alias("score"), value.cast("decimal(30,4)").alias("value")) for score, value in measures.items()]
+    long = base.select("customer_id", F.explode(F.array(*cells)).alias("x")).select("customer_id", "x.score", "x.value")
+    placed = running_totals(long, {"position": F.lit(1).cast("bigint")}, ["value", "customer_id"], ["score"])
+    places = placed.groupBy("customer_id").agg(*[F.max(F.when(F.col("score") == score, F.col("position"))).alias(score) for score in measures])
+    ranked = base.join(places, "customer_id")
+    return ranked.select(*base.columns, *[quantile_score(F.col(score), size).alias(score) for score in measures])
 
 
 def segment() -> Column:

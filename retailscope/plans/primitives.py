@@ -15,6 +15,7 @@ from retailscope.plans.checks import dollars, mean, pct, star
 from retailscope.plans.kpi import TOP_SHARE
 from retailscope.plans.quality import describe_sql
 from retailscope.plans.registry import add
+from retailscope.schemas import schema
 from retailscope.session import shared_folder
 from retailscope.sources import csv, publish, sample
 from retailscope.sources.standin import ITEM_ORDER
@@ -285,20 +286,20 @@ add(
 add(
     "w4_running_sum_in_slices",
     lambda s: running_totals(
-        s.orders().select("sales_channel", "order_id", "net_sales"), {"upto": F.col("net_sales")}, ["order_id"], ["sales_channel"], group_rows_limit=0
+        s.orders().select("sales_channel", "order_id", "net_sales"), {"upto": F.col("net_sales")}, ["order_id"], ["sales_channel"]
     ).select("order_id", money(F.col("upto")).alias("upto")),
     star("SELECT order_id, (sum(net_c) OVER (PARTITION BY sales_channel ORDER BY order_id))::double / 100 AS upto FROM s_orders"),
 )
 add(
     "w5_global_rank",
     lambda s: running_totals(
-        kpi.customer_totals(s.orders()).select("customer_id", "net"), {"rank": F.lit(1).cast("bigint")}, ["net", "customer_id"], group_rows_limit=0
+        kpi.customer_totals(s.orders()).select("customer_id", "net"), {"rank": F.lit(1).cast("bigint")}, ["net", "customer_id"]
     ).select("customer_id", "rank"),
     star("SELECT customer_id, row_number() OVER (ORDER BY sum(net_c), customer_id) AS rank FROM s_orders GROUP BY customer_id"),
 )
 add(
     "w6_quintiles_in_slices",
-    lambda s: segments.rfm_scores(s.orders(), rows_limit=0).groupBy("m_score").agg(rows().alias("customers"), money(F.min("monetary")).alias("least")),
+    lambda s: segments.rfm_scores(s.orders()).groupBy("m_score").agg(rows().alias("customers"), money(F.min("monetary")).alias("least")),
     star(
         """
 , p AS (SELECT customer_id, sum(net_c) AS net, row_number() OVER (ORDER BY sum(net_c), customer_id) AS k, count(*) OVER () AS n FROM s_orders GROUP BY 1),
@@ -541,7 +542,112 @@ add(
     lambda s: csv.split_ratings(order_export(s)).withColumn("rating", F.col("rating").cast("double")),
     star("SELECT order_id, customer_id, rating::double AS rating, review_sentiment FROM s_ratings"),
 )
-add("s7_atomic_load", lambda s: publish.publish(star_tables(s), target(s)).select("table", "rows"), star(counts("customers", "products", "orders", "order_items", "ratings")))
+
+
+def ranges(s):
+    """The tables' rules but for the vocabularies and the least quantity: the stand-in has other values, and orders without items."""
+    kept = {n: quality.table_rules(n, df.columns) for n, df in star_tables(s).items()}
+    return {n: {name: rule for name, rule in own.items() if not name.endswith("is known") and (n, name) != ("orders", "quantity > 0")} for n, own in kept.items()}
+
+
+add("s7_atomic_load", lambda s: publish.publish(star_tables(s), target(s), ranges(s)).select("table", "rows"), star(counts("customers", "products", "orders", "order_items", "ratings")))
+
+
+def exported(df, s, **more):
+    """`df` as a CSV export with the awkward cells that text columns may hold."""
+    path = f"{target(s)}/export"
+    df.withColumns(more).write.option("header", True).option("escape", '"').csv(path)
+    return path
+
+
+def awkward(key: str):
+    """Commas, quotes and line ends inside a text."""
+    k = F.col(key) % 4
+    return F.when(k == 0, F.concat(F.lit('say "'), F.col(key).cast("string"), F.lit('", again'))).when(k == 1, F.concat(F.lit("two\nlines, "), F.col(key).cast("string"))).when(k == 2, F.lit("nan"))
+
+
+def awkward_sql(key: str) -> str:
+    return f"""CASE {key} % 4 WHEN 0 THEN 'say "' || {key} || '", again' WHEN 1 THEN 'two' || chr(10) || 'lines, ' || {key} END"""
+
+
+def customer_file(s):
+    blank = {c: F.lit(None).cast("string") for c in ("customer_city", "customer_state", "customer_postal_code")}
+    df = s.customers().select("customer_id", "customer_age", "gender", "customer_segment", "customer_country", "region", "customer_acquisition_cost")
+    return exported(df, s, **blank, customer_name=awkward("customer_id"), junk=F.lit("x,y"))
+
+
+add(
+    "s1_customer_file",
+    lambda s: csv.load_customers(s.spark, customer_file(s)).select(
+        "customer_id", "customer_name", "customer_age", "gender", "region", "customer_city", F.col("customer_acquisition_cost").cast("double").alias("cost")
+    ),
+    star(f"SELECT customer_id::varchar AS customer_id, {awkward_sql('customer_id')} AS customer_name, customer_age, gender, region, NULL::varchar AS customer_city, cac_c::double / 100 AS cost FROM s_customers"),
+)
+
+
+def product_file(s):
+    blank = {c: F.lit("N/A") for c in ("product_subcategory", "supplier", "product_rating")}
+    return exported(s.products().select("product_id", "product_category", "brand", "unit_price"), s, **blank, product_name=awkward("product_id"), product_cost=F.lit("1.50"))
+
+
+add(
+    "s2_product_file",
+    lambda s: csv.load_products(s.spark, product_file(s)).select(
+        "product_id", "product_name", "product_category", "brand", F.col("unit_price").cast("double").alias("unit_price"), F.col("product_cost").cast("double").alias("product_cost"), "supplier"
+    ),
+    star(f"SELECT product_id::varchar AS product_id, {awkward_sql('product_id')} AS product_name, product_category, brand, price_c::double / 100 AS unit_price, 1.5::double AS product_cost, NULL::varchar AS supplier FROM s_products"),
+)
+
+
+def order_file(s):
+    """The order export with its reviews, which hold commas, quotes and line ends."""
+    have = s.orders(True)
+    blank = {c: F.lit(None).cast("string") for c in schema("orders").fieldNames() if c not in have.columns}
+    rated = s.ratings().select("order_id", F.col("rating").alias("customer_rating"), "review_sentiment")
+    return exported(have.join(rated, "order_id", "left"), s, **blank, customer_review=awkward("order_id"))
+
+
+add(
+    "s3_order_file",
+    lambda s: csv.load_orders(s.spark, order_file(s)).select("order_id", "customer_id", "order_date", "order_status", "sales_channel", "coupon_code", F.col("net_sales").cast("double").alias("net_sales")),
+    star(f"SELECT order_id::varchar AS order_id, customer_id::varchar AS customer_id, order_date, order_status, sales_channel, coupon_code, {dollars('net_c')} AS net_sales FROM s_orders"),
+)
+add(
+    "s3_rating_file",
+    lambda s: csv.load_ratings(s.spark, order_file(s)).select("order_id", "customer_id", F.col("rating").cast("double").alias("rating"), "review_sentiment", "customer_review"),
+    star(f"SELECT order_id::varchar AS order_id, customer_id::varchar AS customer_id, rating::double AS rating, review_sentiment, {awkward_sql('order_id')} AS customer_review FROM s_ratings"),
+)
+
+
+def item_file(s):
+    return exported(s.items(), s, unit_price=F.lit("9.99"), discount_percentage=F.lit("0.1000"), tax_amount=F.lit(""), shipping_cost=F.lit("NULL"))
+
+
+add(
+    "s6_missing_cells",
+    lambda s: csv.load_order_items(s.spark, item_file(s)).agg(
+        rows().alias("items"), F.count("tax_amount").alias("taxes"), F.count("shipping_cost").alias("shipping_costs"), F.count("unit_price").alias("prices"), F.sum("net_sales").cast("double").alias("net_sales")
+    ),
+    star(f"SELECT count(*) AS items, 0::bigint AS taxes, 0::bigint AS shipping_costs, count(*) AS prices, {dollars('sum(net_c)')} AS net_sales FROM s_items"),
+)
+
+
+def statistics_file(s):
+    """The published totals as texts with signs and separators."""
+    one = s.orders().agg(rows().alias("n"), F.count_distinct("customer_id").alias("c"), F.sum("net_sales").alias("net"), F.sum("profit").alias("profit"))
+    dollar = lambda c: F.concat(F.lit("$"), F.format_number(c, 2))
+    texts = {"Total Transactions": F.col("n"), "Total Customers": F.col("c"), "Total Revenue": dollar("net"), "Total Profit": dollar("profit"), "Average Order Value": F.lit("$1,282.50"), "Average Rating": F.lit("3.68"), "Return Rate": F.lit("6.85%"), "Cancellation Rate": F.lit("6.08%")}
+    return exported(one.select(*[t.alias(name) for name, t in texts.items()]), s)
+
+
+add(
+    "s8_published_statistics",
+    lambda s: csv.load_statistics(s.spark, statistics_file(s)),
+    star(
+        f"""SELECT count(*)::double AS total_transactions, count(DISTINCT customer_id)::double AS total_customers, {dollars('sum(net_c)')} AS total_revenue,
+  {dollars('sum(profit_c)')} AS total_profit, 1282.5::double AS avg_order_value, 3.68::double AS avg_rating, 6.85::double AS return_rate, 6.08::double AS cancellation_rate FROM s_orders"""
+    ),
+)
 add(
     "s10_chunk_store",
     lambda s: publish.replace_chunks(

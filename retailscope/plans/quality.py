@@ -367,7 +367,8 @@ SELECT cast(sum(ln) as bigint) AS left_rows, cast(sum(ln) FILTER (rn IS NULL) as
 def new_orders(s):
     """Orders out of the event stream: an event is an order of its user; ids continue or collide with the table."""
     events = s.spark.read.parquet(f"{s.folder}/events.parquet")
-    return events.selectExpr("event_id * 3 AS order_id", "user_id * 7 AS customer_id", "cast(ts as date) AS order_date", "cast(null as string) AS currency")
+    key = "CASE WHEN event_id % 50 = 0 THEN NULL WHEN event_id % 50 = 1 THEN -1 ELSE event_id * 3 END"  # some have no key, some share one
+    return events.selectExpr(f"{key} AS order_id", "user_id * 7 AS customer_id", "cast(ts as date) AS order_date", "cast(null as string) AS currency")
 
 
 def inserted(s):
@@ -376,8 +377,9 @@ def inserted(s):
 
 
 BATCH = """
-, b AS (SELECT event_id * 3 AS order_id, user_id * 7 AS customer_id, cast(ts as date) AS order_date FROM events),
-m AS (SELECT b.*, CASE WHEN order_id IN (SELECT order_id FROM s_orders) THEN 'duplicate key'
+, b AS (SELECT CASE WHEN event_id % 50 = 0 THEN NULL WHEN event_id % 50 = 1 THEN -1 ELSE event_id * 3 END AS order_id, user_id * 7 AS customer_id,
+  cast(ts as date) AS order_date FROM events),
+m AS (SELECT b.*, CASE WHEN order_id IS NULL THEN 'key is missing' WHEN order_id = -1 THEN 'duplicate key' WHEN order_id IN (SELECT order_id FROM s_orders) THEN 'duplicate key'
   WHEN customer_id NOT IN (SELECT customer_id FROM s_customers) THEN 'no such customer_id' END AS reason FROM b)"""
 add(
     "q7_insert_batch",
@@ -398,7 +400,7 @@ add(
 def patched(s):
     """Supplier rows as customer patches: every one renames, half of them also clear the age."""
     patches = s.raw("supplier").selectExpr(
-        "s_suppkey * 20 AS customer_id",
+        "CASE WHEN s_suppkey % 10 = 0 THEN NULL WHEN s_suppkey % 10 = 1 THEN 1 ELSE s_suppkey * 20 END AS customer_id",  # some have no key, some share one
         "if(s_acctbal < 0, array('customer_name', 'customer_age'), array('customer_name')) AS set_fields",
         "s_name AS customer_name",
         "cast(null as int) AS customer_age",
@@ -412,13 +414,19 @@ add(
     lambda s: patched(s).table.withColumn("customer_age", F.coalesce("customer_age", F.lit(-1))),
     star(
         """SELECT customer_id, coalesce(s_name, customer_name) AS customer_name, CASE WHEN s_acctbal < 0 THEN -1 ELSE customer_age END AS customer_age
-FROM s_customers LEFT JOIN supplier ON s_suppkey * 20 = customer_id"""
+FROM s_customers LEFT JOIN supplier ON s_suppkey * 20 = customer_id AND s_suppkey % 10 > 1
+  OR customer_id = 1 AND s_suppkey % 10 = 1 AND (SELECT count(*) FROM supplier WHERE s_suppkey % 10 = 1) = 1"""
     ),
 )
 add(
     "q8_patch_not_found",
     lambda s: patched(s).refused.select("customer_id", "reason"),
-    star("SELECT s_suppkey * 20 AS customer_id, 'not found' AS reason FROM supplier WHERE s_suppkey * 20 NOT IN (SELECT customer_id FROM s_customers)"),
+    star(
+        """, p AS (SELECT CASE WHEN s_suppkey % 10 = 0 THEN NULL WHEN s_suppkey % 10 = 1 THEN 1 ELSE s_suppkey * 20 END AS customer_id FROM supplier),
+n AS (SELECT customer_id, count(*) AS times FROM p GROUP BY 1)
+SELECT customer_id, CASE WHEN customer_id IS NULL THEN 'key is missing' WHEN customer_id NOT IN (SELECT customer_id FROM s_customers) THEN 'not found' ELSE 'key repeats' END AS reason
+FROM p LEFT JOIN n USING (customer_id) WHERE customer_id IS NULL OR customer_id NOT IN (SELECT customer_id FROM s_customers) OR times > 1"""
+    ),
 )
 
 

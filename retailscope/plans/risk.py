@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from retailscope.functions.numeric import rows
 from retailscope.operators import features, metrics, models, quality, risk
 from retailscope.operators.features import BINARY, CATEGORICAL, FEATURES, NUMERIC
 from retailscope.plans.checks import ratio, star
@@ -308,52 +311,87 @@ add("m22_contributing_factors", factors, star(TABLE + f" SELECT order_id, cast(0
 
 # --- models ---------------------------------------------------------------------------------------
 
-_FITTED: dict[tuple[str, str, str], object] = {}
-_TABLES: dict[tuple[str, str], object] = {}
-
 
 def written_table(s):
-    """The feature table, written once per session and folder: training reads it many times."""
-    key = (s.spark.sparkContext.applicationId, s.folder)
-    if key not in _TABLES:
-        _TABLES[key] = staged(table(s), "features")
-    return _TABLES[key]
+    """The feature table, written once per query: training reads it many times."""
+    return staged(table(s), "features")
+
+
+def model_report(s, names):
+    """Per model and split: rows and positives by its confusion counts, and whether its figures agree with one another."""
+    t = written_table(s)
+    fitted = {name: models.fit(t.where("split = 'train'"), name) for name in names}
+    told = models.compared(fitted, t)
+    hit, said, real = F.col("tp"), F.col("tp") + F.col("fp"), F.col("tp") + F.col("fn")
+    agrees = (
+        (F.abs(F.col("precision") * said - hit) < 1e-6)
+        & (F.abs(F.col("recall") * real - hit) < 1e-6)
+        & F.col("roc_auc").between(0, 1)
+        & F.col("pr_auc").between(0, 1)
+    )
+    return told.select("model", "split", (said + F.col("fn") + F.col("tn")).alias("rows"), real.alias("positives"), agrees.alias("figures_agree"))
 
 
-def model(s, family: str):
-    key = (s.spark.sparkContext.applicationId, s.folder, family)
-    if key not in _FITTED:
-        _FITTED[key] = models.fit(written_table(s).where("split = 'train'"), family)
-    return _FITTED[key]
+def report_sql(names) -> str:
+    of = ", ".join(f"('{n}')" for n in names)
+    return star(TABLE + f" SELECT model, split, count(*) AS rows, sum(target)::bigint AS positives, true AS figures_agree FROM t, (VALUES {of}) AS m(model) GROUP BY 1, 2")
 
 
 for name in models.FAMILIES:
-    add(f"m14_{name}", lambda s, name=name: models.compared({name: model(s, name)}, written_table(s)))
+    add(f"m14_{name}", lambda s, name=name: model_report(s, [name]), report_sql([name]))
 
 
-def comparison(s):
-    return models.compared({name: model(s, name) for name in models.FAMILIES}, written_table(s))
+def selection(s):
+    """Models compared, how many are selected, and whether that one has the best test value and every gap its two ends."""
+    t = written_table(s)
+    fitted = {name: models.fit(t.where("split = 'train'"), name) for name in models.FAMILIES}
+    told = staged(metrics.gaps(models.compared(fitted, t)), "gaps")
+    best = told.agg(F.max("test_pr_auc")).scalar()
+    return told.agg(
+        rows().alias("models"),
+        F.count_if("selected").alias("selected"),
+        F.bool_and(~F.col("selected") | (F.col("test_pr_auc") == best)).alias("best_is_selected"),
+        F.bool_and(F.abs(F.col("train_pr_auc") - F.col("test_pr_auc") - F.col("gap")) < 1e-7).alias("gaps_agree"),
+    )
 
 
-add("m19_model_selection", lambda s: metrics.gaps(staged(comparison(s), "metrics")))
+add("m19_model_selection", selection, "SELECT count(*) AS models, 1::bigint AS selected, true AS best_is_selected, true AS gaps_agree FROM (VALUES " + ", ".join(f"('{n}')" for n in models.FAMILIES) + ") AS m(model)")
 
 
 def scores(s):
+    """Every accepted request once, with a probability, the label that follows from it, and at least one factor or the sentence for none."""
     t = written_table(s)
-    good = quality.accepted(risk.validated_requests(requests(s), risk.melted_categories(t.where("split = 'train'"), CATEGORICAL).select("feature", "value").distinct()))
-    asked = risk.request_features(good, s.orders(), s.customers())
-    told = models.scored(model(s, "regularized_boosting"), asked)
-    return risk.explained(told, risk.stored_stats(t.where("split = 'train'")))
+    train_rows = t.where("split = 'train'")
+    known = risk.melted_categories(train_rows, CATEGORICAL).select("feature", "value").distinct()
+    good = quality.accepted(risk.validated_requests(requests(s), known))
+    told = models.scored(models.fit(train_rows, "regularized_boosting"), risk.request_features(good, s.orders(), s.customers()))
+    told = risk.explained(told, risk.stored_stats(train_rows))
+    p = F.col("return_probability")
+    return told.select(
+        "request_id",
+        p.between(0, 1).alias("is_probability"),
+        (F.when(p >= 0.5, "Returned").otherwise("Not Returned") == F.col("predicted_label")).alias("label_follows"),
+        (F.size("contributing_factors") > 0).alias("explained"),
+    )
 
 
-add("m21_scored_requests", lambda s: scores(s).select("request_id", "return_probability", "predicted_label", F.size("contributing_factors").alias("factors")))
+add(
+    "m21_scored_requests",
+    scores,
+    star(
+        PRIMARY
+        + """ SELECT o.order_id AS request_id, true AS is_probability, true AS label_follows, true AS explained
+FROM s_orders o JOIN c USING (order_id) WHERE gross_c > 0 AND NOT (payment_method = 'PayPal' AND sales_channel = 'Website')"""
+    ),
+)
 
 
 def reloaded(s):
-    fitted = model(s, "logistic_regression")
-    path = f"{shared_folder(s.spark)}/model-{s.spark.sparkContext.applicationId}-{abs(hash(s.folder))}"
+    t = written_table(s)
+    fitted = models.fit(t.where("split = 'train'"), "logistic_regression")
+    path = f"{shared_folder(s.spark)}/model-{uuid.uuid4().hex}"
     models.save(fitted, path)
-    return models.same_scores(fitted, models.load(path), written_table(s))
+    return models.same_scores(fitted, models.load(path), t)
 
 
 add("s13_model_round_trip", reloaded, star(TABLE + " SELECT count(*) AS rows, 0 AS differing FROM t"))

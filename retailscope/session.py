@@ -46,11 +46,11 @@ def shared_folder(spark: SparkSession) -> str:
 _STAGED: list[str] = []
 
 
-def staged(df: DataFrame, label: str = "stage") -> DataFrame:
+def staged(df: DataFrame, label: str = "stage", compression: str = "snappy") -> DataFrame:
     """Write `df` to the shared folder and read it back: cuts lineage and survives executor loss."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

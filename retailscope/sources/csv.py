@@ -28,8 +28,13 @@ STATISTICS = {
 
 
 def read_cells(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text, by header name. One record per line, so large files are read in splits."""
-    return spark.read.option("header", True).option("escape", '"').csv(path)
+    """All columns as text, by header name; quoted cells may hold commas, quotes and line ends.
+
+    A record with too many or too few cells fails the load. A file is read by one task, since only its start
+    tells where records begin: exports should come in many files, or be loaded once and kept as tables.
+    """
+    options = {"header": True, "escape": '"', "multiLine": True, "mode": "FAILFAST"}
+    return spark.read.options(**options).csv(path)
 
 
 def cleaned(value: Column) -> Column:

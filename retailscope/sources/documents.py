@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +12,9 @@ def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
     path = f"{folder.rstrip('/')}/*.md"
     try:
         files = spark.read.text(path, wholetext=True)
-    except Exception as error:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         raise FileNotFoundError(f"no .md files in {folder}") from error
     name = F.element_at(F.split(F.col("_metadata.file_name"), "/"), -1)
     return files.select(name.alias("source_file"), F.col("value").alias("text"))

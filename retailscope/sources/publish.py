@@ -23,11 +23,13 @@ FOREIGN_KEYS = (
     ("order_items", "product_id", "products"),
     ("ratings", "order_id", "orders"),
 )
+# columns that only lay out the files
+LAYOUT = ("order_year", "order_month")
 LOAD_ORDER = ("customers", "products", "orders", "order_items", "ratings")
 
 
 class LoadRefused(ValueError):
-    """A staged table breaks a key."""
+    """A staged table breaks a key or a rule."""
 
 
 def write_table(df: DataFrame, path: str, table: str) -> None:
@@ -47,6 +49,8 @@ def key_problems(tables: Mapping[str, DataFrame]) -> DataFrame:
         if name in tables:
             repeated = quality.duplicate_keys(tables[name], [key]).agg(rows().alias("n"))
             found.append(repeated.select(F.lit(f"{name}.{key} repeats").alias("problem"), "n"))
+            missing = tables[name].where(F.col(key).isNull()).agg(rows().alias("n"))
+            found.append(missing.select(F.lit(f"{name}.{key} is missing").alias("problem"), "n"))
     for child, key, parent in FOREIGN_KEYS:
         if child in tables and parent in tables:
             lost = quality.orphans(tables[child].select(key), tables[parent], key).agg(rows().alias("n"))
@@ -57,8 +61,24 @@ def key_problems(tables: Mapping[str, DataFrame]) -> DataFrame:
     return whole.where("n > 0")
 
 
-def publish(tables: Mapping[str, DataFrame], target: str) -> DataFrame:
-    """Write, check and publish the tables; returns (table, rows, path)."""
+def rule_problems(tables: Mapping[str, DataFrame], rules: Mapping[str, quality.Rules]) -> list[tuple[str, int]]:
+    """Rules that rows break, with how many rows; one pass over each table."""
+    found = []
+    for name, df in tables.items():
+        if rules.get(name):
+            broken = quality.violation_counts(df, rules[name]).where("broken > 0").collect()  # one row per rule
+            found += [(f"{name}: {r['rule']}", r["broken"]) for r in broken]
+    return found
+
+
+def publish(tables: Mapping[str, DataFrame], target: str, rules: Mapping[str, quality.Rules] | None = None) -> DataFrame:
+    """Write, check and publish the tables; returns (table, rows, path).
+
+    Keys must be present and unique and their parents there, and every row must keep the rules of its
+    table: `rules` by table name, by default those of the star schema for the columns at hand.
+    """
+    if rules is None:
+        rules = {name: quality.table_rules(name, df.columns) for name, df in tables.items() if name in PRIMARY_KEY or name == "order_items"}
     spark = next(iter(tables.values())).sparkSession
     version = uuid.uuid4().hex
     folder = f"{target.rstrip('/')}/versions/{version}"
@@ -67,9 +87,10 @@ def publish(tables: Mapping[str, DataFrame], target: str) -> DataFrame:
         paths[name] = f"{folder}/{name}"
         write_table(tables[name], paths[name], name)
     written = {name: spark.read.parquet(path) for name, path in paths.items()}
-    problems = key_problems(written).collect() if set(written) & set(PRIMARY_KEY) else []  # at most one row per key
+    problems = [tuple(p) for p in key_problems(written).collect()] if set(written) & set(PRIMARY_KEY) else []  # a few rows per key
+    problems += rule_problems(written, rules)
     if problems:
-        raise LoadRefused("; ".join(f"{p['problem']} ({p['n']})" for p in problems))
+        raise LoadRefused("; ".join(f"{problem} ({n})" for problem, n in problems))
     counts = None
     for name, df in written.items():
         row = df.agg(rows().alias("rows")).select(F.lit(name).alias("table"), "rows", F.lit(paths[name]).alias("path"))
@@ -84,7 +105,7 @@ def published(spark: SparkSession, target: str) -> dict[str, DataFrame]:
     manifest = spark.read.parquet(f"{target.rstrip('/')}/manifest")
     newest = manifest.agg(F.max_by("version", "published_at")).scalar()
     entries = manifest.where(F.col("version") == newest).select("table", "path").collect()  # one row per table
-    return {e["table"]: spark.read.parquet(e["path"]) for e in entries}
+    return {e["table"]: spark.read.parquet(e["path"]).drop(*LAYOUT) for e in entries}
 
 
 def replace_chunks(chunks: DataFrame, target: str) -> DataFrame:

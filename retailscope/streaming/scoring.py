@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from retailscope.operators import models, quality, risk
+from retailscope.session import staged
 
 
 def score_stream(
@@ -17,16 +18,18 @@ def score_stream(
     stats: DataFrame,
     target: str,
     checkpoint: str,
+    categories: DataFrame,
     **trigger,
 ) -> StreamingQuery:
     """Score each micro-batch of `requests` against the stored orders and append it to `target`.
 
-    Refused requests go to `<target>/refused` with their reasons. A batch that is replayed after a
+    `categories` is the training vocabulary (feature, value): values outside it are refused, as in the
+    batch job. Refused requests go to `<target>/refused` with their reasons. A batch that is replayed after a
     failure rewrites its own `batch_id` folder, so nothing is written twice.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        checked = risk.validated_requests(batch)
+        checked = staged(risk.validated_requests(batch, categories), "requests")  # scored and refused rows read it
         features = risk.request_features(quality.accepted(checked), orders, customers)
         told = risk.explained(models.scored(model, features), stats)
         for name, rows in (("scored", told), ("refused", quality.rejected(checked))):

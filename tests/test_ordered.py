@@ -1,4 +1,4 @@
-"""The sliced paths must equal the plain ones, hot groups and NULL groups included."""
+"""Sliced totals and bracketed quantiles against pandas, hot groups and NULL groups included."""
 
 import random
 
@@ -7,7 +7,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from retailscope.functions.ordered import largest_group, positions, quantiles, running_totals
+from retailscope.functions import ordered
+from retailscope.functions.ordered import positions, quantiles, running_totals
 
 
 def hot_rows(n=3000, seed=1):
@@ -22,21 +23,19 @@ def test_grouped_totals_in_slices(spark, current):
     data = hot_rows()
     df = spark.createDataFrame(data, "g string, k bigint, v bigint").repartition(7)
     totals = {"c": F.lit(1).cast("bigint"), "s": F.col("v")}
-    sliced = running_totals(df, totals, ["k"], ["g"], current, group_rows_limit=0).toPandas()
-    plain = running_totals(df, totals, ["k"], ["g"], current).toPandas()
+    got = running_totals(df, totals, ["k"], ["g"], current).toPandas()
     expected = data.sort_values("k").copy()
     by = expected.groupby("g", dropna=False)
     expected["c"] = by.cumcount() + (1 if current else 0)
     expected["s"] = by["v"].cumsum() - (0 if current else expected["v"])
-    for got in (sliced, plain):
-        got = got.sort_values("k").reset_index(drop=True)
-        assert got[["k", "c", "s"]].values.tolist() == expected[["k", "c", "s"]].values.tolist()
+    got = got.sort_values("k").reset_index(drop=True)
+    assert got[["k", "c", "s"]].values.tolist() == expected[["k", "c", "s"]].values.tolist()
 
 
 def test_global_positions_and_sums(spark):
     data = hot_rows(1000)
     df = spark.createDataFrame(data, "g string, k bigint, v bigint").repartition(5)
-    got = running_totals(df, {"p": F.lit(1).cast("bigint"), "s": F.col("v")}, ["v", "k"], group_rows_limit=0).orderBy("p").toPandas()
+    got = running_totals(df, {"p": F.lit(1).cast("bigint"), "s": F.col("v")}, ["v", "k"]).orderBy("p").toPandas()
     expected = data.sort_values(["v", "k"])
     assert got["k"].tolist() == expected["k"].tolist()
     assert got["s"].tolist() == expected["v"].cumsum().tolist()
@@ -45,21 +44,36 @@ def test_global_positions_and_sums(spark):
 
 def test_decimal_sums_keep_their_type(spark):
     df = spark.sql("SELECT id AS k, cast(id as decimal(12,2)) AS v FROM range(10)")
-    for limit in (0, 100):
-        got = running_totals(df, {"s": F.col("v")}, ["k"], include_current=False, group_rows_limit=limit)
-        assert got.schema["s"].dataType.simpleString() == "decimal(22,2)"
-        assert float(got.where("k = 9").first()["s"]) == 36.0
+    got = running_totals(df, {"s": F.col("v")}, ["k"], include_current=False)
+    assert got.schema["s"].dataType.simpleString() == "decimal(22,2)"
+    assert float(got.where("k = 9").first()["s"]) == 36.0
 
 
 def test_positions_of_one_row_and_of_none(spark):
     df = spark.sql("SELECT 5L AS k")
-    assert positions(df, ["k"], rows_limit=0).first()["position"] == 1
-    assert positions(df.where("false"), ["k"], rows_limit=0).count() == 0
-
-
-def test_largest_group(spark):
-    df = spark.createDataFrame(hot_rows(), "g string, k bigint, v bigint")
-    assert largest_group(df, ["g"]) == 1000 and largest_group(df.where("false"), ["g"]) == 0
+    assert positions(df, ["k"]).first()["position"] == 1
+    assert positions(df.where("false"), ["k"]).count() == 0
+
+
+def test_many_slices_of_one_group(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "slice_count", lambda spark: 60)
+    got = positions(spark.range(500).toDF("k").repartition(7), ["k"]).where("position <> k + 1")
+    assert got.count() == 0
+
+
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_brackets_hold_the_quantiles(spark, monkeypatch, by):
+    """More rows than the sketch tells apart, with heavy ties."""
+    monkeypatch.setattr(ordered, "ACCURACY", 100)
+    rng = np.random.default_rng(3)
+    frame = pd.DataFrame({"g": rng.integers(0, 3, 6000), "x": rng.normal(size=6000), "y": rng.integers(0, 4, 6000).astype(float)})
+    df = spark.createDataFrame(frame).repartition(6)
+    ps = [0.0, 0.1, 0.5, 0.75, 0.999, 1.0]
+    got = {(*[r[b] for b in by], r["feature"], r["probability"]): r["quantile"] for r in quantiles(df, ["x", "y"], ps, by).collect()}
+    for key, part in frame.groupby("g") if by else [((), frame)]:
+        for c in ("x", "y"):
+            for p in ps:
+                assert got[(key, c, p) if by else (c, p)] == pytest.approx(np.quantile(part[c], p), abs=1e-9)
 
 
 @pytest.mark.parametrize("size", [1, 2, 5, 100, 1001])

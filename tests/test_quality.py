@@ -152,6 +152,42 @@ def test_products_items_and_statistics_files(spark, tmp_path):
     assert (row["total_transactions"], row["total_revenue"], row["avg_order_value"], row["return_rate"]) == (138116.0, 177134263.74, 1282.5, 6.85)
 
 
+def test_quoted_line_ends_and_broken_records(spark, tmp_path):
+    path = tmp_path / "orders.csv"
+    path.write_text('order_id,customer_id,customer_rating,review_sentiment,customer_review\nO1,C1,4.0,Positive,"fine, but\nthe ""other"" thing"\nO2,C1,,,\n')
+    got = csv.load_ratings(spark, str(path)).collect()
+    assert [(r["order_id"], r["customer_review"]) for r in got] == [("O1", 'fine, but\nthe "other" thing')]
+    path.write_text("order_id,customer_id,customer_rating\nO1,C1,4.0,9,9\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        csv.load_ratings(spark, str(path)).collect()
+
+
+def test_missing_and_repeated_keys_are_refused(spark):
+    table = spark.sql("SELECT * FROM VALUES ('A', 1), ('B', 2) AS t(k, v)")
+    batch = spark.sql("SELECT * FROM VALUES ('C', 3), (cast(null as string), 4), ('D', 5), ('D', 6), ('A', 7), ('E', -1) AS t(k, v)")
+    change = maintenance.insert_batch(table, batch, "k", rules=quality.within("v", 0))
+    assert sorted(tuple(r) for r in change.table.collect()) == [("A", 1), ("B", 2), ("C", 3)]
+    assert sorted((r["v"], r["reason"]) for r in change.refused.collect()) == [(-1, "v >= 0"), (4, "key is missing"), (5, "duplicate key"), (6, "duplicate key"), (7, "duplicate key")]
+    patches = spark.sql("SELECT *, array('v') AS set_fields FROM VALUES ('A', 9), ('B', 8), ('B', 7), (cast(null as string), 6), ('Z', 5) AS t(k, v)")
+    change = maintenance.patch_batch(table, patches, "k", ["v"], quality.within("v", 0))
+    assert sorted(tuple(r) for r in change.table.collect()) == [("A", 9), ("B", 2)]
+    assert sorted((r["v"], r["reason"]) for r in change.refused.collect()) == [(5, "not found"), (6, "key is missing"), (7, "key repeats"), (8, "key repeats")]
+    bad = spark.sql("SELECT 'A' AS k, -3 AS v, array('v') AS set_fields")
+    change = maintenance.patch_batch(table, bad, "k", ["v"], quality.within("v", 0))
+    assert sorted(tuple(r) for r in change.table.collect()) == [("A", 1), ("B", 2)] and change.refused.first()["reason"] == "v >= 0"
+
+
+def test_rules_hold_before_publishing(spark, tmp_path):
+    target = str(tmp_path / "star")
+    with pytest.raises(publish.LoadRefused, match="customers.customer_id is missing"):
+        publish.publish({"customers": spark.sql("SELECT cast(null as string) AS customer_id, 30 AS customer_age")}, target)
+    with pytest.raises(publish.LoadRefused, match="customer_age <= 120"):
+        publish.publish({"customers": spark.sql("SELECT 'C1' AS customer_id, 999 AS customer_age")}, target)
+    orders = spark.sql("SELECT 'O1' AS order_id, date'2024-01-05' AS order_date")
+    publish.publish({"orders": orders}, target)
+    assert publish.published(spark, target)["orders"].columns == orders.columns
+
+
 def test_markdown_folder(spark, tmp_path):
     (tmp_path / "b.md").write_text("# B\ntext")
     (tmp_path / "a.md").write_text("only")

@@ -7,7 +7,7 @@ from tests.compare import compare, connect
 from tests.conftest import SMALL
 
 # fits of whole model families; their parts are tested elsewhere
-SLOW = {n for n in QUERIES if n.startswith("m14_") or n in ("m19_model_selection", "m21_scored_requests", "s13_model_round_trip")}
+SLOW = {"m14_hist_gradient_boosting", "m14_random_forest", "m14_regularized_boosting", "m19_model_selection", "m21_scored_requests"}
 
 
 @pytest.fixture(scope="module")

@@ -72,9 +72,9 @@ def query_frame(spark):
     return spark.createDataFrame(rows, "query_id bigint, embedding array<float>, question string")
 
 
-@pytest.mark.parametrize("shipped", [10, 0])
-def test_guard_on_basis_vectors(spark, shipped):
-    hits = retrieval.top_k_similar(query_frame(spark), chunk_frame(spark), 4, shipped_questions=shipped, block_rows=2)
+@pytest.mark.parametrize("question_bytes", [10_000, 1])
+def test_guard_on_basis_vectors(spark, question_bytes):
+    hits = retrieval.top_k_similar(query_frame(spark), chunk_frame(spark), 4, question_bytes)
     got = {r["query_id"]: (r["best_similarity"], r["kept_hits"], r["guard_triggered"]) for r in retrieval.guard(query_frame(spark), hits).collect()}
     assert got == {100: (1.0, 1, False), 101: (0.0, 0, True), 102: (0.8, 2, False)}
 
@@ -84,8 +84,8 @@ def test_guard_without_any_chunk(spark):
     assert {tuple(r) for r in retrieval.guard(query_frame(spark), hits).collect()} == {(q, 0.0, 0, True) for q in (100, 101, 102)}
 
 
-@pytest.mark.parametrize("shipped,block", [(1000, 64), (0, 7), (0, 1000)])
-def test_top_k_equals_brute_force(spark, shipped, block):
+@pytest.mark.parametrize("question_bytes", [10_000, 70])
+def test_top_k_equals_brute_force(spark, question_bytes):
     rng = np.random.default_rng(6)
     chunks = np.round(rng.normal(size=(90, 4)), 1)
     chunks[10] = chunks[11] = chunks[3]  # ties go to the smaller id
@@ -93,7 +93,7 @@ def test_top_k_equals_brute_force(spark, shipped, block):
     queries = np.round(rng.normal(size=(12, 4)), 1)
     c = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(chunks)], "chunk_id bigint, embedding array<float>").repartition(5)
     q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(queries)], "query_id bigint, embedding array<float>")
-    got = [(r["query_id"], r["rank"], r["chunk_id"]) for r in retrieval.top_k_similar(q, c, 5, shipped, block).collect()]
+    got = [(r["query_id"], r["rank"], r["chunk_id"]) for r in retrieval.top_k_similar(q, c, 5, question_bytes).collect()]
     c32, q32 = chunks.astype(np.float32).astype(float), queries.astype(np.float32).astype(float)
     want = []
     for i, v in enumerate(q32):
@@ -103,6 +103,15 @@ def test_top_k_equals_brute_force(spark, shipped, block):
     assert sorted(got) == sorted(want)
 
 
+def test_odd_vectors_take_no_part(spark):
+    odd = [(50, [1.0, 0.0]), (51, None), (52, [0.0] * 8), (53, [float("nan")] * 8), (54, [])]
+    chunks = chunk_frame(spark).select("chunk_id", "embedding").union(spark.createDataFrame(odd, "chunk_id bigint, embedding array<float>"))
+    queries = query_frame(spark).select("query_id", "embedding").union(spark.createDataFrame([(200, [2.0, 0.0]), (201, None), (202, [])], "query_id bigint, embedding array<float>"))
+    for search in (retrieval.top_k_similar, retrieval.approximate_top_k):
+        got = {(r["query_id"], r["chunk_id"]) for r in search(queries, chunks, 1).collect()}
+        assert {(100, 0), (200, 50)} <= got and {c for _, c in got} <= {*range(6), 50}
+
+
 def test_answers_are_routed(spark):
     queries, chunks = query_frame(spark), chunk_frame(spark)
     hits = retrieval.top_k_similar(queries, chunks, 2)

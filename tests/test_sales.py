@@ -113,15 +113,15 @@ def expected_order(descending):
 
 
 @pytest.mark.parametrize("direction", ["asc", "desc"])
-@pytest.mark.parametrize("deep", [False, True])
-def test_pages_partition_the_rows(spark, monkeypatch, direction, deep):
-    if deep:
-        monkeypatch.setattr(filters, "TOP_ROWS_LIMIT", 0)
+@pytest.mark.parametrize("threshold", ["1000", "1"])
+def test_pages_partition_the_rows(spark, direction, threshold):
+    spark.conf.set("spark.sql.execution.topKSortFallbackThreshold", threshold)
     seen = []
     for number in (1, 2, 3, 4):
         got = page(paged(spark), "k", "v", direction, number, 15).collect()
         assert all((r["total"], r["pages"]) == (53, 4) for r in got)
         seen += [(r["k"], r["v"]) for r in got]
+    spark.conf.unset("spark.sql.execution.topKSortFallbackThreshold")
     assert seen == expected_order(direction == "desc")
 
 
@@ -148,8 +148,8 @@ def brute_pairs(baskets_by_order, min_support, limit):
 
 
 @pytest.mark.parametrize("limit", [3, 40])
-@pytest.mark.parametrize("large", [4, 1000])
-def test_pairs_with_large_baskets(spark, limit, large):
+@pytest.mark.parametrize("block", [5, 1000])
+def test_pairs_with_large_baskets(spark, limit, block):
     import random
 
     rng = random.Random(5)
@@ -157,5 +157,5 @@ def test_pairs_with_large_baskets(spark, limit, large):
     contents.update({o: [rng.randrange(40) for _ in range(30)] for o in range(40, 43)})
     items = spark.createDataFrame([(o, p) for o, ps in contents.items() for p in ps], "order_id bigint, product_id bigint")
     orders = items.select("order_id").distinct()
-    got = baskets.cross_sell_pairs(items, orders, 2, limit, large_basket=large, block=5).collect()
+    got = baskets.cross_sell_pairs(items, orders, 2, limit, block=block).collect()
     assert [(r[0], r[1], r[2]) for r in got] == brute_pairs(contents, 2, limit)
