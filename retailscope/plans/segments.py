@@ -171,7 +171,7 @@ SELECT r.n AS total_ratings, {ratio('r.tenths', '10 * r.n')} AS avg_rating, {pct
 def narrative(s):
     stats = reports.orders_stats(s.orders(True), s.items(), s.products())
     told = reports.orders_narrative(stats)
-    return told.select("summary", F.explode("key_insights").alias("insight"))
+    return told.select("summary", F.explode(F.concat("key_insights", "recommendations")).alias("insight"))
 
 
 add(
@@ -189,7 +189,9 @@ SELECT summary, '''' || c.k || ''' is the top-revenue category at ' || cast(roun
   || '% of total revenue.' AS insight FROM w, t, c
 UNION ALL SELECT summary, '''' || r.k || ''' is the top-revenue region at ' || cast(round_even(100 * {dollars('r.v')} / {dollars('t.net')}, 2) as varchar)
   || '% of total revenue.' FROM w, t, r
-UNION ALL SELECT summary, '''' || h.k || ''' is the leading sales channel by revenue.' FROM w, h"""
+UNION ALL SELECT summary, '''' || h.k || ''' is the leading sales channel by revenue.' FROM w, h
+UNION ALL SELECT summary, 'Investigate the ' || format('{{:.2f}}', {pct('b', 'n')}) || '% return rate for cost-reduction opportunities.' FROM w, t
+UNION ALL SELECT summary, 'Consider concentrating marketing spend toward ''' || r.k || ''' and ''' || c.k || ''', the current top performers.' FROM w, r, c"""
     ),
 )
 def filled(template: str, **parts: str) -> str:
@@ -264,6 +266,25 @@ RATING_NUMBERS = {
     "highest": rate_cells("p DESC, product_category"),
     "lowest": rate_cells("p, product_category DESC"),
 }
+add(
+    "p7_ratings_narrative",
+    lambda s: reports.ratings_narrative(reports.ratings_stats(s.orders(), s.items(), s.products(), s.ratings())).select(
+        "summary", F.explode(F.concat("key_insights", "recommendations")).alias("insight")
+    ),
+    star(
+        f"""
+, g AS (SELECT product_category, count(*) AS n, count(return_status) AS b FROM (SELECT DISTINCT order_id, product_category FROM s_items
+  JOIN s_products USING (product_id)) JOIN s_orders USING (order_id) GROUP BY 1),
+d AS (SELECT product_category, {pct('b', 'n')} AS p FROM g), r AS (SELECT count(*) AS n, sum(tenths) AS tenths FROM s_ratings),
+o AS (SELECT count(*) AS n, count(return_status) AS b FROM s_orders),
+hi AS (SELECT * FROM d ORDER BY p DESC, product_category LIMIT 1), lo AS (SELECT * FROM d ORDER BY p, product_category DESC LIMIT 1),
+w AS (SELECT format('{{:,}}', r.n) || ' ratings collected, averaging ' || {two(ratio('r.tenths', '10 * r.n'))} || '/5, against an overall return rate of '
+  || {two(pct('o.b', 'o.n'))} || '%.' AS summary FROM r, o)
+SELECT summary, '''' || product_category || ''' has the highest return rate at ' || {two('p')} || '%.' AS insight FROM w, hi
+UNION ALL SELECT summary, '''' || product_category || ''' has the lowest return rate at ' || {two('p')} || '%.' FROM w, lo
+UNION ALL SELECT summary, 'Review product quality/listing accuracy for ''' || product_category || '''.' FROM w, hi"""
+    ),
+)
 add(
     "p8_ratings_prompt",
     lambda s: reports.ratings_prompt(reports.ratings_stats(s.orders(), s.items(), s.products(), s.ratings())),
@@ -293,11 +314,13 @@ ABOUT = {"name": "segment", "count": "customer_count", "spend": SPEND, "recency"
 SCORED = {"customers": "format('{:,}', n)", "as_of": "as_of", "count": "parts"}
 add(
     "p7_segments_narrative",
-    lambda s: reports.segments_narrative(segment_stats(s)).select("summary", F.explode("key_insights").alias("insight")),
+    lambda s: reports.segments_narrative(segment_stats(s)).select("summary", F.explode(F.concat("key_insights", "recommendations")).alias("insight")),
     star(
         SEGMENTS
         + f""" SELECT {filled(reports.SEGMENTS_SUMMARY, **SCORED)} AS summary, CASE WHEN k = 1 THEN {filled(reports.TOP_SEGMENT, **ABOUT)}
-  ELSE {filled(reports.OTHER_SEGMENTS, **ABOUT)} END AS insight FROM g, t WHERE k <= 4"""
+  ELSE {filled(reports.OTHER_SEGMENTS, **ABOUT)} END AS insight FROM g, t WHERE k <= 4
+UNION ALL SELECT {filled(reports.SEGMENTS_SUMMARY, **SCORED)}, unnest(['Prioritize retention offers for the ''At Risk'' segment before they lapse into ''Lost''.',
+  'Target the ''New'' segment with onboarding/second-purchase incentives.']) FROM t"""
     ),
 )
 SEGMENT_CELLS = cells(

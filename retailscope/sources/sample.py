@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from retailscope.session import staged
+
 
 def shuffled(key: str, seed: int) -> Column:
     """A fixed pseudo-random order of the rows."""
@@ -16,7 +18,8 @@ def shuffled(key: str, seed: int) -> Column:
 def sample_star(tables: Mapping[str, DataFrame], orders: int = 300, extra: int = 20, seed: int = 42) -> dict[str, DataFrame]:
     """`orders` random orders with their items, ratings, customers and products, and a few unreferenced
     customers and products."""
-    chosen = tables["orders"].orderBy(shuffled("order_id", seed), "order_id").limit(orders)
+    picked = tables["orders"].select("order_id").orderBy(shuffled("order_id", seed), "order_id").limit(orders)
+    chosen = tables["orders"].join(staged(picked, "sample-keys"), "order_id", "left_semi")
     items = tables["order_items"].join(chosen.select("order_id"), "order_id", "left_semi")
 
     def referenced(name: str, key: str, users: DataFrame) -> DataFrame:
