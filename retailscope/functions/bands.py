@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Inclusive upper bounds and labels; the last label has no upper bound.
-AGE_BANDS = ((24, "18-24"), (34, "25-34"), (44, "35-44"), (54, "45-54"), (64, "55-64"), (None, "65+"))
+AGE_BANDS = ((17, "under 18"), (24, "18-24"), (34, "25-34"), (44, "35-44"), (54, "45-54"), (64, "55-64"), (None, "65+"))
 RATING_BANDS = (
     ("2.4", "poor (up to 2.4)"),
     ("2.9", "2.5-2.9"),
@@ -17,7 +17,7 @@ RATING_BANDS = (
     ("4.4", "4.0-4.4"),
     (None, "excellent (4.5-5.0)"),
 )
-DELIVERY_DAY_BANDS = ((2, "0-2 days"), (5, "3-5 days"), (8, "6-8 days"), (None, "9+ days"))
+DELIVERY_DAY_BANDS = (("-0.01", "negative"), (2, "0-2 days"), (5, "3-5 days"), (8, "6-8 days"), (None, "9+ days"))
 DELAY_BANDS = ((-1, "early"), (0, "on the day"), (2, "1-2 days late"), (5, "3-5 days late"), (None, "6+ days late"))
 
 
@@ -29,10 +29,3 @@ def band(value: Column, bounds: Sequence[tuple]) -> Column:
         label = F.when(hit, name) if label is None else label.when(hit, name)
     return label
 
-
-def band_sql(value: str, bounds: Sequence[tuple]) -> str:
-    arms = " ".join(
-        f"WHEN {value} IS NOT NULL THEN '{name}'" if bound is None else f"WHEN {value} <= {bound} THEN '{name}'"
-        for bound, name in bounds
-    )
-    return f"CASE {arms} END"

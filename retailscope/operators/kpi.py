@@ -532,12 +532,9 @@ def return_rate_vs_company(orders: DataFrame, dim: str) -> DataFrame:
 
 def top_categories_per(items: DataFrame, products: DataFrame, orders: DataFrame, dim: str, n: int = 3) -> DataFrame:
     """The n categories with most item revenue within each value of an order dimension."""
-    lines = items.select("order_id", "product_id", "net_sales").join(
-        products.select("product_id", "product_category"), "product_id"
-    )
-    sums = (
-        lines.join(orders.select("order_id", dim), "order_id").groupBy(dim, "product_category").agg(F.sum("net_sales").alias("net"))
-    )
+    lines = items.select("order_id", "product_id", "net_sales").join(orders.select("order_id", dim), "order_id")
+    by_product = lines.groupBy(dim, "product_id").agg(F.sum("net_sales").alias("net"))
+    sums = by_product.join(products.select("product_id", "product_category"), "product_id").groupBy(dim, "product_category").agg(F.sum("net").alias("net"))
     place = F.row_number().over(Window.partitionBy(dim).orderBy(F.desc("net"), "product_category"))
     return (
         sums.withColumn("rank", place)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from retailscope.functions import bands
 from retailscope.operators import baskets, features, kpi, sales
 from retailscope.plans.checks import dollars, mean, pct, ratio, star
 from retailscope.plans.registry import add
@@ -142,9 +141,19 @@ CUSTOMER_KPI = """
 g AS (SELECT {dim} AS {name}, count(*) AS customers, count(orders) AS active_customers, sum(orders) AS orders, sum(net) AS net,
   sum(gain) AS gain, sum(returned_orders) AS returned_orders FROM s_customers LEFT JOIN t USING (customer_id) GROUP BY 1)
 SELECT {name}, customers, active_customers, {share} AS customer_share_pct, {shown} FROM g"""
+# the limits once more, written out
+AGE_SQL = """CASE WHEN customer_age < 18 THEN 'under 18' WHEN customer_age < 25 THEN '18-24' WHEN customer_age < 35 THEN '25-34' WHEN customer_age < 45 THEN '35-44'
+  WHEN customer_age < 55 THEN '45-54' WHEN customer_age < 65 THEN '55-64' WHEN customer_age >= 65 THEN '65+' END"""
+RATING_SQL = """CASE WHEN rating >= 4.5 THEN 'excellent (4.5-5.0)' WHEN rating >= 4.0 THEN '4.0-4.4' WHEN rating >= 3.5 THEN '3.5-3.9' WHEN rating >= 3.0 THEN '3.0-3.4'
+  WHEN rating >= 2.5 THEN '2.5-2.9' WHEN rating < 2.5 THEN 'poor (up to 2.4)' END"""
+DAYS_SQL = """CASE WHEN delivery_days > 8 THEN '9+ days' WHEN delivery_days > 5 THEN '6-8 days' WHEN delivery_days > 2 THEN '3-5 days' WHEN delivery_days >= 0 THEN '0-2 days'
+  WHEN delivery_days < 0 THEN 'negative' END"""
+DELAY_SQL = """CASE WHEN delivery_days - estimated_delivery_days > 5 THEN '6+ days late' WHEN delivery_days - estimated_delivery_days > 2 THEN '3-5 days late'
+  WHEN delivery_days - estimated_delivery_days > 0 THEN '1-2 days late' WHEN delivery_days - estimated_delivery_days > -1 THEN 'on the day'
+  WHEN delivery_days - estimated_delivery_days <= -1 THEN 'early' END"""
 for key, name, dim, sql in (
     ("k13_segments", "customer_segment", "customer_segment", "customer_segment"),
-    ("k15_age_bands", "age_band", None, bands.band_sql("customer_age", bands.AGE_BANDS)),
+    ("k15_age_bands", "age_band", None, AGE_SQL),
     ("k15_gender", "gender", "gender", "gender"),
     ("k38_countries", "customer_country", "customer_country", "customer_country"),
 ):
@@ -395,7 +404,7 @@ SELECT {name}, rated_orders, {pct('rated_orders', 'sum(rated_orders) OVER ()')}
 
 
 JOINED = "s_ratings JOIN s_orders USING (order_id)"
-add("k40_rating_bands", lambda s: kpi.rating_by(s.ratings(), kpi.rating_band()), rating_sql(bands.band_sql("rating", bands.RATING_BANDS), "rating_band"))
+add("k40_rating_bands", lambda s: kpi.rating_by(s.ratings(), kpi.rating_band()), rating_sql(RATING_SQL, "rating_band"))
 add("k41_sentiment", lambda s: kpi.rating_by(s.ratings(), "review_sentiment"), rating_sql("review_sentiment", "review_sentiment"))
 add(
     "k41_sentiment_check",
@@ -416,7 +425,7 @@ add(
 add(
     "k43_rating_by_delivery_days",
     lambda s: kpi.rating_by(sales.rated_orders(s.ratings(), s.orders()), kpi.delivery_day_band()),
-    rating_sql(bands.band_sql("delivery_days", bands.DELIVERY_DAY_BANDS), "delivery_band", JOINED),
+    rating_sql(DAYS_SQL, "delivery_band", JOINED),
 )
 add(
     "k44_rating_by_segment",
@@ -478,5 +487,5 @@ JOIN s_orders o USING (order_id) WHERE return_status IS NOT NULL GROUP BY 1, 2""
 add(
     "z6_delay_vs_rating",
     lambda s: kpi.rating_by(sales.rated_orders(s.ratings(), s.orders()), kpi.delay_band()),
-    rating_sql(bands.band_sql("(delivery_days - estimated_delivery_days)", bands.DELAY_BANDS), "delay_band", JOINED),
+    rating_sql(DELAY_SQL, "delay_band", JOINED),
 )
