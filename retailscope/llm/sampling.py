@@ -36,7 +36,7 @@ MARK = "▁"
 SHARPNESS = 2.0
 SAMPLES = 2
 #: Documents whose lattices are built together.
-PART = 300
+PART = 1_000
 
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -118,22 +118,23 @@ class Lattice:
         word = np.repeat(np.arange(len(words)), size + 1)
         left = size[word] - (np.arange(total) - first[word])  # 0 at a word's last node
         spread = mixed(code)
-        gram = np.zeros(total, np.uint64)
         sources, steps, kinds = [], [], []
         single = np.zeros(total, bool)
+        at = np.flatnonzero(left > 0)
+        gram = np.zeros(len(at), np.uint64)
         with np.errstate(over="ignore"):
             for n in range(1, min(vocabulary.longest, int(size.max(initial=0))) + 1):
-                following = np.zeros(total, np.uint64)
-                following[: total - n + 1] = spread[n - 1 :]
-                gram = gram * _BASE + following
+                if n > 1:  # only places with n characters left go on
+                    more = left[at] >= n
+                    at, gram = at[more], gram[more]
+                gram = gram * _BASE + spread[at + n - 1]
                 if n not in vocabulary.lengths:
                     continue
                 hashes, ids = vocabulary.lengths[n]
-                at = np.flatnonzero(left >= n)
-                place = np.minimum(np.searchsorted(hashes, gram[at]), len(hashes) - 1)
-                hit = hashes[place] == gram[at]
+                place = np.minimum(np.searchsorted(hashes, gram), len(hashes) - 1)
+                hit = np.flatnonzero(hashes[place] == gram)
                 sources.append(at[hit])
-                steps.append(np.full(int(hit.sum()), n))
+                steps.append(np.full(len(hit), n))
                 kinds.append(ids[place[hit]])
                 if n == 1:
                     single[at[hit]] = True
@@ -142,23 +143,25 @@ class Lattice:
         steps.append(np.ones(len(bare), np.int64))
         kinds.append(-1 - code[bare].astype(np.int64))  # a character's bytes
         source, step, kind = np.concatenate(sources), np.concatenate(steps), np.concatenate(kinds)
-        order = np.lexsort((kind, step, source, left[source]))
+        order = np.argsort(source, kind="stable")
         source, step, kind = source[order], step[order], kind[order]
         weight = np.where(kind >= 0, vocabulary.weight[np.maximum(kind, 0)], vocabulary.byte_weight * utf8_length(-1 - kind))
         beyond = np.zeros(total)
-        levels = np.flatnonzero(np.diff(left[source], prepend=-1))
+        far = left[source]
+        order = np.argsort(far.astype(np.int16) if far.max(initial=0) < 32_768 else far, kind="stable")  # nodes near the end first
+        far, source_, onward, weight_ = far[order], source[order], (source + step)[order], weight[order]
+        levels = np.flatnonzero(np.diff(far, prepend=-1))
         for a, b in zip(levels, [*levels[1:], len(source)][: len(levels)], strict=True):
-            values = weight[a:b] + beyond[source[a:b] + step[a:b]]
-            heads = np.flatnonzero(np.diff(source[a:b], prepend=-1))
-            beyond[source[a:b][heads]] = np.logaddexp.reduceat(values, heads)
-        order = np.argsort(source, kind="stable")
-        self.source, self.target, self.kind = source[order], (source + step)[order], kind[order]
-        self.log = weight[order] + beyond[self.target] - beyond[self.source]
+            heads = np.flatnonzero(np.diff(source_[a:b], prepend=-1))
+            beyond[source_[a:b][heads]] = np.logaddexp.reduceat(weight_[a:b] + beyond[onward[a:b]], heads)
+        self.source, self.target, self.kind = source, source + step, kind
+        self.log = weight + beyond[self.target] - beyond[source]
         self.begin = np.searchsorted(self.source, np.arange(total + 1))
+        self.degree = np.diff(self.begin)
         upto = np.cumsum(np.exp(self.log))
         before = np.concatenate([[0.0], upto])[self.begin[self.source]]
         share = (upto - before) / np.maximum(upto[self.begin[self.source + 1] - 1] - before, 1e-300)
-        share[self.begin[1:][np.diff(self.begin) > 0] - 1] = 1.0
+        share[self.begin[1:][self.degree > 0] - 1] = 1.0
         #: Ascending over all edges: the node plus the share of its edges up to this one.
         self.ladder = self.source + share
         self.entry, self.left = first, left
@@ -167,6 +170,7 @@ class Lattice:
         """Edges from each node to the end of its word: (lane, edge), by lane and then in order."""
         lanes, edges = [], []
         live = np.flatnonzero(self.left[nodes] > 0)
+        live = live[np.argsort(nodes[live])]  # equal words side by side: look-ups stay near one another
         nodes, keys = nodes[live], keys[live]
         step = np.uint64(1)
         while len(live):
@@ -193,8 +197,9 @@ def utf8_length(codes: np.ndarray) -> np.ndarray:
 class Search:
     """Best-first search over one text's lattice: paths taken and the values of what leaves them."""
 
-    def __init__(self, lattice: Lattice, key: int, value: float, lanes: np.ndarray, edges: np.ndarray):
-        self.lattice, self.key, self.drawn = lattice, np.uint64(key), 0
+    def __init__(self, lattice: Lattice, key: int, value: float, lanes: np.ndarray, edges: np.ndarray, most: int):
+        self.lattice, self.drawn, self.most = lattice, 0, most
+        self.own = mixed(np.array([key ^ 0xA5A5], np.uint64))
         self.frontier: list[tuple[float, int, int, float]] = []
         self.paths: list[tuple[np.ndarray, np.ndarray]] = []
         self.values: list[float] = []
@@ -203,7 +208,7 @@ class Search:
 
     def uniforms(self, count: int) -> np.ndarray:
         with np.errstate(over="ignore"):
-            out = uniform(mixed(np.array([self.key ^ np.uint64(0xA5A5)], np.uint64)) + np.arange(self.drawn, self.drawn + count, dtype=np.uint64) * _ODD)
+            out = uniform(self.own + np.arange(self.drawn, self.drawn + count, dtype=np.uint64) * _ODD)
         self.drawn += count
         return out
 
@@ -212,18 +217,23 @@ class Search:
         number = len(self.paths)
         self.paths.append((lanes, edges))
         self.values.append(value)
-        logs = self.lattice.log[edges[fresh:]]
-        if not len(logs):
-            return
-        upto = before + np.cumsum(logs) - logs
-        with np.errstate(divide="ignore"):
-            loc = upto + np.log(np.maximum(-np.expm1(np.minimum(logs, 0.0)), 0.0))
-        loc[np.diff(self.lattice.begin)[self.lattice.source[edges[fresh:]]] == 1] = -np.inf
-        values = below(value, loc, self.uniforms(len(loc)))
-        # only the largest of a path can be next, and after it the next largest
-        for k in np.argsort(-values)[:SEARCHED]:
-            if np.isfinite(values[k]):
-                heapq.heappush(self.frontier, (-float(values[k]), number, fresh + int(k), float(upto[k])))
+        found: list[tuple[float, int, float]] = []
+        for at in range(fresh, len(edges), STRETCH):
+            some = edges[at : at + STRETCH]
+            logs = self.lattice.log[some]
+            upto = before + np.cumsum(logs) - logs
+            with np.errstate(divide="ignore"):
+                loc = upto + np.log(np.maximum(-np.expm1(np.minimum(logs, 0.0)), 0.0))
+            loc[self.lattice.degree[self.lattice.source[some]] == 1] = -np.inf
+            values = below(value, loc, self.uniforms(len(loc)))
+            # of a path, only the largest can be next, and after it the next largest
+            best = np.argsort(-values)[: self.most]
+            found = sorted(found + [(-float(values[k]), at + int(k), float(upto[k])) for k in best if np.isfinite(values[k])])[: self.most]
+            before += float(logs.sum())
+            if len(found) == self.most and before + NOISE < -found[-1][0]:
+                break  # what leaves further on is less likely than any draw can make up for
+        for negative, place, prior in found:
+            heapq.heappush(self.frontier, (negative, number, place, prior))
 
     def branch(self) -> tuple[float, int, int, int, float] | None:
         """Leave the path with the largest value: (value, path, place, edge taken, log-probability before)."""
@@ -245,8 +255,9 @@ class Search:
         return -value, number, place, edge, before
 
 
-#: Values of one path that the search keeps; more than it can ever take while `k` is at most this.
-SEARCHED = 64
+#: Nodes of a path looked at together, and more than a draw can add to a log-probability (its number is below 1 - 2^-54).
+STRETCH = 256
+NOISE = 38.0
 
 
 def below(most: float, loc: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -257,8 +268,6 @@ def below(most: float, loc: np.ndarray, u: np.ndarray) -> np.ndarray:
 
 def sample_texts(vocabulary: Vocabulary, texts: list[str], keys: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text up to k of (ids, log-probability, perturbed value, inclusion), largest value first."""
-    if k > SEARCHED:
-        raise ValueError(f"at most {SEARCHED} samples of a text")
     units = [_UNIT.findall(vocabulary.normal(t)) if t else [] for t in texts]
     coded = pa.array([u for own in units for u in own], pa.large_string()).dictionary_encode()
     at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -275,7 +284,7 @@ def sample_texts(vocabulary: Vocabulary, texts: list[str], keys: np.ndarray, k:
     lane, edge = lattice.draw(lattice.entry[at], lane_keys(row, unit, 0))
     bounds = np.searchsorted(lane, np.concatenate([[0], ends]))
     gumbels = -np.log(-np.log(uniform(mixed(keys ^ np.uint64(0x5A5A)))))
-    searches = [Search(lattice, int(keys[r]), float(gumbels[r]), lane[bounds[r] : bounds[r + 1]], edge[bounds[r] : bounds[r + 1]]) for r in range(len(texts))]
+    searches = [Search(lattice, int(keys[r]), float(gumbels[r]), lane[bounds[r] : bounds[r + 1]], edge[bounds[r] : bounds[r + 1]], k) for r in range(len(texts))]
     for sample in range(1, k):
         left = [(r, b) for r, s in enumerate(searches) if (b := s.branch())]
         if not left:
@@ -312,8 +321,11 @@ def sample_texts(vocabulary: Vocabulary, texts: list[str], keys: np.ndarray, k:
 
 def ids_of(vocabulary: Vocabulary, kinds: np.ndarray) -> np.ndarray:
     """Piece ids; a character that is no piece becomes its bytes."""
-    if not (kinds < 0).any():
+    bare = kinds < 0
+    if not bare.any():
         return kinds
+    if kinds[bare].min() >= -128:  # ASCII: a byte each
+        return np.where(bare, vocabulary.bytes_id[np.where(bare, -1 - kinds, 0)], kinds)
     return np.array([i for kind in kinds.tolist() for i in ([kind] if kind >= 0 else vocabulary.bytes_id[list(chr(-1 - kind).encode())].tolist())], np.int64)
 
 
