@@ -63,6 +63,9 @@ def insert_batch(
         reason = reason.when(~F.coalesce(rule, F.lit(True)), name)
     marked = marked.withColumn("reason", reason)
     good = marked.where("reason is null").select(*batch.columns)
+    if "created_at" in table.columns:  # new rows are stamped unless they say when they were made
+        told = F.col("created_at") if "created_at" in batch.columns else F.lit(None)
+        good = good.withColumn("created_at", F.coalesce(told, F.current_timestamp()).cast(table.schema["created_at"].dataType))
     bad = marked.where("reason is not null").select(*batch.columns, "reason")
     return Change(table.unionByName(good, allowMissingColumns=True), bad)
 

@@ -95,6 +95,11 @@ def split_ratings(order_export: DataFrame, rating: str = "customer_rating") -> D
     )
 
 
+def with_rating_ids(ratings: DataFrame) -> DataFrame:
+    """Adds `rating_id` 1, 2, 3 … in the order of order_id; an order has one rating at most."""
+    return positions(ratings, ["order_id"], "rating_id")
+
+
 def load_ratings(spark: SparkSession, path: str) -> DataFrame:
     return split_ratings(missing_to_null(read_cells(spark, path)))
 

@@ -177,6 +177,19 @@ def test_missing_and_repeated_keys_are_refused(spark):
     assert sorted(tuple(r) for r in change.table.collect()) == [("A", 1), ("B", 2)] and change.refused.first()["reason"] == "v >= 0"
 
 
+def test_new_rows_are_stamped(spark):
+    table = spark.sql("SELECT 'A' AS k, timestamp'2020-01-01 00:00:00' AS created_at")
+    change = maintenance.insert_batch(table, spark.sql("SELECT 'B' AS k"), "k")
+    assert change.table.where("created_at is null").count() == 0 and change.table.schema["created_at"].dataType.typeName() == "timestamp"
+    told = maintenance.insert_batch(table, spark.sql("SELECT 'B' AS k, timestamp'2021-01-01 00:00:00' AS created_at"), "k").table
+    assert told.where("year(created_at) = 2021").count() == 1
+
+
+def test_rating_ids_follow_the_orders(spark):
+    ratings = spark.sql("SELECT * FROM VALUES ('O3', 4.0), ('O1', 5.0), ('O2', 1.0) AS t(order_id, rating)")
+    assert sorted((r["rating_id"], r["order_id"]) for r in csv.with_rating_ids(ratings).collect()) == [(1, "O1"), (2, "O2"), (3, "O3")]
+
+
 def test_rules_hold_before_publishing(spark, tmp_path):
     target = str(tmp_path / "star")
     with pytest.raises(publish.LoadRefused, match="customers.customer_id is missing"):
