@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ MARK = "▁"
 SHARPNESS = 2.0
 SAMPLES = 2
 #: Documents whose lattices are built together.
-PART = 1_000
+PART = 2_000
 
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -57,6 +58,39 @@ def uniform(x: np.ndarray) -> np.ndarray:
     return ((mixed(x) >> np.uint64(12)).astype(np.float64) + 0.5) / 2.0**52
 
 
+class Table:
+    """Ids by hash: each hash has its place in one of two arrays, told by different bits of it."""
+
+    def __init__(self, hashes: np.ndarray, ids: np.ndarray):
+        self.bits = 18
+        while True:
+            self.places = [np.full(1 << self.bits, len(hashes), np.int32) for _ in range(2)]
+            first, second = self.where(hashes)
+            _, kept = np.unique(first, return_index=True)
+            rest = np.setdiff1d(np.arange(len(hashes)), kept)
+            self.places[0][first[kept]] = kept
+            self.places[1][second[rest]] = rest
+            if len(np.unique(second[rest])) == len(rest):
+                break
+            self.bits += 1
+        self.hashes, self.ids = np.append(hashes, ~hashes[:1]), np.append(ids, -1).astype(np.int32)
+
+    def where(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        bits = np.uint64(self.bits)
+        return (hashes >> (np.uint64(64) - bits)).astype(np.int32), (hashes >> np.uint64(20) & np.uint64((1 << self.bits) - 1)).astype(np.int32)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are there, and their ids."""
+        first, second = self.where(hashes)
+        place = self.places[0][first]
+        hit = self.hashes[place] == hashes
+        other = np.flatnonzero(~hit)
+        place[other] = self.places[1][second[other]]
+        hit[other] = self.hashes[place[other]] == hashes[other]
+        found = np.flatnonzero(hit)
+        return found, self.ids[place[found]]
+
+
 class Vocabulary:
     """Pieces by length and hash, their weights, and what each id stands for."""
 
@@ -86,8 +120,7 @@ class Vocabulary:
         self.lengths = {}
         for n, own in sorted(by_length.items()):
             hashes = self.hashes(np.array([[ord(c) for c in self.processor.id_to_piece(i)] for i in own], np.uint64))
-            order = np.argsort(hashes)
-            self.lengths[n] = hashes[order], np.array(own)[order]
+            self.lengths[n] = Table(hashes, np.array(own, np.int32))
         self.longest = max(self.lengths, default=1)
 
     @staticmethod
@@ -115,37 +148,38 @@ class Lattice:
         first = np.cumsum(size + 1) - size - 1
         code = np.frombuffer("".join(w + "\0" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
         total = len(code)
-        word = np.repeat(np.arange(len(words)), size + 1)
-        left = size[word] - (np.arange(total) - first[word])  # 0 at a word's last node
+        left = (np.repeat(first + size, size + 1) - np.arange(total)).astype(np.int32)  # 0 at a word's last node
         spread = mixed(code)
         sources, steps, kinds = [], [], []
         single = np.zeros(total, bool)
-        at = np.flatnonzero(left > 0)
+        at = np.flatnonzero(left > 0).astype(np.int32)
         gram = np.zeros(len(at), np.uint64)
         with np.errstate(over="ignore"):
             for n in range(1, min(vocabulary.longest, int(size.max(initial=0))) + 1):
                 if n > 1:  # only places with n characters left go on
                     more = left[at] >= n
                     at, gram = at[more], gram[more]
+                    if not len(at):
+                        break
                 gram = gram * _BASE + spread[at + n - 1]
                 if n not in vocabulary.lengths:
                     continue
-                hashes, ids = vocabulary.lengths[n]
-                place = np.minimum(np.searchsorted(hashes, gram), len(hashes) - 1)
-                hit = np.flatnonzero(hashes[place] == gram)
+                hit, ids = vocabulary.lengths[n].find(gram)
                 sources.append(at[hit])
-                steps.append(np.full(len(hit), n))
-                kinds.append(ids[place[hit]])
+                steps.append(np.full(len(hit), n, np.int32))
+                kinds.append(ids)
                 if n == 1:
                     single[at[hit]] = True
-        bare = np.flatnonzero(~single & (left > 0))
+        bare = np.flatnonzero(~single & (left > 0)).astype(np.int32)
         sources.append(bare)
-        steps.append(np.ones(len(bare), np.int64))
-        kinds.append(-1 - code[bare].astype(np.int64))  # a character's bytes
+        steps.append(np.ones(len(bare), np.int32))
+        kinds.append(-1 - code[bare].astype(np.int32))  # a character's bytes
         source, step, kind = np.concatenate(sources), np.concatenate(steps), np.concatenate(kinds)
         order = np.argsort(source, kind="stable")
         source, step, kind = source[order], step[order], kind[order]
-        weight = np.where(kind >= 0, vocabulary.weight[np.maximum(kind, 0)], vocabulary.byte_weight * utf8_length(-1 - kind))
+        weight = vocabulary.weight[np.maximum(kind, 0)]
+        bare = np.flatnonzero(kind < 0)
+        weight[bare] = vocabulary.byte_weight * utf8_length(-1 - kind[bare])
         beyond = np.zeros(total)
         far = left[source]
         order = np.argsort(far.astype(np.int16) if far.max(initial=0) < 32_768 else far, kind="stable")  # nodes near the end first
@@ -156,19 +190,21 @@ class Lattice:
             beyond[source_[a:b][heads]] = np.logaddexp.reduceat(weight_[a:b] + beyond[onward[a:b]], heads)
         self.source, self.target, self.kind = source, source + step, kind
         self.log = weight + beyond[self.target] - beyond[source]
-        self.begin = np.searchsorted(self.source, np.arange(total + 1))
-        self.degree = np.diff(self.begin)
+        self.degree = np.bincount(source, minlength=total).astype(np.int32)
+        self.begin = np.concatenate([[0], np.cumsum(self.degree)])
         upto = np.cumsum(np.exp(self.log))
-        before = np.concatenate([[0.0], upto])[self.begin[self.source]]
-        share = (upto - before) / np.maximum(upto[self.begin[self.source + 1] - 1] - before, 1e-300)
-        share[self.begin[1:][self.degree > 0] - 1] = 1.0
+        # a node's shares add up to one, so what all earlier nodes have is their number
+        inner = np.flatnonzero(self.degree)
+        share = upto - np.repeat(np.concatenate([[0.0], upto])[self.begin[inner]], self.degree[inner])
+        share[self.begin[inner] + self.degree[inner] - 1] = 1.0
         #: Ascending over all edges: the node plus the share of its edges up to this one.
-        self.ladder = self.source + share
+        self.ladder = source + np.minimum(share, 1.0)
         self.entry, self.left = first, left
 
     def draw(self, nodes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Edges from each node to the end of its word: (lane, edge), by lane and then in order."""
         lanes, edges = [], []
+        count = np.zeros(len(nodes), np.int64)
         live = np.flatnonzero(self.left[nodes] > 0)
         live = live[np.argsort(nodes[live])]  # equal words side by side: look-ups stay near one another
         nodes, keys = nodes[live], keys[live]
@@ -179,15 +215,16 @@ class Lattice:
             edge = np.clip(edge, self.begin[nodes], self.begin[nodes + 1] - 1)
             lanes.append(live)
             edges.append(edge)
+            count[live] += 1
             nodes = self.target[edge]
             more = self.left[nodes] > 0
             live, nodes, keys = live[more], nodes[more], keys[more]
             step += np.uint64(1)
-        if not lanes:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        lane, edge = np.concatenate(lanes), np.concatenate(edges)
-        order = np.argsort(lane, kind="stable")
-        return lane[order], edge[order]
+        first = np.cumsum(count) - count
+        out = np.empty(int(count.sum()), np.int64)
+        for k, (lane, edge) in enumerate(zip(lanes, edges, strict=True)):
+            out[first[lane] + k] = edge
+        return np.repeat(np.arange(len(count)), count), out
 
 
 def utf8_length(codes: np.ndarray) -> np.ndarray:
@@ -266,13 +303,25 @@ def below(most: float, loc: np.ndarray, u: np.ndarray) -> np.ndarray:
         return np.where(np.isneginf(loc), -np.inf, loc - np.log(np.exp(np.minimum(loc - most, 700.0)) - np.log(u)))
 
 
+def units_of(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Different units (a word with its space marks), the unit at each place, and how many each text has."""
+    if any(MARK + MARK in t or t and t[0] != MARK for t in texts):
+        cut = [_UNIT.findall(t) for t in texts]
+        counts = np.fromiter(map(len, cut), np.int64, len(cut))
+        coded = pa.array([u for own in cut for u in own], pa.large_string()).dictionary_encode()
+        return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), counts
+    # every mark opens a unit; what is before the first is empty
+    split = pc.split_pattern(pa.array(texts, pa.large_string()), MARK)
+    ends = split.offsets.to_numpy().astype(np.int64)
+    coded = split.flatten().dictionary_encode()
+    at = np.delete(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), ends[:-1])
+    return [MARK + w for w in coded.dictionary.to_pylist()], at, np.diff(ends) - 1
+
+
 def sample_texts(vocabulary: Vocabulary, texts: list[str], keys: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text up to k of (ids, log-probability, perturbed value, inclusion), largest value first."""
-    units = [_UNIT.findall(vocabulary.normal(t)) if t else [] for t in texts]
-    coded = pa.array([u for own in units for u in own], pa.large_string()).dictionary_encode()
-    at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    lattice = Lattice(vocabulary, coded.dictionary.to_pylist())
-    counts = np.fromiter(map(len, units), np.int64, len(units))
+    words, at, counts = units_of([vocabulary.normal(t) if t else "" for t in texts])
+    lattice = Lattice(vocabulary, words)
     ends = np.cumsum(counts)
     row = np.repeat(np.arange(len(texts)), counts)
     unit = np.arange(len(at)) - (ends - counts)[row]

@@ -23,7 +23,7 @@ def vocabulary():
 def every(vocabulary, text):
     """ids -> probability, by listing all segmentations."""
     text = vocabulary.normal(text)
-    piece = {vocabulary.processor.id_to_piece(i): i for own in vocabulary.lengths.values() for i in own[1].tolist()}
+    piece = {vocabulary.processor.id_to_piece(i): i for own in vocabulary.lengths.values() for i in own.ids[:-1].tolist()}
     out = {}
 
     def go(at, ids, weight):
