@@ -218,12 +218,29 @@ def arcs_of(model: Model, kept_keys: np.ndarray, kept_counts: np.ndarray, histor
     model.failures = np.concatenate([np.zeros(1 + size, np.int64), (doubles - size) % WIDE + 1]).astype(np.int64)
 
 
+def most_frequent(counts: DataFrame, column: str, most: int) -> DataFrame:
+    """The rows with the highest counts, at most `most`: all above a limit that a histogram of the logarithms tells.
+
+    Only the histogram, a thousand rows at most, is gathered to find the limit, and only rows above it are sent on.
+    """
+    step = F.floor(F.log2(F.col(column).cast("double")) * 16)
+    found = sorted(((r.step, r.n) for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    limit, held = None, 0
+    for at, n in found:
+        held += n
+        if held > most:
+            break
+        limit = at
+    return counts.filter(step >= limit) if limit is not None else counts.limit(0)
+
+
 def fit(texts: DataFrame) -> tuple[Model, DataFrame]:
     """The model from the column `text`, and the counts of all its words."""
     counted = kept(word_counts(texts), "word-counts")
     documents = texts.count()
     total = counted.agg(F.sum("c"), F.count(F.lit(1))).first()
-    top = counted.filter(F.octet_length("word") <= LONGEST).orderBy(F.desc("c"), "word").limit(HEAD).collect()
+    top = most_frequent(counted.filter(F.octet_length("word") <= LONGEST), "c", HEAD).collect()
+    top.sort(key=lambda r: (-r.c, r.word))
     head = {r.word: (k, r.c) for k, r in enumerate(top)}
     lexicon = min(LEXICON, len(top))
     listed = texts.sparkSession.createDataFrame([(r.word,) for r in top[:lexicon]], "word string")
@@ -236,7 +253,7 @@ def fit(texts: DataFrame) -> tuple[Model, DataFrame]:
     grams = kept(gram_counts(texts, model), "gram-counts")
     size = model.symbols
     histories = grams.groupBy((F.col("key") - F.pmod("key", F.lit(size))).alias("h")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).toArrow()  # one row for each possible history at most
-    arcs = grams.filter(F.col("n") >= LEAST).orderBy(F.desc("n"), "key").limit(ARCS).toArrow()
+    arcs = most_frequent(grams.filter(F.col("n") >= LEAST), "n", ARCS).toArrow().sort_by("key")
     arcs_of(model, arcs["key"].to_numpy(), arcs["n"].to_numpy(), histories["h"].to_numpy() // size, histories["n"].to_numpy(), histories["v"].to_numpy(), symbol_counts)
     return model, counted
 
