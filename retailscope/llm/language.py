@@ -25,6 +25,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from retailscope.llm.common import release
+
 UNKNOWN = "und"
 DOCUMENTS = 300
 PASSAGES = 8
@@ -39,6 +41,8 @@ FREQUENT = 3
 ROUNDS = 60
 STEP = 0.15
 DECAY = 2e-6
+#: Texts whose words are labelled together.
+PART = 400
 RESULT = "struct<lang:string,score:double>"
 
 _NOT_LETTER = re.compile(r"[\W\d_]+")
@@ -111,8 +115,8 @@ class Field:
 
     def emissions(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.languages)))
-        for at in range(0, len(words), 20_000):
-            some = words[at : at + 20_000]
+        for at in range(0, len(words), 10_000):
+            some = words[at : at + 10_000]
             if any(some):
                 owners, slots = word_features(some, self.lexicon)
                 out[at : at + len(some)] = np.add.reduceat(self.weights[slots], np.searchsorted(owners, np.arange(len(some))), axis=0)
@@ -296,9 +300,10 @@ def identify(docs: DataFrame, field: Field, text_col: str = "text", into: str =
 
     @F.arrow_udf(RESULT)
     def predict(texts: pa.Array) -> pa.Array:
+        release()
         langs, scores = [], []
-        for at in range(0, len(texts), 1_000):
-            some, shares = held.value.predict(texts.slice(at, 1_000))
+        for at in range(0, len(texts), PART):
+            some, shares = held.value.predict(texts.slice(at, PART))
             langs += some
             scores.append(shares)
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())], ["lang", "score"])

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retailscope.llm.common import kept, parts_of, texts_of
+from retailscope.llm.common import kept, parts_of, release, texts_of
 
 BITS = 3
 WORDS = 3
@@ -202,6 +202,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     @F.arrow_udf("long")
     def print_of(texts: pa.Array) -> pa.Array:
+        release()
         return pa.array(np.array([fingerprint(t or "") for t in texts.to_pylist()], np.uint64).view(np.int64))
 
     # the row travels as one column, whatever its columns are called

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retailscope.llm.common import parts_of, texts_of
+from retailscope.llm.common import parts_of, release, texts_of
 
 KINDS = ("email", "ip", "card", "phone", "iban", "key", "secret", "ssn")
 BASE = KINDS[:4]
@@ -190,6 +190,7 @@ def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     @F.pandas_udf("string")
     def hide(texts):
+        release()
         return texts.map(lambda t: t if t is None else masked(t))
 
     return docs.withColumn(text_col, hide(F.col(text_col)))
