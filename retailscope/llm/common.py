@@ -142,7 +142,8 @@ class TokenCache:
         blob = np.frombuffer(b"".join(units), np.uint32)
         taken = size[at]
         upto = np.cumsum(taken)
-        flat = blob[np.repeat(place[at] - (upto - taken), taken) + np.arange(upto[-1])]
+        kind = np.int32 if max(len(blob), upto[-1]) < 2**31 else np.int64
+        flat = blob[np.repeat((place[at] - (upto - taken)).astype(kind), taken) + np.arange(upto[-1], dtype=kind)]
         bounds = np.concatenate([[0], upto[ends - 1]])
         out = [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         again = np.flatnonzero(whole)
@@ -154,15 +155,21 @@ class TokenCache:
 _CACHES: dict[str, TokenCache] = {}
 
 
-def token_cache(path: str) -> TokenCache:
-    """One cache for each vocabulary and worker."""
+def token_cache(path: str, most: int = 600_000) -> TokenCache:
+    """One cache for each vocabulary and worker, of at most so many words."""
     if path not in _CACHES:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         _CACHES[path] = TokenCache(path)
+    _CACHES[path].most = most
     return _CACHES[path]
 
 
+def release() -> None:
+    """Drop the caches that another operator left in this worker; Spark reuses workers from stage to stage."""
+    _CACHES.clear()
+
+
 def crc32(data: bytes | np.ndarray) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF
