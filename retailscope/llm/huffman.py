@@ -136,7 +136,7 @@ def token_blocks(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "d
     # bounds are drawn from the keys alone, so no text is in them
     ordered = ordered.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, shard, block = token_cache(vocabulary), task(), 0
+        cache, shard, block = token_cache(vocabulary, 900_000), task(), 0
         docs_, ids, held, before = [], [], 0, 0
 
         def full():

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from retailscope.llm.common import crc32, kept, parts_of, task, texts_of, token_cache
 
 #: Words that a task remembers, and documents that it encodes together.
-CACHED = 300_000
+CACHED = 800_000
 PART = 500
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
@@ -93,10 +93,10 @@ def places(plan: list[tuple[int, list[int]]], capacity: int) -> dict[str, np.nda
     return {"key": np.array(keys, np.int64)[order], "bin": np.array(bins, np.int64)[order], "offset": np.array(offsets, np.int64)[order]}
 
 
-def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", cached: int = CACHED) -> DataFrame:
     """Pieces of all documents, each with its rank among the task's pieces of its length."""
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, part, seen = token_cache(vocabulary, CACHED), task(), np.zeros(capacity + 1, np.int64)
+        cache, part, seen = token_cache(vocabulary, cached), task(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             for some in parts_of(batch, PART):
                 rows = []
@@ -111,10 +111,13 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, id_col:
     return plain.mapInArrow(job, PIECES)
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row for each piece."""
+def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", cached: int = CACHED) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row for each piece.
+
+    `cached` bounds the memory of a task's words (about 200 bytes each), at the cost of encoding more of them again.
+    """
     spark = docs.sparkSession
-    cuts = kept(pieces(docs, vocabulary, end_id, capacity, id_col, text_col), "pieces")
+    cuts = kept(pieces(docs, vocabulary, end_id, capacity, id_col, text_col, cached), "pieces")
     per_task = kept(cuts.groupBy("part", "length").agg((F.max("nth") + 1).alias("n")), "piece-counts")
     counts = np.zeros(capacity + 1, np.int64)
     for row in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most `capacity` rows
