@@ -1,18 +1,20 @@
 """Texts scored by a weighted backoff automaton over smoothed word n-grams.
 
-All training words are counted. The `LEXICON` most frequent are symbols of their own; the others share `CLASSES`
-symbols by their ending, and a word's probability within its class is (count + 1) / (words + different words + 1) of
-the class, so that an unseen word has a place too. All pairs of neighbouring symbols are counted, and triples that
-begin with two of the `WIDE` most frequent words.
+All training words are symbols of their own, beside one for unseen words and one for a text's end, and all pairs and
+triples of neighbouring words are counted; pairs also begin with a text's beginning. The model grows with the input
+and is a set of tables: nothing is left out but n-grams that occur less than `LEAST` times, at any size.
 
-Histories are the automaton's states. A state has an arc for each of its frequent continuations, with
+Histories are the automaton's states. A state has an arc for each continuation that occurs `LEAST` times or more, with
 count / (total + different) of the history plus what the state's failure arc would give; the failure arc leads to the
-history without its oldest word and has the mass that the arcs leave. The root has an arc for every symbol. So each
-state's distribution sums to one whichever arcs are kept, and one left-to-right traversal scores a text: follow
-failure arcs until the symbol has an arc, add up logarithms, carry on from the state that the arc leads to.
+history without its oldest word and has the mass that the arcs leave. The root has an arc for every symbol, with
+(count + 1) / (words + different words + 1). So each state's distribution sums to one.
 
-The automaton and the counts of the `HEAD` most frequent words travel with the tasks (both bounded by these
-parameters). Counts of all other words are joined to the texts' words by a shuffle, so every count is exact.
+The traversal of a text is a sum over its words, pairs and triples: a word gives the logarithms of its root arc and of
+its own failure arc, a pair with an arc gives what the arc has over the failure arc and, if the pair is a state, the
+pair's failure arc, and a triple with an arc what that has over the failure arc. Texts' n-grams are counted per text
+and meet these values by one shuffle join. Words and pairs are told apart by 64-bit hashes. Only the values of the
+`HEAD` most frequent words and bitmaps of at most 2^`BITS` hashes travel with the tasks, to spare the shuffle what it
+would not find; they change no result.
 
 Missing texts count as empty: they have the end alone. Rows without an id are training rows. Repeated rows count and
 are scored as often as they occur. An empty table gives an empty result. Other columns are not read.
@@ -21,7 +23,7 @@ are scored as often as they occur. An empty table gives an empty result. Other c
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,17 +31,20 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retailscope.llm.common import crc32, kept, parts_of, task
+from retailscope.llm.common import kept, parts_of, task
 
-LEXICON = 2_000
-CLASSES = 256
-WIDE = 128
+#: Sizes of an earlier, bounded model; nothing is limited by them.
+LEXICON = WIDE = ARCS = None
+#: Symbols for unseen words.
+CLASSES = 1
 HEAD = 100_000
-#: Arcs kept beside the root's, and the least count of one.
-ARCS = 400_000
+#: The least count of an arc, 1 or 2.
 LEAST = 2
-#: Bytes that a word of the head may have.
-LONGEST = 64
+#: Logarithm of the size of the bitmaps that spare shuffles.
+BITS = 27
+SEED = 42
+#: Levels of n-grams.
+WORD, PAIR, TRIPLE = 1, 2, 3
 
 
 def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -54,168 +59,226 @@ def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return words, at[real], before[ends]
 
 
-def class_of(word: str) -> int:
-    return crc32(word[-2:].encode()) % CLASSES
+def hashes_of(words: list[str]) -> np.ndarray:
+    from xxhash import xxh64_intdigest
 
+    return np.fromiter((xxh64_intdigest(w.encode(), SEED) for w in words), np.uint64, len(words)).view(np.int64)
 
-def class_column(word: Column) -> Column:
-    return (F.crc32(F.right(word, F.lit(2)).cast("binary")) % CLASSES).cast("int")
 
+#: No word holds white space.
+BEGIN, END = (int(h) for h in hashes_of(["\nbegin", "\nend"]))
+_P1, _P2, _P3, _P4, _P5 = map(np.uint64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """word and c over the column `text`; each batch is counted before it is shuffled."""
+
+def joint(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of pairs of longs, equal to xxhash64(a, b) in a plan."""
+    def step(value: np.ndarray, seed: np.ndarray) -> np.ndarray:
+        k = value.view(np.uint64) * _P2
+        h = (seed + _P5 + np.uint64(8)) ^ ((k << np.uint64(31) | k >> np.uint64(33)) * _P1)
+        h = (h << np.uint64(27) | h >> np.uint64(37)) * _P1 + _P4
+        h = (h ^ h >> np.uint64(33)) * _P2
+        h = (h ^ h >> np.uint64(29)) * _P3
+        return h ^ h >> np.uint64(32)
+
+    return step(b, step(a, np.full(len(a), 42, np.uint64))).view(np.int64)
+
+
+def sequences(docs: DataFrame) -> DataFrame:
+    """row (a number of its own), doc_id, held_out and line: the hashes of the text's words and the end's."""
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = task() << 40
         for batch in batches:
-            for part in parts_of(batch, 5_000):
-                words, at, _ = words_of(part.column("text"))
-                counts = np.bincount(at, minlength=len(words))
-                some = np.flatnonzero(counts)
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()).take(pa.array(some)), pa.array(counts[some], pa.int64())], ["word", "c"])
+            for part in parts_of(batch, 2_000):
+                words, at, ends = words_of(part.column("text"))
+                n = part.num_rows
+                line = np.insert(hashes_of(words)[at] if len(at) else np.zeros(0, np.int64), ends[1:], END)
+                lines = pa.ListArray.from_arrays(pa.array(ends + np.arange(n + 1), pa.int32()), pa.array(line))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), part.column("doc_id"), part.column("held_out"), lines], ["row", "doc_id", "held_out", "line"])
+                row += n
 
-    return texts.select("text").mapInArrow(job, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.mapInArrow(job, "row long, doc_id long, held_out boolean, line array<long>")
+
+
+def looked_up(hashes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of words among sorted hashes, and which are there."""
+    place = np.minimum(np.searchsorted(hashes, words), max(0, len(hashes) - 1))
+    return place, hashes[place] == words if len(hashes) else np.zeros(len(words), bool)
+
+
+def grams_of(lines: pa.ListArray, levels: tuple[int, ...] = (WORD, PAIR, TRIPLE)) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Level, place of the text, and both parts (history and word; pairs' hashes of a triple) of all n-grams."""
+    sizes = np.asarray(lines.value_lengths()).astype(np.int64)
+    doc = np.repeat(np.arange(len(lines)), sizes)
+    line = lines.flatten().to_numpy(zero_copy_only=False)
+    first = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+    if levels == (WORD,):
+        return [(WORD, doc, line, line)]
+    last = np.concatenate([[BEGIN], line[:-1]]) if len(line) else line
+    last[first] = BEGIN
+    pair = joint(last, line)
+    inner = np.ones(len(line), bool)
+    inner[first] = False
+    inner[(first + 1)[sizes > 1]] = False
+    third = np.flatnonzero(inner)
+    return [(WORD, doc, line, np.zeros(len(line), np.int64)), (PAIR, doc, last, line), (TRIPLE, doc[third], pair[third - 1], pair[third])]
+
+
+def counted(lines: DataFrame) -> DataFrame:
+    """level, key and n of words and pairs; each part of a batch is counted before it is shuffled."""
+
+    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in parts_of(batch, 2_000):
+                for level, _, a, b in grams_of(part.column("line"))[:2]:
+                    keys, n = np.unique(a if level == WORD else joint(a, b), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), level, np.int32)), pa.array(keys), pa.array(n)], ["level", "key", "n"])
+
+    return lines.select("line").mapInArrow(job, "level int, key long, n long").groupBy("level", "key").agg(F.sum("n").alias("n"))
+
+
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """Bits of all keys, up to 2^`BITS`, so that keys that are surely not among them needn't be shuffled."""
+    bits = min(BITS, max(16, (16 * keys.count()).bit_length()))
+    slot = F.col("key").bitwiseAND(F.lit((1 << bits) - 1))
+    found = keys.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(key & 63 as int))")).alias("word")).toArrow()
+    out = np.zeros(1 << bits - 6, np.uint64)
+    out[found["at"].to_numpy()] = found["word"].to_numpy().view(np.uint64)
+    return out
+
+
+def maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    slot = keys & (64 * len(bits) - 1)
+    return (bits[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
 
 
 @dataclass
-class Model:
-    """Counts of the head, class totals, and the automaton; `arcs` maps state * symbols + symbol to an arc."""
+class Tables:
+    """words: w, c, left; pairs: key, v, w, share, left, p1, p and below, its own failure mass; triples: uv, vw, share, left, p2, p."""
 
     tokens: int
     different: int
-    documents: int
-    head: dict[str, tuple[int, int]]
-    class_logs: np.ndarray
-    lexicon: int
-    root: np.ndarray
-    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    logs: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    targets: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    failure_logs: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    failures: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-
-    @property
-    def symbols(self) -> int:
-        return self.lexicon + CLASSES + 2
-
-    @property
-    def end(self) -> int:
-        return self.lexicon + CLASSES
-
-    def symbols_of(self, words: list[str]) -> np.ndarray:
-        none = (self.lexicon, 0)
-        found = (self.head.get(w, none)[0] for w in words)
-        return np.array([r if r < self.lexicon else self.lexicon + class_of(w) for w, r in zip(words, found, strict=True)], np.int64)
+    begin: float
+    words: DataFrame
+    pairs: DataFrame
+    triples: DataFrame
+
+
+def learn(lines: DataFrame) -> Tables:
+    """The automaton's tables from the training texts' lines.
+
+    An n-gram occurs at most as often as its parts, so triples of pairs without an arc aren't counted. What occurs less
+    than `LEAST` times occurs once: the different continuations of a history are its arcs and the rest of its total.
+    """
+    counts = kept(counted(lines).filter((F.col("level") == WORD) | (F.col("n") >= LEAST)), "gram-counts", "zstd")
+    words = counts.filter(F.col("level") == WORD).select(F.col("key").alias("w"), F.col("n").alias("c"))
+    often = counts.filter(F.col("level") == PAIR).select("key", "n")
+    held = lines.sparkSession.sparkContext.broadcast(bitmap(often))
+
+    def pair_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in parts_of(batch, 2_000):
+                _, _, v, w = grams_of(part.column("line"))[1]
+                keys, where = np.unique(joint(v, w), return_index=True)
+                some = maybe(held.value, keys)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array(v[where[some]]), pa.array(w[where[some]])], ["key", "v", "w"])
+
+    def triple_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in parts_of(batch, 2_000):
+                _, _, uv, vw = grams_of(part.column("line"))[2]
+                some = maybe(held.value, uv) & maybe(held.value, vw)
+                uv, vw = uv[some], vw[some]
+                _, where, n = np.unique(joint(uv, vw), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(uv[where]), pa.array(vw[where]), pa.array(n)], ["uv", "vw", "n"])
+
+    def states(arcs: DataFrame, history: str, totals: DataFrame) -> DataFrame:
+        """history, bottom and left of those with arcs."""
+        found = arcs.groupBy(history).agg(F.sum("n").alias("held"), F.count(F.lit(1)).alias("arcs")).join(totals, history)
+        bottom = 2 * F.col("total") - F.col("held") + F.col("arcs")
+        return found.select(history, bottom.alias("bottom"), F.greatest(1 - F.col("held") / bottom, F.lit(1e-12)).alias("left"))
+
+    total = words.agg(F.sum("c"), F.count(F.lit(1)), F.sum(F.when(F.col("w") == END, F.col("c")))).first()
+    tokens, different = total[0] or 0, total[1]
+    parts = lines.select("line").mapInArrow(pair_parts, "key long, v long, w long").groupBy("key").agg(F.min("v").alias("v"), F.min("w").alias("w"))
+    often = kept(often.join(parts, "key"), "pair-parts", "zstd")
+    triples = lines.select("line").mapInArrow(triple_counts, "uv long, vw long, n long").groupBy("uv", "vw").agg(F.sum("n").alias("n"))
+    triples = kept(triples.filter(F.col("n") >= LEAST), "triple-counts", "zstd")
+    ends = lines.sparkSession.createDataFrame([(BEGIN, total[2] or 0)], "v long, total long")
+    singles = kept(states(often, "v", words.select(F.col("w").alias("v"), F.col("c").alias("total")).union(ends)), "states")
+    doubles = kept(states(triples, "uv", often.select(F.col("key").alias("uv"), F.col("n").alias("total"))), "states")
+    words = kept(words.join(singles.select(F.col("v").alias("w"), "left"), "w", "left").select("w", "c", F.coalesce("left", F.lit(1.0)).alias("left")), "words")
+    p1 = (F.col("c") + 1) / F.lit(float(tokens + different + 1))
+    pairs = often.join(singles, "v").join(words.select("w", "c"), "w").join(doubles.select(F.col("uv").alias("key"), F.col("left").alias("below")), "key", "left")
+    pairs = kept(pairs.select("key", "v", "w", (F.col("n") / F.col("bottom")).alias("share"), "left", p1.alias("p1"), F.coalesce("below", F.lit(1.0)).alias("below")).withColumn("p", F.col("share") + F.col("left") * F.col("p1")), "pairs", "zstd")
+    triples = triples.join(doubles, "uv").join(pairs.select(F.col("key").alias("vw"), F.col("p").alias("p2")), "vw")
+    triples = triples.select("uv", "vw", (F.col("n") / F.col("bottom")).alias("share"), "left", "p2").withColumn("p", F.col("share") + F.col("left") * F.col("p2"))
+    begin = singles.filter(F.col("v") == BEGIN).first()
+    return Tables(tokens, different, begin.left if begin else 1.0, words, pairs, kept(triples, "triples", "zstd"))
+
+
+def values_of(model: Tables) -> DataFrame:
+    """key, known, base and score: what an n-gram adds to a text's sums; others add nothing."""
+    none = F.lit(0.0)
+    words = model.words.select(F.col("w").alias("key"), F.lit(1).alias("known"), F.log10(F.col("c") + 1).alias("base"), (F.log10(F.col("c") + 1) + F.log10("left")).alias("score"))
+    over = F.log10("p") - F.log10("left")
+    pairs = model.pairs.select("key", F.lit(0), none, over - F.log10("p1") + F.log10("below"))
+    triples = model.triples.select(F.xxhash64("uv", "vw"), F.lit(0), none, over - F.log10("p2"))
+    return words.union(pairs).union(triples)
+
+
+class Model:
+    """The whole automaton in memory, to look into those of small corpora."""
+
+    def __init__(self, model: Tables):
+        words = sorted(((r.c, r.w, r.left) for r in model.words.collect() if r.w != END), reverse=True)
+        self.lexicon, self.head = len(words), Head({w: (k, c) for k, (c, w, _) in enumerate(words)})
+        self.symbols, self.end = self.lexicon + CLASSES + 2, self.lexicon + CLASSES
+        number = {w: k for k, (_, w, _) in enumerate(words)} | {END: self.end, BEGIN: self.end + 1}
+        counts = np.array([c for c, _, _ in words] + [0] * CLASSES + [r.c for r in model.words.filter(F.col("w") == END).collect()] + [-1.0])
+        self.root = np.log10(np.maximum((counts + 1) / (model.tokens + model.different + 1), 1e-300))
+        left = [1.0] + [x for _, _, x in words] + [1.0] * (CLASSES + 1) + [model.begin]
+        failures, state, pairs = [0] * len(left), {}, {r.key: r for r in model.pairs.collect()}
+        triples = model.triples.collect()
+        for uv in sorted({r.uv for r in triples}):
+            state[uv] = len(left)
+            left.append(pairs[uv].below)
+            failures.append(1 + number[pairs[uv].w])
+        target = {key: state.get(key, 1 + number[r.w]) for key, r in pairs.items()}
+        self.arcs = {(1 + number[r.v], number[r.w]): (np.log10(r.p), target[key]) for key, r in pairs.items()}
+        self.arcs |= {(state[r.uv], number[pairs[r.vw].w]): (np.log10(r.p), target[r.vw]) for r in triples}
+        self.failure_logs, self.failures = np.log10(left), failures
+
+
+class Head(dict):
+    """Rank and count by word, kept by hash."""
+
+    def __getitem__(self, word: str) -> tuple[int, int]:
+        return super().__getitem__(int(hashes_of([word])[0]))
 
 
 class Automaton:
-    """The model's arcs as look-ups."""
+    """Scores symbols one after another by arcs and failure arcs."""
 
     def __init__(self, model: Model):
-        self.size = model.symbols
-        self.root = model.root.tolist()
-        self.arcs = dict(zip(model.keys.tolist(), zip(model.logs.tolist(), model.targets.tolist(), strict=True), strict=True))
-        self.failure_logs, self.failures = model.failure_logs.tolist(), model.failures.tolist()
-        self.begin = 1 + model.end + 1
+        self.model, self.begin = model, 1 + model.end + 1
 
     def score(self, symbols: list[int]) -> float:
         """Log10 probability of a text's symbols, from the state of a text's beginning."""
-        arcs, root, size, logs, failures = self.arcs, self.root, self.size, self.failure_logs, self.failures
-        state, total = self.begin, 0.0
+        model, state, total = self.model, self.begin, 0.0
         for symbol in symbols:
-            while True:
-                if not state:
-                    total += root[symbol]
-                    state = symbol + 1
-                    break
-                arc = arcs.get(state * size + symbol)
-                if arc is not None:
-                    total += arc[0]
-                    state = arc[1]
-                    break
-                total += logs[state]
-                state = failures[state]
+            while state and (state, symbol) not in model.arcs:
+                total += model.failure_logs[state]
+                state = model.failures[state]
+            log, state = model.arcs[state, symbol] if state else (model.root[symbol], symbol + 1)
+            total += log
         return total
 
 
-def gram_counts(texts: DataFrame, model: Model) -> DataFrame:
-    """key and n: pairs have key a * symbols + b, triples (symbols + a * WIDE + b) * symbols + c."""
-    held = texts.sparkSession.sparkContext.broadcast(model)
-
-    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
-        size, keys, counts = model.symbols, [], []
-
-        def sums() -> tuple[np.ndarray, np.ndarray]:
-            some, where = np.unique(np.concatenate(keys), return_inverse=True)
-            return some, np.bincount(where, np.concatenate(counts)).astype(np.int64)
-
-        for batch in batches:
-            for part in parts_of(batch, 2_000):
-                words, at, ends = words_of(part.column("text"))
-                found = model.symbols_of(words)[at] if len(at) else at
-                line = np.insert(found, np.repeat(ends[1:], 2), np.tile([model.end, model.end + 1], part.num_rows))
-                line = np.concatenate([[model.end + 1], line[:-1]])  # each text: begin, words, end
-                last, now = line[:-1], line[1:]
-                inner = now != model.end + 1
-                found = [(last * size + now)[inner]]
-                if len(line) > 2:
-                    wide = (line[:-2] < min(WIDE, model.lexicon)) & (line[1:-1] < min(WIDE, model.lexicon))
-                    found.append(((size + line[:-2] * WIDE + line[1:-1]) * size + line[2:])[wide])
-                some, n = np.unique(np.concatenate(found), return_counts=True)
-                keys.append(some)
-                counts.append(n)
-                if sum(map(len, keys)) > 4_000_000:
-                    some, n = sums()
-                    keys, counts = [some], [n]
-                    if len(some) > 2_000_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n)], ["key", "n"])
-                        keys, counts = [], []
-        if keys:
-            some, n = sums()
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n)], ["key", "n"])
-
-    return texts.select("text").mapInArrow(job, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def arcs_of(model: Model, kept_keys: np.ndarray, kept_counts: np.ndarray, histories: np.ndarray, totals: np.ndarray, different: np.ndarray, symbol_counts: np.ndarray) -> None:
-    """Fill in the automaton from the kept n-grams, all histories' totals and all symbols' counts."""
-    size = model.symbols
-    probability = (symbol_counts + 1) / (symbol_counts.sum() + size - 1)
-    probability[model.end + 1] = 0  # a text's beginning is a history, never a symbol that follows
-    model.root = np.log10(np.maximum(probability, 1e-300))
-    history, symbol = kept_keys // size, kept_keys % size
-    bottom = dict(zip(histories.tolist(), (totals + different).tolist(), strict=True))
-    share = kept_counts / np.array([bottom[h] for h in history.tolist()]) if len(history) else np.zeros(0)
-    pairs = history < size
-    pair_arcs = dict(zip(kept_keys[pairs].tolist(), share[pairs].tolist(), strict=True))
-    # a history of two words is a state if its own pair has an arc
-    first, second = (history - size) // WIDE, (history - size) % WIDE
-    firm = pairs.copy()
-    firm[~pairs] = [k in pair_arcs for k in (first * size + second)[~pairs].tolist()]
-    history, symbol, share, pairs = history[firm], symbol[firm], share[firm], pairs[firm]
-    doubles = np.unique(history[~pairs])
-    number = {int(h): 1 + size + k for k, h in enumerate(doubles)}
-    states = 1 + size + len(doubles)
-    state = np.array([h + 1 if p else number[h] for h, p in zip(history.tolist(), pairs.tolist(), strict=True)], np.int64)
-    left = np.ones(states) - np.bincount(state, share, states)
-    left[0] = 1
-    left = np.maximum(left, 1e-12)
-    lower = probability[symbol]  # of a pair's failure arc; for triples what the pair gives
-    value = share + left[state] * lower
-    by_pair = dict(zip((history[pairs] * size + symbol[pairs]).tolist(), value[pairs].tolist(), strict=True))
-    for k in np.flatnonzero(~pairs):
-        second = int(history[k] - size) % WIDE
-        below = by_pair.get(second * size + int(symbol[k]))
-        value[k] = share[k] + left[state[k]] * (left[second + 1] * probability[symbol[k]] if below is None else below)
-    model.keys = state * size + symbol
-    model.logs = np.log10(value)
-    model.targets = np.array([number.get(size + h * WIDE + s, s + 1) if p and h < WIDE and s < WIDE else s + 1 for h, s, p in zip(history.tolist(), symbol.tolist(), pairs.tolist(), strict=True)], np.int64)
-    for k in np.flatnonzero(~pairs):
-        a, s = int(history[k] - size) % WIDE, int(symbol[k])
-        if s < WIDE:
-            model.targets[k] = number.get(size + a * WIDE + s, s + 1)
-    model.failure_logs = np.log10(left)
-    model.failures = np.concatenate([np.zeros(1 + size, np.int64), (doubles - size) % WIDE + 1]).astype(np.int64)
+def fit(texts: DataFrame) -> tuple[Model, Tables]:
+    """The automaton of the column `text` in memory, and as tables."""
+    tables = learn(kept(sequences(texts.select(F.lit(0).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(False).alias("held_out"))), "lines"))
+    return Model(tables), tables
 
 
 def most_frequent(counts: DataFrame, column: str, most: int) -> DataFrame:
@@ -234,86 +297,59 @@ def most_frequent(counts: DataFrame, column: str, most: int) -> DataFrame:
     return counts.filter(step >= limit) if limit is not None else counts.limit(0)
 
 
-def fit(texts: DataFrame) -> tuple[Model, DataFrame]:
-    """The model from the column `text`, and the counts of all its words."""
-    counted = kept(word_counts(texts), "word-counts")
-    documents = texts.count()
-    total = counted.agg(F.sum("c"), F.count(F.lit(1))).first()
-    top = most_frequent(counted.filter(F.octet_length("word") <= LONGEST), "c", HEAD).collect()
-    top.sort(key=lambda r: (-r.c, r.word))
-    head = {r.word: (k, r.c) for k, r in enumerate(top)}
-    lexicon = min(LEXICON, len(top))
-    listed = texts.sparkSession.createDataFrame([(r.word,) for r in top[:lexicon]], "word string")
-    class_rows = counted.join(F.broadcast(listed), "word", "left_anti").groupBy(class_column(F.col("word")).alias("k")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()  # `CLASSES` rows at most
-    masses, bottoms = np.zeros(CLASSES), np.ones(CLASSES)
-    for r in class_rows:
-        masses[r.k], bottoms[r.k] = r.c, r.c + r.v + 1
-    model = Model((total[0] or 0) + documents, total[1] + (documents > 0), documents, head, np.log10(bottoms), lexicon, np.zeros(0))
-    symbol_counts = np.concatenate([[r.c for r in top[:lexicon]], masses, [documents, 0]]).astype(np.float64)
-    grams = kept(gram_counts(texts, model), "gram-counts")
-    size = model.symbols
-    histories = grams.groupBy((F.col("key") - F.pmod("key", F.lit(size))).alias("h")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).toArrow()  # one row for each possible history at most
-    arcs = most_frequent(grams.filter(F.col("n") >= LEAST), "n", ARCS).toArrow().sort_by("key")
-    arcs_of(model, arcs["key"].to_numpy(), arcs["n"].to_numpy(), histories["h"].to_numpy() // size, histories["n"].to_numpy(), histories["v"].to_numpy(), symbol_counts)
-    return model, counted
-
-
-ROWS = "part int, row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, tail array<struct<word:string,n:long>>"
-
-
-def traverse(docs: DataFrame, model: Model) -> DataFrame:
-    """Each document's sums, but for the counts of words outside the head, which it lists."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
-
-    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, part, row = held.value, task(), 0
-        automaton = Automaton(model)
-        for batch in batches:
-            for some in parts_of(batch, 2_000):
-                n = some.num_rows
-                words, at, ends = words_of(some.column("text"))
-                doc = np.repeat(np.arange(n), np.diff(ends))
-                symbol = model.symbols_of(words)
-                counts = np.array([model.head[w][1] if w in model.head else -1 for w in words], np.int64)
-                known = counts > 0
-                logs = np.where(known, np.log10(np.maximum(counts, 0) + 1), 0.0)
-                rare = symbol >= model.lexicon
-                inner = np.where(rare, logs - model.class_logs[np.where(rare, symbol - model.lexicon, 0)], 0.0)
-                sums = lambda values: np.bincount(doc, values[at], n) if len(at) else np.zeros(n)
-                total = sums(inner)
-                line = symbol[at].tolist()
-                for k in range(n):
-                    total[k] += automaton.score([*line[ends[k] : ends[k + 1]], model.end])
-                tokens = np.diff(ends) + 1
-                base = sums(logs) + np.log10(model.documents + 1) - tokens * np.log10(model.tokens + model.different + 1)
-                outside = ~known[at]
-                pair, times = np.unique(doc[outside] * len(words) + at[outside], return_counts=True)
-                offsets = np.searchsorted(pair, np.arange(n + 1) * len(words)) if len(words) else np.zeros(n + 1, np.int64)
-                tail = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(words, pa.string()).take(pa.array(pair % max(1, len(words)))), pa.array(times, pa.int64())], ["word", "n"]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * n, pa.int32()), pa.array(np.arange(row, row + n)), some.column("doc_id"), some.column("held_out"), pa.array(tokens), pa.array((sums(known.astype(float)) + (model.documents > 0)).astype(np.int64)), pa.array(base), pa.array(total), tail],
-                    ["part", "row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "tail"],
-                )
-                row += n
-
-    return docs.mapInArrow(job, ROWS)
-
-
 def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores of all documents, learned from those that are not held out."""
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out.alias("held_out"))
-    model, counted = fit(plain.filter(~F.col("held_out")).select("text"))
-    rows = kept(traverse(plain, model), "traversed")
-    tail = rows.select("part", "row", F.explode("tail").alias("t")).select("part", "row", "t.word", "t.n").join(counted, "word", "left")
-    c = F.coalesce("c", F.lit(0))
-    sums = tail.groupBy("part", "row").agg(F.sum(F.col("n") * F.log10(c + 1)).alias("more"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("more_known"))
-    more = F.coalesce("more", F.lit(0.0))
-    return rows.drop("tail").join(sums, ["part", "row"], "left").select(
+    lines = kept(sequences(plain), "lines", "zstd")
+    model = learn(lines.filter(~F.col("held_out")))
+    top = most_frequent(model.words, "c", HEAD).select("w", "c", "left").toArrow().sort_by("w")
+    hashes, counts, left = (top[c].to_numpy() for c in ("w", "c", "left"))
+    values = values_of(model)
+    bits = bitmap(values.filter("known = 0"))
+    held = docs.sparkSession.sparkContext.broadcast((hashes, np.log10(counts + 1), np.log10(left), bits))
+    size, begin = np.log10(model.tokens + model.different + 1), np.log10(model.begin)
+
+    def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each text's sums over the words of the head."""
+        hashes, logs, left, _ = held.value
+        for batch in batches:
+            for part in parts_of(batch, 2_000):
+                n = part.num_rows
+                _, doc, words, _ = grams_of(part.column("line"), (WORD,))[0]
+                place, found = looked_up(hashes, words)
+                doc, place = doc[found], place[found]
+                base = np.bincount(doc, logs[place], n) - np.asarray(part.column("line").value_lengths()) * size
+                score = base + np.bincount(doc, left[place], n) + begin
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(np.bincount(doc, minlength=n)), pa.array(base), pa.array(score)], ["row", "known", "base", "score"])
+
+    def tail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each text's other words, pairs and triples, counted."""
+        hashes, _, _, bits = held.value
+        for batch in batches:
+            for part in parts_of(batch, 1_000):
+                rows = part.column("row").to_numpy()
+                (_, doc, words, _), *longer = grams_of(part.column("line"))
+                rest = ~looked_up(hashes, words)[1]
+                asked, keys = [doc[rest]], [words[rest]]
+                for _, d, a, b in longer:
+                    key = joint(a, b)
+                    some = maybe(bits, key)
+                    asked.append(d[some])
+                    keys.append(key[some])
+                asked, keys = np.concatenate(asked), np.concatenate(keys)
+                _, where, times = np.unique(joint(asked, keys), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[asked[where]]), pa.array(keys[where]), pa.array(times)], ["row", "key", "times"])
+
+    own = lines.select("row", "line").mapInArrow(head, "row long, known long, base double, score double")
+    asked = lines.select("row", "line").mapInArrow(tail, "row long, key long, times long")
+    met = asked.join(values, "key").select("row", *((F.col("times") * F.col(c)).alias(c) for c in ("known", "base", "score")))
+    sums = own.union(met).groupBy("row").agg(*(F.sum(c).alias(c) for c in ("known", "base", "score")))
+    return lines.select("row", "doc_id", "held_out", F.size("line").cast("long").alias("n_tokens")).join(sums, "row").select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
+        F.col("known").cast("long").alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"),
-        (F.col("score") + more).alias("score"),
+        F.col("base").alias("base_score"),
+        "score",
     )

@@ -106,3 +106,40 @@ def test_scores_follow_the_counts_by_hand(spark, monkeypatch):
         history.append(w)
     order = [model.head[w][0] for w in text[:-1]] + [model.end]
     assert abs(backoff.Automaton(model).score(order) - want) < 1e-9
+
+
+def test_pair_hashes_are_those_of_the_plan(spark):
+    a, b = np.array([0, 1, -5, 2**62], np.int64), np.array([7, -1, 2**40, -(2**63)], np.int64)
+    found = spark.createDataFrame(list(zip(a.tolist(), b.tolist())), "a long, b long").select(F.xxhash64("a", "b").alias("h")).collect()
+    assert [r.h for r in found] == backoff.joint(a, b).tolist()
+
+
+def test_no_word_or_history_is_left_out(spark):
+    """More words than any limit on words, each in a pair and a triple that occur twice, against the recursion."""
+    texts = [" ".join(f"w{i + k}" for k in range(3)) for i in range(0, 9_000, 3)] * 2 + ["w3 w4 w5 w0 w1 w9 w4 w5", "w8997 w8998 w8999 new"]
+    rows = [(i, t, i == len(texts) - 1) for i, t in enumerate(texts)]
+    one, two, three = Counter(), Counter(), Counter()
+    for _, t, held in rows:
+        if not held:
+            x = ["<s>", *t.split(), "</s>"]
+            one.update(x[1:])
+            two.update(zip(x, x[1:]))
+            three.update(zip(x[1:], x[2:], x[3:]))
+    bottoms = {}
+    for counts in (two, three):
+        for k, n in counts.items():
+            total, arcs = bottoms.get(k[:-1], (0, 0))
+            bottoms[k[:-1]] = total + n + 1, arcs + n * (n >= backoff.LEAST)
+
+    def mix(counts, gram, lower):
+        bottom, arcs = bottoms.get(gram[:-1], (1, 0))
+        n = counts[gram] if counts[gram] >= backoff.LEAST else 0
+        return n / bottom + (1 - arcs / bottom) * lower
+
+    found = {r.doc_id: r.score for r in backoff.score_texts(spark.createDataFrame(rows, "doc_id long, text string, held boolean"), F.col("held")).collect()}
+    for key in (0, 2_999, len(texts) - 2, len(texts) - 1):
+        x, want = ["<s>", *texts[key].split(), "</s>"], 0.0
+        for at in range(1, len(x)):
+            p = mix(two, (x[at - 1], x[at]), (one[x[at]] + 1) / (sum(one.values()) + len(one) + 1))
+            want += math.log10(mix(three, tuple(x[at - 2 : at + 1]), p) if at > 2 else p)
+        assert abs(found[key] - want) < 1e-9, key
