@@ -2,10 +2,11 @@
 
 The standard library's streaming parser turns a page into lines: runs of text between tags that break a line. Each
 line's ratio of text to tags is smoothed over its neighbours by a Gaussian; two clusters of the smoothed ratios give
-the threshold, and the lines above it that aren't mostly links are the core. The smallest element that holds most of
-the core's text is the content region; its lines are the main text, short ones too, except those mostly made of links
-and those inside elements that by their tag, class or id are menus, headers, footers, sidebars, notices, adverts,
-forms or reader comments.
+the threshold, and the lines above it that aren't mostly links are the core. The outermost article and main elements
+are the content region if they hold most of the core's text, else the whole page is. The region's lines are the main
+text, short ones too, except those inside elements that by their tag, class or id are menus, headers, footers,
+sidebars, notices, adverts, forms or reader comments. Lines mostly made of links go where no article or main element
+says that they belong to the text.
 
 Missing pages count as empty and give an empty text, as do pages without content. Rows keep their order and
 multiplicity, and rows without an id or address stay. An empty table gives an empty result. Columns other than the
@@ -37,7 +38,7 @@ HEADS = frozenset(("header", "masthead"))
 #: Standard deviation of the smoothing, in lines, and the share of link text that makes a line a link.
 SIGMA = 1.0
 LINKS = 0.5
-#: Share of the core's text that the content region holds.
+#: Share of the core's text that article and main elements hold to be the content region.
 HELD = 0.7
 
 _TOKENS = re.compile(r"[a-z0-9]+(?:-share)?")
@@ -50,7 +51,7 @@ class Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, int]] = []
-        self.parents, self.outside = [-1], [False]
+        self.parents, self.outside, self.content = [-1], [False], [False]
         self.open: list[tuple[str, int]] = []
         self.counts: dict[str, int] = {}
         self.region, self.silent, self.links = 0, 0, 0
@@ -99,6 +100,7 @@ class Lines(HTMLParser):
         if tag in REGIONS or outside:
             self.parents.append(self.region)
             self.outside.append(self.outside[self.region] or outside)
+            self.content.append(self.content[self.region] or tag in ("article", "main"))
             self.open.append((tag, self.region))
             self.region = len(self.parents) - 1
         elif tag in SILENT or tag == "a":
@@ -178,27 +180,17 @@ def main_text(html: str) -> str:
     ratios = sizes / np.maximum(1, [x[1] for x in lines])
     linked = np.array([x[2] for x in lines]) > LINKS * sizes
     regions = np.array([x[3] for x in lines])
-    allowed = ~np.array(parser.outside)[regions] & ~linked
+    inside = ~np.array(parser.outside)[regions]
+    content = inside & np.array(parser.content)[regions]
+    allowed = inside & ~linked
     if not allowed.any():
-        return ""
+        return "\n".join(x[0] for x, ok in zip(lines, content, strict=True) if ok)
     even = smoothed(np.log1p(np.where(allowed, ratios, 0.0)))
     core = allowed & (even >= threshold(even))
     if not core.any():
         core = allowed
-    # the smallest region with most of the core: down from the page, as long as one child holds enough
-    parents = parser.parents
-    held = np.bincount(regions[core], sizes[core], len(parents))
-    for k in range(len(parents) - 1, 0, -1):
-        held[parents[k]] += held[k]
-    enough = HELD * held[0]
-    best, chosen = 0, np.zeros(len(parents), bool)
-    for k in range(1, len(parents)):  # parents come before their children
-        if parents[k] == best and held[k] >= enough:
-            best = k
-    chosen[best] = True
-    for k in range(best + 1, len(parents)):
-        chosen[k] = chosen[parents[k]]
-    return "\n".join(x[0] for x, ok in zip(lines, allowed & chosen[regions], strict=True) if ok)
+    chosen = content if sizes[core & content].sum() >= HELD * sizes[core].sum() else allowed | content
+    return "\n".join(x[0] for x, ok in zip(lines, chosen, strict=True) if ok)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -66,3 +66,13 @@ def test_smoothing_and_threshold():
     assert np.allclose(pages.smoothed(np.full(7, 3.0)), 3)
     assert 1.2 < pages.threshold(np.array([1, 1.1, 1.2, 5, 5.2])) <= 5
     assert pages.threshold(np.array([2.0, 2.0])) == 2
+
+
+def test_no_part_of_the_article_goes():
+    long = LONG.strip()
+    nested = f"<body><nav><a href=x>{LONG}</a></nav><article><h1>Title</h1><p>Lead.</p><div class=body><p>{LONG * 8}</p></div><ul><li><a href=1>A reference</a><li>Item</ul></article><div><p>Elsewhere</p></div></body>"
+    assert pages.main_text(nested) == "\n".join(["Title", "Lead.", " ".join([long] * 8), "A reference", "Item"])
+    uneven = f"<body><div id=wrap><h1>Title</h1><section><p>{LONG * 9}</p></section><section><p>{LONG}</p></section></div></body>"
+    assert pages.main_text(uneven) == "\n".join(["Title", " ".join([long] * 9), long])
+    several = f"<main><article><p>{LONG * 9}</p></article><article><p>{LONG}</p></article></main>"
+    assert pages.main_text(several) == "\n".join([" ".join([long] * 9), long])
