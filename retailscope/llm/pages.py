@@ -8,6 +8,9 @@ text, short ones too, except those inside elements that by their tag, class or i
 sidebars, notices, adverts, forms or reader comments. Lines mostly made of links go where no article or main element
 says that they belong to the text.
 
+Classes and ids of wrappers often name what else is in them. They don't count on elements around the main element, nor
+on those that hold over half of the page's text, if no article or main element is free of them or hardly any text is.
+
 Missing pages count as empty and give an empty text, as do pages without content. Rows keep their order and
 multiplicity, and rows without an id or address stay. An empty table gives an empty result. Columns other than the
 three named ones are not read.
@@ -40,18 +43,21 @@ SIGMA = 1.0
 LINKS = 0.5
 #: Share of the core's text that article and main elements hold to be the content region.
 HELD = 0.7
+#: Shares of the page's text: of a wrapper, and of what is hardly any.
+MOST, HARDLY = 0.5, 0.1
 
 _TOKENS = re.compile(r"[a-z0-9]+(?:-share)?")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 class Lines(HTMLParser):
-    """Collects lines (text, tags, link characters, region) and regions (parent, outside)."""
+    """Collects lines (text, tags, link characters, region) and regions: parent, tag, outside but for cues, own cue."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, int]] = []
-        self.parents, self.outside, self.content = [-1], [False], [False]
+        self.parents, self.outside, self.content, self.tags_of = [-1], [False], [False], [""]
+        self.cued = [False]
         self.open: list[tuple[str, int]] = []
         self.counts: dict[str, int] = {}
         self.region, self.silent, self.links = 0, 0, 0
@@ -67,20 +73,21 @@ class Lines(HTMLParser):
             self.tags = 0
         self.text, self.linked = [], 0
 
-    def is_outside(self, tag: str, attributes: list[tuple[str, str | None]]) -> bool:
+    def is_outside(self, tag: str, attributes: list[tuple[str, str | None]]) -> tuple[bool, bool]:
+        """Outside by tag, role or being hidden, and by a cue."""
+        cued = False
         if tag in ("html", "body", "main", "article"):
-            return False
+            return False, False
         if tag in OUTSIDE or tag == "header" and not self.within:
-            return True
+            return True, False
         for name, value in attributes:
             value = (value or "").lower()
             if name in ("class", "id"):
                 tokens = _TOKENS.findall(value)
-                if not CUES.isdisjoint(tokens) or not self.within and not HEADS.isdisjoint(tokens):
-                    return True
+                cued = cued or not CUES.isdisjoint(tokens) or not self.within and not HEADS.isdisjoint(tokens)
             elif name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value):
-                return True
-        return False
+                return True, False
+        return False, cued
 
     def handle_starttag(self, tag: str, attributes: list[tuple[str, str | None]]) -> None:
         self.tags += 1
@@ -96,10 +103,12 @@ class Lines(HTMLParser):
             self.links += 1
         if tag == "article" or tag == "main":
             self.within += 1
-        outside = self.is_outside(tag, attributes) if attributes or tag in REGIONS else False
-        if tag in REGIONS or outside:
+        outside = self.is_outside(tag, attributes) if attributes or tag in REGIONS else (False, False)
+        if tag in REGIONS or any(outside):
             self.parents.append(self.region)
-            self.outside.append(self.outside[self.region] or outside)
+            self.outside.append(self.outside[self.region] or outside[0])
+            self.cued.append(outside[1])
+            self.tags_of.append(tag)
             self.content.append(self.content[self.region] or tag in ("article", "main"))
             self.open.append((tag, self.region))
             self.region = len(self.parents) - 1
@@ -170,6 +179,30 @@ def threshold(values: np.ndarray) -> float:
     return low
 
 
+def excluded(parser: Lines, sizes: np.ndarray, regions: np.ndarray) -> np.ndarray:
+    """Regions outside the main text, those within others too."""
+    hard, cued, parents, n = np.array(parser.outside), np.array(parser.cued), parser.parents, len(parser.parents)
+    if not cued.any():
+        return hard
+    under = cued.copy()
+    for k in range(1, n):  # parents come before their children
+        under[k] |= under[parents[k]]
+    held = np.bincount(regions, np.where(hard[regions], 0, sizes), n)
+    clear = held[~under].sum()
+    is_main = np.array([t == "main" for t in parser.tags_of]) & ~hard
+    is_content = np.array([t in ("main", "article") for t in parser.tags_of]) & ~hard
+    free = bool((is_content & ~under).any())
+    for k in range(n - 1, 0, -1):
+        held[parents[k]] += held[k]
+        is_main[parents[k]] |= is_main[k]
+        is_content[parents[k]] |= is_content[k]
+    most = held > MOST * held[0]
+    out = hard | cued & ~(is_main | most & (is_content & (not free) | (clear < HARDLY * held[0])))
+    for k in range(1, n):
+        out[k] |= out[parents[k]]
+    return out
+
+
 def main_text(html: str) -> str:
     parser = Lines()
     parser.feed(html)
@@ -180,7 +213,7 @@ def main_text(html: str) -> str:
     ratios = sizes / np.maximum(1, [x[1] for x in lines])
     linked = np.array([x[2] for x in lines]) > LINKS * sizes
     regions = np.array([x[3] for x in lines])
-    inside = ~np.array(parser.outside)[regions]
+    inside = ~excluded(parser, sizes, regions)[regions]
     content = inside & np.array(parser.content)[regions]
     allowed = inside & ~linked
     if not allowed.any():

@@ -76,3 +76,14 @@ def test_no_part_of_the_article_goes():
     assert pages.main_text(uneven) == "\n".join(["Title", " ".join([long] * 9), long])
     several = f"<main><article><p>{LONG * 9}</p></article><article><p>{LONG}</p></article></main>"
     assert pages.main_text(several) == "\n".join([" ".join([long] * 9), long])
+
+
+def test_cues_of_wrappers():
+    long = LONG.strip()
+    for inner in ("article", "main", "div"):
+        page = f'<body><div class="layout with-sidebar"><{inner}><p>{LONG * 3}</p><div class=share><p>{LONG}</p></div></{inner}><div class="sidebar"><p>{LONG}</p></div></div></body>'
+        assert pages.main_text(page) == " ".join([long] * 3), inner
+    comments = f"<body><article><p>{LONG}</p></article><div id=comments><article><p>{LONG * 3}</p></article></div></body>"
+    assert pages.main_text(comments) == long
+    assert pages.main_text(f"<body><div><p>{LONG}</p></div><div id=comments><p>{LONG * 3}</p></div></body>") == long
+    assert pages.main_text(f"<div class=widget><main><p>{LONG}</p></main></div><div><p>{LONG}</p></div>").startswith(long)
