@@ -4,7 +4,8 @@ Vectors are kept in blocks of neighbours, each a forward index (a matrix) with t
 dimension. A query's bound for a block is the sum over dimensions of its weight times the value that favours it. For
 each query the blocks of a part are taken in the order of their bounds, in waves, and scored until the bound falls
 below the query's k-th score so far. The vectors are read where they lie and never shuffled; the queries travel, in
-chunks of bounded size, and only k rows for each query and task come back to be merged.
+chunks of bounded size, and only k rows for each query and task come back to be merged. One chunk passes through the
+driver at a time: its k best are written to the shared folder, and it is released, before the next is gathered.
 
 Vectors that are missing or hold missing or non-finite components take no part, nor do rows without an id. Queries
 meet vectors of their own length only. A repeated query id is answered once, by its smallest vector; rows that share
@@ -117,11 +118,11 @@ def search_part(best: Best, rows: np.ndarray, ids: np.ndarray, queries: np.ndarr
 
 
 def chunk_search(blocks: DataFrame, chunk: pa.Table, k: int) -> DataFrame:
-    """(query_id, vec_id, score): the k best of each task for every query of the chunk."""
-    query_ids = chunk.column("id").to_numpy()
-    by_width = matrices(chunk.column("vec").combine_chunks()) if len(chunk) else {}
+    """query_id, rank, vec_id, score: the k best of every query of the chunk, written to the shared folder."""
+    sent = blocks.sparkSession.sparkContext.broadcast((chunk.column("id").to_numpy(), matrices(chunk.column("vec").combine_chunks()) if len(chunk) else {}))
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_ids, by_width = sent.value
         best = Best(len(query_ids), k)
         for batch in batches:
             for part in parts_of(batch, PART):
@@ -135,7 +136,11 @@ def chunk_search(blocks: DataFrame, chunk: pa.Table, k: int) -> DataFrame:
         row, place = np.nonzero(best.ids != NONE)
         yield pa.RecordBatch.from_arrays([pa.array(query_ids[row]), pa.array(best.ids[row, place]), pa.array(best.scores[row, place].astype(np.int64))], ["query_id", "vec_id", "score"])
 
-    return blocks.mapInArrow(job, "query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = blocks.mapInArrow(job, "query_id long, vec_id long, score long").withColumn("rank", rank.cast("int"))
+    out = kept(found.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "top-k-chunk")
+    sent.destroy()
+    return out
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -145,5 +150,4 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
     asked = kept(plain.filter(is_query).groupBy("id").agg(F.min("vec").alias("vec")).select("id", F.transform("vec", lambda x: F.floor(x * scale).cast("double")).alias("vec")), "top-k-queries")
     chunks = max(1, -(-asked.count() // CHUNK))
     parts = [chunk_search(blocks, asked.filter(F.pmod(F.xxhash64("id"), F.lit(chunks)) == at).toArrow(), k) for at in range(chunks)]
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return reduce(DataFrame.union, parts).withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return reduce(DataFrame.union, parts)

@@ -168,3 +168,19 @@ def test_bounds_skip_blocks():
     every = np.concatenate([np.frombuffer(b[1]).reshape(-1, 16) for b in blocks])
     want = np.sort(queries @ every.T, axis=1)[:, ::-1][:, :5]
     assert (best.scores == want).all()
+
+
+def test_one_chunk_of_queries_at_a_time(spark, monkeypatch):
+    events, gather, keep = [], topk.chunk_search, topk.kept
+    monkeypatch.setattr(topk, "CHUNK", 3)
+    monkeypatch.setattr(topk, "chunk_search", lambda *a: events.append("gathered") or gather(*a))
+    monkeypatch.setattr(topk, "kept", lambda df, label: (keep(df, label), events.append(label))[0])
+    rows = [(i, [float(i % 7), float(i % 11), -1.0]) for i in range(100)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = sorted(tuple(r) for r in topk.top_k(df, F.col("id") % 10 == 0, k=2, scale=1.0).collect())
+    want = []
+    for q, v in rows[::10]:
+        best = sorted((-sum(x * y for x, y in zip(v, o)), i) for i, o in rows if i != q)[:2]
+        want += [(q, rank, i, int(-score)) for rank, (score, i) in enumerate(best, 1)]
+    assert found == sorted(want)
+    assert events[-8:] == ["gathered", "top-k-chunk"] * 4
