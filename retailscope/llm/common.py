@@ -54,6 +54,16 @@ def parts_of(batch: pa.RecordBatch, size: int = 1000) -> Iterator[pa.RecordBatch
         yield batch.slice(at, size)
 
 
+def slices(batch: pa.RecordBatch, size: int = 2_000_000, name: str = "text") -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about so many bytes in the column `name`, one row at least, whatever the rows' lengths."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+    at = 0
+    while at < batch.num_rows:
+        stop = int(max(at + 1, np.searchsorted(upto, (upto[at - 1] if at else 0) + size, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 class TokenCache:
     """Token ids of texts by the tokenizers library, remembered by word; for byte-level BPE vocabularies.
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retailscope.llm import backoff, huffman, language, neardup, packing, pages, pii, quality, sampling, topk
+from retailscope.llm import alignment, backoff, huffman, language, neardup, packing, pages, pii, quality, sampling, topk
 from retailscope.llm.common import fold, kept, table
 from retailscope.llm.registry import CHECKS, QUERIES
 
@@ -57,6 +57,16 @@ def op10_block_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(table(spark, folder, "embeddings"), F.col("id") % 50 == 0, k=5, scale=256.0)
 
 
+def op12_token_groups(spark: SparkSession, folder: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    groups = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("")
+    # the digest stands for the groups from here on, so that they needn't be stored
+    found = alignment.align(table(spark, folder, "documents"), *paths).withColumn("groups", groups).withColumnRenamed("groups", "groups_sha256")
+    aligned = kept(found, "aligned", "zstd")
+    sums = alignment.with_link_sums(aligned, alignment.link_counts(aligned, *paths))
+    return sums.select("doc_id", "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), "n_best", "count_sum", "groups_sha256")
+
+
 CHECKS["op10_block_top_k"] = """
 WITH v AS (
   SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
@@ -68,6 +78,6 @@ s AS (
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 
-QUERIES |= {f.__name__: f for f in (op1_language_field, op2_huffman_ids, op3_best_fit_packing, op4_page_text, op5_quality_rules, op6_personal_data, op7_backoff_scores, op8_sampled_pieces, op9_simhash_groups, op10_block_top_k)}
+QUERIES |= {f.__name__: f for f in (op1_language_field, op2_huffman_ids, op3_best_fit_packing, op4_page_text, op5_quality_rules, op6_personal_data, op7_backoff_scores, op8_sampled_pieces, op9_simhash_groups, op10_block_top_k, op12_token_groups)}
 
 __all__ = ["CHECKS", "QUERIES"]
