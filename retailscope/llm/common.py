@@ -34,6 +34,18 @@ def kept(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     return staged(df, label, compression)
 
 
+def met(rows: DataFrame, other: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
+    """Inner join of `rows` with `other`, which has each key once, where some keys may hold a large share of `rows`.
+
+    `hot` names those keys and must be bounded by construction, as keys with a fixed share of all rows are. They meet by
+    broadcast, so that their rows stay spread over the tasks; the other keys meet by a shuffle.
+    """
+    marked = F.broadcast(hot.select(*keys, F.lit(True).alias("_hot")))
+    rows = rows.join(marked, keys, "left")
+    near = rows.filter("_hot").drop("_hot").join(F.broadcast(other.join(marked, keys).drop("_hot")), keys)
+    return near.unionByName(rows.filter("_hot is null").drop("_hot").join(other, keys))
+
+
 def task() -> int:
     context = TaskContext.get()
     return context.partitionId() if context else 0
