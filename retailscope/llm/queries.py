@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retailscope.llm import alignment, backoff, huffman, language, neardup, packing, pages, pii, quality, sampling, topk, trie
+from retailscope.llm import alignment, backoff, huffman, language, neardup, packing, pages, pii, quality, sampling, sharding, topk, trie
 from retailscope.llm.common import fold, kept, table
 from retailscope.llm.registry import CHECKS, QUERIES
 
@@ -57,6 +57,13 @@ def op10_block_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(table(spark, folder, "embeddings"), F.col("id") % 50 == 0, k=5, scale=256.0)
 
 
+def op11_label_shards(spark: SparkSession, folder: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, folder, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("same"))
+    placed = sharding.balanced(docs, [F.col("same")], shards=16)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op12_token_groups(spark: SparkSession, folder: str) -> DataFrame:
     paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
     groups = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("")
@@ -119,6 +126,6 @@ SELECT n.first AS conv_id, n.depth, u.first AS parent_conv_id, n.n_convs, CAST(s
   CAST(s.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
 FROM n JOIN s ON s.top = n.first AND s.top_depth = n.depth LEFT JOIN i u ON u.conv_id = n.first AND u.depth = n.depth - 1"""
 
-QUERIES |= {f.__name__: f for f in (op1_language_field, op2_huffman_ids, op3_best_fit_packing, op4_page_text, op5_quality_rules, op6_personal_data, op7_backoff_scores, op8_sampled_pieces, op9_simhash_groups, op10_block_top_k, op12_token_groups, op13_prefix_trie)}
+QUERIES |= {f.__name__: f for f in (op1_language_field, op2_huffman_ids, op3_best_fit_packing, op4_page_text, op5_quality_rules, op6_personal_data, op7_backoff_scores, op8_sampled_pieces, op9_simhash_groups, op10_block_top_k, op11_label_shards, op12_token_groups, op13_prefix_trie)}
 
 __all__ = ["CHECKS", "QUERIES"]
