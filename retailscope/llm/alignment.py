@@ -26,6 +26,7 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from retailscope.llm.common import TokenCache, release, slices
 SCHEMA = "doc_id long, n_a long, n_b long, n_groups long, groups string, links binary"
 #: Segments that a worker remembers, and characters of text that are aligned together.
 MOST = 150_000
-CHARACTERS = 2_000_000
+CHARACTERS = 3_000_000
 #: A space between two characters other than white space.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Texts that can be cut at every space have none of these.
@@ -149,51 +150,59 @@ class Aligner:
             return [text]
         return CUT.split(text) if ODD.search(text) else text.split(" ")
 
-    def ids_a(self, segments: list[str]) -> list[np.ndarray]:
-        """A's ids of a space and each segment."""
-        plain = [s for s in segments if s and not s[0].isspace() and not s[-1].isspace()]
-        self.cache.learn([s for s in plain if s not in self.cache.words])
-        rest = [s for s in segments if s not in self.cache.words]
-        others = dict(zip(rest, self.cache.raw([" " + s for s in rest]), strict=True))
-        return [np.frombuffer(self.cache.words[s] if s in self.cache.words else others[s], np.uint32) for s in segments]
+    def ids_a(self, segments: list[str]) -> list[bytes]:
+        """A's ids of a space and each segment, four bytes each."""
+        words = self.cache.words
+        self.cache.learn([s for s in segments if s not in words and s and not s[0].isspace() and not s[-1].isspace()])
+        found = list(map(words.get, segments))
+        rest = [k for k, x in enumerate(found) if x is None]
+        for k, x in zip(rest, self.cache.raw([" " + segments[k] for k in rest]), strict=True):
+            found[k] = x
+        return found
+
+    def matching(self, segments: list[str], found_a: list[bytes], found_b: list[list[int]]) -> list[bool]:
+        """Which segments, with a space in front, are what their tokens' bytes make."""
+        return [
+            b"".join(map(self.a.tokens.__getitem__, np.frombuffer(x, np.uint32))) == b"".join(map(self.b.tokens.__getitem__, y)) == b" " + s.encode()
+            for s, x, y in zip(segments, found_a, found_b, strict=True)
+        ]
 
     def learn(self, segments: list[str]) -> None:
         """Aligns unseen segments, all tokens at once."""
-        found_a = self.ids_a(segments)
-        found_b = [np.array(x, np.int64) for x in self.processor.encode(segments, num_threads=1)]
-        same = [
-            b"".join(map(self.a.tokens.__getitem__, x)) == b"".join(map(self.b.tokens.__getitem__, y)) == b" " + s.encode()
-            for s, x, y in zip(segments, found_a, found_b, strict=True)
-        ]
-        good = [k for k, ok in enumerate(same) if ok]
-        place = len(self.texts)
-        for k, segment in enumerate(segments):
-            self.known[segment] = -1 if not same[k] else (place := place + 1) - 1
+        found_a, found_b = self.ids_a(segments), self.processor.encode(segments, num_threads=1)
         self.held += sum(map(len, segments))
-        if not good:
-            return
-        found_a, found_b = [found_a[k] for k in good], [found_b[k] for k in good]
-        ids_a, ids_b = np.concatenate(found_a).astype(np.int64), np.concatenate(found_b)
+        ids_a, ids_b = np.frombuffer(b"".join(found_a), np.uint32).astype(np.int64), np.fromiter(chain.from_iterable(found_b), np.int64)
         ends_a, ends_b = np.cumsum(self.length_a[ids_a]), np.cumsum(self.length_b[ids_b])
+        n_a, n_b = np.fromiter(map(len, found_a), np.int64) // 4, np.fromiter(map(len, found_b), np.int64)
+        whole = (" " + " ".join(segments)).encode()
+        joined = b"".join(map(self.a.tokens.__getitem__, ids_a)) == b"".join(map(self.b.tokens.__getitem__, ids_b)) == whole
+        if not joined or not n_b.all() or (ends_a[np.cumsum(n_a) - 1] != ends_b[np.cumsum(n_b) - 1]).any():
+            same = self.matching(segments, found_a, found_b)
+            self.known.update((s, -1) for s, ok in zip(segments, same, strict=True) if not ok)
+            if any(same):
+                self.learn([s for s, ok in zip(segments, same, strict=True) if ok])
+            return
         label = jumped(ends_a, ends_b)
         terminal = np.flatnonzero(label[len(ids_a) :] == np.arange(len(ids_b)))
         last_a = np.searchsorted(ends_a, ends_b[terminal])
         links = np.searchsorted(self.pairs, ids_a[last_a] * self.base + ids_b[terminal]).astype(np.int32)
         # labels don't decrease along either sequence, so each group is a run of both
-        stop_a = np.searchsorted(label[: len(ids_a)], terminal, "right")
-        stop_b = np.searchsorted(label[len(ids_a) :], terminal, "right")
-        names_a, names_b = [self.names[k] for k in ids_a.tolist()], [self.names[k] for k in ids_b.tolist()]
-        groups, x, y = [], 0, 0
-        for u, v in zip(stop_a.tolist(), stop_b.tolist(), strict=True):
-            groups.append(f"{','.join(names_a[x:u])}|{','.join(names_b[y:v])}")
+        stop_a = (last_a + 1).tolist()
+        stop_b = (terminal + 1).tolist()
+        names_a, names_b = list(map(self.names.__getitem__, ids_a)), list(map(self.names.__getitem__, ids_b))
+        x, y, groups = 0, 0, []
+        for u, v in zip(stop_a, stop_b, strict=True):
+            # most groups are one token of each
+            groups.append(f"{names_a[x] if u == x + 1 else ','.join(names_a[x:u])}|{names_b[y] if v == y + 1 else ','.join(names_b[y:v])}")
             x, y = u, v
-        upto = np.searchsorted(terminal, np.cumsum([len(x) for x in found_b]) - 1, "right").tolist()
+        upto = np.searchsorted(terminal, np.cumsum(n_b) - 1, "right")
         raw, start = links.tobytes(), 0
-        for x, y, stop in zip(found_a, found_b, upto, strict=True):
+        self.known.update(zip(segments, range(len(self.texts), len(self.texts) + len(segments)), strict=True))
+        for stop in upto.tolist():
             self.texts.append(";".join(groups[start:stop]))
             self.links.append(raw[4 * start : 4 * stop])
-            self.sizes.append((len(x), len(y), stop - start))
             start = stop
+        self.sizes.extend(zip(n_a.tolist(), n_b.tolist(), np.diff(upto, prepend=0).tolist(), strict=True))
 
     def align(self, texts: list[str]) -> Iterator[tuple[int, int, int, str, bytes]]:
         """Tokens of A and B, groups, the groups as text, and the links' numbers, of each text."""
