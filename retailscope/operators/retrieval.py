@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retailscope.functions.numeric import rows
 from retailscope.functions.texts import excerpt, says_insufficient, stripped
-from retailscope.functions.vectors import cosine_similarity
+from retailscope.operators import vector_index
 from retailscope.session import staged
 
 TOP_K = 4
@@ -20,13 +15,6 @@ THRESHOLD = 0.40
 MAX_TOP_K = 10
 QUESTION_LENGTH = (3, 500)
 
-# Vectors of questions that ride along with the tasks at a time, and cells of one matrix product in a task.
-QUESTION_BYTES = 64_000_000
-PRODUCT_CELLS = 4_000_000
-# Sign bits of a coarse code, and exact checks per question and wanted neighbour.
-CODE_BITS = 512
-CHECKS_PER_HIT = 10
-
 # Instruction in front of an embedded question, the guard's answer, and the fallback.
 QUERY_INSTRUCTION = "Instruct: Given a web search query, retrieve relevant passages that answer the query\nQuery: "
 GUARD_MESSAGE = (
@@ -35,8 +23,6 @@ GUARD_MESSAGE = (
 )
 FALLBACK = "The language model was unavailable, so here is the most relevant knowledge-base section verbatim [1] (%s > %s):\n\n%s"
 
-HIT = "query_id bigint, chunk_id bigint, similarity double"
-
 
 def query_text(question: Column) -> Column:
     """A question as it is embedded; chunks are embedded bare."""
@@ -52,96 +38,20 @@ def attach_embeddings(texts: DataFrame, vectors: DataFrame, key: str, dim: int)
     return joined.withColumn("embedding_error", error)
 
 
-def _matrix(column: pd.Series, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unit rows of the vectors of this width that have a length, and which rows those are."""
-    usable = np.array([len(v) == width for v in column], dtype=bool)
-    if not usable.any():
-        return np.zeros((0, width)), usable
-    stacked = np.stack([np.asarray(v, dtype=np.float64) for v in column[usable]])
-    lengths = np.sqrt((stacked * stacked).sum(axis=1))
-    good = np.isfinite(lengths) & (lengths > 0)
-    usable[np.flatnonzero(usable)[~good]] = False
-    return stacked[good] / lengths[good, None], usable
-
-
-def _best(query_ids: np.ndarray, queries: np.ndarray, chunk_ids: np.ndarray, chunks: np.ndarray, k: int) -> pd.DataFrame:
-    """The k most similar chunks of one block for each question; equal similarity goes by chunk id."""
-    similarity = np.round(queries @ chunks.T, 12)
-    if similarity.shape[1] > k:
-        cut = np.partition(similarity, -k, axis=1)[:, -k]
-        q, c = np.nonzero(similarity >= cut[:, None])  # ties with the k-th included
-    else:
-        q, c = np.indices(similarity.shape).reshape(2, -1)
-    order = np.lexsort((chunk_ids[c], -similarity[q, c], q))
-    q, c = q[order], c[order]
-    place = np.arange(len(q)) - np.searchsorted(q, q)
-    q, c = q[place < k], c[place < k]
-    return pd.DataFrame({"query_id": query_ids[q], "chunk_id": chunk_ids[c], "similarity": similarity[q, c]})
-
-
-def top_k_similar(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, question_bytes: int = QUESTION_BYTES) -> DataFrame:
+def top_k_similar(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, question_bytes: int = vector_index.QUESTION_BYTES) -> DataFrame:
     """The k nearest chunks per question by cosine: (query_id, chunk_id, similarity, rank).
 
-    `queries` is (query_id, embedding), `chunks` (chunk_id, embedding). Chunks are read where they lie and
-    never shuffled; questions travel to them in groups of bounded bytes, one scan for each group. Each
-    task multiplies matrices and returns its k best per question, and only those are shuffled. Ties go by
-    chunk id. Questions meet vectors of their own width only; vectors that are missing, of length zero or
-    not finite take no part (`attach_embeddings` and `store_report` name them).
+    `queries` is (query_id, embedding), `chunks` (chunk_id, embedding). Chunks are laid out by cells first, and questions
+    stay a table that meets the cells in parts of about `question_bytes`; cells that can't hold a hit are skipped. For
+    several searches of the same chunks build the index once and call `vector_index.search`. Ties go by chunk id.
+    Questions meet vectors of their own width only; vectors that are missing, of length zero or not finite take no part
+    (`attach_embeddings` and `store_report` name them).
     """
-    hits = reduce(DataFrame.unionByName, [_scan(part, _passages(chunks), k) for part in _groups(queries, question_bytes)])
-    return _ranked(hits, k)
-
-
-def _passages(chunks: DataFrame) -> DataFrame:
-    return chunks.where("embedding is not null").select("chunk_id", "embedding")
-
-
-def _groups(queries: DataFrame, question_bytes: int) -> Iterator[pd.DataFrame]:
-    """The questions in groups of about so many bytes."""
-    questions = queries.where("embedding is not null").select("query_id", "embedding")
-    held = questions.agg(F.coalesce(F.sum(8 * F.size("embedding")), F.lit(0))).first()[0]
-    groups = max(1, -(-held // question_bytes))
-    for group in range(groups):
-        yield questions.where(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == group).toPandas()  # bounded by `question_bytes`
+    return _rounded(vector_index.search(vector_index.build(chunks), queries, k, question_bytes))
 
 
-def _ranked(hits: DataFrame, k: int) -> DataFrame:
-    # at most k rows per question and task; each task's k best per question go first
-    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id")
-    ranked = hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.withColumn("similarity", F.round("similarity", 4))
-
-
-def _by_width(questions: pd.DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(width, ids, unit rows) of the questions of each width."""
-    out = []
-    for width in sorted({len(v) for v in questions["embedding"]}):
-        unit, usable = _matrix(questions["embedding"], width)
-        out.append((width, questions["query_id"].to_numpy()[usable], unit))
-    return out
-
-
-def _scan(questions: pd.DataFrame, passages: DataFrame, k: int) -> DataFrame:
-    if questions.empty:
-        return passages.sparkSession.createDataFrame([], HIT)
-    held = passages.sparkSession.sparkContext.broadcast(_by_width(questions))
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: pd.DataFrame | None = None
-        for batch in batches:
-            for width, query_ids, vectors in held.value:
-                step = max(1, PRODUCT_CELLS // max(1, len(query_ids)))
-                for start in range(0, len(batch), step):
-                    part = batch.iloc[start : start + step]
-                    matrix, good = _matrix(part["embedding"], width)
-                    found = _best(query_ids, vectors, part["chunk_id"].to_numpy()[good], matrix, k)
-                    together = found if kept is None else pd.concat([kept, found])
-                    together = together.sort_values(["query_id", "similarity", "chunk_id"], ascending=[True, False, True])
-                    kept = together.groupby("query_id", sort=False).head(k)
-        if kept is not None:
-            yield kept
-
-    return passages.mapInPandas(search, HIT)
+def _rounded(hits: DataFrame) -> DataFrame:
+    return hits.withColumn("similarity", F.round("similarity", 4))
 
 
 def guard(queries: DataFrame, hits: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -273,75 +183,12 @@ def calibration(queries: DataFrame, hits: DataFrame, threshold: float = THRESHOL
     )
 
 
-def approximate_top_k(
-    queries: DataFrame,
-    chunks: DataFrame,
-    k: int = TOP_K,
-    bits: int = CODE_BITS,
-    checks: int = CHECKS_PER_HIT,
-    seed: int = 42,
-    question_bytes: int = QUESTION_BYTES,
-) -> DataFrame:
-    """Approximate nearest chunks: sign bits of random projections pick candidates, which are checked exactly.
+def approximate_top_k(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, question_bytes: int = vector_index.QUESTION_BYTES) -> DataFrame:
+    """Nearest chunks by an index of cells and codes, with `candidates`, the vectors read for a question.
 
-    A code of `bits` signs stands for each vector. One scan keeps, per question and task, the codes that
-    differ least from the question's; the `checks` x k best of all tasks are the candidates, and only
-    their vectors are fetched and compared exactly. `store_codes` writes the codes once for many searches.
+    How many those are follows from the codes' bounds and is not fixed; no hit is lost.
     """
-    parts = [_code_scan(part, store_codes(chunks, bits, seed), checks * k, bits, seed) for part in _groups(queries, question_bytes)]
-    near = Window.partitionBy("query_id").orderBy("differing", "chunk_id")
-    candidates = reduce(DataFrame.unionByName, parts).withColumn("near", F.row_number().over(near)).where(F.col("near") <= checks * k)
-    pairs = candidates.select("query_id", "chunk_id").join(queries.select("query_id", F.col("embedding").alias("_q")), "query_id")
-    pairs = pairs.join(_passages(chunks), "chunk_id")
-    exact = pairs.select("query_id", "chunk_id", F.round(cosine_similarity(F.col("embedding"), F.col("_q")), 12).alias("similarity"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id")
-    ranked = exact.withColumn("rank", F.row_number().over(best)).withColumn("candidates", F.count(F.lit(1)).over(Window.partitionBy("query_id")))
-    return ranked.where(F.col("rank") <= k).withColumn("similarity", F.round("similarity", 4))
-
-
-def _signs(unit: np.ndarray, bits: int, seed: int) -> np.ndarray:
-    planes = np.random.default_rng([seed, unit.shape[1]]).normal(size=(unit.shape[1], bits))
-    return np.packbits(unit @ planes > 0, axis=1)
-
-
-def store_codes(chunks: DataFrame, bits: int = CODE_BITS, seed: int = 42) -> DataFrame:
-    """(chunk_id, width, code) of every usable vector."""
-
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for width in sorted({len(v) for v in batch["embedding"]}):
-                unit, good = _matrix(batch["embedding"], width)
-                codes = [c.tobytes() for c in _signs(unit, bits, seed)]
-                yield pd.DataFrame({"chunk_id": batch["chunk_id"].to_numpy()[good], "width": width, "code": codes})
-
-    return _passages(chunks).mapInPandas(encode, "chunk_id bigint, width int, code binary")
-
-
-def _code_scan(questions: pd.DataFrame, codes: DataFrame, most: int, bits: int, seed: int) -> DataFrame:
-    near = "query_id bigint, chunk_id bigint, differing int"
-    if questions.empty:
-        return codes.sparkSession.createDataFrame([], near)
-    held = {width: (ids, _signs(unit, bits, seed)) for width, ids, unit in _by_width(questions)}
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: pd.DataFrame | None = None
-        for batch in batches:
-            for width, (query_ids, own) in held.items():
-                part = batch[batch["width"] == width]
-                if part.empty or not len(query_ids):
-                    continue
-                chunk_ids = part["chunk_id"].to_numpy()
-                other = np.stack([np.frombuffer(c, np.uint8) for c in part["code"]])
-                for at, query_id in enumerate(query_ids):
-                    differing = np.bitwise_count(other ^ own[at]).sum(axis=1, dtype=np.int32)
-                    some = np.lexsort((chunk_ids, differing))[:most]
-                    found = pd.DataFrame({"query_id": query_id, "chunk_id": chunk_ids[some], "differing": differing[some]})
-                    kept = found if kept is None else pd.concat([kept, found])
-                kept = kept.sort_values(["query_id", "differing", "chunk_id"]).groupby("query_id", sort=False).head(most)
-        if kept is not None:
-            yield kept
-
-    return codes.mapInPandas(search, near)
+    return _rounded(vector_index.search_by_codes(vector_index.build(chunks), queries, k, question_bytes))
 
 
 def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:
