@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from csv import reader
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from retailscope.functions.ordered import positions
 from retailscope.operators.quality import conform
@@ -27,14 +31,104 @@ STATISTICS = {
 }
 
 
+#: Quoted cells may hold commas, doubled quotes and line ends; a record with too many or too few cells fails.
+OPTIONS = {"escape": '"', "multiLine": "true", "mode": "FAILFAST"}
+#: Records of one block of a file, and pieces of records that cross blocks: the end of one that began before, the
+#: beginning of one that ends later, or a block that lies within one.
+WHOLE, END, BEGIN, WITHIN = range(4)
+
+
 def read_cells(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text, by header name; quoted cells may hold commas, quotes and line ends.
+    """All columns as text, by header name, of a file, a folder or a pattern; files are read in many tasks.
 
-    A record with too many or too few cells fails the load. A file is read by one task, since only its start
-    tells where records begin: exports should come in many files, or be loaded once and kept as tables.
+    Lines are read in byte ranges ("blocks") as Spark splits them. A line end is within a cell if the number of quotes
+    before it is odd, so the quotes of each block are counted first, one number for a block, and summed in the order of
+    the blocks; each block is then cut into records on its own, and pieces of records that cross blocks are put together.
+    Quotes have a meaning in quoted cells only: an odd number of them in a file fails the load. All files must have the
+    same header.
     """
-    options = {"header": True, "escape": '"', "multiLine": True, "mode": "FAILFAST"}
-    return spark.read.options(**options).csv(path)
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    placed = lines.withColumn("at", F.monotonically_increasing_id())
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    first = F.min_by(F.when(F.col("start") == 0, F.struct("value", quotes.alias("quotes"))), "at")
+    blocks = placed.groupBy("file", "start").agg(F.sum(quotes).alias("quotes"), first.alias("first"))
+    in_file = Window.partitionBy("file").orderBy("start")  # one row for each block of a file
+    before = F.coalesce(F.sum("quotes").over(in_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # one row for each block (128 MB by default) that begins within a cell, each file's first and each that ends so
+    found = blocks.withColumn("inside", before % 2 == 1).withColumn("open", F.sum("quotes").over(Window.partitionBy("file")) % 2 == 1)
+    told = found.where(F.col("inside") | F.col("open") | F.col("first").isNotNull()).drop("quotes").collect()
+    if bad := sorted({r.file for r in told if r.open}):
+        raise ValueError(f"{bad[0]} ends within a quoted cell")
+    inside = {(r.file, r.start) for r in told if r.inside}
+    records = _records(lines, inside)
+    heads = {r.first.value for r in told if r.first}
+    if any(r.first.quotes % 2 for r in told if r.first):  # a name with a line end
+        heads = {r.text for r in records.where("head").select("text").distinct().limit(2).collect()}
+    names = {tuple(next(reader([h.removeprefix("\ufeff").removesuffix("\r")]), ())) for h in heads}
+    if len(names) > 1:
+        raise ValueError(f"the files of {path} have different headers")
+    fields = _names(next(iter(names), ()))
+    if not fields:
+        return spark.createDataFrame([], T.StructType())
+    schema_ = T.StructType([T.StructField(n, T.StringType()) for n in fields])
+    text = F.regexp_replace("text", "\r$", "")
+    cells = records.where(~F.col("head")).select(text.alias("text")).where("text != ''")
+    return cells.select(F.from_csv("text", F.lit(schema_.toDDL()), OPTIONS).alias("cells")).select("cells.*")
+
+
+def _names(header: Sequence[str]) -> list[str]:
+    """Columns without a name are numbered, and so are names that repeat."""
+    lower = [n.lower() for n in header]
+    return [f"_c{i}" if not n else f"{n}{i}" if lower.count(n.lower()) > 1 else n for i, n in enumerate(header)]
+
+
+def _records(lines: DataFrame, inside: set[tuple[str, int]]) -> DataFrame:
+    """text and head (it is its file's first record) of all records; `inside` names the blocks that begin within a cell."""
+    held = lines.sparkSession.sparkContext.broadcast(inside)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, waiting, out = None, [], []
+
+        def row(kind: int, pieces: list[str]) -> None:
+            nonlocal number
+            out.append((*block, number, kind, "\n".join(pieces)))
+            number += 1
+
+        def over() -> None:
+            """What is left of a block belongs to a record that goes on."""
+            if block and waiting:
+                row(WITHIN if ending else BEGIN, waiting)
+
+        for batch in batches:
+            odd = (pc.count_substring(batch.column("value"), '"').to_numpy(zero_copy_only=False) & 1).tolist()
+            for value, file, start, flips in zip(*(batch.column(c).to_pylist() for c in ("value", "file", "start")), odd, strict=True):
+                if (file, start) != block:
+                    over()
+                    block, waiting, number = (file, start), [], 0
+                    quoted = ending = block in held.value
+                quoted ^= bool(flips)
+                waiting.append(value)
+                if not quoted:
+                    row(END if ending else WHOLE, waiting)
+                    waiting, ending = [], False
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["file", "start", "number", "kind", "text"])
+                out.clear()
+        over()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["file", "start", "number", "kind", "text"])
+
+    rows = lines.mapInArrow(cut, "file string, start bigint, number bigint, kind bigint, text string")
+    head = (F.col("start") == 0) & (F.col("number") == 0)
+    records = rows.where(F.col("kind") == WHOLE).select("text", head.alias("head"))
+    if not inside:
+        return records
+    # two pieces of each block at most
+    order = Window.partitionBy("file").orderBy("start", "number")
+    pieces = rows.where(F.col("kind") != WHOLE).withColumn("head", head).withColumn("record", F.count_if(F.col("kind") == BEGIN).over(order))
+    listed = F.array_sort(F.collect_list(F.struct("start", "number", "text")))
+    joined = pieces.groupBy("file", "record").agg(F.array_join(F.transform(listed, lambda p: p["text"]), "\n").alias("text"), F.max("head").alias("head"))
+    return records.unionByName(joined.select("text", "head"))
 
 
 def cleaned(value: Column) -> Column:
