@@ -8,8 +8,9 @@ it are the group's link.
 
 Texts are cut before each space that stands between two characters other than white space. No token of a byte-level BPE
 or of a vocabulary without inner U+2581 crosses such a cut, so the groups of a text are those of its segments one
-after another; a vocabulary that doesn't allow this has its texts taken whole. Segments are aligned once and remembered,
-up to a bound.
+after another; a vocabulary that doesn't allow this has its texts taken whole. Likewise a segment is cut between its
+first letters and a mark that no token of either vocabulary has after a letter. Segments are aligned once and
+remembered, up to a bound.
 
 Of two tokens that end together one's bytes end the other's. So the pairs that can be linked are known from the two
 vocabularies: at most as many as their tokens have bytes, whatever the size of the corpus. They have fixed numbers,
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -33,15 +35,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retailscope.llm.common import TokenCache, release, slices
+from retailscope.llm.common import release, slices
 
 SCHEMA = "doc_id long, n_a long, n_b long, n_groups long, groups string, links binary"
 #: Segments that a worker remembers, and characters of text that are aligned together.
-MOST = 150_000
-CHARACTERS = 3_000_000
+MOST = 200_000
+CHARACTERS = 2_500_000
 #: A space between two characters other than white space.
 CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Texts that can be cut at every space have none of these.
+#: What ASCII texts that can be cut at every space don't hold, and the same for all texts.
+RARE = ("  ", " \n", "\n ", *"\t\x0b\x0c\r\x1c\x1d\x1e\x1f")
 ODD = re.compile(r"\s | \s|^\s|\s$|^$")
 
 
@@ -54,6 +57,10 @@ def byte_alphabet() -> dict[str, int]:
     others = [b for b in range(256) if b not in plain]
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
+LETTERS = re.compile(r"[^\W\d_]+")
+#: Marks that may follow a word; letters and these are never cut out together before the merges.
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[]^_`{|}~\n"
+
 
 @dataclass
 class Vocabulary:
@@ -66,9 +73,9 @@ class Vocabulary:
         return np.fromiter(map(len, self.tokens), np.int64, len(self.tokens))
 
 
-def byte_level(cache: TokenCache) -> Vocabulary:
+def byte_level(tokenizer) -> Vocabulary:
     alphabet = byte_alphabet()
-    ids = cache.tokenizer.get_vocab(with_added_tokens=True)
+    ids = tokenizer.get_vocab(with_added_tokens=True)
     out = [b""] * (1 + max(ids.values()))
     for token, at in ids.items():
         out[at] = bytes(map(alphabet.__getitem__, token)) if set(token) <= alphabet.keys() else token.encode()
@@ -123,104 +130,142 @@ class Aligner:
 
     def __init__(self, path_a: str, path_b: str, most: int = MOST):
         import sentencepiece
+        from tokenizers import Tokenizer
 
-        self.cache = TokenCache(path_a, most)
+        self.tokenizer = Tokenizer.from_file(path_a)
+        self.tokenizer.encode_special_tokens = True
         self.processor = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        self.a, self.b = byte_level(self.cache), pieces(self.processor)
+        self.a, self.b = byte_level(self.tokenizer), pieces(self.processor)
         self.length_a, self.length_b = self.a.lengths, self.b.lengths
         self.pair_a, self.pair_b = linkable(self.a, self.b)
         self.base = np.int64(len(self.b.tokens))
         self.pairs = self.pair_a * self.base + self.pair_b
         self.names = [str(k) for k in range(max(len(self.a.tokens), len(self.b.tokens)))]
+        self.pair_names = [f"{a}|{b}" for a, b in zip(self.pair_a.tolist(), self.pair_b.tolist(), strict=True)]
+        # a byte-level vocabulary without a normalizer gives back every byte
+        self.lossless = self.tokenizer.normalizer is None
         names = map(self.processor.id_to_piece, range(len(self.b.tokens)))
         self.cuttable = not any(re.search("[^▁]▁", name) for name in names)
+        self.marks = self.certain() if self.cuttable else frozenset()
         self.most = most
         self.forget()
 
+    def certain(self) -> frozenset[tuple[int, str]]:
+        """Last bytes of a letter and marks that are neighbours in no token: what is on both sides has tokens of its own."""
+        inner = {pair for v in (self.a, self.b) for t in v.tokens for pair in zip(t, t[1:], strict=False)}
+        sure = [m for m in MARKS if (ord("a"), m) not in inner] if len(self.processor.encode("a")) == 1 else []
+        return frozenset((b, chr(m)) for m in sure for b in range(256) if (b, m) not in inner)
+
     def forget(self) -> None:
-        """`known`: place of a segment; by place its groups as text, its links, and its tokens and groups; none if its bytes differ."""
+        """`known`: place of a segment, `tails`: of the rest of one after its letters (-1 if its bytes differ); by place its
+        groups as text, its links, and its tokens of A and B."""
         self.known: dict[str, int] = {}
+        self.tails: dict[str, int] = {}
         self.texts: list[str] = []
         self.links: list[bytes] = []
-        self.sizes: list[tuple[int, int, int]] = []
+        self.n_a, self.n_b = array("i"), array("i")
         self.held = 0
 
     def segments(self, text: str) -> list[str]:
         if not self.cuttable:
             return [text]
-        return CUT.split(text) if ODD.search(text) else text.split(" ")
-
-    def ids_a(self, segments: list[str]) -> list[bytes]:
-        """A's ids of a space and each segment, four bytes each."""
-        words = self.cache.words
-        self.cache.learn([s for s in segments if s not in words and s and not s[0].isspace() and not s[-1].isspace()])
-        found = list(map(words.get, segments))
-        rest = [k for k, x in enumerate(found) if x is None]
-        for k, x in zip(rest, self.cache.raw([" " + segments[k] for k in rest]), strict=True):
-            found[k] = x
-        return found
-
-    def matching(self, segments: list[str], found_a: list[bytes], found_b: list[list[int]]) -> list[bool]:
-        """Which segments, with a space in front, are what their tokens' bytes make."""
+        plain = text.isascii() and not any(x in text for x in RARE) and text[0] not in " \n" and text[-1] not in " \n"
+        return text.split(" ") if plain or not ODD.search(text) else CUT.split(text)
+
+    def learn(self, segments: list[str]) -> None:
+        """Remember unseen segments; those with certain marks after their letters are put together from two parts."""
+        cut, whole, tails = [], {}, {}
+        for segment in segments:
+            head = "" if segment.isalpha() or not (found := LETTERS.match(segment)) else found[0]
+            tail = segment[len(head) :]
+            if head.isalpha() and tail and (head[-1].encode()[-1], tail[0]) in self.marks:
+                cut.append((segment, head, tail))
+                if head not in self.known:
+                    whole[head] = None
+                if tail not in self.tails:
+                    tails[tail] = None
+            else:
+                whole[segment] = None
+        self.held += sum(map(len, segments)) + sum(map(len, whole)) + sum(map(len, tails))
+        if whole:
+            words = list(whole)
+            self.store(self.known, words, " ", self.ids_a([" " + w for w in words]), self.processor.encode(words, num_threads=1))
+        if tails:
+            rests = list(tails)
+            # the letter in front is one piece, which is dropped
+            self.store(self.tails, rests, "", self.ids_a(rests), [x[1:] for x in self.processor.encode(["a" + t for t in rests], num_threads=1)])
+        known, ends, texts, links = self.known, self.tails, self.texts, self.links
+        for segment, head, tail in cut:
+            x, y = known[head], ends[tail]
+            if x < 0 or y < 0:
+                known[segment] = -1
+                continue
+            known[segment] = len(texts)
+            texts.append(f"{texts[x]};{texts[y]}")
+            links.append(links[x] + links[y])
+            self.n_a.append(self.n_a[x] + self.n_a[y])
+            self.n_b.append(self.n_b[x] + self.n_b[y])
+
+    def ids_a(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def matching(self, segments: list[str], lead: str, found_a: list[list[int]], found_b: list[list[int]]) -> list[bool]:
+        """Which segments, after the lead, are what their tokens' bytes make."""
         return [
-            b"".join(map(self.a.tokens.__getitem__, np.frombuffer(x, np.uint32))) == b"".join(map(self.b.tokens.__getitem__, y)) == b" " + s.encode()
+            b"".join(map(self.a.tokens.__getitem__, x)) == b"".join(map(self.b.tokens.__getitem__, y)) == (lead + s).encode()
             for s, x, y in zip(segments, found_a, found_b, strict=True)
         ]
 
-    def learn(self, segments: list[str]) -> None:
-        """Aligns unseen segments, all tokens at once."""
-        found_a, found_b = self.ids_a(segments), self.processor.encode(segments, num_threads=1)
-        self.held += sum(map(len, segments))
-        ids_a, ids_b = np.frombuffer(b"".join(found_a), np.uint32).astype(np.int64), np.fromiter(chain.from_iterable(found_b), np.int64)
+    def store(self, places: dict[str, int], segments: list[str], lead: str, found_a: list[list[int]], found_b: list[list[int]]) -> None:
+        """Align segments, all tokens at once, and remember them."""
+        ids_a, ids_b = np.fromiter(chain.from_iterable(found_a), np.int64), np.fromiter(chain.from_iterable(found_b), np.int64)
         ends_a, ends_b = np.cumsum(self.length_a[ids_a]), np.cumsum(self.length_b[ids_b])
-        n_a, n_b = np.fromiter(map(len, found_a), np.int64) // 4, np.fromiter(map(len, found_b), np.int64)
-        whole = (" " + " ".join(segments)).encode()
-        joined = b"".join(map(self.a.tokens.__getitem__, ids_a)) == b"".join(map(self.b.tokens.__getitem__, ids_b)) == whole
-        if not joined or not n_b.all() or (ends_a[np.cumsum(n_a) - 1] != ends_b[np.cumsum(n_b) - 1]).any():
-            same = self.matching(segments, found_a, found_b)
-            self.known.update((s, -1) for s, ok in zip(segments, same, strict=True) if not ok)
+        n_a, n_b = np.fromiter(map(len, found_a), np.int64), np.fromiter(map(len, found_b), np.int64)
+        whole = (lead + lead.join(segments)).encode()
+        joined = b"".join(map(self.b.tokens.__getitem__, ids_b.tolist())) == whole and (self.lossless or b"".join(map(self.a.tokens.__getitem__, ids_a.tolist())) == whole)
+        if not joined or not n_b.all() or ends_a[-1] != len(whole) or (ends_a[np.cumsum(n_a) - 1] != ends_b[np.cumsum(n_b) - 1]).any():
+            same = self.matching(segments, lead, found_a, found_b)
+            places.update((s, -1) for s, ok in zip(segments, same, strict=True) if not ok)
             if any(same):
-                self.learn([s for s, ok in zip(segments, same, strict=True) if ok])
+                self.store(places, *([x for x, ok in zip(c, same, strict=True) if ok] if c is not lead else lead for c in (segments, lead, found_a, found_b)))
             return
         label = jumped(ends_a, ends_b)
         terminal = np.flatnonzero(label[len(ids_a) :] == np.arange(len(ids_b)))
         last_a = np.searchsorted(ends_a, ends_b[terminal])
         links = np.searchsorted(self.pairs, ids_a[last_a] * self.base + ids_b[terminal]).astype(np.int32)
         # labels don't decrease along either sequence, so each group is a run of both
-        stop_a = (last_a + 1).tolist()
-        stop_b = (terminal + 1).tolist()
-        names_a, names_b = list(map(self.names.__getitem__, ids_a)), list(map(self.names.__getitem__, ids_b))
-        x, y, groups = 0, 0, []
-        for u, v in zip(stop_a, stop_b, strict=True):
-            # most groups are one token of each
-            groups.append(f"{names_a[x] if u == x + 1 else ','.join(names_a[x:u])}|{names_b[y] if v == y + 1 else ','.join(names_b[y:v])}")
-            x, y = u, v
-        upto = np.searchsorted(terminal, np.cumsum(n_b) - 1, "right")
+        groups = list(map(self.pair_names.__getitem__, links.tolist()))
+        first_a, first_b = np.concatenate([[0], last_a[:-1] + 1]), np.concatenate([[0], terminal[:-1] + 1])
+        longer = np.flatnonzero((first_a < last_a) | (first_b < terminal))
+        names_a, names_b = list(map(self.names.__getitem__, ids_a.tolist())), list(map(self.names.__getitem__, ids_b.tolist()))
+        bounds = (longer, first_a[longer], last_a[longer] + 1, first_b[longer], terminal[longer] + 1)
+        for k, x, u, y, v in zip(*(x.tolist() for x in bounds), strict=True):
+            groups[k] = f"{','.join(names_a[x:u])}|{','.join(names_b[y:v])}"
         raw, start = links.tobytes(), 0
-        self.known.update(zip(segments, range(len(self.texts), len(self.texts) + len(segments)), strict=True))
-        for stop in upto.tolist():
-            self.texts.append(";".join(groups[start:stop]))
+        places.update(zip(segments, range(len(self.texts), len(self.texts) + len(segments)), strict=True))
+        for stop in np.searchsorted(terminal, np.cumsum(n_b) - 1, "right").tolist():
+            self.texts.append(groups[start] if stop == start + 1 else ";".join(groups[start:stop]))
             self.links.append(raw[4 * start : 4 * stop])
             start = stop
-        self.sizes.extend(zip(n_a.tolist(), n_b.tolist(), np.diff(upto, prepend=0).tolist(), strict=True))
+        self.n_a.frombytes(n_a.astype(np.int32).tobytes())
+        self.n_b.frombytes(n_b.astype(np.int32).tobytes())
 
     def align(self, texts: list[str]) -> Iterator[tuple[int, int, int, str, bytes]]:
         """Tokens of A and B, groups, the groups as text, and the links' numbers, of each text."""
         if len(self.known) > self.most or self.held > 20 * self.most:
             self.forget()
-        if len(self.cache.words) + len(self.cache.runs) > self.most or self.cache.held > 20 * self.most:
-            self.cache.forget()
         cut = [self.segments(t) if t else [] for t in texts]
         new = list({s: None for segments in cut for s in segments if s not in self.known})
         if new:
             self.learn(new)
+        n_a, n_b = np.array(self.n_a, np.int64), np.array(self.n_b, np.int64)
         for segments in cut:
             at = list(map(self.known.__getitem__, segments))
             if not at or -1 in at:
                 yield 0, 0, 0, "", b""
                 continue
-            a, b, groups = map(sum, zip(*map(self.sizes.__getitem__, at), strict=True))
-            yield a, b, groups, ";".join(map(self.texts.__getitem__, at)), b"".join(map(self.links.__getitem__, at))
+            links, places = b"".join(map(self.links.__getitem__, at)), np.array(at)
+            yield int(n_a[places].sum()), int(n_b[places].sum()), len(links) // 4, ";".join(map(self.texts.__getitem__, at)), links
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
@@ -233,7 +278,7 @@ def aligner(path_a: str, path_b: str, most: int) -> Aligner:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         _ALIGNERS[path_a, path_b] = Aligner(path_a, path_b, most)
     found = _ALIGNERS[path_a, path_b]
-    found.most = found.cache.most = most
+    found.most = most
     return found
 
 
