@@ -1,6 +1,6 @@
 """Writing a set of tables so that readers see all of it or nothing.
 
-Tables go to a new folder first, side by side; rows, missing keys and broken rules are counted while they are written.
+Tables go to a new folder first, side by side; rows and broken rules of each are counted in one pass over what is written.
 Keys are then compared in one pass over the key columns alone. Only when all is well does an entry of the log name the
 folder: its number is one more than the last, and it is created only if nobody else has taken that number, so two
 publishers never share a version and the newest is known without clocks. A refused load leaves nothing behind;
@@ -18,7 +18,7 @@ from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retailscope.functions.numeric import rows
@@ -85,11 +85,11 @@ def key_problems(tables: Mapping[str, DataFrame]) -> DataFrame:
     return one.select(F.explode(cells).alias("cell")).select("cell.*").where("n > 0")
 
 
-def _observed(df: DataFrame, rules: quality.Rules) -> tuple[DataFrame, Observation]:
-    """`df` with its rows, and those that break each rule, counted while it is written."""
-    seen = Observation()
+def _load(df: DataFrame, path: str, table: str, rules: quality.Rules) -> dict[str, int]:
+    """Write one table, and count on what is written the rows and those that break each rule, in one pass."""
+    write_table(df, path, table)
     broken = [F.count_if(~F.coalesce(rule, F.lit(True))).alias(f"r{i}") for i, rule in enumerate(rules.values())]
-    return df.observe(seen, rows().alias("rows"), *broken), seen
+    return df.sparkSession.read.schema(df.schema).parquet(path).agg(rows().alias("rows"), *broken).first().asDict()
 
 
 def publish(tables: Mapping[str, DataFrame], target: str, rules: Mapping[str, quality.Rules] | None = None) -> DataFrame:
@@ -117,15 +117,11 @@ def publish(tables: Mapping[str, DataFrame], target: str, rules: Mapping[str, qu
 
 def _written(spark: SparkSession, tables: Mapping[str, DataFrame], paths: Mapping[str, str], rules: Mapping[str, quality.Rules]) -> tuple[dict[str, int], list[tuple[str, int]]]:
     """Rows of each table, and what is wrong with them."""
-    watched = {name: _observed(df, rules.get(name) or {}) for name, df in tables.items()}
     with ThreadPoolExecutor(len(tables)) as pool:
-        jobs = [pool.submit(inheritable_thread_target(spark)(write_table), df, paths[name], name) for name, (df, _) in watched.items()]
-        for job in jobs:
-            job.result()
-    seen = {name: observation.get for name, (_, observation) in watched.items()}
-    # a table that is empty by its plan has nothing to observe
-    counts = {name: found.get("rows") or 0 for name, found in seen.items()}
-    problems = [(f"{name}: {rule}", found[f"r{i}"]) for name, found in seen.items() for i, rule in enumerate(rules.get(name) or {}) if found.get(f"r{i}")]
+        jobs = {name: pool.submit(inheritable_thread_target(spark)(_load), df, paths[name], name, rules.get(name) or {}) for name, df in tables.items()}
+        seen = {name: job.result() for name, job in jobs.items()}
+    counts = {name: found["rows"] for name, found in seen.items()}
+    problems = [(f"{name}: {rule}", found[f"r{i}"]) for name, found in seen.items() for i, rule in enumerate(rules.get(name) or {}) if found[f"r{i}"]]
     written = {name: spark.read.schema(tables[name].schema).parquet(path) for name, path in paths.items() if name in PRIMARY_KEY or name == "order_items"}
     if set(written) & set(PRIMARY_KEY):
         problems = [tuple(p) for p in key_problems(written).collect()] + problems  # a few rows per key

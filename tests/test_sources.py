@@ -153,7 +153,7 @@ def test_problems_are_counted(spark):
     assert got == {("customers.customer_id repeats", 1), ("customers.customer_id is missing", 1), ("orders.customer_id has no customers", 3), ("order_items.order_id has no orders", 2)}
 
 
-def test_rules_are_counted_while_writing(spark, tmp_path):
+def test_rules_are_counted(spark, tmp_path):
     rows = spark.createDataFrame([("C1", 10), ("C2", 300), ("C3", -1), ("C4", None)], "customer_id string, customer_age int")
     with pytest.raises(publish.LoadRefused, match=r"customers: customer_age >= 0 \(1\); customers: customer_age <= 120 \(1\)"):
         publish.publish({"customers": rows}, str(tmp_path), {"customers": quality.within("customer_age", 0, 120)})
