@@ -23,7 +23,7 @@ from retailscope.functions.numeric import (
     rows,
     sum_where,
 )
-from retailscope.functions.ordered import quantiles
+from retailscope.functions.ordered import exact_quantiles
 from retailscope.operators import sales
 from retailscope.operators.sales import RETURNED, mean_rating
 from retailscope.schemas import PAID_CHANNELS, RETURN_REASONS, SOCIAL_CHANNELS
@@ -227,7 +227,7 @@ def customer_totals(orders: DataFrame) -> DataFrame:
 def lifetime_value(orders: DataFrame, customers: DataFrame) -> DataFrame:
     """Order frequency and lifetime revenue per customer: mean, exact median, extremes, repeat share."""
     per_customer = staged(customer_totals(orders).select("customer_id", "orders", "net"), "customer-totals")
-    medians = staged(quantiles(per_customer, ["orders", "net"], [0.5]), "medians")
+    medians = exact_quantiles(per_customer, ["orders", "net"], [0.5])
     cost = customers.agg(
         F.struct(F.sum("customer_acquisition_cost").alias("total"), rows().alias("n"))
     ).scalar()
@@ -242,7 +242,7 @@ def lifetime_value(orders: DataFrame, customers: DataFrame) -> DataFrame:
     )
 
     def median(feature: str) -> Column:
-        return medians.where(F.col("feature") == feature).select("quantile").scalar()
+        return F.lit(medians[feature][0]).cast("double")
 
     revenue_per_dollar = rounded_ratio(
         cents(F.col("total")) * F.col("cost.n"), cents(F.col("cost.total")) * F.col("customers"), 2
@@ -548,8 +548,8 @@ def top_categories_per(items: DataFrame, products: DataFrame, orders: DataFrame,
 
 def rating_headline(ratings: DataFrame, orders: DataFrame) -> DataFrame:
     """Mean, median, mode, range and threshold shares of the ratings, from one count per value."""
-    counts = staged(ratings.groupBy("rating").agg(rows().alias("n")), "rating-counts")
-    middle = staged(quantiles(ratings, ["rating"], [0.5]), "rating-median").select("quantile").scalar()
+    counts = ratings.groupBy("rating").agg(rows().alias("n"))
+    middle = F.lit(exact_quantiles(ratings, ["rating"], [0.5])["rating"][0]).cast("double")
     placed = orders.agg(rows()).scalar()
     sums = counts.agg(
         F.sum("n").alias("rated_orders"),

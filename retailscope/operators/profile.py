@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from retailscope.functions.numeric import count_where, money, money_mean, money_percent, percent, rows, rounded_ratio, sum_where
-from retailscope.functions.ordered import quantiles
+from retailscope.functions.ordered import exact_quantiles
 from retailscope.operators import sales
 from retailscope.operators.sales import mean_rating
 
@@ -68,27 +68,21 @@ def describe(df: DataFrame, columns: Sequence[str], digits: int = 6) -> DataFram
             for c in columns
         },
     )
-    quarter = quantiles(doubles, columns, [0.25, 0.5, 0.75]).groupBy(F.col("feature").alias("column"))
-    wide = quarter.pivot("probability", [0.25, 0.5, 0.75]).agg(F.first("quantile"))
-    named = wide.select("column", *[F.round(F.col(f"`{p}`"), digits).alias(n) for p, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))])
-    return moments.join(F.broadcast(named), "column", "left")  # one row per described column
+    told = exact_quantiles(doubles, columns, [0.25, 0.5, 0.75])
+    named = df.sparkSession.createDataFrame([(c, *q) for c, q in told.items()], "column string, p25 double, p50 double, p75 double")
+    return moments.join(F.broadcast(named.select("column", *[F.round(n, digits).alias(n) for n in ("p25", "p50", "p75")])), "column", "left")  # one row per described column
 
 
 def box_plot(df: DataFrame, column: str) -> DataFrame:
     """Quartiles, fences at 1.5 interquartile ranges, and the rows outside them."""
     values = df.select(F.col(column).cast("double").alias("v")).where("v is not null")
-    wide = quantiles(values, ["v"], [0.25, 0.5, 0.75]).groupBy().pivot("probability", [0.25, 0.5, 0.75]).agg(F.first("quantile"))
-    q = wide.select(F.struct(*[F.col(f"`{p}`").alias(n) for p, n in ((0.25, "q1"), (0.5, "q2"), (0.75, "q3"))])).scalar()
-    spread = F.col("q.q3") - F.col("q.q1")
-    fenced = values.withColumn("q", q).withColumns(
-        {"low": F.col("q.q1") - 1.5 * spread, "high": F.col("q.q3") + 1.5 * spread}
-    )
-    return fenced.agg(
-        *[F.round(F.first(f"q.{n}"), 6).alias(n) for n in ("q1", "q2", "q3")],
-        F.round(F.first("low"), 6).alias("lower_fence"),
-        F.round(F.first("high"), 6).alias("upper_fence"),
-        count_where(F.col("v") < F.col("low")).alias("below"),
-        count_where(F.col("v") > F.col("high")).alias("above"),
+    q = exact_quantiles(values, ["v"], [0.25, 0.5, 0.75])["v"]
+    low, high = (None, None) if q[0] is None else (q[0] - 1.5 * (q[2] - q[0]), q[2] + 1.5 * (q[2] - q[0]))
+    told = {"q1": q[0], "q2": q[1], "q3": q[2], "lower_fence": low, "upper_fence": high}
+    return values.agg(
+        *[F.round(F.lit(v).cast("double"), 6).alias(n) for n, v in told.items()],
+        count_where(F.col("v") < F.lit(low)).alias("below"),
+        count_where(F.col("v") > F.lit(high)).alias("above"),
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retailscope.functions.numeric import rows
-from retailscope.functions.ordered import quantiles
+from retailscope.functions.ordered import exact_quantiles, quantiles
 from retailscope.operators import quality
 from retailscope.operators.features import BINARY, CATEGORICAL, NUMERIC, shipping_ratio
 from retailscope.session import staged
@@ -53,14 +53,12 @@ def reference_stats(train: DataFrame) -> DataFrame:
 
 def decile_rates(train: DataFrame, columns: Sequence[str] = NUMERIC) -> DataFrame:
     """Return rate and support per decile; equal edges merge, bins are right-closed, the lowest included."""
-    edges = quantiles(train, columns, [i / 10 for i in range(11)])
-    merged = edges.groupBy("feature").agg(F.sort_array(F.collect_set("quantile")).alias("edges"))
-    # one short array per column
-    by_feature = merged.agg(F.map_from_entries(F.collect_list(F.struct("feature", "edges")))).scalar()
+    told = exact_quantiles(train, columns, [i / 10 for i in range(11)])
+    # a short list of upper edges for each column
+    edges = {c: sorted(set(q))[1:] or list(q[:1]) for c, q in told.items() if q[0] is not None}
+    upper = F.create_map(*[x for c in columns for x in (F.lit(c), F.array(*map(F.lit, edges[c])) if c in edges else F.lit(None).cast("array<double>"))])[F.col("feature")]
     cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])
-    long = train.select("target", F.explode(cells).alias("cell")).select("target", "cell.*").withColumn("all_edges", by_feature)
-    inner = F.col("all_edges")[F.col("feature")]
-    upper = F.slice(inner, 2, F.greatest(F.size(inner) - 1, F.lit(1)))
+    long = train.select("target", F.explode(cells).alias("cell")).select("target", "cell.*")
     decile = F.size(F.filter(upper, lambda e: e < F.col("value"))) + 1
     return long.groupBy("feature", decile.alias("bin")).agg(F.avg("target").alias("rate"), rows().alias("support"))
 
@@ -75,20 +73,12 @@ def leakage_audit(train: DataFrame, min_support: int = MIN_SUPPORT) -> DataFrame
 
 def robust_scaled(df: DataFrame, reference: DataFrame, columns: Sequence[str] = NUMERIC) -> DataFrame:
     """(x - median) / interquartile range with exact statistics of the reference rows; a zero range divides by 1."""
-    stats = quantiles(reference, columns, [0.25, 0.5, 0.75])
-    packed = (
-        stats.groupBy("feature")
-        .agg(F.map_from_entries(F.collect_list(F.struct("probability", "quantile"))).alias("q"))
-        .agg(F.map_from_entries(F.collect_list(F.struct("feature", "q"))))
-        .scalar()
-    )
-    with_stats = df.withColumn("_stats", packed)
+    stats = exact_quantiles(reference, columns, [0.25, 0.5, 0.75])
     scaled = {}
-    for c in columns:
-        q = F.col("_stats")[F.lit(c)]
-        spread = q[F.lit(0.75)] - q[F.lit(0.25)]
-        scaled[c] = (F.col(c) - q[F.lit(0.5)]) / F.when(spread == 0, 1.0).otherwise(spread)
-    return with_stats.withColumns(scaled).drop("_stats")
+    for c, (low, middle, high) in stats.items():
+        spread = 1.0 if low is None or high == low else high - low
+        scaled[c] = (F.col(c) - F.lit(middle).cast("double")) / spread
+    return df.withColumns(scaled)
 
 
 def one_hot(df: DataFrame, column: str, vocabulary: Sequence[str]) -> DataFrame:

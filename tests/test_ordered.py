@@ -103,3 +103,42 @@ def test_staged_tables_can_be_dropped(spark):
     assert table.count() == 5
     assert session.drop_staged(spark) == 1 and session._STAGED == []
     session._STAGED.extend(kept)
+
+
+@pytest.mark.parametrize("kind", ["normal", "ties", "steps", "tiny", "infinite"])
+def test_exact_quantiles_over_several_rounds(spark, monkeypatch, kind):
+    """With a coarse sketch: brackets are narrowed again and again, and ties end the search."""
+    monkeypatch.setattr(ordered, "ACCURACY", 200)
+    rng = np.random.default_rng(9)
+    values = {
+        "normal": rng.normal(size=30_000),
+        "ties": np.where(rng.random(20_000) < 0.4, 1.0, rng.integers(0, 5, 20_000)),
+        "steps": np.sort(np.concatenate([np.zeros(5_000), rng.random(5_000) * 1e-300, 1e300 * rng.random(5_000), -np.ones(5_000)])),
+        "tiny": np.array([3.0, 1.0]),
+        "infinite": np.concatenate([rng.normal(size=3_000), [np.inf] * 200, [-np.inf] * 100]),
+    }[kind]
+    df = spark.createDataFrame(pd.DataFrame({"x": values, "y": -values})).repartition(7)
+    ps = [0.0, 0.013, 0.25, 0.5, 0.8, 0.999, 1.0]
+    got = ordered.exact_quantiles(df, ["x", "y"], ps)
+    ranked = np.sort(values)
+    for p, q, r in zip(ps, got["x"], got["y"], strict=True):
+        for v, told in ((ranked, q), (np.sort(-values), r)):
+            place = p * (len(v) - 1)
+            low, high = v[int(place)], v[min(len(v) - 1, int(place) + 1)]
+            if np.isfinite(low) and np.isfinite(high):
+                assert told == low + (high - low) * (place - int(place))
+
+
+def test_exact_quantiles_take_few_rounds(spark, monkeypatch):
+    calls = []
+    plain = ordered.F.percentile_approx
+    df = spark.range(200_000).selectExpr("cast(id as double) AS x", "cast(id % 5 as double) AS y")
+    monkeypatch.setattr(type(df), "first", lambda self, f=type(df).first: calls.append(1) or f(self))
+    assert ordered.exact_quantiles(df, ["x", "y"], [0.5, 0.9]) == {"x": [99_999.5, 179_999.1], "y": [2.0, 4.0]}
+    assert len(calls) <= 3 and plain is ordered.F.percentile_approx
+
+
+def test_no_values_have_no_quantiles(spark):
+    df = spark.sql("SELECT cast(null as double) AS x, cast('NaN' as double) AS y, 4 AS z")
+    assert ordered.exact_quantiles(df, ["x", "y", "z"], [0.0, 0.5]) == {"x": [None, None], "y": [None, None], "z": [4.0, 4.0]}
+    assert ordered.exact_quantiles(df.where("false"), ["z"], [0.5]) == {"z": [None]}
