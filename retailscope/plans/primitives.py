@@ -544,13 +544,18 @@ add(
 )
 
 
-def ranges(s):
+def ranges(tables):
     """The tables' rules but for the vocabularies and the least quantity: the stand-in has other values, and orders without items."""
-    kept = {n: quality.table_rules(n, df.columns) for n, df in star_tables(s).items()}
+    kept = {n: quality.table_rules(n, df.columns) for n, df in tables.items()}
     return {n: {name: rule for name, rule in own.items() if not name.endswith("is known") and (n, name) != ("orders", "quantity > 0")} for n, own in kept.items()}
 
 
-add("s7_atomic_load", lambda s: publish.publish(star_tables(s), target(s), ranges(s)).select("table", "rows"), star(counts("customers", "products", "orders", "order_items", "ratings")))
+def atomic_load(s):
+    tables = star_tables(s)
+    return publish.publish(tables, target(s), ranges(tables)).select("table", "rows")
+
+
+add("s7_atomic_load", atomic_load, star(counts("customers", "products", "orders", "order_items", "ratings")))
 
 
 def exported(df, s, **more):

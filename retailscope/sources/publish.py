@@ -62,10 +62,9 @@ def key_problems(tables: Mapping[str, DataFrame]) -> DataFrame:
     if not parts:
         raise ValueError("no table with a key")
     every = reduce(DataFrame.unionByName, parts)
-    own = F.coalesce(F.sum(F.when(F.col("name") == F.col("parent"), F.col("n"))), F.lit(0))
-    children = [child for child in dict.fromkeys(u[0] for u in uses)]
-    rows_of = {c: F.coalesce(F.sum(F.when(F.col("name") == c, F.col("n"))), F.lit(0)).alias(f"_{c}") for c in children}
-    by_key = every.groupBy("parent", "name", "key").agg(rows().alias("n")).groupBy("parent", "key").agg(own.alias("own"), *rows_of.values())
+    own = F.count_if(F.col("name") == F.col("parent"))
+    children = dict.fromkeys(u[0] for u in uses)
+    by_key = every.groupBy("parent", "key").agg(own.alias("own"), *[F.count_if(F.col("name") == c).alias(f"_{c}") for c in children])
     known = F.col("key").isNotNull()
     tests = {f"{n}.{k} repeats": (F.col("parent") == n) & known & (F.col("own") > 1) for n, k in PRIMARY_KEY.items() if n in tables}
     sums = [F.coalesce(F.sum(F.when(test, 1)), F.lit(0)).cast("bigint") for test in tests.values()]
