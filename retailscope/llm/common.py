@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import array
+import contextlib
+import ctypes
+import gc
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -188,9 +191,26 @@ def token_cache(path: str, most: int = 600_000) -> TokenCache:
     return _CACHES[path]
 
 
-def release() -> None:
-    """Drop the caches that another operator left in this worker; Spark reuses workers from stage to stage."""
-    _CACHES.clear()
+_RELEASED: list[int] = []
+
+
+def release(keep: str | None = None) -> None:
+    """Drop the caches that another operator left in this worker, once in each task; Spark reuses workers from stage to stage.
+
+    What the allocators hold without need goes back to the system, so that workers don't keep the peak of an earlier stage.
+    """
+    context = TaskContext.get()
+    attempt = context.taskAttemptId() if context else -1
+    others = [path for path in _CACHES if path != keep]
+    if _RELEASED == [attempt] and not others:
+        return
+    _RELEASED[:] = [attempt]
+    for path in others:
+        del _CACHES[path]
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def crc32(data: bytes | np.ndarray) -> int:

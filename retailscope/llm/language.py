@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retailscope.llm.common import release
+from retailscope.llm.common import release, slices
 
 UNKNOWN = "und"
 DOCUMENTS = 300
@@ -41,8 +41,8 @@ FREQUENT = 3
 ROUNDS = 60
 STEP = 0.15
 DECAY = 2e-6
-#: Texts whose words are labelled together.
-PART = 400
+#: Bytes of texts whose words are labelled together.
+PART = 1_000_000
 RESULT = "struct<lang:string,score:double>"
 
 _NOT_LETTER = re.compile(r"[\W\d_]+")
@@ -302,8 +302,8 @@ def identify(docs: DataFrame, field: Field, text_col: str = "text", into: str =
     def predict(texts: pa.Array) -> pa.Array:
         release()
         langs, scores = [], []
-        for at in range(0, len(texts), PART):
-            some, shares = held.value.predict(texts.slice(at, PART))
+        for part in slices(pa.RecordBatch.from_arrays([texts], ["text"]), PART):
+            some, shares = held.value.predict(part.column("text"))
             langs += some
             scores.append(shares)
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())], ["lang", "score"])

@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from retailscope.llm.common import crc32, kept, parts_of, task, texts_of, token_cache
+from retailscope.llm.common import crc32, kept, release, slices, task, texts_of, token_cache
 
-#: Words that a task remembers, and documents that it encodes together.
+#: Words that a task remembers, and bytes of texts that it encodes together.
 CACHED = 800_000
-PART = 500
+PART = 2_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
 
@@ -96,9 +96,10 @@ def places(plan: list[tuple[int, list[int]]], capacity: int) -> dict[str, np.nda
 def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", cached: int = CACHED) -> DataFrame:
     """Pieces of all documents, each with its rank among the task's pieces of its length."""
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(keep=vocabulary)
         cache, part, seen = token_cache(vocabulary, cached), task(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for some in parts_of(batch, PART):
+            for some in slices(batch, PART):
                 rows = []
                 for doc, raw in zip(some.column("doc_id").to_pylist(), cache.encode(texts_of(some), end_id), strict=True):
                     for n, (start, length) in enumerate(cut(len(raw), capacity)):
