@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from retailscope.llm.common import parts_of
 
 BREAKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav noframes ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 REGIONS = frozenset("article aside blockquote body center details dialog div dl fieldset figure footer form header main menu nav ol search section table tbody td th thead tfoot tr ul".split())
 SILENT = frozenset("applet audio button canvas datalist head iframe math noembed noframes noscript object select svg template textarea title video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -64,6 +65,7 @@ class Lines(HTMLParser):
         self.within = 0
         self.text: list[str] = []
         self.tags = self.linked = 0
+        self.headings: set[int] = set()
 
     def end_line(self) -> None:
         text = " ".join("".join(self.text).split())
@@ -126,7 +128,10 @@ class Lines(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         if tag in BREAKS:
+            before = len(self.lines)
             self.end_line()
+            if tag in HEADINGS and len(self.lines) > before:
+                self.headings.add(before)
         if not self.counts.get(tag):
             return
         while True:  # what was left open inside ends with it
@@ -203,6 +208,26 @@ def excluded(parser: Lines, sizes: np.ndarray, regions: np.ndarray) -> np.ndarra
     return out
 
 
+def clustered(parser: Lines, allowed: np.ndarray, core: np.ndarray, regions: np.ndarray) -> np.ndarray:
+    """The lines that belong to the core where no element says so.
+
+    From the first core line, and headings right before it, to the last one nothing allowed goes, however short. What lies before or after them stays if
+    its own region, smaller than the page, holds core lines; other runs (menus, imprints) go.
+    """
+    at = np.flatnonzero(core)
+    first = at[0]
+    while first - 1 in parser.headings:
+        first -= 1
+    between = np.zeros(len(core), bool)
+    between[first : at[-1] + 1] = True
+    holds = np.zeros(len(parser.parents), bool)
+    holds[regions[core]] = True
+    for k in range(len(holds) - 1, 0, -1):  # parents come before their children
+        holds[parser.parents[k]] |= holds[k]
+    holds[[k for k, tag in enumerate(parser.tags_of) if k == 0 or tag == "body"]] = False
+    return allowed & (between | holds[regions])
+
+
 def main_text(html: str) -> str:
     parser = Lines()
     parser.feed(html)
@@ -222,7 +247,7 @@ def main_text(html: str) -> str:
     core = allowed & (even >= threshold(even))
     if not core.any():
         core = allowed
-    chosen = content if sizes[core & content].sum() >= HELD * sizes[core].sum() else allowed | content
+    chosen = content if sizes[core & content].sum() >= HELD * sizes[core].sum() else content | clustered(parser, allowed, core, regions)
     return "\n".join(x[0] for x, ok in zip(lines, chosen, strict=True) if ok)
 
 

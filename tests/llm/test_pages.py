@@ -87,3 +87,32 @@ def test_cues_of_wrappers():
     assert pages.main_text(comments) == long
     assert pages.main_text(f"<body><div><p>{LONG}</p></div><div id=comments><p>{LONG * 3}</p></div></body>") == long
     assert pages.main_text(f"<div class=widget><main><p>{LONG}</p></main></div><div><p>{LONG}</p></div>").startswith(long)
+
+
+def menu(name, *lines):
+    return f"<div class={name}>{''.join(f'<p>{x}' for x in lines)}</div>"
+
+
+TOP = menu("x1", "Home", "Products", "About us", "Contact")
+END = menu("x2", "Copyright 2024", "Terms", "Privacy", "Imprint")
+
+
+def test_clusters_decide_without_any_cue():
+    """No element and no class says what the text is: runs of short lines around the dense ones go."""
+    body = [(LONG * k).strip() for k in (3, 4, 2, 3, 5, 2)]
+    page = f"<html><body>{TOP}{''.join(f'<p>{x}' for x in body)}{END}</body></html>"
+    assert pages.main_text(page) == "\n".join(body)
+    lists = "<ul><li>first<li>second<li>third</ul>"
+    page = f"<html><body>{TOP}<div class=x3><h1>Title</h1><p>{body[0]}<p>{body[1]}{lists}<p>{body[2]}<p>{body[3]}<p>The end.</div>{END}"
+    assert pages.main_text(page) == "\n".join(["Title", *body[:2], "first", "second", "third", *body[2:4], "The end."])
+
+
+def test_smoothing_matters(monkeypatch):
+    """A lone dense line among short ones isn't content; without smoothing it would be, and the run before it too."""
+    body = [(LONG * k).strip() for k in (3, 4, 2, 3, 5, 4)]
+    legal = menu("x2", "Copyright 2024", "Terms", "Privacy", LONG, "Imprint", "Jobs", "Press")
+    page = f"<html><body>{TOP}<h1>Title</h1>{''.join(f'<p>{x}' for x in body)}{legal}</body></html>"
+    want = "\n".join(["Title", *body])
+    assert pages.main_text(page) == want
+    monkeypatch.setattr(pages, "smoothed", lambda values, sigma=1.0: values)
+    assert pages.main_text(page) != want
