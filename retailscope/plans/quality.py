@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from retailscope.functions.numeric import rows
 from retailscope.operators import maintenance, profile, quality, sales
 from retailscope.plans.checks import dollars, mean, pct, ratio, star
-from retailscope.plans.registry import add
+from retailscope.plans.registry import CHECKS, add
 from retailscope.schemas import VOCABULARIES
+from retailscope.session import shared_folder
+from retailscope.sources import buckets
 from retailscope.sources.standin import ITEM_ORDER
 
 MONEY = ["gross_sales", "discount_amount", "net_sales", "profit", "quantity", "delivery_days"]
@@ -397,16 +401,19 @@ add(
 )
 
 
-def patched(s):
+def patch_rows(s):
     """Supplier rows as customer patches: every one renames, half of them also clear the age."""
-    patches = s.raw("supplier").selectExpr(
+    return s.raw("supplier").selectExpr(
         "CASE WHEN s_suppkey % 10 = 0 THEN NULL WHEN s_suppkey % 10 = 1 THEN 1 ELSE s_suppkey * 20 END AS customer_id",  # some have no key, some share one
         "if(s_acctbal < 0, array('customer_name', 'customer_age'), array('customer_name')) AS set_fields",
         "s_name AS customer_name",
         "cast(null as int) AS customer_age",
     )
+
+
+def patched(s):
     kept = s.customers().select("customer_id", "customer_name", "customer_age")
-    return maintenance.patch_batch(kept, patches, "customer_id", ["customer_name", "customer_age"])
+    return maintenance.patch_batch(kept, patch_rows(s), "customer_id", ["customer_name", "customer_age"])
 
 
 add(
@@ -418,6 +425,21 @@ FROM s_customers LEFT JOIN supplier ON s_suppkey * 20 = customer_id AND s_suppke
   OR customer_id = 1 AND s_suppkey % 10 = 1 AND (SELECT count(*) FROM supplier WHERE s_suppkey % 10 = 1) = 1"""
     ),
 )
+
+
+def patched_buckets(s):
+    """The same patches on a table in buckets; the result is read from the version that they made."""
+    target = f"{shared_folder(s.spark)}/buckets-{uuid.uuid4().hex}"
+    buckets.create(s.customers().select("customer_id", "customer_name", "customer_age"), target, "customer_id", 16)
+    buckets.patch(s.spark, target, patch_rows(s), ["customer_name", "customer_age"])
+    return buckets.read(s.spark, target)
+
+
+add(
+    "q8_patch_buckets",
+    lambda s: patched_buckets(s).withColumn("customer_age", F.coalesce("customer_age", F.lit(-1))),
+    CHECKS["q8_patch_batch"],
+)
 add(
     "q8_patch_not_found",
     lambda s: patched(s).refused.select("customer_id", "reason"),

@@ -160,7 +160,7 @@ def _put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
     return True
 
 
-def _log(spark: SparkSession, target: str) -> dict[int, dict]:
+def entries(spark: SparkSession, target: str) -> dict[int, dict]:
     """Entries by version; an entry that its publisher hasn't finished is left out."""
     files, place = _files(spark, f"{target.rstrip('/')}/log")
     if not files.exists(place):
@@ -182,22 +182,27 @@ def _log(spark: SparkSession, target: str) -> dict[int, dict]:
     return out
 
 
+def put_entry(spark: SparkSession, target: str, version: int, entry: dict) -> bool:
+    """Write the log's entry of that number, unless there is one."""
+    return _put_if_absent(spark, f"{target.rstrip('/')}/log/{version:020d}.json", json.dumps(entry))
+
+
 def _commit(spark: SparkSession, target: str, entry: dict) -> int:
     """The entry under the next free number; whoever comes second takes the one after."""
-    version = max(_log(spark, target), default=0) + 1
-    while not _put_if_absent(spark, f"{target.rstrip('/')}/log/{version:020d}.json", json.dumps(entry)):
+    version = max(entries(spark, target), default=0) + 1
+    while not put_entry(spark, target, version, entry):
         version += 1
     return version
 
 
 def versions(spark: SparkSession, target: str) -> list[int]:
     """Numbers of the published versions."""
-    return sorted(v for v, entry in _log(spark, target).items() if entry)
+    return sorted(v for v, entry in entries(spark, target).items() if entry)
 
 
 def published(spark: SparkSession, target: str, version: int | None = None) -> dict[str, DataFrame]:
     """The tables of the newest published version, or of the one asked for."""
-    log = {v: entry for v, entry in _log(spark, target).items() if entry}
+    log = {v: entry for v, entry in entries(spark, target).items() if entry}
     if not log:
         raise LookupError(f"nothing is published in {target}")
     entry = log[max(log) if version is None else version]
@@ -206,7 +211,7 @@ def published(spark: SparkSession, target: str, version: int | None = None) -> d
 
 def remove_leftovers(spark: SparkSession, target: str, older_than: float = 86_400) -> int:
     """Delete folders that no version names, untouched for so many seconds; returns how many."""
-    named = {t["path"].rsplit("/", 2)[1] for entry in _log(spark, target).values() for t in entry.get("tables", {}).values()}
+    named = {t["path"].rsplit("/", 2)[1] for entry in entries(spark, target).values() for t in entry.get("tables", {}).values()}
     files, place = _files(spark, f"{target.rstrip('/')}/versions")
     old = [s.getPath() for s in (files.listStatus(place) if files.exists(place) else []) if s.getPath().getName() not in named and s.getModificationTime() / 1000 <= time.time() - older_than]
     return sum(bool(files.delete(path, True)) for path in old)
