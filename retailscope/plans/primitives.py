@@ -372,6 +372,11 @@ add(
     ),
     page_sql("product_id, brand, product_category, unit_price::double AS unit_price", "s_products", "WHERE product_category = 'PROMO'", "unit_price DESC, product_id", 10, 20),
 )
+add(
+    "l5_deep_page",
+    lambda s: page(s.orders().select("order_id", "order_date", "order_status"), "order_id", "order_date", "desc", page_number=500, page_size=25),
+    page_sql("order_id, order_date, order_status", "s_orders", "", "order_date DESC, order_id", 25, 12_475),
+)
 add(
     "l5_order_page",
     lambda s: page(
