@@ -33,8 +33,6 @@ from pyspark.sql import functions as F
 
 from retailscope.llm.common import kept, parts_of, task
 
-#: Sizes of an earlier, bounded model; nothing is limited by them.
-LEXICON = WIDE = ARCS = None
 #: Symbols for unseen words.
 CLASSES = 1
 HEAD = 100_000

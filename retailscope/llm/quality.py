@@ -143,8 +143,8 @@ def met(rule: Rule, by: Callable[[Condition], Column]) -> Column:
 
 def stepped(statistics: DataFrame, labels: DataFrame) -> DataFrame:
     """bad (0 or 1), grows, and for every feature how many thresholds it reaches; one row for each label."""
-    # each rung is added up to reach the number of thresholds passed; a comparison costs less than a search
-    reached = lambda value: sum(((value >= t).cast("int") for t in THRESHOLDS), F.lit(0))
+    rungs = F.array(*(F.lit(float(t)) for t in THRESHOLDS))
+    reached = lambda value: F.size(F.filter(rungs, lambda t: t <= value))
 
     good = labels.select(F.col("doc_id").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter(F.col("quality").isin(0, 1))
     rows = statistics.join(good, "doc_id").select("doc_id", (1 - F.col("quality")).alias("bad"), *(f().alias(name) for name, f in FEATURES.items()))

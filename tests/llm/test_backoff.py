@@ -61,10 +61,7 @@ def test_odd_rows(spark):
     same(backoff.score_texts(df, F.lit(True)).collect(), [(d, x, True) for d, x, _ in rows])
 
 
-def test_every_state_sums_to_one(spark, monkeypatch):
-    monkeypatch.setattr(backoff, "LEXICON", 30)
-    monkeypatch.setattr(backoff, "WIDE", 10)
-    monkeypatch.setattr(backoff, "ARCS", 800)
+def test_every_state_sums_to_one(spark):
     texts = spark.read.parquet(f"{SMALL}/documents.parquet").select("text").limit(60)
     model, _ = backoff.fit(texts)
     automaton = backoff.Automaton(model)
