@@ -9,12 +9,11 @@ count / (total + different) of the history plus what the state's failure arc wou
 history without its oldest word and has the mass that the arcs leave. The root has an arc for every symbol, with
 (count + 1) / (words + different words + 1). So each state's distribution sums to one.
 
-The traversal of a text is a sum over its words, pairs and triples: a word gives the logarithms of its root arc and of
-its own failure arc, a pair with an arc gives what the arc has over the failure arc and, if the pair is a state, the
-pair's failure arc, and a triple with an arc what that has over the failure arc. Texts' n-grams are counted per text
-and meet these values by one shuffle join. Words and pairs are told apart by 64-bit hashes. Only the values of the
-`HEAD` most frequent words and bitmaps of at most 2^`BITS` hashes travel with the tasks, to spare the shuffle what it
-would not find; they change no result.
+Texts are kept in batches, as places among the batch's different words. Each batch asks once for each of its n-grams; what
+the model holds of them comes back as the batch's slice of the automaton, and every text of the batch passes through that
+slice from left to right, by arcs and failure arcs, with its state and its sum of logarithms. Words, pairs and triples
+are told apart by their level and 64-bit hashes. Only the `HEAD` most frequent words and bitmaps of at most 2^`BITS`
+hashes travel with the tasks, to spare the shuffle what it would not find; they change no result.
 
 Missing texts count as empty: they have the end alone. Rows without an id are training rows. Repeated rows count and
 are scored as often as they occur. An empty table gives an empty result. Other columns are not read.
@@ -31,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retailscope.llm.common import kept, parts_of, task
+from retailscope.llm.common import discard, kept, slices, task
 
 #: Symbols for unseen words.
 CLASSES = 1
@@ -41,6 +40,8 @@ LEAST = 2
 #: Logarithm of the size of the bitmaps that spare shuffles.
 BITS = 27
 SEED = 42
+#: Bytes of texts in a batch.
+PART = 2_000_000
 #: Levels of n-grams.
 WORD, PAIR, TRIPLE = 1, 2, 3
 
@@ -81,21 +82,42 @@ def joint(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return step(b, step(a, np.full(len(a), 42, np.uint64))).view(np.int64)
 
 
+LINES = "batch long, held_out boolean, doc_ids array<long>, sizes binary, words binary, codes binary"
+
+
 def sequences(docs: DataFrame) -> DataFrame:
-    """row (a number of its own), doc_id, held_out and line: the hashes of the text's words and the end's."""
+    """Texts in batches of about `PART` bytes, of training or held-out texts: batch (a number of its own), held_out, doc_ids,
+    sizes (words and the end of each text), words (hashes of the different ones) and codes (places among them)."""
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = task() << 40
+        number = task() << 32
         for batch in batches:
-            for part in parts_of(batch, 2_000):
-                words, at, ends = words_of(part.column("text"))
-                n = part.num_rows
-                line = np.insert(hashes_of(words)[at] if len(at) else np.zeros(0, np.int64), ends[1:], END)
-                lines = pa.ListArray.from_arrays(pa.array(ends + np.arange(n + 1), pa.int32()), pa.array(line))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), part.column("doc_id"), part.column("held_out"), lines], ["row", "doc_id", "held_out", "line"])
-                row += n
+            for part in slices(batch, PART):
+                for held in (False, True):
+                    some = part.filter(pc.equal(part.column("held_out"), held))
+                    if not some.num_rows:
+                        continue
+                    words, at, ends = words_of(some.column("text"))
+                    codes = np.insert(at, ends[1:], len(words)).astype(np.int32)
+                    binaries = [np.diff(ends) + 1, np.append(hashes_of(words), END), codes]
+                    ids = pa.ListArray.from_arrays(pa.array([0, some.num_rows], pa.int32()), some.column("doc_id"))
+                    cells = [pa.array([v.astype(k).tobytes()], pa.binary()) for v, k in zip(binaries, (np.int32, np.int64, np.int32), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([held]), ids, *cells], ["batch", "held_out", "doc_ids", "sizes", "words", "codes"])
+                    number += 1
+
+    return docs.mapInArrow(job, LINES)
+
 
-    return docs.mapInArrow(job, "row long, doc_id long, held_out boolean, line array<long>")
+def unpacked(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """sizes, words and codes of each row."""
+    for row in zip(*(batch.column(c) for c in ("sizes", "words", "codes")), strict=True):
+        yield tuple(np.frombuffer(x.as_buffer(), k) for x, k in zip(row, (np.int32, np.int64, np.int32), strict=True))
+
+
+def lines_of(batch: pa.RecordBatch) -> Iterator[pa.ListArray]:
+    """The texts of each row as lists of hashes."""
+    for sizes, words, codes in unpacked(batch):
+        yield pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(words[codes]))
 
 
 def looked_up(hashes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,12 +149,12 @@ def counted(lines: DataFrame) -> DataFrame:
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in parts_of(batch, 2_000):
-                for level, _, a, b in grams_of(part.column("line"))[:2]:
+            for line in lines_of(batch):
+                for level, _, a, b in grams_of(line)[:2]:
                     keys, n = np.unique(a if level == WORD else joint(a, b), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), level, np.int32)), pa.array(keys), pa.array(n)], ["level", "key", "n"])
 
-    return lines.select("line").mapInArrow(job, "level int, key long, n long").groupBy("level", "key").agg(F.sum("n").alias("n"))
+    return lines.select("sizes", "words", "codes").mapInArrow(job, "level int, key long, n long").groupBy("level", "key").agg(F.sum("n").alias("n"))
 
 
 def bitmap(keys: DataFrame) -> np.ndarray:
@@ -175,16 +197,16 @@ def learn(lines: DataFrame) -> Tables:
 
     def pair_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in parts_of(batch, 2_000):
-                _, _, v, w = grams_of(part.column("line"))[1]
+            for line in lines_of(batch):
+                _, _, v, w = grams_of(line)[1]
                 keys, where = np.unique(joint(v, w), return_index=True)
                 some = maybe(held.value, keys)
                 yield pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array(v[where[some]]), pa.array(w[where[some]])], ["key", "v", "w"])
 
     def triple_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in parts_of(batch, 2_000):
-                _, _, uv, vw = grams_of(part.column("line"))[2]
+            for line in lines_of(batch):
+                _, _, uv, vw = grams_of(line)[2]
                 some = maybe(held.value, uv) & maybe(held.value, vw)
                 uv, vw = uv[some], vw[some]
                 _, where, n = np.unique(joint(uv, vw), return_index=True, return_counts=True)
@@ -198,10 +220,10 @@ def learn(lines: DataFrame) -> Tables:
 
     total = words.agg(F.sum("c"), F.count(F.lit(1)), F.sum(F.when(F.col("w") == END, F.col("c")))).first()
     tokens, different = total[0] or 0, total[1]
-    parts = lines.select("line").mapInArrow(pair_parts, "key long, v long, w long").groupBy("key").agg(F.min("v").alias("v"), F.min("w").alias("w"))
+    parts = lines.select("sizes", "words", "codes").mapInArrow(pair_parts, "key long, v long, w long").groupBy("key").agg(F.min("v").alias("v"), F.min("w").alias("w"))
     often = kept(often.join(parts, "key"), "pair-parts", "zstd")
-    triples = lines.select("line").mapInArrow(triple_counts, "uv long, vw long, n long").groupBy("uv", "vw").agg(F.sum("n").alias("n"))
-    triples = kept(triples.filter(F.col("n") >= LEAST), "triple-counts", "zstd")
+    triples = lines.select("sizes", "words", "codes").mapInArrow(triple_counts, "uv long, vw long, n long").groupBy("uv", "vw").agg(F.sum("n").alias("n"))
+    counted_triples = triples = kept(triples.filter(F.col("n") >= LEAST), "triple-counts", "zstd")
     ends = lines.sparkSession.createDataFrame([(BEGIN, total[2] or 0)], "v long, total long")
     singles = kept(states(often, "v", words.select(F.col("w").alias("v"), F.col("c").alias("total")).union(ends)), "states")
     doubles = kept(states(triples, "uv", often.select(F.col("key").alias("uv"), F.col("n").alias("total"))), "states")
@@ -212,17 +234,42 @@ def learn(lines: DataFrame) -> Tables:
     triples = triples.join(doubles, "uv").join(pairs.select(F.col("key").alias("vw"), F.col("p").alias("p2")), "vw")
     triples = triples.select("uv", "vw", (F.col("n") / F.col("bottom")).alias("share"), "left", "p2").withColumn("p", F.col("share") + F.col("left") * F.col("p2"))
     begin = singles.filter(F.col("v") == BEGIN).first()
-    return Tables(tokens, different, begin.left if begin else 1.0, words, pairs, kept(triples, "triples", "zstd"))
+    model = Tables(tokens, different, begin.left if begin else 1.0, words, pairs, kept(triples, "triples", "zstd"))
+    for done in (counts, often, counted_triples, singles, doubles):
+        discard(done)
+    return model
+
+
+def arcs_of(model: Tables) -> DataFrame:
+    """level, key, n, log and failure: words with their count and failure mass, pairs and triples with their arc's logarithm,
+    and pairs with the failure mass of the state that they are (0 if they are none)."""
+    none, zero = F.lit(0).cast("long"), F.lit(0.0)
+    words = model.words.select(F.lit(WORD).alias("level"), F.col("w").alias("key"), F.col("c").cast("long").alias("n"), zero.alias("log"), F.log10("left").alias("failure"))
+    pairs = model.pairs.select(F.lit(PAIR), "key", none, F.log10("p"), F.log10("below"))
+    triples = model.triples.select(F.lit(TRIPLE), F.xxhash64("uv", "vw"), none, F.log10("p"), zero)
+    return words.union(pairs).union(triples)
 
 
-def values_of(model: Tables) -> DataFrame:
-    """key, known, base and score: what an n-gram adds to a text's sums; others add nothing."""
-    none = F.lit(0.0)
-    words = model.words.select(F.col("w").alias("key"), F.lit(1).alias("known"), F.log10(F.col("c") + 1).alias("base"), (F.log10(F.col("c") + 1) + F.log10("left")).alias("score"))
-    over = F.log10("p") - F.log10("left")
-    pairs = model.pairs.select("key", F.lit(0), none, over - F.log10("p1") + F.log10("below"))
-    triples = model.triples.select(F.xxhash64("uv", "vw"), F.lit(0), none, over - F.log10("p2"))
-    return words.union(pairs).union(triples)
+def traverse(lines: list[list[int]], arcs: dict[int, tuple[float, int]], width: int, failures: list[tuple[float, int]], root: list[float], begin: int) -> list[float]:
+    """Log10 probabilities of lines of symbols: from the beginning's state, one symbol after another, by arcs and failure arcs.
+
+    States up to `width` are words, later ones pairs; -1 is the root, which has an arc for every symbol.
+    """
+    out = []
+    for line in lines:
+        state, total = begin, 0.0
+        for symbol in line:
+            while state >= 0 and (arc := arcs.get(state * width + symbol)) is None:
+                log, state = failures[state]
+                total += log
+            if state >= 0:
+                log, state = arc
+                total += log
+            else:
+                total += root[symbol]
+                state = symbol
+        out.append(total)
+    return out
 
 
 class Model:
@@ -302,52 +349,81 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     model = learn(lines.filter(~F.col("held_out")))
     top = most_frequent(model.words, "c", HEAD).select("w", "c", "left").toArrow().sort_by("w")
     hashes, counts, left = (top[c].to_numpy() for c in ("w", "c", "left"))
-    values = values_of(model)
-    bits = bitmap(values.filter("known = 0"))
-    held = docs.sparkSession.sparkContext.broadcast((hashes, np.log10(counts + 1), np.log10(left), bits))
-    size, begin = np.log10(model.tokens + model.different + 1), np.log10(model.begin)
-
-    def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each text's sums over the words of the head."""
-        hashes, logs, left, _ = held.value
-        for batch in batches:
-            for part in parts_of(batch, 2_000):
-                n = part.num_rows
-                _, doc, words, _ = grams_of(part.column("line"), (WORD,))[0]
-                place, found = looked_up(hashes, words)
-                doc, place = doc[found], place[found]
-                base = np.bincount(doc, logs[place], n) - np.asarray(part.column("line").value_lengths()) * size
-                score = base + np.bincount(doc, left[place], n) + begin
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(np.bincount(doc, minlength=n)), pa.array(base), pa.array(score)], ["row", "known", "base", "score"])
-
-    def tail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each text's other words, pairs and triples, counted."""
+    arcs = arcs_of(model)
+    bits = bitmap(arcs.filter(F.col("level") > WORD))
+    held = docs.sparkSession.sparkContext.broadcast((hashes, counts, np.log10(left), bits))
+    size, begin = np.log10(model.tokens + model.different + 1), float(np.log10(model.begin))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each batch's different n-grams that the model may hold."""
         hashes, _, _, bits = held.value
         for batch in batches:
-            for part in parts_of(batch, 1_000):
-                rows = part.column("row").to_numpy()
-                (_, doc, words, _), *longer = grams_of(part.column("line"))
-                rest = ~looked_up(hashes, words)[1]
-                asked, keys = [doc[rest]], [words[rest]]
-                for _, d, a, b in longer:
-                    key = joint(a, b)
-                    some = maybe(bits, key)
-                    asked.append(d[some])
-                    keys.append(key[some])
-                asked, keys = np.concatenate(asked), np.concatenate(keys)
-                _, where, times = np.unique(joint(asked, keys), return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[asked[where]]), pa.array(keys[where]), pa.array(times)], ["row", "key", "times"])
-
-    own = lines.select("row", "line").mapInArrow(head, "row long, known long, base double, score double")
-    asked = lines.select("row", "line").mapInArrow(tail, "row long, key long, times long")
-    met = asked.join(values, "key").select("row", *((F.col("times") * F.col(c)).alias(c) for c in ("known", "base", "score")))
-    sums = own.union(met).groupBy("row").agg(*(F.sum(c).alias(c) for c in ("known", "base", "score")))
-    return lines.select("row", "doc_id", "held_out", F.size("line").cast("long").alias("n_tokens")).join(sums, "row").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        F.col("known").cast("long").alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"),
-        F.col("base").alias("base_score"),
-        "score",
-    )
+            for number, line in zip(batch.column("batch").to_pylist(), lines_of(batch), strict=True):
+                (_, _, words, _), *longer = grams_of(line)
+                words = np.unique(words)
+                wanted = [(WORD, words[~looked_up(hashes, words)[1]])]
+                wanted += [(level, keys[maybe(bits, keys)]) for level, keys in ((level, np.unique(joint(a, b))) for level, _, a, b in longer)]
+                for level, keys in wanted:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), number)), pa.array(np.full(len(keys), level, np.int32)), pa.array(keys)], ["batch", "level", "key"])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A slice of the automaton for each batch, and its texts' way through it."""
+        hashes, counts, left, _ = held.value
+        for batch in batches:
+            for at, (sizes, words, codes) in enumerate(unpacked(batch)):
+                found = batch.column("arcs").slice(at, 1).flatten()
+                level, key, n, log, failure = (found.field(c).to_numpy(zero_copy_only=False) for c in ("level", "key", "n", "log", "failure"))
+
+                def held_of(which: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                    """Rows of the slice with these keys, and which keys there are."""
+                    rows = np.flatnonzero(level == which)
+                    rows = rows[np.argsort(key[rows])]
+                    place, there = looked_up(key[rows], keys)
+                    return (rows[place] if len(rows) else place), there
+
+                symbols = len(words)
+                times, fails = np.zeros(symbols, np.int64), np.zeros(symbols + 1)
+                place, there = looked_up(hashes, words)
+                times[there], fails[:-1][there] = counts[place[there]], left[place[there]]
+                rows, there = held_of(WORD, words)
+                times[there], fails[:-1][there] = n[rows[there]], failure[rows[there]]
+                fails[symbols] = begin
+                root = np.log10(times + 1) - size
+                last = np.concatenate([[symbols], codes[:-1]])
+                first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+                last[first] = symbols
+                pair = joint(np.append(words, BEGIN)[last], words[codes])
+                pairs, where, which = np.unique(pair, return_index=True, return_inverse=True)
+                rows, there = held_of(PAIR, pairs)
+                is_state = np.zeros(len(pairs), bool)
+                is_state[there] = failure[rows[there]] < 0
+                target = np.where(is_state, symbols + np.cumsum(is_state), codes[where])
+                width = symbols + 1
+                own = np.flatnonzero(there)
+                arcs = dict(zip((last[where[own]] * width + codes[where[own]]).tolist(), zip(log[rows[own]].tolist(), target[own].tolist(), strict=True), strict=True))
+                failures = [(x, -1) for x in fails.tolist()]
+                states = np.flatnonzero(is_state)
+                failures += zip(failure[rows[states]].tolist(), codes[where[states]].tolist(), strict=True)
+                inner = np.ones(len(codes), bool)
+                inner[first] = False
+                inner[(first + 1)[sizes > 1]] = False
+                third = np.flatnonzero(inner)
+                triples, where3 = np.unique(joint(pair[third - 1], pair[third]), return_index=True)
+                rows, there = held_of(TRIPLE, triples)
+                at3 = third[where3[there]]
+                source = target[which[at3 - 1]]
+                arcs.update(zip((source * width + codes[at3]).tolist(), zip(log[rows[there]].tolist(), target[which[at3]].tolist(), strict=True), strict=True))
+                listed, bounds = codes.tolist(), np.concatenate([first, [len(codes)]]).tolist()
+                scores = traverse([listed[x:y] for x, y in zip(bounds, bounds[1:], strict=False)], arcs, width, failures, root.tolist(), symbols)
+                by_text = lambda values: np.add.reduceat(values, first)
+                m = len(sizes)
+                columns = [batch.column("doc_ids").slice(at, 1).flatten(), pa.array(np.full(m, batch.column("held_out")[at].as_py())), pa.array(sizes.astype(np.int64)), pa.array(by_text((times[codes] > 0).astype(np.int64))), pa.array(by_text(root[codes])), pa.array(scores, pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    asked = lines.select("batch", "sizes", "words", "codes").mapInArrow(ask, "batch long, level int, key long")
+    # at most as many arcs as the batch has n-grams
+    met = asked.join(arcs, ["level", "key"]).groupBy("batch").agg(F.collect_list(F.struct("level", "key", "n", "log", "failure")).alias("arcs"))
+    arc = "array<struct<level:int,key:bigint,n:bigint,log:double,failure:double>>"
+    joined = lines.join(met, "batch", "left").withColumn("arcs", F.coalesce("arcs", F.array().cast(arc)))
+    found = joined.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

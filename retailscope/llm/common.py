@@ -37,6 +37,14 @@ def kept(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     return staged(df, label, compression)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table that `kept` wrote, once all that was made of it is written itself."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def met(rows: DataFrame, other: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
     """Inner join of `rows` with `other`, which has each key once, where some keys may hold a large share of `rows`.
 
