@@ -22,7 +22,7 @@ from retailscope.llm.common import crc32, kept, release, slices, task, texts_of,
 
 #: Words that a task remembers, and bytes of texts that it encodes together.
 CACHED = 800_000
-PART = 2_000_000
+PART = 5_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
 
