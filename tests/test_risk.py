@@ -211,3 +211,26 @@ def test_feature_table_of_the_star(star):
     assert tuple(found) == (0, 0)
     first = table.where("customer_prior_order_count = 0").agg(F.max("customer_prior_revenue")).first()[0]
     assert first == 0.0
+
+
+def test_each_number_is_put_into_words_once(spark):
+    blank = {c: F.lit("other") for c in CATEGORICAL}
+    df = spark.createDataFrame([(1, 0.5, 5, None), (2, 0.1, None, 1e9), (3, None, 1, 0.5)], "id int, shipping_ratio double, customer_prior_order_count long, customer_prior_revenue double").withColumns(blank).withColumn("region", F.lit(None).cast("string"))
+    stats = spark.createDataFrame([("overall_rate", "", "", 0.07), ("rate", "region", None, 0.5), *[("quantile", c, "p75", 0.25) for c in ("shipping_ratio", "customer_prior_order_count", "customer_prior_revenue")]], "statistic string, feature string, value string, amount double")
+    told = risk.explained(df, stats)
+    got = {r["id"]: [f.split(" ")[0] for f in r["contributing_factors"]] for r in told.collect()}
+    assert got == {1: ["shipping_ratio=0.5", "customer_prior_order_count=5"], 2: ["customer_prior_revenue=1e+09"], 3: ["customer_prior_order_count=1", "customer_prior_revenue=0.5"]}
+    # lambdas would take the sentences of all rows out of generated code
+    plan = told._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert not any("lambdafunction" in line and "overall" not in line for line in plan)
+
+
+def test_a_forest_is_the_mean_of_its_parts(spark):
+    train = train_table(spark).where("split = 'train'")
+    fitted = models.fit(train, "random_forest")
+    parts = [s for s in fitted.stages if s.hasParam("numTrees")]
+    assert len(parts) > 1 and sum(s.getNumTrees for s in parts) == 300 and {s.getMaxDepth() for s in parts} == {8}
+    assert len({s.toDebugString for s in parts}) == len(parts)  # no part repeats another's trees
+    rows = fitted.transform(train).withColumn("told", models.chance(fitted)).limit(20).collect()
+    for r in rows:
+        assert abs(r["told"] - sum(r[s.getProbabilityCol()][1] for s in parts) / len(parts)) < 1e-12
