@@ -216,6 +216,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 PLACES, TOGETHER, LEAST = 64, 4, 40
 _WAYS = np.random.default_rng(SEED).integers(1 << 63, size=(2, PLACES), dtype=np.int64).view(np.uint64) | np.uint64(1)
 PART = 65_536
+#: Members of a list that meet those of another block, or their own, in one group.
+MEET = 256
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -247,15 +249,17 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 def similar_links(nodes: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
     """(a, b), a > b: verified links between nodes (node, places), by an inverted index over their places.
 
-    Every `TOGETHER` neighbouring places make a posting list. A list's members are paired with three of them, which an
-    aggregate names (all pairs of up to three members, a star of several centres beyond); different lists have different
-    centres. Pairs are tallied over all places, and those with enough equal ones are verified on their texts (node, text).
+    Every `TOGETHER` neighbouring places make a posting list. First a list's members are paired with three of them, which an
+    aggregate names; different lists have different centres. That joins most of what is similar. Then all pairs of a list's
+    members that are not yet in one component are compared, in blocks of `MEET` members, so that no link is lost and no
+    task holds a long list. Pairs are tallied over all places, and those with enough equal ones are verified on their texts
+    (node, text). Links within a component of the first step are returned as its star.
     """
     bands = F.array(*(F.xxhash64(F.lit(at), F.substring("places", 4 * at + 1, 4 * TOGETHER)) for at in range(0, PLACES, TOGETHER)))
     postings = kept(nodes.select("node", F.posexplode(bands).alias("band", "bytes")), "postings")
     centres = F.array(F.min("node"), F.max("node"), F.min_by("node", F.xxhash64("node", "band")))
-    lists = postings.groupBy("band", "bytes").agg(F.count(F.lit(1)).alias("n"), centres.alias("centres")).filter("n > 1").drop("n")
-    met = postings.join(lists, ["band", "bytes"]).select("node", F.explode("centres").alias("centre")).filter("node != centre")
+    lists = kept(postings.groupBy("band", "bytes").agg(F.count(F.lit(1)).alias("n"), centres.alias("centres")).filter("n > 1"), "lists")
+    met = postings.join(lists.drop("n"), ["band", "bytes"]).select("node", F.explode("centres").alias("centre")).filter("node != centre")
     pairs = met.select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct()
 
     @F.arrow_udf("int")
@@ -271,12 +275,31 @@ def similar_links(nodes: DataFrame, texts: DataFrame, words: int, least: float)
     def side(table: DataFrame, name: str, value: str) -> DataFrame:
         return table.select(F.col("node").alias(name), F.col(value).alias(f"{value}_{name}"))
 
-    tallied = pairs.join(side(nodes, "a", "places"), "a").join(side(nodes, "b", "places"), "b").filter(equal("places_a", "places_b") >= LEAST)
-    likely = kept(tallied.select("a", "b"), "likely-pairs")
-    asked = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    stored = kept(texts(asked), "pair-texts")
-    verified = likely.join(side(stored, "a", "text"), "a").join(side(stored, "b", "text"), "b")
-    return verified.filter(exact("text_a", "text_b") >= least).select("a", "b")
+    def verified(likely: DataFrame) -> DataFrame:
+        asked = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        stored = kept(texts(asked), "pair-texts")
+        met = likely.join(side(stored, "a", "text"), "a").join(side(stored, "b", "text"), "b")
+        return met.filter(exact("text_a", "text_b") >= least).select("a", "b")
+
+    enough = equal("places_a", "places_b") >= LEAST
+    tallied = pairs.join(side(nodes, "a", "places"), "a").join(side(nodes, "b", "places"), "b").filter(enough)
+    found = stars(verified(kept(tallied.select("a", "b"), "likely-pairs")))
+
+    # lists of up to three members have met in all pairs
+    roots = nodes.join(found.withColumnRenamed("a", "node"), "node", "left").select("node", F.coalesce("b", "node").alias("root"))
+    longer = kept(postings.join(lists.filter("n > 3").select("band", "bytes"), ["band", "bytes"]).join(roots, "node"), "longer-lists")
+    open_ = longer.groupBy("band", "bytes").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
+    blocks = F.ceil(F.col("n") / F.lit(MEET)).cast("int")
+    members = longer.join(open_, ["band", "bytes"]).select("band", "bytes", "node", "root", blocks.alias("blocks")).join(nodes, "node")
+    members = kept(members.withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int")), "open-lists")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+
+    def half(name: str, mine: str, theirs: str) -> DataFrame:
+        return members.select("band", "bytes", F.col("own").alias(mine), other.alias(theirs), *[F.col(c).alias(d) for c, d in (("node", name), ("root", f"root_{name}"), ("places", f"places_{name}"))])
+
+    across = half("a", "p", "q").join(half("b", "q", "p"), ["band", "bytes", "p", "q"]).filter((F.col("a") > F.col("b")) & (F.col("root_a") != F.col("root_b")))
+    rest = kept(across.filter(enough).select("a", "b").distinct(), "likely-rest")
+    return found.union(verified(rest.join(pairs, ["a", "b"], "left_anti"))) if rest.head(1) else found
 
 
 def one_of_similar(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

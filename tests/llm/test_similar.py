@@ -104,3 +104,38 @@ def test_places_agree_as_often_as_sets_do():
     a, b = (np.unique(np.concatenate([shared, rng.integers(1 << 62, size=100).astype(np.uint64)])) for _ in range(2))
     assert abs((neardup.places_of(a) == neardup.places_of(b)).mean() - neardup.similarity(a, b)) < 0.15
     assert neardup.similarity(a[:0], b[:0]) == 1 and neardup.similarity(a[:0], b) == 0
+
+
+def test_partners_that_are_no_centres_are_found(spark, monkeypatch):
+    """Pairs that only share lists of many other texts: none of the two need be among a list's centres."""
+    rng = np.random.default_rng(3)
+    shared = [f"s{k}" for k in range(300)]
+    texts = []
+    for k in range(40):  # similar within a pair only, two texts of different pairs at about 0.6
+        base = shared + [f"own{k}-{j}" for j in range(100)]
+        texts += near_copies(rng, base, 2, 2)
+    want = smallest_of_similar(dict(enumerate(texts)))
+    assert len(want) == 40
+    monkeypatch.setattr(neardup, "MEET", 7)
+    order = rng.permutation(len(texts))
+    docs = spark.createDataFrame([(int(k), texts[k]) for k in order], "doc_id long, text string").repartition(4)
+    assert sorted(r.doc_id for r in neardup.one_of_similar(docs).select("doc_id").collect()) == want
+
+
+def test_every_pair_of_a_list_is_compared(spark, monkeypatch):
+    """One list of pairs of equal places: links between members that are never centres."""
+    monkeypatch.setattr(neardup, "MEET", 5)
+    rng = np.random.default_rng(4)
+    rows, texts = [], []
+    for k in range(30):  # the first band is common to all, the others to the two of a pair
+        own = rng.integers(1 << 32, size=neardup.PLACES, dtype=np.uint64).astype(np.uint32)
+        own[: neardup.TOGETHER] = 7
+        for at in range(2):
+            places = own.copy()
+            places[neardup.TOGETHER + 1 :: neardup.TOGETHER] = rng.integers(1 << 32, size=15, dtype=np.uint64).astype(np.uint32)
+            rows.append((2 * k + at, bytearray(places.tobytes())))
+            texts.append((2 * k + at, f"text number {k} " * 9))
+    nodes = spark.createDataFrame(rows, "node long, places binary")
+    stored = spark.createDataFrame(texts, "node long, text string")
+    links = neardup.stars(neardup.similar_links(nodes, lambda asked: stored.join(asked, "node"), 5, 0.8)).collect()
+    assert sorted((r.a, r.b) for r in links) == [(2 * k + 1, 2 * k) for k in range(30)]
