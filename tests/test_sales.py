@@ -159,3 +159,17 @@ def test_pairs_with_large_baskets(spark, limit, block):
     orders = items.select("order_id").distinct()
     got = baskets.cross_sell_pairs(items, orders, 2, limit, block=block).collect()
     assert [(r[0], r[1], r[2]) for r in got] == brute_pairs(contents, 2, limit)
+
+
+def test_tasks_of_pairs_grow_in_number(spark, monkeypatch):
+    """More pairs than a task holds make more tasks; products in very many orders are counted apart, with the same result."""
+    bought = [(o, p) for o in range(60) for p in {0, 1, o % 7 + 2, o % 5 + 9}] + [(None, 0), (None, 1), (3, None), (3, 0)]
+    items = spark.createDataFrame(bought, "order_id long, product_id long")
+    orders = spark.range(60).withColumnRenamed("id", "order_id")
+    plain = [tuple(r) for r in baskets.cross_sell_pairs(items, orders).collect()]
+    assert plain[0][:3] == (0, 1, 60)
+    monkeypatch.setattr(baskets, "ROWS", 20)
+    monkeypatch.setattr(baskets, "HOT", 12)
+    assert [tuple(r) for r in baskets.cross_sell_pairs(items, orders).collect()] == plain
+    rows = items.where("order_id is not null and product_id is not null").distinct().withColumns({"size": F.lit(4), "hot": F.lit(False)})
+    assert baskets._tasks(rows.agg(F.sum((F.col("size") - 1) / 2))) >= 18
