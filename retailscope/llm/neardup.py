@@ -216,8 +216,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 PLACES, TOGETHER, LEAST = 64, 4, 40
 _WAYS = np.random.default_rng(SEED).integers(1 << 63, size=(2, PLACES), dtype=np.int64).view(np.uint64) | np.uint64(1)
 PART = 65_536
-#: Members of a list that meet those of another block, or their own, in one group.
-MEET = 256
+#: Members of a long list, and bytes of their texts, that meet those of another block, or their own, in one group.
+MEET, MEET_BYTES = 1024, 4_000_000
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -251,9 +251,11 @@ def similar_links(nodes: DataFrame, texts: DataFrame, words: int, least: float)
 
     Every `TOGETHER` neighbouring places make a posting list. First a list's members are paired with three of them, which an
     aggregate names; different lists have different centres. That joins most of what is similar. Then all pairs of a list's
-    members that are not yet in one component are compared, in blocks of `MEET` members, so that no link is lost and no
-    task holds a long list. Pairs are tallied over all places, and those with enough equal ones are verified on their texts
-    (node, text). Links within a component of the first step are returned as its star.
+    members that are not yet in one component are compared, so that no link is lost. Lists of up to `LIST` members are paired
+    up in the plan. The members of longer ones meet in blocks, with their texts, and a group of two blocks gives no more
+    links than it has members, whatever the number of its pairs (`linked_blocks`). Pairs are tallied over all places, and
+    those with enough equal ones are verified on their texts (node, text). Links within a component of the first step are
+    returned as its star.
     """
     bands = F.array(*(F.xxhash64(F.lit(at), F.substring("places", 4 * at + 1, 4 * TOGETHER)) for at in range(0, PLACES, TOGETHER)))
     postings = kept(nodes.select("node", F.posexplode(bands).alias("band", "bytes")), "postings")
@@ -289,17 +291,81 @@ def similar_links(nodes: DataFrame, texts: DataFrame, words: int, least: float)
     roots = nodes.join(found.withColumnRenamed("a", "node"), "node", "left").select("node", F.coalesce("b", "node").alias("root"))
     longer = kept(postings.join(lists.filter("n > 3").select("band", "bytes"), ["band", "bytes"]).join(roots, "node"), "longer-lists")
     open_ = longer.groupBy("band", "bytes").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
-    blocks = F.ceil(F.col("n") / F.lit(MEET)).cast("int")
-    members = longer.join(open_, ["band", "bytes"]).select("band", "bytes", "node", "root", blocks.alias("blocks")).join(nodes, "node")
-    members = kept(members.withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int")), "open-lists")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    members = longer.join(open_, ["band", "bytes"])
+    short = kept(members.filter(F.col("n") <= LIST).drop("n", "low", "high").join(nodes, "node"), "open-lists")
 
-    def half(name: str, mine: str, theirs: str) -> DataFrame:
-        return members.select("band", "bytes", F.col("own").alias(mine), other.alias(theirs), *[F.col(c).alias(d) for c, d in (("node", name), ("root", f"root_{name}"), ("places", f"places_{name}"))])
+    def half(name: str) -> DataFrame:
+        return short.select("band", "bytes", *[F.col(c).alias(d) for c, d in (("node", name), ("root", f"root_{name}"), ("places", f"places_{name}"))])
 
-    across = half("a", "p", "q").join(half("b", "q", "p"), ["band", "bytes", "p", "q"]).filter((F.col("a") > F.col("b")) & (F.col("root_a") != F.col("root_b")))
+    across = half("a").join(half("b"), ["band", "bytes"]).filter((F.col("a") > F.col("b")) & (F.col("root_a") != F.col("root_b")))
     rest = kept(across.filter(enough).select("a", "b").distinct(), "likely-rest")
-    return found.union(verified(rest.join(pairs, ["a", "b"], "left_anti"))) if rest.head(1) else found
+    if rest.head(1):
+        found = found.union(verified(rest.join(pairs, ["a", "b"], "left_anti")))
+
+    long_ = kept(members.filter(F.col("n") > LIST).select("band", "bytes", "node", "root"), "long-lists")
+    if not long_.head(1):
+        return found
+    stored = kept(texts(long_.select("node").distinct()), "list-texts")
+    sizes = long_.join(stored.select("node", F.octet_length(F.coalesce("text", F.lit(""))).alias("size")), "node").groupBy("band", "bytes").agg(
+        F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(MEET), F.sum("size") / F.lit(MEET_BYTES))).cast("int").alias("blocks")
+    )
+    dealt = long_.join(sizes, ["band", "bytes"]).withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(nodes, "node").join(stored, "node")
+
+    def job(group: pa.Table) -> pa.Table:
+        release()
+        a, b = linked_blocks(group, words, least)
+        return pa.table({"a": pa.array(np.maximum(a, b)), "b": pa.array(np.minimum(a, b))})
+
+    meeting = dealt.select("band", "bytes", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "root", "places", "text")
+    return found.union(meeting.groupBy("band", "bytes", "p", "q").applyInArrow(job, "a long, b long").distinct())
+
+
+def linked_blocks(group: pa.Table, words: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links between two blocks of a list's members, or within one: enough to connect all verified pairs of different roots.
+
+    All pairs are tallied; those whose first common list is another one are left to that. Of those with enough equal places,
+    the ones not connected yet are verified exactly, each member with all its partners at once.
+    """
+    band, p, q = (group.column(c)[0].as_py() for c in ("band", "p", "q"))
+    own, node, label = (group.column(c).to_numpy() for c in ("own", "node", "root"))
+    label = label.copy()
+    places = np.frombuffer(b"".join(group.column("places").to_pylist()), np.uint32).reshape(-1, PLACES)
+    left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
+    near = np.zeros((len(left), len(right)), bool)
+    for at, k in enumerate(left):
+        equal = places[right] == places[k]
+        near[at] = (equal.sum(axis=1) >= LEAST) & (equal.reshape(-1, PLACES // TOGETHER, TOGETHER).all(axis=2).argmax(axis=1) == band) & (label[right] != label[k])
+    if p == q:
+        near &= node[left, None] > node[None, right]
+    asked = np.union1d(left[near.any(axis=1)], right[near.any(axis=0)])
+    if not len(asked):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    texts = group.column("text").take(pa.array(asked)).to_pylist()
+    sets = [shingles(t, words) for t in texts]
+    size = np.zeros(len(node), np.int64)
+    size[asked] = list(map(len, sets))
+    end = np.cumsum(size)
+    different, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(different), bool)
+    a, b = [], []
+    for at, k in enumerate(left):
+        partners = right[near[at]]
+        partners = partners[label[partners] != label[k]]
+        if not len(partners):
+            continue
+        mine = flat[end[k] - size[k] : end[k]]
+        mark[mine] = True
+        upto = np.concatenate([[0], np.cumsum(mark[np.concatenate([flat[end[j] - size[j] : end[j]] for j in partners])])])
+        mark[mine] = False
+        both = np.diff(upto[np.concatenate([[0], np.cumsum(size[partners])])])
+        either = size[k] + size[partners] - both
+        similar = partners[np.where(either > 0, both / np.maximum(either, 1), 1.0) >= least]
+        for other in similar[np.unique(label[similar], return_index=True)[1]]:
+            a.append(node[k])
+            b.append(node[other])
+            label[label == label[other]] = label[k]
+    return np.array(a, np.int64), np.array(b, np.int64)
 
 
 def one_of_similar(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -139,3 +139,63 @@ def test_every_pair_of_a_list_is_compared(spark, monkeypatch):
     stored = spark.createDataFrame(texts, "node long, text string")
     links = neardup.stars(neardup.similar_links(nodes, lambda asked: stored.join(asked, "node"), 5, 0.8)).collect()
     assert sorted((r.a, r.b) for r in links) == [(2 * k + 1, 2 * k) for k in range(30)]
+
+
+def test_a_long_list_of_barely_similar_copies_gives_few_rows(spark, monkeypatch):
+    """Copies of one text, many of them at less than 0.8: as many links as members at most, and the groups of all pairs."""
+    monkeypatch.setattr(neardup, "MEET", 20)
+    monkeypatch.setattr(neardup, "LIST", 3)
+    rng = np.random.default_rng(5)
+    base = [f"b{k}" for k in range(200)]
+    texts = [t for changed in (2, 6, 9, 12, 15) for t in near_copies(rng, base, 30, changed)]
+    want = smallest_of_similar(dict(enumerate(texts)))
+    assert 10 < len(want) < 140
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in neardup.one_of_similar(docs).select("doc_id").collect()) == want
+
+    sets = [neardup.shingles(t, 5) for t in texts]
+    places = [neardup.places_of(s) for s in sets]
+    nodes = spark.createDataFrame([(k, bytearray(p.tobytes())) for k, p in enumerate(places)], "node long, places binary")
+    stored = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    wrote = []
+    monkeypatch.setattr(neardup, "kept", lambda df, label, *rest, own=neardup.kept: wrote.append((label, own(df, label, *rest))) or wrote[-1][1])
+    links = neardup.stars(neardup.similar_links(nodes, lambda asked: stored.join(asked, "node"), 5, 0.8)).collect()
+    roots = {r.a: r.b for r in links}
+    assert sorted({roots.get(k, k) for k in range(len(texts))}) == want
+    # what meets in lists of more than three is in no table of pairs
+    assert [df.count() for label, df in wrote if label == "likely-rest"] == [0]
+
+
+def test_blocks_verify_pairs_exactly():
+    """Links of two blocks of a list connect what exact similarity connects; pairs of another first list are left to it."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    texts = near_copies(rng, [f"b{k}" for k in range(200)], 60, 2) + ["", None, "one", "two words"]
+    places = [neardup.places_of(neardup.shingles(t, 5)) for t in texts]
+    for p in places:
+        p[: neardup.TOGETHER] = 9
+    n = len(texts)
+    group = pa.table({"band": pa.array([0] * n, pa.int32()), "p": [0] * n, "q": [1] * n, "own": np.arange(n) % 2, "node": np.arange(n), "root": np.arange(n), "places": [p.tobytes() for p in places], "text": texts})
+    a, b = neardup.linked_blocks(group, 5, 0.8)
+    parent = list(range(n))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x, y in zip(a, b, strict=True):
+        assert (x + y) % 2 and root(x) != root(y)
+        parent[root(x)] = root(y)
+    found = [root(k) for k in range(n)]
+    parent = list(range(n))
+    sets = [neardup.shingles(t, 5) for t in texts]
+    for x in range(0, n, 2):
+        for y in range(1, n, 2):
+            if (places[x] == places[y]).sum() >= neardup.LEAST and neardup.similarity(sets[x], sets[y]) >= 0.8:
+                parent[root(x)] = root(y)
+    want = [root(k) for k in range(n)]
+    assert [found.index(x) for x in found] == [want.index(x) for x in want] and len(set(want)) < n - 10
+    other = group.set_column(0, "band", pa.array([1] * n, pa.int32()))
+    assert not len(neardup.linked_blocks(other, 5, 0.8)[0])
