@@ -94,14 +94,16 @@ class TokenCache:
     ids of a text are those of its words, each with its leading space, as long as no other white space is next to a
     space; and the ids of a word are those of its runs of letters and of other characters. Words and runs are looked
     up in bounded caches and only unseen ones are encoded. Where a cut isn't certain (other white space, apostrophes,
-    rare characters), the word or the text is encoded whole.
+    rare characters), the word or the text is encoded whole. When the caches are full, only the
+    words of the texts at hand stay.
     """
 
     LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
     OTHERS = "!-&(-/0-9:-@\\\\[-`{-~"
     RUNS = re.compile(f"[{LETTERS}]+|[^{LETTERS}]+")
     SURE = re.compile(f"[{LETTERS}]+|[{OTHERS}]*\\n?")
-    ENDED = re.compile(f"([{LETTERS}]+)([{OTHERS}]+)")
+    LATIN = re.compile(f"[{LETTERS}]+")
+    TAIL = "".join(c for c in map(chr, range(33, 127)) if not c.isalpha() and c != "'")
 
     def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
@@ -123,49 +125,60 @@ class TokenCache:
 
     def learn(self, new: list[str]) -> None:
         """Ids of unseen words, from their runs where the cuts between them are sure."""
-        cut, heads, inner = [], set(), set()
+        ended, cut, heads, inner = [], [], set(), set()
         for word in new:
             if word.isalpha():
                 heads.add(word)
-            elif ended := self.ENDED.fullmatch(word):
-                cut.append((word, ended[1], (ended[2],)))
+                continue
+            head = word.rstrip(self.TAIL)
+            if head.isalpha() and (head.isascii() or self.LATIN.fullmatch(head)):
+                ended.append((word, head, word[len(head) :]))
+                continue
+            head, *rest = self.RUNS.findall(word)
+            if rest and self.SURE.fullmatch(head) and all(map(self.SURE.fullmatch, rest)):
+                cut.append((word, head, rest))
             else:
-                head, *rest = self.RUNS.findall(word)
-                if rest and self.SURE.fullmatch(head) and all(map(self.SURE.fullmatch, rest)):
-                    cut.append((word, head, rest))
-                else:
-                    heads.add(word)
-        for _, head, rest in cut:
-            heads.add(head)
-            inner.update(rest)
+                heads.add(word)
+        heads.update([head for _, head, _ in ended], [head for _, head, _ in cut])
+        inner.update([tail for _, _, tail in ended], *[rest for _, _, rest in cut])
         heads = [w for w in heads if w not in self.words]
         inner = [w for w in inner if w not in self.runs]
         self.held += sum(map(len, new)) + sum(map(len, heads)) + sum(map(len, inner))
         self.words.update(zip(heads, self.raw([" " + w for w in heads]), strict=True))
         self.runs.update(zip(inner, self.raw(inner), strict=True))
+        words, runs = self.words, self.runs
+        for word, head, tail in ended:
+            words[word] = words[head] + runs[tail]
         for word, head, rest in cut:
-            self.words[word] = b"".join([self.words[head], *map(self.runs.__getitem__, rest)])
+            words[word] = b"".join([words[head], *map(runs.__getitem__, rest)])
 
     def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
         """Ids of each text (unsigned 32-bit) with `end_id` after them."""
-        if len(self.words) + len(self.runs) > self.most or self.held > 20 * self.most:
-            self.forget()
         if not texts:
             return []
         split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         ends = split.offsets.to_numpy().astype(np.int64)[1:]
         coded = split.flatten().dictionary_encode()
         words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        self.learn([w for w in words if w not in self.words and w and not w[0].isspace() and not w[-1].isspace()])
-        ids = [self.words.get(w) for w in words]
-        unsure = np.array([x is None for x in ids])
+        ids = list(map(self.words.get, words))
+        if len(self.words) + len(self.runs) > self.most or self.held > 20 * self.most:
+            self.forget()
+            self.words = {w: found for w, found in zip(words, ids, strict=True) if found is not None}
+            self.held = sum(map(len, self.words))
+        missing = [k for k, found in enumerate(ids) if found is None]
+        self.learn([w for w in map(words.__getitem__, missing) if w and not w[0].isspace() and not w[-1].isspace()])
+        unsure = np.zeros(len(words), bool)
+        for k in missing:
+            ids[k] = self.words.get(words[k])
+            if ids[k] is None:
+                ids[k], unsure[k] = b"", True
         # a text's first word has no space before it; it is looked up on its own, after the words
         starts = np.concatenate([[0], ends[:-1]])
         firsts = [words[k] for k in at[starts]]
         later = unsure[at]
         later[starts] = [bool(w) and w[-1].isspace() and n > 1 for w, n in zip(firsts, ends - starts, strict=True)]
         whole = np.logical_or.reduceat(later, starts)
-        units = [x or b"" for x in ids] + self.raw(firsts) + [np.uint32(end_id).tobytes()]
+        units = ids + self.raw(firsts) + [np.uint32(end_id).tobytes()]
         at = at.astype(np.int64)
         at[starts] = len(words) + np.arange(len(texts))
         at = np.insert(at, ends, len(units) - 1)

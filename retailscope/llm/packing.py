@@ -22,7 +22,7 @@ from retailscope.llm.common import crc32, kept, release, slices, task, texts_of,
 
 #: Words that a task remembers, and bytes of texts that it encodes together.
 CACHED = 800_000
-PART = 5_000_000
+PART = 8_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
 
@@ -93,13 +93,13 @@ def places(plan: list[tuple[int, list[int]]], capacity: int) -> dict[str, np.nda
     return {"key": np.array(keys, np.int64)[order], "bin": np.array(bins, np.int64)[order], "offset": np.array(offsets, np.int64)[order]}
 
 
-def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", cached: int = CACHED) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", cached: int = CACHED, together: int = PART) -> DataFrame:
     """Pieces of all documents, each with its rank among the task's pieces of its length."""
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release(keep=vocabulary)
         cache, part, seen = token_cache(vocabulary, cached), task(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for some in slices(batch, PART):
+            for some in slices(batch, together):
                 rows = []
                 for doc, raw in zip(some.column("doc_id").to_pylist(), cache.encode(texts_of(some), end_id), strict=True):
                     for n, (start, length) in enumerate(cut(len(raw), capacity)):
@@ -112,13 +112,14 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, id_col:
     return plain.mapInArrow(job, PIECES)
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", cached: int = CACHED) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", cached: int = CACHED, together: int = PART) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row for each piece.
 
-    `cached` bounds the memory of a task's words (about 200 bytes each), at the cost of encoding more of them again.
+    `cached` bounds the memory of a task's words (about 200 bytes each), at the cost of encoding more of them again;
+    `together`, bytes of texts, that of what a task does at once.
     """
     spark = docs.sparkSession
-    cuts = kept(pieces(docs, vocabulary, end_id, capacity, id_col, text_col, cached), "pieces")
+    cuts = kept(pieces(docs, vocabulary, end_id, capacity, id_col, text_col, cached, together), "pieces")
     per_task = kept(cuts.groupBy("part", "length").agg((F.max("nth") + 1).alias("n")), "piece-counts")
     counts = np.zeros(capacity + 1, np.int64)
     for row in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most `capacity` rows

@@ -165,3 +165,19 @@ def test_few_bins_for_uneven_counts():
     plan = packing.plan_bins(counts, 1024)
     assert sum(t * np.bincount(c, minlength=1025) for t, c in plan).tolist() == counts.tolist()
     assert sum(t for t, _ in plan) <= 1.01 * -(-int((counts * np.arange(1025)).sum()) // 1024)
+
+
+def test_a_full_cache_keeps_the_words_at_hand():
+    """Words that come again are not encoded again, and what the texts at hand don't hold goes."""
+    cache = TokenCache(VOCABULARY, most=8)
+    first = ["the cat, the dog.\nThen nine more, seven birds and some rather long words"] * 3
+    asked, raw = [], cache.raw
+    cache.raw = lambda texts: asked.extend(t for t in texts if t.startswith(" ")) or raw(texts)
+    once = cache.encode(first, 7)
+    assert asked
+    asked.clear()
+    again = cache.encode(first, 7)
+    assert asked == [] and all(np.array_equal(a, b) for a, b in zip(once, again, strict=True))
+    cache.encode(["wholly other things"], 7)
+    assert "cat," not in cache.words and len(cache.words) < 8
+    assert [x.tolist() for x in cache.encode(["a b1, é.\nÉt 'tis it's %%% x\ty"], 7)] == [cache.tokenizer.encode("a b1, é.\nÉt 'tis it's %%% x\ty", add_special_tokens=False).ids + [7]]
