@@ -19,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retailscope.llm.common import crc32, kept, parts_of, task, texts_of, token_cache
+from retailscope.llm.common import crc32, kept, parts_of, slices, task, texts_of, token_cache
 from retailscope.session import shared_folder
 
 LONGEST = 16
 STEP = 256
 BLOCK_IDS = 65_536
+#: Bytes of texts that are encoded together.
+PART = 8_000_000
 BLOCKS = "shard int, block int, before long, doc_ids array<long>, lengths array<long>, ids binary"
 FILE = "shard int, block int, start long, doc_ids array<long>, lengths array<long>, marks binary, payload binary"
 
@@ -144,7 +146,7 @@ def token_blocks(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "d
             return pa.RecordBatch.from_pydict({"shard": [shard], "block": [block], "before": [before], "doc_ids": [docs_], "lengths": [lengths], "ids": [narrow(np.concatenate(ids))]}, pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("ids", pa.binary())]))
 
         for batch in batches:
-            for part in parts_of(batch, 1_000):
+            for part in slices(batch, PART):
                 for doc, raw in zip(part.column("doc_id").to_pylist(), cache.encode(texts_of(part), end_id), strict=True):
                     docs_.append(doc)
                     ids.append(raw)

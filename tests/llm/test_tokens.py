@@ -181,3 +181,13 @@ def test_a_full_cache_keeps_the_words_at_hand():
     cache.encode(["wholly other things"], 7)
     assert "cat," not in cache.words and len(cache.words) < 8
     assert [x.tolist() for x in cache.encode(["a b1, é.\nÉt 'tis it's %%% x\ty"], 7)] == [cache.tokenizer.encode("a b1, é.\nÉt 'tis it's %%% x\ty", add_special_tokens=False).ids + [7]]
+
+
+def test_parts_of_any_size_give_the_same_blocks(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"word{k} of a text, " * (k % 7)) for k in range(40)] + [(None, None)], "doc_id long, text string")
+    found = []
+    for part in (1, 100, 10_000_000):
+        monkeypatch.setattr(huffman, "PART", part)
+        blocks = huffman.token_blocks(docs, VOCABULARY, 0).collect()
+        found.append(sorted((d if d is not None else -1, n) for b in blocks for d, n in zip(b.doc_ids, b.lengths, strict=True)))
+    assert found[0] == found[1] == found[2] and len(found[0]) == 41
