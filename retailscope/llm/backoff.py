@@ -9,8 +9,8 @@ count / (total + different) of the history plus what the state's failure arc wou
 history without its oldest word and has the mass that the arcs leave. The root has an arc for every symbol, with
 (count + 1) / (words + different words + 1). So each state's distribution sums to one.
 
-Texts are kept in batches, as places among the batch's different words. Each batch asks once for each of its n-grams; what
-the model holds of them comes back as the batch's slice of the automaton, and every text of the batch passes through that
+Texts are kept in batches, as places among the batch's different words. Each batch asks once for each of its n-grams, by
+buckets of their hashes, in which they meet the model's; what it holds of them comes back as the batch's slice of the automaton, and every text of the batch passes through that
 slice from left to right, by arcs and failure arcs, with its state and its sum of logarithms. Words, pairs and triples
 are told apart by their level and 64-bit hashes. Only the `HEAD` most frequent words and bitmaps of at most 2^`BITS`
 hashes travel with the tasks, to spare the shuffle what it would not find; they change no result.
@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retailscope.llm.common import discard, kept, slices, task
+from retailscope.llm.common import discard, freeing, kept, slices, task
 
 #: Symbols for unseen words.
 CLASSES = 1
@@ -42,6 +42,8 @@ BITS = 27
 SEED = 42
 #: Bytes of texts in a batch.
 PART = 2_000_000
+#: Batches that a bucket of n-grams has to answer, if there are more than its least number takes.
+BATCHES = 32
 #: Levels of n-grams.
 WORD, PAIR, TRIPLE = 1, 2, 3
 
@@ -87,7 +89,8 @@ LINES = "batch long, held_out boolean, doc_ids array<long>, sizes binary, words
 
 def sequences(docs: DataFrame) -> DataFrame:
     """Texts in batches of about `PART` bytes, of training or held-out texts: batch (a number of its own), held_out, doc_ids,
-    sizes (words and the end of each text), words (hashes of the different ones) and codes (places among them)."""
+    sizes (words and the end of each text), words (hashes of the different ones) and codes (places among them, in two bytes if
+    they fit)."""
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = task() << 32
@@ -98,20 +101,34 @@ def sequences(docs: DataFrame) -> DataFrame:
                     if not some.num_rows:
                         continue
                     words, at, ends = words_of(some.column("text"))
-                    codes = np.insert(at, ends[1:], len(words)).astype(np.int32)
+                    codes = np.insert(at, ends[1:], len(words))
                     binaries = [np.diff(ends) + 1, np.append(hashes_of(words), END), codes]
                     ids = pa.ListArray.from_arrays(pa.array([0, some.num_rows], pa.int32()), some.column("doc_id"))
-                    cells = [pa.array([v.astype(k).tobytes()], pa.binary()) for v, k in zip(binaries, (np.int32, np.int64, np.int32), strict=True)]
+                    raw = [v.astype(k) for v, k in zip(binaries, (np.int32, np.int64, np.int32 if len(words) >> 16 else np.uint16), strict=True)]
+                    cells = [pa.array([x], pa.binary()) for x in (raw[0].tobytes(), raw[1].tobytes(), packed(raw[2]))]
                     yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([held]), ids, *cells], ["batch", "held_out", "doc_ids", "sizes", "words", "codes"])
                     number += 1
 
     return docs.mapInArrow(job, LINES)
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Compressed, the same byte of all values side by side."""
+    return pa.compress(values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes(), "zstd", asbytes=True)
+
+
+def unpack(held: bytes | pa.Buffer, kind: type, count: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    raw = pa.decompress(held, size * count, "zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, count).T).view(kind).ravel()
+
+
 def unpacked(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """sizes, words and codes of each row."""
     for row in zip(*(batch.column(c) for c in ("sizes", "words", "codes")), strict=True):
-        yield tuple(np.frombuffer(x.as_buffer(), k) for x, k in zip(row, (np.int32, np.int64, np.int32), strict=True))
+        sizes, words, codes = (x.as_buffer() for x in row)
+        sizes, words = np.frombuffer(sizes, np.int32), np.frombuffer(words, np.int64)
+        yield sizes, words, unpack(codes, np.int32 if len(words) - 1 >> 16 else np.uint16, int(sizes.sum())).astype(np.int32)
 
 
 def lines_of(batch: pa.RecordBatch) -> Iterator[pa.ListArray]:
@@ -120,6 +137,10 @@ def lines_of(batch: pa.RecordBatch) -> Iterator[pa.ListArray]:
         yield pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(words[codes]))
 
 
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return ((keys.view(np.uint64) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+
+
 def looked_up(hashes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of words among sorted hashes, and which are there."""
     place = np.minimum(np.searchsorted(hashes, words), max(0, len(hashes) - 1))
@@ -224,6 +245,7 @@ def learn(lines: DataFrame) -> Tables:
     often = kept(often.join(parts, "key"), "pair-parts", "zstd")
     triples = lines.select("sizes", "words", "codes").mapInArrow(triple_counts, "uv long, vw long, n long").groupBy("uv", "vw").agg(F.sum("n").alias("n"))
     counted_triples = triples = kept(triples.filter(F.col("n") >= LEAST), "triple-counts", "zstd")
+    held.destroy()
     ends = lines.sparkSession.createDataFrame([(BEGIN, total[2] or 0)], "v long, total long")
     singles = kept(states(often, "v", words.select(F.col("w").alias("v"), F.col("c").alias("total")).union(ends)), "states")
     doubles = kept(states(triples, "uv", often.select(F.col("key").alias("uv"), F.col("n").alias("total"))), "states")
@@ -345,48 +367,90 @@ def most_frequent(counts: DataFrame, column: str, most: int) -> DataFrame:
 def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores of all documents, learned from those that are not held out."""
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out.alias("held_out"))
+    spark = docs.sparkSession
     lines = kept(sequences(plain), "lines", "zstd")
-    model = learn(lines.filter(~F.col("held_out")))
-    top = most_frequent(model.words, "c", HEAD).select("w", "c", "left").toArrow().sort_by("w")
-    hashes, counts, left = (top[c].to_numpy() for c in ("w", "c", "left"))
-    arcs = arcs_of(model)
-    bits = bitmap(arcs.filter(F.col("level") > WORD))
-    held = docs.sparkSession.sparkContext.broadcast((hashes, counts, np.log10(left), bits))
+    with freeing(spark):
+        model = learn(lines.filter(~F.col("held_out")))
+        top = most_frequent(model.words, "c", HEAD).select("w", "c", "left").toArrow().sort_by("w")
+        hashes, counts, left = (top[c].to_numpy() for c in ("w", "c", "left"))
+        arcs = arcs_of(model)
+        bits = bitmap(arcs.filter(F.col("level") > WORD))
+    held = spark.sparkContext.broadcast((hashes, counts, np.log10(left), bits))
     size, begin = np.log10(model.tokens + model.different + 1), float(np.log10(model.begin))
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each batch's different n-grams that the model may hold."""
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), lines.count() // BATCHES)
+
+    def wanted(line: pa.ListArray, levels: tuple[int, ...]) -> Iterator[tuple[int, int, np.ndarray]]:
+        """Level, bucket and keys of the different n-grams that the model may hold; always in the same order."""
         hashes, _, _, bits = held.value
-        for batch in batches:
-            for number, line in zip(batch.column("batch").to_pylist(), lines_of(batch), strict=True):
-                (_, _, words, _), *longer = grams_of(line)
-                words = np.unique(words)
-                wanted = [(WORD, words[~looked_up(hashes, words)[1]])]
-                wanted += [(level, keys[maybe(bits, keys)]) for level, keys in ((level, np.unique(joint(a, b))) for level, _, a, b in longer)]
-                for level, keys in wanted:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), number)), pa.array(np.full(len(keys), level, np.int32)), pa.array(keys)], ["batch", "level", "key"])
+        for level, _, a, b in grams_of(line):
+            if level not in levels:
+                continue
+            keys = np.unique(a if level == WORD else joint(a, b))
+            keys = keys[~looked_up(hashes, keys)[1] if level == WORD else maybe(bits, keys)]
+            bucket = bucket_of(keys, buckets)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+            for x, y in zip(cuts, [*cuts[1:], len(keys)], strict=False):
+                yield level, int(bucket[order[x]]), keys[order[x:y]]
+
+    def ask(levels: tuple[int, ...]) -> DataFrame:
+        """Each batch's n-grams of these levels, as one row for each level and bucket."""
+
+        def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for number, line in zip(batch.column("batch").to_pylist(), lines_of(batch), strict=True):
+                    asked = list(wanted(line, levels))
+                    if asked:
+                        which, own, keys = zip(*asked, strict=True)
+                        yield pa.RecordBatch.from_arrays([pa.array([number] * len(asked)), pa.array(which, pa.int32()), pa.array(own, pa.int32()), pa.array([k.tobytes() for k in keys], pa.binary())], ["batch", "level", "bucket", "keys"])
+
+        return lines.select("batch", "sizes", "words", "codes").mapInArrow(job, "batch long, level int, bucket int, keys binary")
+
+    def answer(asked: pa.Table, arcs: pa.Table) -> pa.Table:
+        """Which of the keys the bucket's arcs hold, a bit each, and the values of those that are held."""
+        level, key, first, second = (arcs.column(c).to_numpy() for c in ("level", "key", "first", "second"))
+        own = {}
+        for which in (WORD, PAIR, TRIPLE):
+            rows = np.flatnonzero(level == which)
+            rows = rows[np.argsort(key[rows])]
+            own[which] = key[rows], first[rows], second[rows]
+        replies = []
+        for which, keys in zip(asked.column("level").to_pylist(), asked.column("keys").to_pylist(), strict=True):
+            place, there = looked_up(own[which][0], np.frombuffer(keys, np.int64))
+            values = [v[place[there]] for v in own[which][1 : 2 if which == TRIPLE else 3]] if there.any() else []
+            replies.append(np.packbits(there).tobytes() + packed(np.concatenate([np.zeros(0), *values]).view(np.uint8)))
+        return pa.table([asked.column("batch"), asked.column("level"), asked.column("bucket"), pa.array(replies, pa.binary())], ["batch", "level", "bucket", "reply"])
+
+    def slice_of(line: pa.ListArray, replies: dict[tuple[int, int], bytes]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Sorted keys that the model holds, and their values, by level."""
+        found = {which: [] for which in (WORD, PAIR, TRIPLE)}
+        for level, bucket, keys in wanted(line, (WORD, PAIR, TRIPLE)):
+            bits = -(-len(keys) // 8)
+            raw, each = replies[level, bucket], 1 if level == TRIPLE else 2
+            there = np.unpackbits(np.frombuffer(raw, np.uint8, bits), count=len(keys)).astype(bool)
+            values = unpack(raw[bits:], np.uint8, 8 * each * int(there.sum())).view(np.float64).reshape(each, int(there.sum()))
+            found[level].append((keys[there], values[0], values[-1]))
+        out = {}
+        for level, own in found.items():
+            keys, first, second = (np.concatenate(x) for x in zip(*own, strict=True)) if own else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+            order = np.argsort(keys)
+            out[level] = keys[order], first[order], second[order]
+        return out
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A slice of the automaton for each batch, and its texts' way through it."""
         hashes, counts, left, _ = held.value
         for batch in batches:
-            for at, (sizes, words, codes) in enumerate(unpacked(batch)):
-                found = batch.column("arcs").slice(at, 1).flatten()
-                level, key, n, log, failure = (found.field(c).to_numpy(zero_copy_only=False) for c in ("level", "key", "n", "log", "failure"))
-
-                def held_of(which: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-                    """Rows of the slice with these keys, and which keys there are."""
-                    rows = np.flatnonzero(level == which)
-                    rows = rows[np.argsort(key[rows])]
-                    place, there = looked_up(key[rows], keys)
-                    return (rows[place] if len(rows) else place), there
-
+            for at, ((sizes, words, codes), line) in enumerate(zip(unpacked(batch), lines_of(batch), strict=True)):
+                part = slice_of(line, {(r["level"], r["bucket"]): r["reply"] for r in batch.column("replies")[at].as_py()})
                 symbols = len(words)
                 times, fails = np.zeros(symbols, np.int64), np.zeros(symbols + 1)
                 place, there = looked_up(hashes, words)
                 times[there], fails[:-1][there] = counts[place[there]], left[place[there]]
-                rows, there = held_of(WORD, words)
-                times[there], fails[:-1][there] = n[rows[there]], failure[rows[there]]
+                key, n, failure = part[WORD]
+                place, there = looked_up(key, words)
+                times[there], fails[:-1][there] = n[place[there]], failure[place[there]]
                 fails[symbols] = begin
                 root = np.log10(times + 1) - size
                 last = np.concatenate([[symbols], codes[:-1]])
@@ -394,7 +458,8 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
                 last[first] = symbols
                 pair = joint(np.append(words, BEGIN)[last], words[codes])
                 pairs, where, which = np.unique(pair, return_index=True, return_inverse=True)
-                rows, there = held_of(PAIR, pairs)
+                key, log, failure = part[PAIR]
+                rows, there = looked_up(key, pairs)
                 is_state = np.zeros(len(pairs), bool)
                 is_state[there] = failure[rows[there]] < 0
                 target = np.where(is_state, symbols + np.cumsum(is_state), codes[where])
@@ -409,7 +474,8 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
                 inner[(first + 1)[sizes > 1]] = False
                 third = np.flatnonzero(inner)
                 triples, where3 = np.unique(joint(pair[third - 1], pair[third]), return_index=True)
-                rows, there = held_of(TRIPLE, triples)
+                key, log, _ = part[TRIPLE]
+                rows, there = looked_up(key, triples)
                 at3 = third[where3[there]]
                 source = target[which[at3 - 1]]
                 arcs.update(zip((source * width + codes[at3]).tolist(), zip(log[rows[there]].tolist(), target[which[at3]].tolist(), strict=True), strict=True))
@@ -420,10 +486,19 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
                 columns = [batch.column("doc_ids").slice(at, 1).flatten(), pa.array(np.full(m, batch.column("held_out")[at].as_py())), pa.array(sizes.astype(np.int64)), pa.array(by_text((times[codes] > 0).astype(np.int64))), pa.array(by_text(root[codes])), pa.array(scores, pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    asked = lines.select("batch", "sizes", "words", "codes").mapInArrow(ask, "batch long, level int, key long")
+    # the counts of words are whole numbers that a double holds
+    first = F.when(F.col("level") == WORD, F.col("n").cast("double")).otherwise(F.col("log"))
+    own = arcs.select(F.pmod(F.shiftrightunsigned("key", 33), F.lit(buckets).cast("long")).cast("int").alias("bucket"), "level", "key", first.alias("first"), F.col("failure").alias("second"))
+    replies = None
+    with freeing(spark):
+        for levels in ((WORD, PAIR), (TRIPLE,)):  # one after the other, so that half of the questions are on the disks at a time
+            met = ask(levels).groupBy("bucket").cogroup(own.filter(F.col("level").isin(*levels)).groupBy("bucket"))
+            met = kept(met.applyInArrow(answer, "batch long, level int, bucket int, reply binary"), "replies")
+            replies = met if replies is None else replies.union(met)
+    for done in (model.words, model.pairs, model.triples):
+        discard(done)
     # at most as many arcs as the batch has n-grams
-    met = asked.join(arcs, ["level", "key"]).groupBy("batch").agg(F.collect_list(F.struct("level", "key", "n", "log", "failure")).alias("arcs"))
-    arc = "array<struct<level:int,key:bigint,n:bigint,log:double,failure:double>>"
-    joined = lines.join(met, "batch", "left").withColumn("arcs", F.coalesce("arcs", F.array().cast(arc)))
+    replies = replies.groupBy("batch").agg(F.collect_list(F.struct("level", "bucket", "reply")).alias("replies"))
+    joined = lines.join(replies, "batch", "left").withColumn("replies", F.coalesce("replies", F.array().cast("array<struct<level:int,bucket:int,reply:binary>>")))
     found = joined.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

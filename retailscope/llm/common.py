@@ -45,6 +45,22 @@ def discard(df: DataFrame) -> None:
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+@contextlib.contextmanager
+def freeing(spark: SparkSession) -> Iterator[None]:
+    """What is written or gathered within takes its shuffle files along when it ends, instead of when the driver's garbage is
+    collected. Results that are read lazily, later, are to be made outside."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def met(rows: DataFrame, other: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
     """Inner join of `rows` with `other`, which has each key once, where some keys may hold a large share of `rows`.
 

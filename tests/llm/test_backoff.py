@@ -2,6 +2,7 @@
 
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -140,3 +141,39 @@ def test_no_word_or_history_is_left_out(spark):
             p = mix(two, (x[at - 1], x[at]), (one[x[at]] + 1) / (sum(one.values()) + len(one) + 1))
             want += math.log10(mix(three, tuple(x[at - 2 : at + 1]), p) if at > 2 else p)
         assert abs(found[key] - want) < 1e-9, key
+
+
+def test_shuffle_files_go_as_soon_as_tables_are_written(spark):
+    """While the result is read, only the shuffles of its own plan are on the disks, not those of counting."""
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        return {name for i in range(local.getAllFiles().size()) if (name := local.getAllFiles().apply(i).getName()).startswith("shuffle_")}
+
+    before = shuffles()
+    df = spark.range(2_000).selectExpr("id doc_id", "concat('word', id % 50, ' after word', id % 7) text", "id % 7 = 2 held")
+    found = backoff.score_texts(df, F.col("held"))
+    until = time.time() + 20  # files go a little after they are released
+    while (left := {x for x in shuffles() - before if x.endswith(".data")}) and time.time() < until:
+        time.sleep(0.2)
+    assert not left
+    assert found.count() == 2_000
+
+
+def test_packed_numbers_come_back():
+    for kind in (np.uint16, np.int32, np.float64):
+        for size in (0, 1, 1_000):
+            values = (np.arange(size) * 37 % 60_000).astype(kind)
+            back = backoff.unpack(backoff.packed(values), kind, size)
+            assert back.dtype == kind and (back == values).all()
+
+
+def test_batches_of_many_words_and_buckets(spark, monkeypatch):
+    """Places among more than 65,536 words, and more buckets than batches, by the plain counts."""
+    rows = [(i, " ".join(f"w{(i * 1_000 + k) % 90_000}" for k in range(1_000)), i % 7 == 2) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, held boolean").coalesce(1)
+    lines = backoff.sequences(df.select("doc_id", "text", F.col("held").alias("held_out"))).collect()
+    assert max(len(r.words) // 8 for r in lines) > 65_536
+    same(backoff.score_texts(df, F.col("held")).collect(), rows)
+    monkeypatch.setattr(backoff, "BATCHES", 1)
+    same(backoff.score_texts(df.repartition(9), F.col("held")).collect(), rows)
