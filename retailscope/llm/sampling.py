@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,9 @@ SHARPNESS = 2.0
 SAMPLES = 2
 #: Documents whose lattices are built together.
 PART = 2_000
+#: From this length on, places are left where no longer piece begins; bitmaps of 2^`STEM_BITS` hashes tell.
+STEM = 2
+STEM_BITS = 18
 
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -117,10 +120,18 @@ class Vocabulary:
                     raise ValueError(f"{piece!r} crosses from a word into the next")
                 by_length.setdefault(len(piece), []).append(i)
                 self.meaning[i] = piece.replace(MARK, " ").encode()
-        self.lengths = {}
+        self.meanings = np.array(self.meaning, object)
+        self.lengths, self.stems = {}, {}
+        stems: dict[int, list[np.ndarray]] = {}
         for n, own in sorted(by_length.items()):
-            hashes = self.hashes(np.array([[ord(c) for c in self.processor.id_to_piece(i)] for i in own], np.uint64))
-            self.lengths[n] = Table(hashes, np.array(own, np.int32))
+            codes = np.array([[ord(c) for c in self.processor.id_to_piece(i)] for i in own], np.uint64)
+            self.lengths[n] = Table(self.hashes(codes), np.array(own, np.int32))
+            for k in range(STEM, n):
+                stems.setdefault(k, []).append(self.hashes(codes[:, :k]))
+        #: What longer pieces begin with: a bit for each hash's last bits, so some more pass.
+        for n, found in stems.items():
+            self.stems[n] = np.zeros(1 << STEM_BITS, bool)
+            self.stems[n][np.concatenate(found) & np.uint64((1 << STEM_BITS) - 1)] = True
         self.longest = max(self.lengths, default=1)
 
     @staticmethod
@@ -134,9 +145,9 @@ class Vocabulary:
     def normal(self, text: str) -> str:
         return self.processor.normalize(text)
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: list[int] | np.ndarray) -> str:
         """The text of the ids, without the space that the normaliser put before it."""
-        text = b"".join(map(self.meaning.__getitem__, ids)).decode("utf-8", "replace")
+        text = b"".join(self.meanings[ids].tolist() if isinstance(ids, np.ndarray) else map(self.meaning.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -146,7 +157,7 @@ class Lattice:
     def __init__(self, vocabulary: Vocabulary, words: list[str]):
         size = np.fromiter(map(len, words), np.int64, len(words))
         first = np.cumsum(size + 1) - size - 1
-        code = np.frombuffer("".join(w + "\0" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        code = np.frombuffer(("\0".join(words) + "\0" if words else "").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
         total = len(code)
         left = (np.repeat(first + size, size + 1) - np.arange(total)).astype(np.int32)  # 0 at a word's last node
         spread = mixed(code)
@@ -162,14 +173,16 @@ class Lattice:
                     if not len(at):
                         break
                 gram = gram * _BASE + spread[at + n - 1]
-                if n not in vocabulary.lengths:
-                    continue
-                hit, ids = vocabulary.lengths[n].find(gram)
-                sources.append(at[hit])
-                steps.append(np.full(len(hit), n, np.int32))
-                kinds.append(ids)
-                if n == 1:
-                    single[at[hit]] = True
+                if n in vocabulary.lengths:
+                    hit, ids = vocabulary.lengths[n].find(gram)
+                    sources.append(at[hit])
+                    steps.append(np.full(len(hit), n, np.int32))
+                    kinds.append(ids)
+                    if n == 1:
+                        single[at[hit]] = True
+                if n in vocabulary.stems:
+                    more = np.flatnonzero(vocabulary.stems[n][gram & np.uint64((1 << STEM_BITS) - 1)])
+                    at, gram = at[more], gram[more]
         bare = np.flatnonzero(~single & (left > 0)).astype(np.int32)
         sources.append(bare)
         steps.append(np.ones(len(bare), np.int32))
@@ -183,9 +196,10 @@ class Lattice:
         beyond = np.zeros(total)
         far = left[source]
         order = np.argsort(far.astype(np.int16) if far.max(initial=0) < 32_768 else far, kind="stable")  # nodes near the end first
-        far, source_, onward, weight_ = far[order], source[order], (source + step)[order], weight[order]
-        levels = np.flatnonzero(np.diff(far, prepend=-1))
-        for a, b in zip(levels, [*levels[1:], len(source)][: len(levels)], strict=True):
+        source_, onward, weight_ = source[order], (source + step)[order], weight[order]
+        count = np.bincount(far)
+        ends = np.cumsum(count)
+        for a, b in zip((ends - count)[count > 0], ends[count > 0], strict=True):
             heads = np.flatnonzero(np.diff(source_[a:b], prepend=-1))
             beyond[source_[a:b][heads]] = np.logaddexp.reduceat(weight_[a:b] + beyond[onward[a:b]], heads)
         self.source, self.target, self.kind = source, source + step, kind
@@ -193,6 +207,10 @@ class Lattice:
         self.degree = np.bincount(source, minlength=total).astype(np.int32)
         self.begin = np.concatenate([[0], np.cumsum(self.degree)])
         upto = np.cumsum(np.exp(self.log))
+        with np.errstate(divide="ignore"):
+            #: Logarithm of the share of a node's other edges together.
+            self.others = np.log(np.maximum(-np.expm1(np.minimum(self.log, 0.0)), 0.0))
+        self.others[self.degree[source] == 1] = -np.inf
         # a node's shares add up to one, so what all earlier nodes have is their number
         inner = np.flatnonzero(self.degree)
         share = upto - np.repeat(np.concatenate([[0.0], upto])[self.begin[inner]], self.degree[inner])
@@ -231,17 +249,20 @@ def utf8_length(codes: np.ndarray) -> np.ndarray:
     return 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)
 
 
+#: Places in a stretch, largest values first to leave there, log-probabilities before them, and the stretch's own.
+Leaves = tuple[list[int], list[float], list[float], float]
+
+
 class Search:
     """Best-first search over one text's lattice: paths taken and the values of what leaves them."""
 
-    def __init__(self, lattice: Lattice, key: int, value: float, lanes: np.ndarray, edges: np.ndarray, most: int):
+    def __init__(self, lattice: Lattice, key: int, most: int):
         self.lattice, self.drawn, self.most = lattice, 0, most
         self.own = mixed(np.array([key ^ 0xA5A5], np.uint64))
         self.frontier: list[tuple[float, int, int, float]] = []
         self.paths: list[tuple[np.ndarray, np.ndarray]] = []
         self.values: list[float] = []
         self.shut: dict[tuple[int, int], list[int]] = {}
-        self.add(value, lanes, edges, 0, 0.0)
 
     def uniforms(self, count: int) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -249,24 +270,21 @@ class Search:
         self.drawn += count
         return out
 
-    def add(self, value: float, lanes: np.ndarray, edges: np.ndarray, fresh: int, before: float) -> None:
-        """Take a path; `fresh` is the first edge it doesn't share with one taken before, `before` its log-probability there."""
+    def add(self, value: float, lanes: np.ndarray, edges: np.ndarray, fresh: int, before: float) -> Generator[tuple[float, np.ndarray, float], Leaves]:
+        """Take a path; `fresh` is the first edge it doesn't share with one taken before, `before` its log-probability there.
+
+        Gives one stretch after another (value, edges, log-probability before them), and is sent what leaves it.
+        """
         number = len(self.paths)
         self.paths.append((lanes, edges))
         self.values.append(value)
         found: list[tuple[float, int, float]] = []
         for at in range(fresh, len(edges), STRETCH):
             some = edges[at : at + STRETCH]
-            logs = self.lattice.log[some]
-            upto = before + np.cumsum(logs) - logs
-            with np.errstate(divide="ignore"):
-                loc = upto + np.log(np.maximum(-np.expm1(np.minimum(logs, 0.0)), 0.0))
-            loc[self.lattice.degree[self.lattice.source[some]] == 1] = -np.inf
-            values = below(value, loc, self.uniforms(len(loc)))
-            # of a path, only the largest can be next, and after it the next largest
-            best = np.argsort(-values)[: self.most]
-            found = sorted(found + [(-float(values[k]), at + int(k), float(upto[k])) for k in best if np.isfinite(values[k])])[: self.most]
-            before += float(logs.sum())
+            best, values, priors, total = yield value, some, before
+            self.drawn += len(some)
+            found = sorted(found + [(-v, at + k, prior) for k, v, prior in zip(best, values, priors, strict=True) if v > -np.inf])[: self.most]
+            before += total
             if len(found) == self.most and before + NOISE < -found[-1][0]:
                 break  # what leaves further on is less likely than any draw can make up for
         for negative, place, prior in found:
@@ -303,6 +321,36 @@ def below(most: float, loc: np.ndarray, u: np.ndarray) -> np.ndarray:
         return np.where(np.isneginf(loc), -np.inf, loc - np.log(np.exp(np.minimum(loc - most, 700.0)) - np.log(u)))
 
 
+def sent(adding: Generator, value: Leaves) -> tuple[float, np.ndarray, float] | None:
+    """What a generator gives next when it is sent a value; nothing at its end."""
+    try:
+        return adding.send(value)
+    except StopIteration:
+        return None
+
+
+def leaves(lattice: Lattice, stretches: list[tuple[Search, float, np.ndarray, float]]) -> list[Leaves]:
+    """Where it is best to leave each stretch: (its search, the path's value, edges, log-probability before them)."""
+    size = np.array([len(edges) for _, _, edges, _ in stretches])
+    value, before = (np.array([x[k] for x in stretches])[:, None] for k in (1, 3))
+    drawn = np.array([search.drawn for search, *_ in stretches], np.uint64)[:, None]
+    own = np.concatenate([search.own for search, *_ in stretches])[:, None]
+    places = np.arange(size.max(initial=0))
+    real = places < size[:, None]
+    some = np.zeros(real.shape, np.int64)
+    some[real] = np.concatenate([edges for _, _, edges, _ in stretches])
+    logs = np.where(real, lattice.log[some], 0.0)
+    upto = before + np.cumsum(logs, axis=1) - logs
+    with np.errstate(over="ignore"):
+        u = uniform(own + (drawn + places.astype(np.uint64)) * _ODD)
+    values = below(value, np.where(real, upto + lattice.others[some], -np.inf), u)
+    # of a path, only the largest can be next, and after it the next largest
+    most = stretches[0][0].most
+    best = np.argpartition(-values, most - 1, axis=1)[:, :most] if most < len(places) else np.broadcast_to(places, real.shape)
+    rows = np.arange(len(size))[:, None]
+    return list(zip(best.tolist(), values[rows, best].tolist(), upto[rows, best].tolist(), logs.sum(axis=1).tolist(), strict=True))
+
+
 def units_of(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Different units (a word with its space marks), the unit at each place, and how many each text has."""
     if any(MARK + MARK in t or t and t[0] != MARK for t in texts):
@@ -333,7 +381,16 @@ def sample_texts(vocabulary: Vocabulary, texts: list[str], keys: np.ndarray, k:
     lane, edge = lattice.draw(lattice.entry[at], lane_keys(row, unit, 0))
     bounds = np.searchsorted(lane, np.concatenate([[0], ends]))
     gumbels = -np.log(-np.log(uniform(mixed(keys ^ np.uint64(0x5A5A)))))
-    searches = [Search(lattice, int(keys[r]), float(gumbels[r]), lane[bounds[r] : bounds[r + 1]], edge[bounds[r] : bounds[r + 1]], k) for r in range(len(texts))]
+    searches = [Search(lattice, int(own), k) for own in keys]
+
+    def take(paths: list[tuple[Search, float, np.ndarray, np.ndarray, int, float]]) -> None:
+        """Add each search's path; stretches of different searches are looked at together."""
+        live = [(search, adding, some) for search, *path in paths for adding in [search.add(*path)] for some in [next(adding, None)] if some]
+        while live:
+            found = leaves(lattice, [(search, *some) for search, _, some in live])
+            live = [(search, adding, some) for (search, adding, _), own in zip(live, found, strict=True) for some in [sent(adding, own)] if some]
+
+    take([(s, float(gumbels[r]), lane[bounds[r] : bounds[r + 1]], edge[bounds[r] : bounds[r + 1]], 0, 0.0) for r, s in enumerate(searches)])
     for sample in range(1, k):
         left = [(r, b) for r, s in enumerate(searches) if (b := s.branch())]
         if not left:
@@ -352,11 +409,13 @@ def sample_texts(vocabulary: Vocabulary, texts: list[str], keys: np.ndarray, k:
         drawn, found = lattice.draw(nodes, lane_keys(owners, unit[lanes], sample))
         owner = owners[drawn]
         cuts = np.searchsorted(owner, np.array([[r, r + 1] for r, _ in left]))
+        paths = []
         for (r, (value, number, place, taken, before)), (a, b) in zip(left, cuts, strict=True):
             old_lanes, old_edges = searches[r].paths[number]
             new_lanes = np.concatenate([old_lanes[: place + 1], lanes[drawn[a:b]]])
             new_edges = np.concatenate([old_edges[:place], [taken], found[a:b]])
-            searches[r].add(value, new_lanes, new_edges, place + 1, before + float(lattice.log[taken]))
+            paths.append((searches[r], value, new_lanes, new_edges, place + 1, before + float(lattice.log[taken])))
+        take(paths)
     out = []
     for s in searches:
         cut = -s.frontier[0][0] if s.frontier else -np.inf
@@ -401,7 +460,7 @@ def sample(docs: DataFrame, path: str, k: int = SAMPLES, seed: int = 0, sharpnes
                 rows = []
                 for doc, own in zip(docs_, sample_texts(vocabulary, texts_of(part), keys, k), strict=True):
                     for n, (ids, log, value, inclusion) in enumerate(own):
-                        text = vocabulary.decode(ids.tolist())
+                        text = vocabulary.decode(ids)
                         rows.append((doc, n, len(ids), log, value, inclusion, crc32(ids.astype("<u4")), crc32(text.encode())) + ((ids.tolist(),) if with_ids else ()))
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), kind) for x, (_, kind) in zip(zip(*rows, strict=True), kinds, strict=True)], schema=pa.schema(kinds))
 

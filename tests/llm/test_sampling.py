@@ -121,3 +121,27 @@ def test_odd_rows(spark):
     texts = {r.text for r in sampling.decode(found, PATH).collect()}
     assert texts == {"", "no key", "same text", "long " * 20_000}
     assert sampling.sample(df.limit(0), PATH).count() == 0
+
+
+def test_texts_are_searched_together(vocabulary, monkeypatch):
+    """As many rounds for many texts as for the longest, and the samples are those of each text alone."""
+    texts = ["many words to leave a path at " * n for n in range(1, 60)]
+    keys = sampling.mixed(np.arange(len(texts), dtype=np.uint64))
+    rounds, leaves = [], sampling.leaves
+    monkeypatch.setattr(sampling, "leaves", lambda *a: rounds.append(1) or leaves(*a))
+    found = sampling.sample_texts(vocabulary, texts, keys, 3)
+    together = len(rounds)
+    alone = [sampling.sample_texts(vocabulary, [t], keys[n : n + 1], 3)[0] for n, t in enumerate(texts)]
+    assert together < (len(rounds) - together) / 10
+    assert [[(x[0].tolist(), x[1:]) for x in own] for own in found] == [[(x[0].tolist(), x[1:]) for x in own] for own in alone]
+
+
+def test_lattices_have_every_piece(vocabulary):
+    """Pieces of all lengths as words of their own, also where no shorter piece begins them."""
+    pieces = [vocabulary.processor.id_to_piece(int(i)) for own in vocabulary.lengths.values() for i in own.ids[:-1][::50]]
+    lattice = sampling.Lattice(vocabulary, pieces)
+    known = {vocabulary.processor.id_to_piece(int(i)): int(i) for own in vocabulary.lengths.values() for i in own.ids[:-1]}
+    edges = set(zip(lattice.source.tolist(), lattice.target.tolist(), lattice.kind.tolist(), strict=True))
+    want = {(first + a, first + b, known[p[a:b]]) for first, p in zip(lattice.entry.tolist(), pieces, strict=True) for a in range(len(p)) for b in range(a + 1, len(p) + 1) if p[a:b] in known}
+    assert {e for e in edges if e[2] >= 0} == want
+    assert max(map(len, pieces)) == vocabulary.longest or len(pieces) > 500
