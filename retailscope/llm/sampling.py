@@ -202,6 +202,7 @@ class Lattice:
         for a, b in zip((ends - count)[count > 0], ends[count > 0], strict=True):
             heads = np.flatnonzero(np.diff(source_[a:b], prepend=-1))
             beyond[source_[a:b][heads]] = np.logaddexp.reduceat(weight_[a:b] + beyond[onward[a:b]], heads)
+        del far, order, source_, onward, weight_  # as long as the edges, and not needed beside what follows
         self.source, self.target, self.kind = source, source + step, kind
         self.log = weight + beyond[self.target] - beyond[source]
         self.degree = np.bincount(source, minlength=total).astype(np.int32)
