@@ -121,12 +121,19 @@ class TokenCache:
     LATIN = re.compile(f"[{LETTERS}]+")
     TAIL = "".join(c for c in map(chr, range(33, 127)) if not c.isalpha() and c != "'")
 
+    #: Unseen words that are encoded as one text.
+    JOINED = 500
+
     def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.most = most
+        pieces = self.tokenizer.get_vocab(with_added_tokens=True)
+        #: Which ids begin with a space.
+        self.opens = np.zeros(max(pieces.values(), default=0) + 1, bool)
+        self.opens[[i for piece, i in pieces.items() if piece.startswith("Ġ")]] = True
         self.forget()
 
     def forget(self) -> None:
@@ -139,6 +146,18 @@ class TokenCache:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array.array("I", e.ids).tobytes() for e in found]
 
+    def spaced(self, words: list[str]) -> list[bytes]:
+        """Ids of words with a space before them. Many words are one text, in which each id that begins with a space begins a word."""
+        parts = [words[k : k + self.JOINED] for k in range(0, len(words), self.JOINED)]
+        out = []
+        for part, raw in zip(parts, self.raw([" " + " ".join(part) for part in parts]), strict=True):
+            cuts = (4 * np.flatnonzero(self.opens[np.frombuffer(raw, np.uint32)])).tolist()
+            if len(cuts) != len(part) or cuts[0]:
+                out += self.raw([" " + w for w in part])
+                continue
+            out += [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)], strict=True)]
+        return out
+
     def learn(self, new: list[str]) -> None:
         """Ids of unseen words, from their runs where the cuts between them are sure."""
         ended, cut, heads, inner = [], [], set(), set()
@@ -160,7 +179,7 @@ class TokenCache:
         heads = [w for w in heads if w not in self.words]
         inner = [w for w in inner if w not in self.runs]
         self.held += sum(map(len, new)) + sum(map(len, heads)) + sum(map(len, inner))
-        self.words.update(zip(heads, self.raw([" " + w for w in heads]), strict=True))
+        self.words.update(zip(heads, self.spaced(heads), strict=True))
         self.runs.update(zip(inner, self.raw(inner), strict=True))
         words, runs = self.words, self.runs
         for word, head, tail in ended:

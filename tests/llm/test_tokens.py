@@ -191,3 +191,23 @@ def test_parts_of_any_size_give_the_same_blocks(spark, monkeypatch):
         blocks = huffman.token_blocks(docs, VOCABULARY, 0).collect()
         found.append(sorted((d if d is not None else -1, n) for b in blocks for d, n in zip(b.doc_ids, b.lengths, strict=True)))
     assert found[0] == found[1] == found[2] and len(found[0]) == 41
+
+
+def test_words_encoded_as_one_text_have_their_own_ids(monkeypatch):
+    """Unseen words share texts: fewer texts than words, and the ids of each word alone."""
+    cache = TokenCache(VOCABULARY)
+    words = ["a", "it's", "'", "x\ny", "a\n\nb", "Ġodd", "<|endoftext|>", "naïve", "日本語", "\U0001f600", "1234.5", "...", " x ", "x​y", "Word" * 40] + [f"w{i}-{i * i}" for i in range(1_500)]
+    alone = cache.raw([" " + w for w in words])
+    texts, encode = [], cache.tokenizer.encode_batch_fast
+
+    class Counting:
+        def encode_batch_fast(self, some, **kind):
+            texts.extend(some)
+            return encode(some, **kind)
+
+    cache.tokenizer = Counting()
+    assert cache.spaced(words) == alone
+    assert len(texts) < len(words)
+    assert cache.spaced([]) == []
+    monkeypatch.setattr(cache, "opens", ~cache.opens)  # where cuts aren't certain, each word is encoded alone
+    assert cache.spaced(words) == alone
