@@ -156,7 +156,7 @@ def test_shuffle_files_go_as_soon_as_tables_are_written(spark):
     until = time.time() + 20  # files go a little after they are released
     while (left := {x for x in shuffles() - before if x.endswith(".data")}) and time.time() < until:
         time.sleep(0.2)
-    assert not left
+    assert not left, left
     assert found.count() == 2_000
 
 
