@@ -9,11 +9,13 @@ count / (total + different) of the history plus what the state's failure arc wou
 history without its oldest word and has the mass that the arcs leave. The root has an arc for every symbol, with
 (count + 1) / (words + different words + 1). So each state's distribution sums to one.
 
-Texts are kept in batches, as places among the batch's different words. Each batch asks once for each of its n-grams, by
-buckets of their hashes, in which they meet the model's; what it holds of them comes back as the batch's slice of the automaton, and every text of the batch passes through that
-slice from left to right, by arcs and failure arcs, with its state and its sum of logarithms. Words, pairs and triples
-are told apart by their level and 64-bit hashes. Only the `HEAD` most frequent words and bitmaps of at most 2^`BITS`
-hashes travel with the tasks, to spare the shuffle what it would not find; they change no result.
+Texts are kept in batches, as places among the batch's different words. A batch asks for what it needs of the automaton by
+buckets of hashes: it sends its different n-grams with its own counts of them, the bucket adds up those of all batches, and
+the sums come back in the same order. This is done three times: for words and pairs; for triples of pairs with arcs, and what
+the words' arcs hold in all; for what the pairs' arcs hold in all. Each n-gram is owned by one of the batches that count it,
+which alone adds it to its history's sums. What has come back is the batch's slice of the automaton; every text of the batch
+passes through that slice, by arcs and failure arcs, and adds up its logarithms from left to right. Words, pairs and triples
+are told apart by their level and 64-bit hashes. Nothing but the number of words travels through the driver.
 
 Missing texts count as empty: they have the end alone. Rows without an id are training rows. Repeated rows count and
 are scored as often as they occur. An empty table gives an empty result. Other columns are not read.
@@ -21,7 +23,7 @@ are scored as often as they occur. An empty table gives an empty result. Other c
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,22 +32,23 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retailscope.llm.common import discard, freeing, kept, slices, task
+from retailscope.llm.common import freeing, kept, release, slices, task
 
 #: Symbols for unseen words.
 CLASSES = 1
+#: Keys that a batch sends in one row, at most.
 HEAD = 100_000
 #: The least count of an arc, 1 or 2.
 LEAST = 2
-#: Logarithm of the size of the bitmaps that spare shuffles.
-BITS = 27
 SEED = 42
 #: Bytes of texts in a batch.
-PART = 2_000_000
-#: Batches that a bucket of n-grams has to answer, if there are more than its least number takes.
-BATCHES = 32
-#: Levels of n-grams.
-WORD, PAIR, TRIPLE = 1, 2, 3
+PART = 3_000_000
+#: Batches whose n-grams a bucket holds, if there are more than its least number takes.
+BATCHES = 12
+#: Levels of n-grams, and of the sums over a history's arcs.
+WORD, PAIR, TRIPLE, AFTER_WORD, AFTER_PAIR = 1, 2, 3, 4, 5
+#: How many numbers are added up for each n-gram: counts, or counts and number of a history's arcs.
+SUMS = {WORD: 1, PAIR: 1, TRIPLE: 1, AFTER_WORD: 2, AFTER_PAIR: 2}
 
 
 def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -93,17 +96,15 @@ def sequences(docs: DataFrame) -> DataFrame:
     they fit)."""
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         number = task() << 32
         for batch in batches:
-            for part in slices(batch, PART):
-                for held in (False, True):
-                    some = part.filter(pc.equal(part.column("held_out"), held))
-                    if not some.num_rows:
-                        continue
-                    words, at, ends = words_of(some.column("text"))
+            for held in (False, True):
+                for part in slices(batch.filter(pc.equal(batch.column("held_out"), held)), PART):
+                    words, at, ends = words_of(part.column("text"))
                     codes = np.insert(at, ends[1:], len(words))
                     binaries = [np.diff(ends) + 1, np.append(hashes_of(words), END), codes]
-                    ids = pa.ListArray.from_arrays(pa.array([0, some.num_rows], pa.int32()), some.column("doc_id"))
+                    ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("doc_id"))
                     raw = [v.astype(k) for v, k in zip(binaries, (np.int32, np.int64, np.int32 if len(words) >> 16 else np.uint16), strict=True)]
                     cells = [pa.array([x], pa.binary()) for x in (raw[0].tobytes(), raw[1].tobytes(), packed(raw[2]))]
                     yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([held]), ids, *cells], ["batch", "held_out", "doc_ids", "sizes", "words", "codes"])
@@ -131,71 +132,228 @@ def unpacked(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np
         yield sizes, words, unpack(codes, np.int32 if len(words) - 1 >> 16 else np.uint16, int(sizes.sum())).astype(np.int32)
 
 
-def lines_of(batch: pa.RecordBatch) -> Iterator[pa.ListArray]:
-    """The texts of each row as lists of hashes."""
-    for sizes, words, codes in unpacked(batch):
-        yield pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(words[codes]))
+def ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Different keys (unsigned, ascending), a place of each, each place's key among them, and how often each occurs."""
+    order = np.argsort(keys)
+    held = keys[order]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = held[1:] != held[:-1]
+    starts = np.flatnonzero(fresh)
+    which = np.empty(len(keys), np.int32)
+    which[order] = np.cumsum(fresh, dtype=np.int32) - 1
+    return held[starts], order[starts], which, np.diff(starts, append=len(keys))
 
 
-def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return ((keys.view(np.uint64) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+def asked_rows(number: int, asked: list[tuple[int, np.ndarray, list[np.ndarray]]], buckets: int, most: int) -> pa.RecordBatch:
+    """A row for each level and bucket, and more of them for over `most` keys; asked: level, ascending keys and numbers to add up."""
+    rows = []
+    for level, keys, numbers in asked:
+        bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        cuts = np.union1d(np.flatnonzero(np.diff(bucket, prepend=-1)), np.arange(0, len(keys), most)).tolist()
+        for x, y in zip(cuts, [*cuts[1:], len(keys)], strict=False):
+            sent = np.concatenate([v[x:y].astype(np.int64) for v in numbers])
+            rows.append((number, int(bucket[x]), level, x, y - x, packed(np.diff(keys[x:y], prepend=np.uint64(0))), packed(sent)))
+    return pa.RecordBatch.from_pydict({name: [row[k] for row in rows] for k, name in enumerate(ASKED.names)}, ASKED)
 
 
-def looked_up(hashes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of words among sorted hashes, and which are there."""
-    place = np.minimum(np.searchsorted(hashes, words), max(0, len(hashes) - 1))
-    return place, hashes[place] == words if len(hashes) else np.zeros(len(words), bool)
+ASKED = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("level", pa.int32()), ("at", pa.int32()), ("size", pa.int32()), ("keys", pa.binary()), ("numbers", pa.binary())])
+REPLIES = pa.schema([("batch", pa.int64()), ("level", pa.int32()), ("at", pa.int32()), ("size", pa.int32()), ("different", pa.int64()), ("tokens", pa.int64()), ("reply", pa.binary())])
 
 
-def grams_of(lines: pa.ListArray, levels: tuple[int, ...] = (WORD, PAIR, TRIPLE)) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Level, place of the text, and both parts (history and word; pairs' hashes of a triple) of all n-grams."""
-    sizes = np.asarray(lines.value_lengths()).astype(np.int64)
-    doc = np.repeat(np.arange(len(lines)), sizes)
-    line = lines.flatten().to_numpy(zero_copy_only=False)
-    first = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-    if levels == (WORD,):
-        return [(WORD, doc, line, line)]
-    last = np.concatenate([[BEGIN], line[:-1]]) if len(line) else line
-    last[first] = BEGIN
-    pair = joint(last, line)
-    inner = np.ones(len(line), bool)
-    inner[first] = False
-    inner[(first + 1)[sizes > 1]] = False
-    third = np.flatnonzero(inner)
-    return [(WORD, doc, line, np.zeros(len(line), np.int64)), (PAIR, doc, last, line), (TRIPLE, doc[third], pair[third - 1], pair[third])]
+def added(asked: pa.Table, least: int) -> pa.Table:
+    """The sums over all batches of the numbers sent for each key, doubled, with 1 added in the batch that owns the key.
 
+    Pairs and triples that occur less than `least` times are 0. For words: how many the batch owns, and its tokens.
+    """
+    release()
+    out = []
+    for level in pc.unique(asked.column("level")).to_pylist():
+        own = asked.filter(pc.equal(asked.column("level"), level))
+        sizes = own.column("size").to_pylist()
+        which, times = ranked(np.concatenate([np.cumsum(unpack(k.as_buffer(), np.uint64, n)) for k, n in zip(own.column("keys"), sizes, strict=True)]))[2:]
+        sent = np.concatenate([unpack(v.as_buffer(), np.int64, SUMS[level] * n).reshape(-1, n) for v, n in zip(own.column("numbers"), sizes, strict=True)], axis=1)
+        owner = np.full(len(times), -1)
+        owner[which[sent[0] > 0]] = np.flatnonzero(sent[0])
+        replies = np.empty_like(sent)
+        for k, v in enumerate(sent):
+            # doubles hold whole numbers up to 2^53
+            sums = np.bincount(which, v, len(times)).astype(np.int64)
+            if level in (PAIR, TRIPLE):
+                sums[sums < least] = 0
+            owner[sums == 0] = -1
+            replies[k] = sums[which]
+        replies *= 2
+        replies[0, owner[owner >= 0]] += 1
+        cuts = np.cumsum([0, *sizes]).tolist()
+        for batch, at, x, y in zip(own.column("batch").to_pylist(), own.column("at").to_pylist(), cuts, cuts[1:], strict=False):
+            totals = (int((replies[0, x:y] & 1).sum()), int(sent[0, x:y].sum())) if level == WORD else (0, 0)
+            out.append((batch, level, at, y - x, *totals, packed(np.ascontiguousarray(replies[:, x:y]).ravel())))
+    return pa.Table.from_pydict({name: [row[k] for row in out] for k, name in enumerate(REPLIES.names)}, REPLIES)
+
+
+class Slice:
+    """What a batch knows of the automaton after so many waves of replies, by the places of its tokens."""
+
+    def __init__(self, sizes: np.ndarray, words: np.ndarray, codes: np.ndarray, replies: list[dict], waves: int, least: int):
+        self.words, self.codes, begin = words.view(np.uint64), codes, len(words)
+        self.first = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+        self.last = np.concatenate([np.array([begin], np.int32), codes[:-1]])
+        self.last[self.first] = begin
+        pair = joint(np.append(words, BEGIN)[self.last], words[codes]).view(np.uint64)
+        self.pairs, self.where, self.which, self.times = ranked(pair)
+        inner = np.ones(len(codes), bool)
+        inner[self.first] = False
+        inner[(self.first + 1)[sizes > 1]] = False
+        self.order = np.argsort(self.words)
+        self.third = np.flatnonzero(inner)
+        if not waves:
+            return
+        held = self.held(replies)
+        self.counts, self.owns_word = np.zeros(begin + 1, np.int64), np.zeros(begin, bool)
+        self.counts[self.order], self.owns_word[self.order] = held[WORD][0] >> 1, held[WORD][0] & 1 == 1
+        self.counts[begin] = self.counts[np.flatnonzero(words == END)[0]]
+        self.n, self.owns_pair = held[PAIR][0] >> 1, held[PAIR][0] & 1 == 1
+        often = self.n[self.which] > 0
+        self.at = self.third[often[self.third - 1] & often[self.third]]
+        self.triples, self.where3, self.which3, self.times3 = ranked(joint(pair[self.at - 1].view(np.int64), pair[self.at].view(np.int64)).view(np.uint64))
+        histories = np.append(self.words, np.uint64(BEGIN & (1 << 64) - 1))
+        self.histories = np.argsort(histories)
+        self.histories = self.histories[self.counts[self.histories] >= least]
+        self.history_keys = histories[self.histories]
+        self.inner_pairs = np.zeros(len(self.pairs), bool)
+        self.inner_pairs[self.which[self.third - 1]] = True
+        self.inner_pairs &= self.n > 0
+        if waves == 1:
+            return
+        self.after_word = self.spread(held[AFTER_WORD], self.histories, begin + 1)
+        self.n3, self.owns_triple = held[TRIPLE][0] >> 1, held[TRIPLE][0] & 1 == 1
+        if waves == 3:
+            self.after_pair = self.spread(held[AFTER_PAIR], np.flatnonzero(self.inner_pairs), len(self.pairs))
+
+    @staticmethod
+    def held(replies: list[dict]) -> dict[int, np.ndarray]:
+        parts = {level: [np.zeros((sums, 0), np.int64)] for level, sums in SUMS.items()}
+        for r in sorted(replies, key=lambda r: (r["level"], r["at"])):
+            parts[r["level"]].append(unpack(r["reply"], np.int64, SUMS[r["level"]] * r["size"]).reshape(-1, r["size"]))
+        return {level: np.concatenate(own, axis=1) for level, own in parts.items()}
+
+    @staticmethod
+    def spread(found: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+        """Count and number of the arcs of all histories, from those of some of them."""
+        out = np.zeros((2, size), np.int64)
+        out[:, at] = found >> 1
+        return out
 
-def counted(lines: DataFrame) -> DataFrame:
-    """level, key and n of words and pairs; each part of a batch is counted before it is shuffled."""
+    def asks(self, wave: int, training: bool) -> list[tuple[int, np.ndarray, list[np.ndarray]]]:
+        """What is asked in a wave: level, ascending keys and the batch's own numbers, which are 0 for held-out texts."""
+        own = int(training)
+        if wave == 0:
+            return [(WORD, self.words[self.order], [own * np.bincount(self.codes, minlength=len(self.words))[self.order]]), (PAIR, self.pairs, [own * self.times])]
+        if wave == 1:
+            arcs = np.flatnonzero(self.owns_pair)
+            sums = self.sums(self.last[self.where[arcs]], self.n[arcs], len(self.words) + 1)
+            return [(AFTER_WORD, self.history_keys, [v[self.histories] for v in sums]), (TRIPLE, self.triples, [own * self.times3])]
+        arcs = np.flatnonzero(self.owns_triple)
+        sums = self.sums(self.which[self.at[self.where3[arcs]] - 1], self.n3[arcs], len(self.pairs))
+        return [(AFTER_PAIR, self.pairs[self.inner_pairs], [v[self.inner_pairs] for v in sums])]
+
+    @staticmethod
+    def sums(history: np.ndarray, n: np.ndarray, size: int) -> list[np.ndarray]:
+        return [np.bincount(history, n, size), np.bincount(history, minlength=size)]
+
+    @staticmethod
+    def states(total: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Denominator and failure mass of histories, 1 where they have no arcs.
+
+        What occurs less than `LEAST` times occurs once: the different continuations are the arcs and the rest of the total.
+        """
+        bottom = np.maximum(2 * total - after[0] + after[1], 1)
+        return bottom, np.where(after[0] > 0, np.maximum(1 - after[0] / bottom, 1e-12), 1.0)
+
+    def weigh(self, tokens: int, different: int) -> None:
+        """Failure masses of words (the text's beginning last) and pairs; arcs' probabilities of pairs and triples (else 0)."""
+        bottom, self.left = self.states(self.counts, self.after_word)
+        v, w = self.last[self.where], self.codes[self.where]
+        self.p = np.where(self.n > 0, self.n / bottom[v] + self.left[v] * ((self.counts[w] + 1) / float(tokens + different + 1)), 0.0)
+        bottom, self.below = self.states(self.n, self.after_pair)
+        at = self.at[self.where3]
+        uv, vw = self.which[at - 1], self.which[at]
+        self.p3 = np.where(self.n3 > 0, self.n3 / bottom[uv] + self.below[uv] * self.p[vw], 0.0)
+
+    def traverse(self, root: np.ndarray) -> np.ndarray:
+        """Log10 probabilities of the texts, from the beginning's state, by arcs and failure arcs.
+
+        Each token leads to the state of the last two words, if that pair has arcs, else to that of the last word, whichever
+        arc was taken; so all places are passed at the same time. A place adds the failure arc of its pair, that of its word
+        and its arc, as far as they are taken, and a text's logarithms are added from left to right.
+        """
+        steps = np.zeros((len(self.codes), 3))
+        with np.errstate(divide="ignore"):
+            pair, triple = np.log10(self.p)[self.which], np.log10(self.p3)[self.which3]
+        steps[self.third, 0] = np.log10(self.below)[self.which[self.third - 1]]
+        known = pair > -np.inf
+        steps[:, 1] = np.where(known, 0.0, np.log10(self.left)[self.last])
+        steps[:, 2] = np.where(known, pair, root[self.codes])
+        known = triple > -np.inf
+        steps[self.at[known]] = 0.0
+        steps[self.at[known], 2] = triple[known]
+        text = np.zeros(len(self.codes), np.int64)
+        text[self.first] = 1
+        return np.bincount(np.repeat(np.cumsum(text) - 1, 3), steps.ravel(), len(self.first))
 
-    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for line in lines_of(batch):
-                for level, _, a, b in grams_of(line)[:2]:
-                    keys, n = np.unique(a if level == WORD else joint(a, b), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), level, np.int32)), pa.array(keys), pa.array(n)], ["level", "key", "n"])
 
-    return lines.select("sizes", "words", "codes").mapInArrow(job, "level int, key long, n long").groupBy("level", "key").agg(F.sum("n").alias("n"))
+@dataclass
+class Known:
+    """Batches with their replies, and how many tokens and different words the training texts have."""
+
+    tokens: int
+    different: int
+    lines: DataFrame
+    replies: list[DataFrame]
+
 
+def slices_of(batch: pa.RecordBatch, least: int, waves: int = 3) -> Iterator[Slice]:
+    for row, found in zip(unpacked(batch), batch.column("replies"), strict=True):
+        yield Slice(*row, found.as_py(), waves, least)
 
-def bitmap(keys: DataFrame) -> np.ndarray:
-    """Bits of all keys, up to 2^`BITS`, so that keys that are surely not among them needn't be shuffled."""
-    bits = min(BITS, max(16, (16 * keys.count()).bit_length()))
-    slot = F.col("key").bitwiseAND(F.lit((1 << bits) - 1))
-    found = keys.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(key & 63 as int))")).alias("word")).toArrow()
-    out = np.zeros(1 << bits - 6, np.uint64)
-    out[found["at"].to_numpy()] = found["word"].to_numpy().view(np.uint64)
-    return out
 
+def learn(lines: DataFrame) -> Known:
+    """Each batch's slice of the automaton that the training texts' lines make."""
+    spark, least, most = lines.sparkSession, LEAST, HEAD
+    answered = F.struct("level", "at", "size", "reply")
+    nothing = F.array().cast("array<struct<level:int,at:int,size:int,reply:binary>>")
+    met, replies, tokens, different = lines.withColumn("replies", nothing), [], 0, 0
+    with freeing(spark):
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), lines.count() // BATCHES)
 
-def maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    slot = keys & (64 * len(bits) - 1)
-    return (bits[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+    def ask(wave: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            release()
+            for batch in batches:
+                for number, held, part in zip(batch.column("batch").to_pylist(), batch.column("held_out").to_pylist(), slices_of(batch, least, wave), strict=True):
+                    yield asked_rows(number, part.asks(wave, not held), buckets, most)
+
+        return job
+
+    for wave in range(3):
+        with freeing(spark):
+            asked = met.select("batch", "held_out", "sizes", "words", "codes", "replies").mapInArrow(ask(wave), "batch long, bucket int, level int, at int, size int, keys binary, numbers binary")
+            answers = asked.groupBy("bucket").applyInArrow(lambda rows: added(rows, least), "batch long, level int, at int, size int, different long, tokens long, reply binary")
+            replies.append(kept(answers, "replies"))
+            if not wave:
+                total = replies[0].agg(F.sum("tokens"), F.sum("different")).first()
+                tokens, different = total[0] or 0, total[1] or 0
+        found = replies[0]
+        for more in replies[1:]:
+            found = found.union(more)
+        found = found.groupBy("batch").agg(F.collect_list(answered).alias("replies"))
+        met = lines.join(found, "batch", "left").withColumn("replies", F.coalesce("replies", nothing))
+    return Known(tokens, different, met, replies)
 
 
 @dataclass
 class Tables:
-    """words: w, c, left; pairs: key, v, w, share, left, p1, p and below, its own failure mass; triples: uv, vw, share, left, p2, p."""
+    """words: w, c, left; pairs: key, v, w, n, p and below, their own failure mass; triples: uv, vw, n, p."""
 
     tokens: int
     different: int
@@ -205,93 +363,32 @@ class Tables:
     triples: DataFrame
 
 
-def learn(lines: DataFrame) -> Tables:
-    """The automaton's tables from the training texts' lines.
-
-    An n-gram occurs at most as often as its parts, so triples of pairs without an arc aren't counted. What occurs less
-    than `LEAST` times occurs once: the different continuations of a history are its arcs and the rest of its total.
-    """
-    counts = kept(counted(lines).filter((F.col("level") == WORD) | (F.col("n") >= LEAST)), "gram-counts", "zstd")
-    words = counts.filter(F.col("level") == WORD).select(F.col("key").alias("w"), F.col("n").alias("c"))
-    often = counts.filter(F.col("level") == PAIR).select("key", "n")
-    held = lines.sparkSession.sparkContext.broadcast(bitmap(often))
-
-    def pair_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for line in lines_of(batch):
-                _, _, v, w = grams_of(line)[1]
-                keys, where = np.unique(joint(v, w), return_index=True)
-                some = maybe(held.value, keys)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array(v[where[some]]), pa.array(w[where[some]])], ["key", "v", "w"])
+def tables_of(known: Known) -> Tables:
+    """The whole automaton as tables: each n-gram from the batch that owns it."""
+    tokens, different, least = known.tokens, known.different, LEAST
 
-    def triple_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for line in lines_of(batch):
-                _, _, uv, vw = grams_of(line)[2]
-                some = maybe(held.value, uv) & maybe(held.value, vw)
-                uv, vw = uv[some], vw[some]
-                _, where, n = np.unique(joint(uv, vw), return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(uv[where]), pa.array(vw[where]), pa.array(n)], ["uv", "vw", "n"])
-
-    def states(arcs: DataFrame, history: str, totals: DataFrame) -> DataFrame:
-        """history, bottom and left of those with arcs."""
-        found = arcs.groupBy(history).agg(F.sum("n").alias("held"), F.count(F.lit(1)).alias("arcs")).join(totals, history)
-        bottom = 2 * F.col("total") - F.col("held") + F.col("arcs")
-        return found.select(history, bottom.alias("bottom"), F.greatest(1 - F.col("held") / bottom, F.lit(1e-12)).alias("left"))
-
-    total = words.agg(F.sum("c"), F.count(F.lit(1)), F.sum(F.when(F.col("w") == END, F.col("c")))).first()
-    tokens, different = total[0] or 0, total[1]
-    parts = lines.select("sizes", "words", "codes").mapInArrow(pair_parts, "key long, v long, w long").groupBy("key").agg(F.min("v").alias("v"), F.min("w").alias("w"))
-    often = kept(often.join(parts, "key"), "pair-parts", "zstd")
-    triples = lines.select("sizes", "words", "codes").mapInArrow(triple_counts, "uv long, vw long, n long").groupBy("uv", "vw").agg(F.sum("n").alias("n"))
-    counted_triples = triples = kept(triples.filter(F.col("n") >= LEAST), "triple-counts", "zstd")
-    held.destroy()
-    ends = lines.sparkSession.createDataFrame([(BEGIN, total[2] or 0)], "v long, total long")
-    singles = kept(states(often, "v", words.select(F.col("w").alias("v"), F.col("c").alias("total")).union(ends)), "states")
-    doubles = kept(states(triples, "uv", often.select(F.col("key").alias("uv"), F.col("n").alias("total"))), "states")
-    words = kept(words.join(singles.select(F.col("v").alias("w"), "left"), "w", "left").select("w", "c", F.coalesce("left", F.lit(1.0)).alias("left")), "words")
-    p1 = (F.col("c") + 1) / F.lit(float(tokens + different + 1))
-    pairs = often.join(singles, "v").join(words.select("w", "c"), "w").join(doubles.select(F.col("uv").alias("key"), F.col("left").alias("below")), "key", "left")
-    pairs = kept(pairs.select("key", "v", "w", (F.col("n") / F.col("bottom")).alias("share"), "left", p1.alias("p1"), F.coalesce("below", F.lit(1.0)).alias("below")).withColumn("p", F.col("share") + F.col("left") * F.col("p1")), "pairs", "zstd")
-    triples = triples.join(doubles, "uv").join(pairs.select(F.col("key").alias("vw"), F.col("p").alias("p2")), "vw")
-    triples = triples.select("uv", "vw", (F.col("n") / F.col("bottom")).alias("share"), "left", "p2").withColumn("p", F.col("share") + F.col("left") * F.col("p2"))
-    begin = singles.filter(F.col("v") == BEGIN).first()
-    model = Tables(tokens, different, begin.left if begin else 1.0, words, pairs, kept(triples, "triples", "zstd"))
-    for done in (counts, often, counted_triples, singles, doubles):
-        discard(done)
-    return model
-
-
-def arcs_of(model: Tables) -> DataFrame:
-    """level, key, n, log and failure: words with their count and failure mass, pairs and triples with their arc's logarithm,
-    and pairs with the failure mass of the state that they are (0 if they are none)."""
-    none, zero = F.lit(0).cast("long"), F.lit(0.0)
-    words = model.words.select(F.lit(WORD).alias("level"), F.col("w").alias("key"), F.col("c").cast("long").alias("n"), zero.alias("log"), F.log10("left").alias("failure"))
-    pairs = model.pairs.select(F.lit(PAIR), "key", none, F.log10("p"), F.log10("below"))
-    triples = model.triples.select(F.lit(TRIPLE), F.xxhash64("uv", "vw"), none, F.log10("p"), zero)
-    return words.union(pairs).union(triples)
-
-
-def traverse(lines: list[list[int]], arcs: dict[int, tuple[float, int]], width: int, failures: list[tuple[float, int]], root: list[float], begin: int) -> list[float]:
-    """Log10 probabilities of lines of symbols: from the beginning's state, one symbol after another, by arcs and failure arcs.
-
-    States up to `width` are words, later ones pairs; -1 is the root, which has an arc for every symbol.
-    """
-    out = []
-    for line in lines:
-        state, total = begin, 0.0
-        for symbol in line:
-            while state >= 0 and (arc := arcs.get(state * width + symbol)) is None:
-                log, state = failures[state]
-                total += log
-            if state >= 0:
-                log, state = arc
-                total += log
-            else:
-                total += root[symbol]
-                state = symbol
-        out.append(total)
-    return out
+            for part in slices_of(batch, least):
+                part.weigh(tokens, different)
+                words, pair = part.words.view(np.int64), part.pairs.view(np.int64)
+                own, arcs, arcs3 = np.flatnonzero(part.owns_word), np.flatnonzero(part.owns_pair), np.flatnonzero(part.owns_triple)
+                at, at3 = part.where[arcs], part.at[part.where3[arcs3]]
+                none = np.zeros(len(own))
+                sets = [(WORD, words[own], words[own], words[own], part.counts[own], none, part.left[own])]
+                sets.append((PAIR, pair[arcs], np.append(words, BEGIN)[part.last[at]], words[part.codes[at]], part.n[arcs], part.p[arcs], part.below[arcs]))
+                sets.append((TRIPLE, part.triples.view(np.int64)[arcs3], pair[part.which[at3 - 1]], pair[part.which[at3]], part.n3[arcs3], part.p3[arcs3], np.ones(len(arcs3))))
+                sets.append((0, *(np.array([BEGIN]),) * 3, part.counts[-1:], np.zeros(1), part.left[-1:]))
+                for level, *columns in sets:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), level, np.int32)), *map(pa.array, columns)], ["level", "key", "a", "b", "n", "p", "left"])
+
+    rows = kept(known.lines.mapInArrow(job, "level int, key long, a long, b long, n long, p double, left double"), "automaton", "zstd")
+    level = {k: rows.filter(F.col("level") == k) for k in (0, WORD, PAIR, TRIPLE)}
+    begin = level[0].first()
+    words = level[WORD].select(F.col("key").alias("w"), F.col("n").alias("c"), "left")
+    pairs = level[PAIR].select("key", F.col("a").alias("v"), F.col("b").alias("w"), "n", "p", F.col("left").alias("below"))
+    triples = level[TRIPLE].select(F.col("a").alias("uv"), F.col("b").alias("vw"), "n", "p")
+    return Tables(tokens, different, begin.left if begin else 1.0, words, pairs, triples)
 
 
 class Model:
@@ -344,160 +441,30 @@ class Automaton:
 
 def fit(texts: DataFrame) -> tuple[Model, Tables]:
     """The automaton of the column `text` in memory, and as tables."""
-    tables = learn(kept(sequences(texts.select(F.lit(0).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(False).alias("held_out"))), "lines"))
+    plain = texts.select(F.lit(0).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(False).alias("held_out"))
+    tables = tables_of(learn(kept(sequences(plain), "lines")))
     return Model(tables), tables
 
 
-def most_frequent(counts: DataFrame, column: str, most: int) -> DataFrame:
-    """The rows with the highest counts, at most `most`: all above a limit that a histogram of the logarithms tells.
-
-    Only the histogram, a thousand rows at most, is gathered to find the limit, and only rows above it are sent on.
-    """
-    step = F.floor(F.log2(F.col(column).cast("double")) * 16)
-    found = sorted(((r.step, r.n) for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
-    limit, held = None, 0
-    for at, n in found:
-        held += n
-        if held > most:
-            break
-        limit = at
-    return counts.filter(step >= limit) if limit is not None else counts.limit(0)
-
-
 def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores of all documents, learned from those that are not held out."""
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out.alias("held_out"))
-    spark = docs.sparkSession
-    lines = kept(sequences(plain), "lines", "zstd")
-    with freeing(spark):
-        model = learn(lines.filter(~F.col("held_out")))
-        top = most_frequent(model.words, "c", HEAD).select("w", "c", "left").toArrow().sort_by("w")
-        hashes, counts, left = (top[c].to_numpy() for c in ("w", "c", "left"))
-        arcs = arcs_of(model)
-        bits = bitmap(arcs.filter(F.col("level") > WORD))
-        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), lines.count() // BATCHES)
-    held = spark.sparkContext.broadcast((hashes, counts, np.log10(left), bits))
-    size, begin = np.log10(model.tokens + model.different + 1), float(np.log10(model.begin))
-
-    def wanted(line: pa.ListArray, levels: tuple[int, ...]) -> Iterator[tuple[int, int, np.ndarray]]:
-        """Level, bucket and keys of the different n-grams that the model may hold; always in the same order."""
-        hashes, _, _, bits = held.value
-        for level, _, a, b in grams_of(line):
-            if level not in levels:
-                continue
-            keys = np.unique(a if level == WORD else joint(a, b))
-            keys = keys[~looked_up(hashes, keys)[1] if level == WORD else maybe(bits, keys)]
-            bucket = bucket_of(keys, buckets)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-            for x, y in zip(cuts, [*cuts[1:], len(keys)], strict=False):
-                yield level, int(bucket[order[x]]), keys[order[x:y]]
-
-    def ask(levels: tuple[int, ...]) -> DataFrame:
-        """Each batch's n-grams of these levels, as one row for each level and bucket."""
-
-        def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for number, line in zip(batch.column("batch").to_pylist(), lines_of(batch), strict=True):
-                    asked = list(wanted(line, levels))
-                    if asked:
-                        which, own, keys = zip(*asked, strict=True)
-                        yield pa.RecordBatch.from_arrays([pa.array([number] * len(asked)), pa.array(which, pa.int32()), pa.array(own, pa.int32()), pa.array([k.tobytes() for k in keys], pa.binary())], ["batch", "level", "bucket", "keys"])
-
-        return lines.select("batch", "sizes", "words", "codes").mapInArrow(job, "batch long, level int, bucket int, keys binary")
-
-    def answer(asked: pa.Table, arcs: pa.Table) -> pa.Table:
-        """Which of the keys the bucket's arcs hold, a bit each, and the values of those that are held."""
-        level, key, first, second = (arcs.column(c).to_numpy() for c in ("level", "key", "first", "second"))
-        own = {}
-        for which in (WORD, PAIR, TRIPLE):
-            rows = np.flatnonzero(level == which)
-            rows = rows[np.argsort(key[rows])]
-            own[which] = key[rows], first[rows], second[rows]
-        replies = []
-        for which, keys in zip(asked.column("level").to_pylist(), asked.column("keys").to_pylist(), strict=True):
-            place, there = looked_up(own[which][0], np.frombuffer(keys, np.int64))
-            values = [v[place[there]] for v in own[which][1 : 2 if which == TRIPLE else 3]] if there.any() else []
-            replies.append(np.packbits(there).tobytes() + packed(np.concatenate([np.zeros(0), *values]).view(np.uint8)))
-        return pa.table([asked.column("batch"), asked.column("level"), asked.column("bucket"), pa.array(replies, pa.binary())], ["batch", "level", "bucket", "reply"])
-
-    def slice_of(line: pa.ListArray, replies: dict[tuple[int, int], bytes]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Sorted keys that the model holds, and their values, by level."""
-        found = {which: [] for which in (WORD, PAIR, TRIPLE)}
-        for level, bucket, keys in wanted(line, (WORD, PAIR, TRIPLE)):
-            bits = -(-len(keys) // 8)
-            raw, each = replies[level, bucket], 1 if level == TRIPLE else 2
-            there = np.unpackbits(np.frombuffer(raw, np.uint8, bits), count=len(keys)).astype(bool)
-            values = unpack(raw[bits:], np.uint8, 8 * each * int(there.sum())).view(np.float64).reshape(each, int(there.sum()))
-            found[level].append((keys[there], values[0], values[-1]))
-        out = {}
-        for level, own in found.items():
-            keys, first, second = (np.concatenate(x) for x in zip(*own, strict=True)) if own else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
-            order = np.argsort(keys)
-            out[level] = keys[order], first[order], second[order]
-        return out
+    known = learn(kept(sequences(plain), "lines", "zstd"))
+    tokens, different, least = known.tokens, known.different, LEAST
+    size = np.log10(tokens + different + 1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A slice of the automaton for each batch, and its texts' way through it."""
-        hashes, counts, left, _ = held.value
+        release()
         for batch in batches:
-            for at, ((sizes, words, codes), line) in enumerate(zip(unpacked(batch), lines_of(batch), strict=True)):
-                part = slice_of(line, {(r["level"], r["bucket"]): r["reply"] for r in batch.column("replies")[at].as_py()})
-                symbols = len(words)
-                times, fails = np.zeros(symbols, np.int64), np.zeros(symbols + 1)
-                place, there = looked_up(hashes, words)
-                times[there], fails[:-1][there] = counts[place[there]], left[place[there]]
-                key, n, failure = part[WORD]
-                place, there = looked_up(key, words)
-                times[there], fails[:-1][there] = n[place[there]], failure[place[there]]
-                fails[symbols] = begin
+            for at, (part, raw) in enumerate(zip(slices_of(batch, least), batch.column("sizes"), strict=True)):
+                part.weigh(tokens, different)
+                sizes = np.frombuffer(raw.as_buffer(), np.int32).astype(np.int64)
+                times = part.counts[:-1]
                 root = np.log10(times + 1) - size
-                last = np.concatenate([[symbols], codes[:-1]])
-                first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                last[first] = symbols
-                pair = joint(np.append(words, BEGIN)[last], words[codes])
-                pairs, where, which = np.unique(pair, return_index=True, return_inverse=True)
-                key, log, failure = part[PAIR]
-                rows, there = looked_up(key, pairs)
-                is_state = np.zeros(len(pairs), bool)
-                is_state[there] = failure[rows[there]] < 0
-                target = np.where(is_state, symbols + np.cumsum(is_state), codes[where])
-                width = symbols + 1
-                own = np.flatnonzero(there)
-                arcs = dict(zip((last[where[own]] * width + codes[where[own]]).tolist(), zip(log[rows[own]].tolist(), target[own].tolist(), strict=True), strict=True))
-                failures = [(x, -1) for x in fails.tolist()]
-                states = np.flatnonzero(is_state)
-                failures += zip(failure[rows[states]].tolist(), codes[where[states]].tolist(), strict=True)
-                inner = np.ones(len(codes), bool)
-                inner[first] = False
-                inner[(first + 1)[sizes > 1]] = False
-                third = np.flatnonzero(inner)
-                triples, where3 = np.unique(joint(pair[third - 1], pair[third]), return_index=True)
-                key, log, _ = part[TRIPLE]
-                rows, there = looked_up(key, triples)
-                at3 = third[where3[there]]
-                source = target[which[at3 - 1]]
-                arcs.update(zip((source * width + codes[at3]).tolist(), zip(log[rows[there]].tolist(), target[which[at3]].tolist(), strict=True), strict=True))
-                listed, bounds = codes.tolist(), np.concatenate([first, [len(codes)]]).tolist()
-                scores = traverse([listed[x:y] for x, y in zip(bounds, bounds[1:], strict=False)], arcs, width, failures, root.tolist(), symbols)
-                by_text = lambda values: np.add.reduceat(values, first)
-                m = len(sizes)
-                columns = [batch.column("doc_ids").slice(at, 1).flatten(), pa.array(np.full(m, batch.column("held_out")[at].as_py())), pa.array(sizes.astype(np.int64)), pa.array(by_text((times[codes] > 0).astype(np.int64))), pa.array(by_text(root[codes])), pa.array(scores, pa.float64())]
+                by_text = lambda values: np.add.reduceat(values, part.first)  # noqa: B023, E731
+                ids = batch.column("doc_ids").slice(at, 1).flatten()
+                columns = [ids, pa.array(np.full(len(sizes), batch.column("held_out")[at].as_py())), pa.array(sizes), pa.array(by_text((times[part.codes] > 0).astype(np.int64))), pa.array(by_text(root[part.codes])), pa.array(part.traverse(root))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    # the counts of words are whole numbers that a double holds
-    first = F.when(F.col("level") == WORD, F.col("n").cast("double")).otherwise(F.col("log"))
-    own = arcs.select(F.pmod(F.shiftrightunsigned("key", 33), F.lit(buckets).cast("long")).cast("int").alias("bucket"), "level", "key", first.alias("first"), F.col("failure").alias("second"))
-    replies = None
-    with freeing(spark):
-        for levels in ((WORD, PAIR), (TRIPLE,)):  # one after the other, so that half of the questions are on the disks at a time
-            met = ask(levels).groupBy("bucket").cogroup(own.filter(F.col("level").isin(*levels)).groupBy("bucket"))
-            met = kept(met.applyInArrow(answer, "batch long, level int, bucket int, reply binary"), "replies")
-            replies = met if replies is None else replies.union(met)
-    for done in (model.words, model.pairs, model.triples):
-        discard(done)
-    # at most as many arcs as the batch has n-grams
-    replies = replies.groupBy("batch").agg(F.collect_list(F.struct("level", "bucket", "reply")).alias("replies"))
-    joined = lines.join(replies, "batch", "left").withColumn("replies", F.coalesce("replies", F.array().cast("array<struct<level:int,bucket:int,reply:binary>>")))
-    found = joined.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    found = known.lines.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -177,3 +177,43 @@ def test_batches_of_many_words_and_buckets(spark, monkeypatch):
     same(backoff.score_texts(df, F.col("held")).collect(), rows)
     monkeypatch.setattr(backoff, "BATCHES", 1)
     same(backoff.score_texts(df.repartition(9), F.col("held")).collect(), rows)
+
+
+def test_ngrams_travel_packed(spark, monkeypatch):
+    """No table has a row for each n-gram: a batch has a row for each level and bucket."""
+    rows, keep = [], backoff.kept
+
+    def noted(df, *more):
+        out = keep(df, *more)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(backoff, "kept", noted)
+    texts = [(i, " ".join(f"w{(i * 7 + k) % 5_000}" for k in range(200)), i % 7 == 2) for i in range(1_000)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, held boolean").coalesce(2)
+    same(backoff.score_texts(df, F.col("held")).collect(), texts)
+    assert max(rows) <= 4 * 2 * 8, rows  # lines by levels by buckets; there are 5,000 words and pairs
+
+
+def test_sums_have_one_owner():
+    """Two batches with keys in common, more keys than a row takes, and one batch of held-out texts."""
+    keys = [np.arange(a, a + 5_000, dtype=np.uint64) * np.uint64(2**50 + 12_345) for a in (0, 3_000, 4_000)]
+    asked = [backoff.asked_rows(b, [(backoff.PAIR, k, [np.full(5_000, b < 2)])], 3, 700) for b, k in enumerate(keys)]
+    asked = backoff.pa.Table.from_batches(asked)
+    assert max(asked.column("size").to_pylist()) <= 700
+    found = {}
+    for bucket in range(3):
+        for r in backoff.added(asked.filter(backoff.pc.equal(asked.column("bucket"), bucket)), 2).to_pylist():
+            found.setdefault(r["batch"], []).append(r | {"level": backoff.PAIR})
+    found = {b: backoff.Slice.held(r)[backoff.PAIR][0] for b, r in found.items()}
+    want = [np.where((k >= keys[1][0]) & (k <= keys[0][-1]), 2, 0) for k in keys]
+    assert all((found[b] >> 1 == want[b]).all() for b in range(3))
+    assert ((found[0][3_000:] & 1) + (found[1][:2_000] & 1) == 1).all() and not (found[2] & 1).any()
+    assert not (found[0][:3_000] & 1).any()
+
+
+def test_held_out_texts_fill_batches(spark):
+    """One held-out text in seven makes as few batches as its size needs, not one beside each batch of training texts."""
+    df = spark.range(2_000).selectExpr("id doc_id", "repeat('some words ', 2000) text", "id % 7 = 2 held_out").coalesce(1)
+    held = backoff.sequences(df).select("held_out").collect()
+    assert sum(r.held_out for r in held) * 4 < len(held)
