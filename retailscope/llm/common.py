@@ -108,18 +108,18 @@ class TokenCache:
 
     Their texts are first cut where letters, digits, marks and white space meet, and no token crosses a cut. So the
     ids of a text are those of its words, each with its leading space, as long as no other white space is next to a
-    space; and the ids of a word are those of its runs of letters and of other characters. Words and runs are looked
-    up in bounded caches and only unseen ones are encoded. Where a cut isn't certain (other white space, apostrophes,
-    rare characters), the word or the text is encoded whole. When the caches are full, only the
-    words of the texts at hand stay.
+    space; and the ids of a word are those of its runs of letters and of other characters. These units are found among
+    the bytes of all texts at once, looked up in a bounded cache, and only unseen ones are encoded. Where a cut isn't
+    certain (other white space, apostrophes, rare characters), the word or the text is encoded whole. When the cache
+    is full, only the units of the texts at hand stay.
     """
 
-    LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-    OTHERS = "!-&(-/0-9:-@\\\\[-`{-~"
-    RUNS = re.compile(f"[{LETTERS}]+|[^{LETTERS}]+")
-    SURE = re.compile(f"[{LETTERS}]+|[{OTHERS}]*\\n?")
-    LATIN = re.compile(f"[{LETTERS}]+")
-    TAIL = "".join(c for c in map(chr, range(33, 127)) if not c.isalpha() and c != "'")
+    SPACED, LETTER, OTHER, DOUBT = range(4)
+    KINDS = np.full(256, DOUBT, np.uint8)
+    KINDS[33:127] = OTHER
+    KINDS[[*range(65, 91), *range(97, 123)]] = LETTER
+    KINDS[ord("'")] = DOUBT
+    KINDS[ord(" ")] = SPACED
 
     #: Unseen words that are encoded as one text.
     JOINED = 500
@@ -137,9 +137,8 @@ class TokenCache:
         self.forget()
 
     def forget(self) -> None:
-        #: Ids by word with its leading space, by run without one, and how many characters all of them have.
+        #: Ids by unit, which begins with its space if it has one, and how many characters all of them have.
         self.words: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
         self.held = 0
 
     def raw(self, texts: list[str]) -> list[bytes]:
@@ -159,65 +158,76 @@ class TokenCache:
         return out
 
     def learn(self, new: list[str]) -> None:
-        """Ids of unseen words, from their runs where the cuts between them are sure."""
-        ended, cut, heads, inner = [], [], set(), set()
-        for word in new:
-            if word.isalpha():
-                heads.add(word)
-                continue
-            head = word.rstrip(self.TAIL)
-            if head.isalpha() and (head.isascii() or self.LATIN.fullmatch(head)):
-                ended.append((word, head, word[len(head) :]))
-                continue
-            head, *rest = self.RUNS.findall(word)
-            if rest and self.SURE.fullmatch(head) and all(map(self.SURE.fullmatch, rest)):
-                cut.append((word, head, rest))
-            else:
-                heads.add(word)
-        heads.update([head for _, head, _ in ended], [head for _, head, _ in cut])
-        inner.update([tail for _, _, tail in ended], *[rest for _, _, rest in cut])
-        heads = [w for w in heads if w not in self.words]
-        inner = [w for w in inner if w not in self.runs]
-        self.held += sum(map(len, new)) + sum(map(len, heads)) + sum(map(len, inner))
-        self.words.update(zip(heads, self.spaced(heads), strict=True))
-        self.runs.update(zip(inner, self.raw(inner), strict=True))
-        words, runs = self.words, self.runs
-        for word, head, tail in ended:
-            words[word] = words[head] + runs[tail]
-        for word, head, rest in cut:
-            words[word] = b"".join([words[head], *map(runs.__getitem__, rest)])
+        """Ids of unseen units, but of words that white space begins or ends, or that are empty."""
+        inner = [u for u in new if u[0] != " "]
+        heads = [u for u in new if u[0] == " " and len(u) > 1 and not u[1].isspace() and not u[-1].isspace()]
+        self.held += sum(map(len, inner)) + sum(map(len, heads))
+        self.words.update(zip(heads, self.spaced([u[1:] for u in heads]), strict=True))
+        self.words.update(zip(inner, self.raw(inner), strict=True))
+
+    def units(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """All texts' units one after another, where each text's begin (and the last one's end), and which are words without sure cuts.
+
+        A word begins with the space before it, or with its text. It is cut where letters (A-Z, a-z and those of À to ÿ) and
+        other visible characters of ASCII meet. A line's end counts with the others if it is the last of them and a letter follows.
+        """
+        _, offsets, data = texts.buffers()
+        bounds = np.frombuffer(offsets, np.int64)[: len(texts) + 1]
+        size = int(bounds[-1])
+        raw = np.frombuffer(data, np.uint8)[:size] if size else np.zeros(0, np.uint8)
+        kind = self.KINDS[raw]
+        wide = np.flatnonzero(raw == 0xC3)
+        wide = wide[(raw[wide + 1] != 0x97) & (raw[wide + 1] != 0xB7)]
+        kind[wide] = kind[wide + 1] = self.LETTER
+        begins = kind == self.SPACED
+        begins[bounds[:-1][bounds[:-1] < bounds[1:]]] = True
+        line = np.flatnonzero(raw == 10)
+        line = line[(line + 1 < size) & ~begins[line]]
+        line = line[(kind[line + 1] == self.LETTER) & ~begins[line + 1] & np.isin(kind[line - 1], (self.LETTER, self.OTHER))]
+        kind[line] = self.OTHER
+        letter = kind == self.LETTER
+        turns = np.flatnonzero(letter[1:] != letter[:-1]) + 1
+        turns = turns[(kind[turns] != self.SPACED) & (kind[turns - 1] != self.SPACED)]
+        words = np.flatnonzero(begins)
+        doubtful = np.unique(np.searchsorted(words, np.flatnonzero(kind == self.DOUBT), "right") - 1)
+        change = np.zeros(size + 1, np.int8)
+        change[words[doubtful]] += 1
+        change[np.append(words, size)[doubtful + 1]] -= 1
+        begins[turns[np.cumsum(change, dtype=np.int8)[turns] == 0]] = True
+        starts = np.flatnonzero(begins)
+        doubt = np.zeros(len(starts), bool)
+        doubt[np.searchsorted(starts, words[doubtful])] = True
+        cut = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(np.append(starts, size)), data]) if size else texts.slice(0, 0)
+        return cut, np.searchsorted(starts, bounds), doubt
 
     def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
         """Ids of each text (unsigned 32-bit) with `end_id` after them."""
         if not texts:
             return []
-        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
-        ends = split.offsets.to_numpy().astype(np.int64)[1:]
-        coded = split.flatten().dictionary_encode()
+        cut, first, doubt = self.units(pa.array(texts, pa.large_string()))
+        coded = cut.dictionary_encode()
         words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         ids = list(map(self.words.get, words))
-        if len(self.words) + len(self.runs) > self.most or self.held > 20 * self.most:
+        if len(self.words) > self.most or self.held > 20 * self.most:
             self.forget()
             self.words = {w: found for w, found in zip(words, ids, strict=True) if found is not None}
             self.held = sum(map(len, self.words))
         missing = [k for k, found in enumerate(ids) if found is None]
-        self.learn([w for w in map(words.__getitem__, missing) if w and not w[0].isspace() and not w[-1].isspace()])
+        self.learn(list(map(words.__getitem__, missing)))
         unsure = np.zeros(len(words), bool)
         for k in missing:
             ids[k] = self.words.get(words[k])
             if ids[k] is None:
                 ids[k], unsure[k] = b"", True
-        # a text's first word has no space before it; it is looked up on its own, after the words
-        starts = np.concatenate([[0], ends[:-1]])
-        firsts = [words[k] for k in at[starts]]
-        later = unsure[at]
-        later[starts] = [bool(w) and w[-1].isspace() and n > 1 for w, n in zip(firsts, ends - starts, strict=True)]
-        whole = np.logical_or.reduceat(later, starts)
-        units = ids + self.raw(firsts) + [np.uint32(end_id).tobytes()]
-        at = at.astype(np.int64)
-        at[starts] = len(words) + np.arange(len(texts))
-        at = np.insert(at, ends, len(units) - 1)
-        ends = ends + np.arange(1, len(texts) + 1)
+        upto = np.concatenate([[0], np.cumsum(unsure[at])])
+        whole = upto[first[1:]] > upto[first[:-1]]
+        # a text's first word has no space before it; white space at its end would meet the next word's
+        for k in np.flatnonzero(first[1:] - first[:-1] > 1):
+            if doubt[first[k]] and words[at[first[k]]][-1].isspace():
+                whole[k] = True
+        units = [*ids, np.uint32(end_id).tobytes()]
+        at = np.insert(at.astype(np.int64), first[1:], len(words))
+        ends = first[1:] + np.arange(1, len(texts) + 1)
         size = np.fromiter(map(len, units), np.int64, len(units)) // 4
         place = np.cumsum(size) - size
         blob = np.frombuffer(b"".join(units), np.uint32)

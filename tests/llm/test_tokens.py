@@ -211,3 +211,16 @@ def test_words_encoded_as_one_text_have_their_own_ids(monkeypatch):
     assert cache.spaced([]) == []
     monkeypatch.setattr(cache, "opens", ~cache.opens)  # where cuts aren't certain, each word is encoded alone
     assert cache.spaced(words) == alone
+
+
+def test_words_with_marks_are_kept_in_parts():
+    """A word is encoded and kept once, whatever marks follow it; all kinds of neighbours give the ids of whole texts."""
+    cache = TokenCache(VOCABULARY)
+    cache.encode(["cat, (cat) cat.\nDog cat; cat7"], 0)
+    assert set(cache.words) == {"cat", ",", " (", ")", " cat", ".\n", "Dog", ";", "7"}
+    rng = np.random.default_rng(5)
+    signs = ["a", "B", "é", "ß", "×", "÷", "'", "\n", " ", " ", "  ", "\t", ".", "1", "日", "ª", "\x1c", " ", "Ā", "-", "<|endoftext|>"]
+    texts = ["".join(rng.choice(signs, n)) for n in rng.integers(0, 12, 5_000)] + ["", " ", "\n", ".\nA", ".\n A", "A.\n", "(\nA b"]
+    for at in range(0, len(texts), 500):
+        got = cache.encode(texts[at : at + 500], 7)
+        assert [x.tolist() for x in got] == [[*x, 7] for x in plain_ids(texts[at : at + 500])]
