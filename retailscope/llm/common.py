@@ -213,12 +213,14 @@ class TokenCache:
             self.words = {w: found for w, found in zip(words, ids, strict=True) if found is not None}
             self.held = sum(map(len, self.words))
         missing = [k for k, found in enumerate(ids) if found is None]
-        self.learn(list(map(words.__getitem__, missing)))
+        new = list(map(words.__getitem__, missing))
+        self.learn(new)
         unsure = np.zeros(len(words), bool)
-        for k in missing:
-            ids[k] = self.words.get(words[k])
-            if ids[k] is None:
+        for k, found in zip(missing, map(self.words.get, new), strict=True):
+            if found is None:
                 ids[k], unsure[k] = b"", True
+            else:
+                ids[k] = found
         upto = np.concatenate([[0], np.cumsum(unsure[at])])
         whole = upto[first[1:]] > upto[first[:-1]]
         # a text's first word has no space before it; white space at its end would meet the next word's

@@ -82,13 +82,17 @@ def pack(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray, step: int = ST
     ends = np.cumsum(bits)
     starts = ends - bits
     total = int(ends[-1]) if len(ids) else 0
-    # a code shifted to its place covers at most four bytes; places never overlap, so sums are unions
-    shifted = codes[ids].astype(np.uint64) << (np.uint64(32) - bits.astype(np.uint64) - (starts & 7).astype(np.uint64))
-    first = starts >> 3
-    out = np.zeros((total + 7) // 8 + 4, np.float64)
-    for k in range(4):
-        out += np.bincount(first + k, weights=((shifted >> np.uint64(24 - 8 * k)) & np.uint64(255)).astype(np.float64), minlength=len(out))[: len(out)]
-    return out[: (total + 7) // 8].astype(np.uint8).tobytes(), starts[::step].astype("<u4" if total < 2**32 else "<u8").tobytes()
+    marks = starts[::step].astype("<u4" if total < 2**32 else "<u8").tobytes()
+    if not total:
+        return b"", marks
+    # a code covers at most two words of 32 bits from its first one on; places never overlap, so sums are unions
+    shifted = codes[ids].astype(np.uint64) << (64 - bits - (starts & 31)).astype(np.uint64)
+    word = starts >> 5
+    first = np.flatnonzero(np.diff(word, prepend=-1))
+    out = np.zeros(total // 32 + 2, np.uint64)
+    out[word[first]] = np.add.reduceat(shifted >> np.uint64(32), first)
+    out[word[first] + 1] += np.add.reduceat(shifted & np.uint64(2**32 - 1), first)
+    return out.astype(">u4").tobytes()[: (total + 7) // 8], marks
 
 
 class Decoder:
@@ -116,18 +120,20 @@ class Decoder:
         held = [len(x) for x in lanes]
         at = np.concatenate(lanes) if lanes else np.empty(0, np.int64)
         left = np.concatenate([np.minimum(self.step, n - self.step * np.arange(h)) for n, h in zip(totals, held, strict=True)]) if lanes else np.empty(0, np.int64)
-        out = np.zeros((len(at), self.step), np.uint32)
+        out = np.zeros((self.step, len(at)), np.uint32)
         order = np.argsort(-left, kind="stable")
         at, left = at[order], left[order]
         for k in range(int(left[0]) if len(left) else 0):
             live = int(np.searchsorted(-left, -k, "left"))
             spot = at[:live]
             look = (windows[spot >> 3] << (spot & 7).astype(np.uint32)) >> np.uint32(32 - self.width)
-            out[order[:live], k] = self.symbol[look]
+            out[k, :live] = self.symbol[look]
             at[:live] += self.bits[look]
+        lines = np.empty((len(at), self.step), np.uint32)
+        lines[order] = out.T
         found, row = [], 0
         for n, h in zip(totals, held, strict=True):
-            found.append(out[row : row + h].ravel()[:n])
+            found.append(lines[row : row + h].ravel()[:n])
             row += h
         return found
 
