@@ -374,8 +374,30 @@ def one_of_similar(docs: DataFrame, words: int = 5, least: float = 0.8, id_col:
     The group's row is that with the smallest id (rows without one come last, then a hash of the row decides). Texts with
     the same set of shingles are one node. Rows that are equal in every column are one row.
     """
+    return _one_of(docs, words, least, id_col, text_col, simhash=False)
 
-    @F.arrow_udf("struct<high: long, low: long, places: binary>")
+
+def one_of_near(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`one_of_similar` over groups that SimHash fingerprints within `BITS` bits join as well, as `near_duplicates` does.
+
+    A group is a component over both kinds of links, so that neither is lost to what the other has dropped before.
+    """
+    return _one_of(docs, words, least, id_col, text_col, simhash=True)
+
+
+def simhash_links(prints: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b), a > b: links between nodes (high, low, node) whose rows (high, low, fp) have near fingerprints."""
+    met = prints.select("high", "low", "fp").distinct().join(nodes.select("high", "low", "node"), ["high", "low"]).select("node", "fp")
+    met = kept(met, "node-prints")
+    first = kept(met.groupBy("fp").agg(F.min("node").alias("first")), "print-nodes")
+    equal = met.join(first, "fp").filter("node != first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    near = links(first.select("fp"))
+    near = near.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+    return equal.union(near.filter("x != y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")))
+
+
+def _one_of(docs: DataFrame, words: int, least: float, id_col: str, text_col: str, simhash: bool) -> DataFrame:
+    @F.arrow_udf("struct<high: long, low: long, places: binary, fp: long>")
     def printed(texts: pa.Array) -> pa.Array:
         from xxhash import xxh64_intdigest
 
@@ -383,8 +405,10 @@ def one_of_similar(docs: DataFrame, words: int = 5, least: float = 0.8, id_col:
         rows = []
         for t in texts.to_pylist():
             found = shingles(t, words)
-            rows.append([*(xxh64_intdigest(found.tobytes(), k) - (1 << 63) for k in (1, 2)), places_of(found).tobytes()])
-        return pa.StructArray.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)] if rows else [pa.array([], k) for k in (pa.int64(), pa.int64(), pa.binary())], ["high", "low", "places"])
+            fp = int(np.uint64(fingerprint(t or "")).view(np.int64)) if simhash else None
+            rows.append([*(xxh64_intdigest(found.tobytes(), k) - (1 << 63) for k in (1, 2)), places_of(found).tobytes(), fp])
+        kinds = {"high": pa.int64(), "low": pa.int64(), "places": pa.binary(), "fp": pa.int64()}
+        return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds.values())], list(kinds))
 
     # the row travels as one column, whatever its columns are called; two hashes stand for it until the end
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
@@ -399,7 +423,10 @@ def one_of_similar(docs: DataFrame, words: int = 5, least: float = 0.8, id_col:
         wanted = nodes.join(asked, "node").select("node", "best.h1", "best.h2")
         return marked.select("h1", "h2", text.alias("text")).join(wanted, ["h1", "h2"]).groupBy("node").agg(F.first("text").alias("text"))
 
-    roots = stars(similar_links(nodes.select("node", "places"), texts, words, least)).select(F.col("a").alias("node"), F.col("b").alias("root"))
+    joined = similar_links(nodes.select("node", "places"), texts, words, least)
+    if simhash:
+        joined = joined.union(simhash_links(prints, nodes)).distinct()
+    roots = stars(joined).select(F.col("a").alias("node"), F.col("b").alias("root"))
     rooted_ = nodes.select("node", "best").join(roots, "node", "left")
     chosen = rooted_.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best")).select("best.h1", "best.h2")
     return marked.join(chosen, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("row").alias("row")).select("row.*")

@@ -199,3 +199,22 @@ def test_blocks_verify_pairs_exactly():
     assert [found.index(x) for x in found] == [want.index(x) for x in want] and len(set(want)) < n - 10
     other = group.set_column(0, "band", pa.array([1] * n, pa.int32()))
     assert not len(neardup.linked_blocks(other, 5, 0.8)[0])
+
+
+def test_the_stage_joins_near_fingerprints_too(spark):
+    """Copies that repeat the same lines: SimHash finds them and the sets of shingles don't; groups chain over both links."""
+    import corpus_pipeline
+
+    line = " ".join(f"b{k}" for k in range(31))  # an odd number of shingles when it is repeated: no bit of theirs is undecided
+    own = [" ".join(f"{c}{k}" for k in range(20)) for c in "uvw"]
+    texts = {k: " ".join([line] * 40 + [x]) for k, x in enumerate(own)}
+    texts[3] = f"{line} {own[2]}"  # the set of shingles of the third, nearly, without its repeats
+    texts[4] = " ".join(f"other{k}" for k in range(60))
+    near = np.bitwise_count(np.uint64(neardup.fingerprint(texts[0])) ^ np.uint64(neardup.fingerprint(texts[1])))
+    assert near <= neardup.BITS and neardup.similarity(*(neardup.shingles(texts[k], 5) for k in (0, 1))) < 0.8
+    assert np.bitwise_count(np.uint64(neardup.fingerprint(texts[2])) ^ np.uint64(neardup.fingerprint(texts[3]))) > neardup.BITS
+    rows = [(k + 1, t) for k, t in texts.items()] + [(None, None), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert len(neardup.one_of_similar(docs).collect()) > 3
+    assert sorted(r.doc_id for r in corpus_pipeline.no_copies(spark, docs, "").collect()) == [1, 5, 9]
+    assert corpus_pipeline.no_copies(spark, docs.limit(0), "").collect() == []
